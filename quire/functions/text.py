@@ -15,6 +15,7 @@ WHITESPACE = (
     + "\u2028\u2029\u202f\u205f\u3000"
 )
 LINE_BREAK = "\\r\\n|[\\n\\x0B\\f\\r\\x1C-\\x1E\\x85\\u2028\\u2029]"
+RARE_BREAK = "[\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
 SPACE = "[\\t-\\r\\x1C-\\x20\\x85\\p{Z}]"
 WORD = "[\\p{L}\\p{N}_]"
 WORD_START = "(?<![\\p{L}\\p{N}_])"
@@ -47,11 +48,10 @@ def split_newlines(value: Column | str) -> Column:
 
 
 def split_lines(value: Column | str) -> Column:
-    """Split on every line boundary; a trailing boundary does not start a new line, '' has no lines."""
+    """Split on every line boundary; a trailing boundary does not start a new line."""
     value = col(value)
-    parts = F.split(value, LINE_BREAK)
-    ends = value.rlike(f"(?:{LINE_BREAK})\\z") | (value == "")
-    return F.when(ends, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    unified = F.when(value.rlike(RARE_BREAK), F.regexp_replace(value, LINE_BREAK, "\n")).otherwise(value)
+    return F.split(F.regexp_replace(unified, "\n\\z", ""), "\n")
 
 
 def join_lines(lines: Column) -> Column:

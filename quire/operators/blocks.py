@@ -35,7 +35,7 @@ def with_running(
     blocks the block table again, for sparse keys.
     """
     group = list(group)
-    block = F.floor(F.col(order) / F.lit(width))
+    block = F.col(order) - F.pmod(F.col(order), F.lit(width))
     inputs = {f"__in_{name}": source for name, (source, _) in running.items()}
     staged = df.withColumns(inputs).withColumn("__block", block)
     last = -1 if exclusive else Window.currentRow
@@ -45,7 +45,7 @@ def with_running(
     if levels > 1:
         carry = with_running(
             totals.withColumnRenamed("__block", "__order"), group, "__order",
-            {f"__carry_{n}": (F.col(n), agg) for n, (_, agg) in running.items()}, width, True, levels - 1,
+            {f"__carry_{n}": (F.col(n), agg) for n, (_, agg) in running.items()}, width * width, True, levels - 1,
         ).withColumnRenamed("__order", "__block")
     else:
         before = Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)

@@ -24,8 +24,9 @@ MAX_BROADCAST_BOOKS = 20_000
 
 def is_margin_candidate(line: Column) -> Column:
     stripped = T.strip(line)
-    sentence = stripped.rlike(SENTENCE_END) & (F.length(stripped) > LONG_SENTENCE_CHARS)
-    return (stripped != "") & ~stripped.startswith("[") & (F.length(stripped) <= MAX_FURNITURE_CHARS) & ~sentence
+    short = F.length(stripped).between(1, MAX_FURNITURE_CHARS)
+    sentence = (F.length(stripped) > LONG_SENTENCE_CHARS) & stripped.rlike(SENTENCE_END)
+    return short & ~stripped.startswith("[") & ~sentence
 
 
 def margin_key(line: Column) -> Column:
@@ -39,27 +40,30 @@ def margin_noise_candidates(lines: DataFrame) -> DataFrame:
         "book", "page_num", "line_no", margin_key(F.col("line")).alias("margin_key"))
 
 
-def _page_votes(pages: DataFrame) -> DataFrame:
-    """Distinct furniture keys per page, at most 2 * VOTING_LINES of them, computed inside the row."""
-    lines = F.filter(T.split_lines("text"), lambda line: ~T.is_blank(line))
+def _margin_counts(pages: DataFrame) -> DataFrame:
+    """Pages per (book, key), for keys on two pages or more; the NULL key counts all pages of the book.
+
+    A page's distinct keys (at most 2 * VOTING_LINES) are found inside the row, so a plain count combined
+    map-side is the page count, and one pass over the text serves both the keys and the page totals.  The outer
+    explode matters: a plain one makes Catalyst infer a filter on the key array and compute it again at the scan.
+    """
+    filled = F.filter(T.split_lines("text"), lambda line: ~T.is_blank(line))
     edges = F.concat(T.first_n(F.col("__lines"), VOTING_LINES), T.last_n(F.col("__lines"), VOTING_LINES))
     keys = F.array_distinct(F.transform(F.filter(edges, is_margin_candidate), margin_key))
-    return pages.select("book", lines.alias("__lines")).select("book", F.explode(keys).alias("margin_key"))
+    votes = pages.select("book", filled.alias("__lines")).select("book", F.array_append(keys, F.lit(None).cast("string")).alias("__keys"))
+    counts = votes.select("book", F.explode_outer("__keys").alias("margin_key")).groupBy("book", "margin_key").agg(
+        F.count(F.lit(1)).alias("n_pages"))
+    return cut_lineage(counts.where("n_pages >= 2"))
 
 
 def repeated_margin_lines(pages: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
-    """Furniture keys seen on enough pages of a book.
-
-    The keys of a page are distinct before the shuffle, so a plain count (combined map-side) is the page count.
-    """
-    counts = _page_votes(pages).groupBy("book", "margin_key").agg(F.count(F.lit(1)).alias("n_pages"))
-    totals = pages.groupBy("book").agg(F.count(F.lit(1)).alias("total_pages"))
-    threshold = F.greatest(F.lit(2), F.floor(F.col("total_pages") * F.lit(min_ratio) + F.lit(ROUND_UP)))
-    # One page is too common a count to be worth a join: drop it first, it can never reach two.
+    """Furniture keys seen on enough pages of a book."""
+    counts = _margin_counts(pages)
+    threshold = F.greatest(F.lit(2), F.floor(F.col("n_pages") * F.lit(min_ratio) + F.lit(ROUND_UP)))
+    thresholds = counts.where("margin_key IS NULL").select("book", threshold.cast("long").alias("threshold"))
     return (
-        counts.where("n_pages >= 2")
-        .join(totals, "book")
-        .withColumn("threshold", threshold.cast("long"))
+        counts.where("margin_key IS NOT NULL")
+        .join(thresholds, "book")
         .where("n_pages >= threshold")
         .select("book", "margin_key", "n_pages", "threshold")
     )
@@ -69,11 +73,10 @@ def strip_repeated_margins(pages: DataFrame, min_ratio: float = MIN_RATIO) -> Da
     """Remove repeated furniture from the first and last lines of each page.
 
     Each page casts at most 6 votes, so a book has at most ``6 / min_ratio`` repeated keys whatever its length:
-    the per-book list is small and goes to the pages in one join.  The list is materialised first; its row count
-    then decides between broadcasting it and a shuffled join.  Pages are cleaned inside the row, with no exchange.
+    the per-book list is small and goes to the pages in one join.  Counts are materialised first; the number of
+    books with a list then decides between broadcasting it and a shuffled join.  Pages are cleaned inside the row, with no exchange.
     """
     keys = repeated_margin_lines(pages, min_ratio).groupBy("book").agg(F.collect_list("margin_key").alias("__keys"))
-    keys = cut_lineage(keys)
     small = keys.limit(MAX_BROADCAST_BOOKS + 1).count() <= MAX_BROADCAST_BOOKS
     joined = pages.join(F.broadcast(keys) if small else keys, "book", "left")
     staged = joined.withColumn("__lines", T.split_lines("text"))

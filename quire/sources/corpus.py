@@ -22,7 +22,7 @@ def scan_corpus(documents: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
 
 def scan_lines(pages: DataFrame, text: str = "text") -> DataFrame:
     """One row per line; split only at line feeds, so joining the lines gives the text back."""
-    return pages.select("book", "page_num", F.posexplode(T.split_newlines(text)).alias("line_no", "line"))
+    return pages.select("book", "page_num", F.posexplode_outer(T.split_newlines(text)).alias("line_no", "line"))
 
 
 def file_fingerprint(documents: DataFrame) -> DataFrame:

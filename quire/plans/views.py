@@ -240,3 +240,29 @@ HEAD = ("CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN 'Chapter 2 Methods' WHEN 1 THE
 select("glyph_lines", "page_text", "book", "page_num", "doc_id", "split_part(text, chr(10), 1) AS body", f"{HEAD} AS head",
        "CAST(12 + doc_id % 12 AS DOUBLE) AS head_size", "CAST(10 AS DOUBLE) AS body_size",
        "CAST(60 + (doc_id % 20) * 38 AS DOUBLE) AS head_y")
+
+# Pages as a reader delivers them: mixed line ends, padded lines and unmapped-glyph residue.
+select("raw_pages", "page_text", "book", "page_num",
+       "concat('  (cid:3) ', replace(text, ', ', concat(' cid:12 , ', chr(13), chr(10), '  ')), chr(13), 'tail (CID:7)  ', chr(10)) AS text",
+       "CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'table' WHEN 1 THEN 'code' ELSE 'text' END AS hint")
+
+select("algorithm_pages", "page_text", "book", "page_num",
+       "concat(CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN concat('Algorithm 1 Search', chr(10), 'Input: x', chr(10)) "
+       "WHEN 1 THEN concat('算法 2', chr(10), '输出 y', chr(10)) WHEN 2 THEN concat('Algorithm 3', chr(10)) ELSE '' END, text) AS text")
+
+select("wrapped_pages", "tex_pages", "book", "page_num",
+       """concat(chr(92), 'documentclass[12pt]{article}', chr(10), chr(92), 'usepackage[a]{b}', chr(92), 'usepackage{c}', chr(10), chr(92),
+       'begin{document}', chr(10), chr(92), 'title{T}', chr(10), chr(92), 'author{A}', chr(10), chr(92), 'date{D}', chr(10), chr(92), 'maketitle',
+       chr(10), chr(10), chr(10), tex, chr(10), chr(92), 'end{document}', chr(10)) AS tex""")
+
+# Prose with characters that TeX reserves, and short formulas inside it.
+select("marked_pages", "page_text", "book", "page_num",
+       "concat('100% of x_y & z {', chr(92), 'a} ~^ $#', chr(10), replace(text, ', ', concat(' ', chr(92), '(a_1 = ', CAST(page_num AS STRING), chr(92), ') ')), "
+       "chr(92), '(open_ ', chr(10), chr(92), ')') AS text")
+
+# A second reading of some pages, with noise in part of them.
+select("second_reading", "page_text", "book", "page_num",
+       "CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN '' WHEN 1 THEN text WHEN 2 THEN concat(text, ' ■■■■ □□□□ ') "
+       "ELSE concat('▓▓▓ ', split_part(text, chr(10), 1)) END AS text", where="doc_id % 11 <> 0")
+
+select("requested_names", "uploads", "upload_id", "filename", "upload_id % 2 = 0 AS translate")

@@ -13,8 +13,6 @@ from quire.functions import text as T
 PAGINATION_WINDOW = 4
 
 
-def where_line(lines: DataFrame, predicate: Column) -> DataFrame:
-    return lines.where(predicate)
 
 
 def pagination_lines(pages: DataFrame) -> DataFrame:

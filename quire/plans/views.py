@@ -266,3 +266,29 @@ select("second_reading", "page_text", "book", "page_num",
        "ELSE concat('▓▓▓ ', split_part(text, chr(10), 1)) END AS text", where="doc_id % 11 <> 0")
 
 select("requested_names", "uploads", "upload_id", "filename", "upload_id % 2 = 0 AS translate")
+
+# Pages known to hold a table: an order with line items whose number is the document's.
+VIEWS["page_tables"] = View(
+    ("page_text", "lineitem"),
+    "SELECT DISTINCT book, page_num FROM page_text JOIN lineitem ON doc_id = l_orderkey",
+    lambda v: v("page_text").select("book", "page_num", F.col("doc_id").alias("l_orderkey")).join(
+        v("lineitem").select("l_orderkey"), "l_orderkey", "left_semi").select("book", "page_num"),
+)
+VIEWS["furniture_lines"] = View(
+    ("furniture_pages",),
+    "SELECT book, page_num, CAST(u.i - 1 AS INT) AS line_no, u.line FROM furniture_pages, LATERAL (SELECT "
+    "unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i) u",
+    lambda v: scan_lines(v("furniture_pages")),
+)
+VIEWS["tex_lines"] = View(
+    ("tex_pages",),
+    "SELECT book, page_num, CAST(u.i - 1 AS INT) AS line_no, u.line FROM tex_pages, LATERAL (SELECT "
+    "unnest(string_split(tex, chr(10))) AS line, generate_subscripts(string_split(tex, chr(10)), 1) AS i) u",
+    lambda v: scan_lines(v("tex_pages"), "tex"),
+)
+VIEWS["math_lines"] = View(
+    ("math_pages",),
+    "SELECT book, page_num, CAST(u.i - 1 AS INT) AS line_no, u.line FROM math_pages, LATERAL (SELECT "
+    "unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i) u",
+    lambda v: scan_lines(v("math_pages")),
+)

@@ -1,3 +1,3 @@
 """Queries over the given tables: derived views, the registry, and one module per area."""
 
-from quire.plans import corpus, scores, textops  # noqa: F401
+from quire.plans import corpus, operations, scores, textops  # noqa: F401

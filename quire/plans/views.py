@@ -165,10 +165,10 @@ select("uploads", "customer", "c_custkey AS upload_id", "CAST(floor(c_custkey /
 
 VIEWS["cache"] = View(
     ("documents", "events"),
-    "SELECT md5(d.text) AS cache_key, e.ts AS stored_at, CAST(length(d.text) AS BIGINT) AS size_bytes, d.doc_id AS seq "
+    "SELECT concat(md5(d.text), CASE WHEN d.doc_id % 4 = 0 THEN '_tr' ELSE '' END) AS cache_key, e.ts AS stored_at, CAST(length(d.text) AS BIGINT) AS size_bytes, d.doc_id AS seq "
     "FROM documents d JOIN events e ON d.doc_id = e.event_id WHERE d.doc_id % 2 = 0",
     lambda v: v("documents").where("doc_id % 2 = 0")
-    .select(F.md5(F.col("text").cast("binary")).alias("cache_key"), F.length("text").cast("long").alias("size_bytes"), F.col("doc_id").alias("seq"))
+    .select(F.expr("concat(md5(CAST(text AS BINARY)), CASE WHEN doc_id % 4 = 0 THEN '_tr' ELSE '' END)").alias("cache_key"), F.length("text").cast("long").alias("size_bytes"), F.col("doc_id").alias("seq"))
     .join(v("events").select(F.col("event_id").alias("seq"), F.col("ts").alias("stored_at")), "seq"),
 )
 
@@ -228,6 +228,12 @@ select("term_events", "events", "event_id AS seq",
        "CASE WHEN event_id % 17 = 0 THEN '' ELSE concat('译', CAST(event_id % 7 AS STRING)) END AS target",
        "event_id % 23 = 0 AS deleted")
 
+select("page_warnings", "events", "1 + event_id % 45 AS page", "props AS message", where="event_type = 'view'")
+select("output_files", "customer", "concat('c', CAST(c_custkey AS STRING), CASE WHEN c_custkey % 3 = 0 THEN '_cn' ELSE '' END, '.tex') AS name")
+select("source_files", "orders", "concat('c', CAST(o_custkey AS STRING), '.pdf') AS name", distinct=True)
+select("corrections", "documents", "doc_id", "concat('原文 ', text, ' 术语', CASE WHEN doc_id % 2 = 0 THEN '甲' ELSE '乙' END) AS original",
+       "concat('译文 ', text, ' 术语甲 新词') AS corrected")
+
 # Settings edits arrive as events: the key and value follow from the event.
 select("preference_updates", "events", "event_id AS seq", """CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'quality_mode' WHEN 1 THEN 'quality_mode'
     WHEN 2 THEN 'default_translate' WHEN 3 THEN 'common_page_ranges' ELSE 'nope' END AS pref_key""",

@@ -101,3 +101,257 @@ def drop_page_numbers(value: Column) -> Column:
 def drop_rules(value: Column) -> Column:
     """Drop lone horizontal rules; table lines stay."""
     return drop_lines(value, lambda line: line.isin("\\hrule", "\\HRule"))
+
+
+# ---- display math ------------------------------------------------------------------------------------------------
+
+# Escaped delimiters, a display block, and what makes a body trivial or prose.
+ESCAPED_DELIMITER = "\\\\textbackslash\\{\\}\\s*\\\\?([\\[\\]])"
+DISPLAY = "(?s)\\\\\\[(.*?)\\\\\\]"
+DELIMITER = "\\\\[\\[\\]]"
+TRIVIAL_BODY = "\\A(?:[√∑∫∏±∓≈≠≤≥=+\\-*/·.,:;()\\[\\]{}|]+|[A-Za-z0-9]|\\\\[A-Za-z]+)\\z"
+FORMULA_COMMAND = "\\\\(?:frac|sum|int|begin|left|right)"
+CJK_CHARS, CJK_LENGTH, WORDS, WORDS_LENGTH = 8, 24, 6, 60
+
+
+def is_formula_body(body: Column) -> Column:
+    compact = F.regexp_replace(body, f"{T.SPACE}+", "")
+    return (compact != "") & ~compact.rlike(TRIVIAL_BODY)
+
+
+def is_prose_body(body: Column) -> Column:
+    body = T.strip(body)
+    cjk = (T.count_matches(body, "[\\u4e00-\\u9fff]") >= CJK_CHARS) & (F.length(body) >= CJK_LENGTH)
+    words = (T.count_matches(body, "[A-Za-z]{3,}") >= WORDS) & (F.length(body) >= WORDS_LENGTH) & ~body.rlike(FORMULA_COMMAND)
+    return cjk | words
+
+
+def repair_display(value: Column) -> Column:
+    """Keep well-paired display blocks only: flatten nested ones, drop stray delimiters and trivial bodies, free prose.
+
+    A block runs from an opener to the first closer; every other delimiter is stray.
+    """
+
+    def render(_: Column, inner: Column) -> Column:
+        body = T.strip(F.regexp_replace(inner, DELIMITER, ""))
+        shown = F.when(is_prose_body(body), body).otherwise(F.concat(F.lit("\\[\n"), body, F.lit("\n\\]")))
+        return F.when(is_formula_body(body), shown).otherwise(F.lit(""))
+
+    cleaned = F.regexp_replace(value, ESCAPED_DELIMITER, "")
+    return T.replace_matches(cleaned, DISPLAY, render, 1, lambda text: F.regexp_replace(text, DELIMITER, ""))
+
+
+# ---- align environments ------------------------------------------------------------------------------------------
+
+# Aligned environments and what may surround them.
+ALIGN = "(?is)\\\\begin\\{align\\*?\\}(.*?)\\\\end\\{align\\*?\\}"
+ALIGNED = "(?is)\\\\begin\\{aligned\\}.*?\\\\end\\{aligned\\}"
+UNWRAP_ALIGN = [
+    ("(?i)(?:\\\\\\[|\\$\\$)\\s*(\\\\begin\\{align\\*?\\})", "$1"),
+    ("(?i)(\\\\end\\{align\\*?\\})\\s*(?:\\\\\\]|\\$\\$)", "$1"),
+]
+LAST_EQUATION_MARK = "(?s).*\\\\(begin|end)\\{(?:equation\\*?|displaymath)\\}"
+
+
+def _aligned_body(body: Column) -> Column:
+    lines = F.filter(F.transform(T.split_lines(body), T.strip), lambda line: line != "")
+
+    def finish(line: Column, i: Column) -> Column:
+        broken = F.when((i < F.size(lines) - 1) & ~line.endswith("\\\\"), F.concat(line, F.lit(" \\\\"))).otherwise(line)
+        needs_mark = ~broken.contains("&") & broken.contains("=") & ~broken.startswith("\\")
+        return F.when(needs_mark, F.regexp_replace(broken, "(?s)\\A([^=]*?)\\s*=\\s*", "$1 &= ")).otherwise(broken)
+
+    return F.regexp_replace(T.strip(T.join_lines(F.transform(lines, finish))), "\\\\\\\\\\s*\\z", "")
+
+
+def align_to_aligned(value: Column) -> Column:
+    """align environments become display blocks with aligned; a bare aligned gets a display block around it."""
+    for pattern, replacement in UNWRAP_ALIGN:
+        value = F.regexp_replace(value, pattern, replacement)
+
+    def render(_: Column, inner: Column) -> Column:
+        body = _aligned_body(inner)
+        return F.when(body == "", "").otherwise(F.concat(F.lit("\\[\n\\begin{aligned}\n"), body, F.lit("\n\\end{aligned}\n\\]")))
+
+    return _wrap_aligned(T.replace_matches(value, ALIGN, render, 1))
+
+
+def _wrap_aligned(value: Column) -> Column:
+    pieces = F.split(value, ALIGNED)
+    blocks = F.regexp_extract_all(value, F.lit(ALIGNED), F.lit(0))
+
+    def wrap(block: Column, k: Column) -> Column:
+        before = F.array_join(F.flatten(F.zip_with(F.slice(pieces, 1, k + 1), F.slice(blocks, 1, k), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+        head, tail = T.rstrip(before), T.lstrip(F.get(pieces, k + 1))
+        shown = (head.endswith("\\[") & tail.startswith("\\]")) | (head.endswith("$$") & tail.startswith("$$"))
+        in_equation = F.regexp_extract(before, LAST_EQUATION_MARK, 1) == "begin"
+        return F.when(shown | in_equation, block).otherwise(F.concat(F.lit("\n\\[\n"), T.strip(block), F.lit("\n\\]\n")))
+
+    return F.array_join(F.zip_with(pieces, F.transform(blocks, wrap), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+# ---- tables ------------------------------------------------------------------------------------------------------
+
+# Table environments, lines that are no data, the filler of short rows.
+TABULAR_BLOCK = "(?is)(\\\\begin\\{tabular\\*?\\}(?:\\[[^\\]]*\\])?\\{([^{}]*)\\})(.*?)(\\\\end\\{tabular\\*?\\})"
+EMPTY_TABULAR = (
+    "(?is)(\\\\begin\\{tabular\\*{0,2}(?:\\[[^\\]]*\\])?\\{[^}]*\\})((?:\\s*(?:&\\s*)+[^\\n]*\\n)*)(\\\\end\\{tabular\\*{0,2}\\})"
+)
+RULE_LINE = "\\A\\\\(?:hline|toprule|midrule|bottomrule|cmidrule|cline)"
+SPANNING = "\\\\multicolumn|\\\\multirow"
+COLUMN_LETTERS = "[clrXSPQ]"
+FILLER = "--"
+CELL_MARK = "(?<!\\\\)&"
+
+
+def column_count(spec: Column) -> Column:
+    """Columns that a table spec declares."""
+    bare = F.regexp_replace(F.regexp_replace(spec, f"[|]|{T.SPACE}", ""), "[@><]\\{[^{}]*\\}", "")
+    return T.count_matches(F.regexp_replace(bare, "[pmb]\\{[^{}]*\\}", "P"), COLUMN_LETTERS)
+
+
+def is_data_line(line: Column) -> Column:
+    s = T.strip(line)
+    spans = s.startswith("\\multicolumn") | s.startswith("\\multirow")
+    return (s != "") & ~s.startswith("%") & ~s.rlike(RULE_LINE) & (spans | s.contains("&"))
+
+
+def repair_row(line: Column, columns: Column) -> Column:
+    """Pad a short row, fold surplus cells into the last, and end it with a row break; other lines stay."""
+    bare = T.rstrip(F.regexp_replace(T.rstrip(line), "\\\\\\\\\\s*\\z", ""))
+    bare = T.rstrip(F.regexp_replace(bare, f"{CELL_MARK}\\s*\\z", ""))
+    cells = F.transform(F.split(bare, CELL_MARK), T.strip)
+    padded = F.concat(cells, F.array_repeat(F.lit(FILLER), F.greatest(columns - F.size(cells), F.lit(0)).cast("int")))
+    folded = F.concat(F.slice(cells, F.lit(1), F.greatest(columns - 1, F.lit(0)).cast("int")),
+                      F.array(F.array_join(F.slice(cells, F.greatest(columns, F.lit(1)).cast("int"), F.size(cells)), " \\& ")))
+    row = F.array_join(F.when(F.size(cells) > columns, folded).otherwise(padded), " & ")
+    fixed = F.when((columns > 1) & ~line.rlike(SPANNING), row).otherwise(bare)
+    return F.when(is_data_line(line), F.concat(T.rstrip(fixed), F.lit(" \\\\"))).otherwise(line)
+
+
+def repair_tabular_blocks(value: Column) -> Column:
+    """Repair the rows of every closed table with two columns or more."""
+
+    def render(whole: Column, begin: Column, spec: Column, body: Column, end: Column) -> Column:
+        columns = column_count(spec)
+        lines = F.transform(T.split_lines(body), lambda line: F.when(is_data_line(line), repair_row(T.rstrip(line), columns)).otherwise(line))
+        fixed = F.concat(begin, F.lit("\n"), T.strip(T.join_lines(lines)), F.lit("\n"), end)
+        return F.when(columns <= 1, whole).otherwise(fixed)
+
+    return T.replace_matches(value, TABULAR_BLOCK, render, 4)
+
+
+def fill_empty_tables(value: Column) -> Column:
+    """A table without content gets one blank row, so that it compiles."""
+
+    def render(whole: Column, begin: Column, body: Column, end: Column) -> Column:
+        compact = F.regexp_replace(body, f"{T.SPACE}+", "")
+        spec = F.regexp_extract(begin, "(?s).*\\{([^{}]*)\\}", 1)
+        blank = F.array_join(F.array_repeat(F.lit(" " * 8), F.greatest(column_count(spec), F.lit(2)).cast("int")), " & ")
+        empty = (compact == "") | (T.count_char(compact, "&") < 2)
+        return F.when(empty, F.concat(begin, F.lit("\n"), blank, F.lit("\n"), end)).otherwise(whole)
+
+    return T.replace_matches(value, EMPTY_TABULAR, render, 3)
+
+
+def repair_table_lines(value: Column) -> Column:
+    """Repair rows line by line: also in tables that never close, which get closed; runs of blank lines shrink to one."""
+    start = F.struct(F.lit(False).alias("inside"), F.lit(0).cast("long").alias("columns"), F.lit(False).alias("blank"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, line: Column) -> Column:
+        begins, ends = line.rlike("(?i)\\A\\\\begin\\{tabular\\*?"), line.rlike("(?i)\\A\\\\end\\{tabular\\*?")
+        blank = T.is_blank(line)
+        body = state["inside"] & ~begins & ~ends
+        skip = body & blank & state["blank"]
+        spec = F.regexp_extract(line, f"\\{{([^{{}}]*)\\}}{T.SPACE}*\\z", 1)
+        columns = F.when(begins, column_count(spec)).when(ends, F.lit(0)).otherwise(state["columns"]).cast("long")
+        comment = T.strip(line).startswith("%")
+        text = F.when(body & ~blank & ~comment, repair_row(line, state["columns"])).otherwise(line)
+        return F.struct(
+            ((state["inside"] & ~ends) | begins).alias("inside"), columns.alias("columns"),
+            F.when(body & (blank | comment), state["blank"] | blank).otherwise(F.lit(False)).alias("blank"),
+            F.when(skip, state["out"]).otherwise(F.array_append(state["out"], text)).alias("out"))
+
+    def finish(state: Column) -> Column:
+        return F.when(state["inside"], F.array_append(state["out"], F.lit("\\end{tabular}"))).otherwise(state["out"])
+
+    repaired = T.join_lines(F.aggregate(T.split_newlines(value), start, step, finish))
+    return F.when(value.rlike("(?im)^\\\\begin\\{tabular\\*?"), repaired).otherwise(value)
+
+
+# ---- the whole cleaning chain ------------------------------------------------------------------------------------
+
+# Leftovers to remove at the end.
+LEFTOVERS = [
+    "\\[TWO_COLUMN_PAGE\\]", "\\\\begin\\{multicols\\}\\{\\d+\\}\\s*", "\\\\end\\{multicols\\}\\s*",
+    "\\\\vspace(?:\\*?)\\{[^{}]*\\}\\s*", "\\\\(?:newpage|pagebreak|clearpage)\\s*",
+]
+
+
+def _open_fences(value: Column) -> Column:
+    value = F.regexp_replace(T.strip(value), "(?imd)^```(?:latex)?", "")
+    value = F.regexp_replace(value, "(?md)```$", "")
+    value = F.replace(F.replace(value, F.lit("\\ begin"), F.lit("\\begin")), F.lit("\\ end"), F.lit("\\end"))
+    return F.regexp_replace(value, "\\\\(begin|end)\\s+\\{", "\\\\$1{")
+
+
+def _plain_references(value: Column) -> Column:
+    return F.regexp_replace(value, "\\\\eqref\\{([^}]+)\\}", "(\\\\ref{$1})")
+
+
+def _fix_transposes(value: Column) -> Column:
+    for _, pattern, replacement in TRANSPOSE_RULES.values():
+        value = F.regexp_replace(value, pattern, replacement)
+    return value
+
+
+def _drop_leftovers(value: Column) -> Column:
+    for pattern in LEFTOVERS:
+        value = F.regexp_replace(value, pattern, "")
+    return T.strip(T.squeeze_blank_lines(value))
+
+
+# The order matters: later steps rely on what earlier ones repaired.
+CLEANING_STEPS = [
+    _open_fences, repair_display, _plain_references, _fix_transposes, align_to_aligned, repair_tabular_blocks,
+    fill_empty_tables, repair_table_lines, drop_page_numbers, drop_rules, _drop_leftovers,
+]
+
+
+# ---- documents ---------------------------------------------------------------------------------------------------
+
+# Template classes, packages, page markers.
+BASE_PACKAGES = ["\\usepackage{amsmath,amssymb,amsthm}", "\\usepackage{graphicx}", "\\usepackage{hyperref}"]
+CHINESE_PACKAGE = "\\usepackage{xeCJK}"
+ALGORITHM_PACKAGES = ["\\usepackage{algorithm}", "\\usepackage{algpseudocode}"]
+DOCUMENT_CLASSES = {
+    "report": "\\documentclass[12pt]{report}", "book": "\\documentclass[12pt]{book}", "beamer": "\\documentclass{beamer}",
+}
+DEFAULT_CLASS = "\\documentclass[12pt]{article}"
+CHINESE_TEMPLATE = "cn-article"
+PAGE_MARKER = "(?md)^\\s*%\\s*=+\\s*第\\s*(\\d+)\\s*页\\s*=+\\s*$"
+
+
+def to_frames(body: Column) -> Column:
+    """One beamer frame per page block."""
+    blocks = F.filter(F.transform(F.split(body, PAGE_MARKER), T.strip), lambda b: b != "")
+    blocks = F.when(F.size(blocks) == 0, F.array(body)).otherwise(blocks)
+    frames = F.transform(blocks, lambda b, i: F.concat(
+        F.lit("\\begin{frame}[fragile]\n\\frametitle{第 "), (i + 1).cast("string"), F.lit(" 页}\n"), b, F.lit("\n\\end{frame}\n")))
+    return F.when(body.contains("\\begin{frame}") | (body == ""), body).otherwise(T.strip(T.join_lines(frames)))
+
+
+def wrap_document(body: Column, template: Column, chinese: Column) -> Column:
+    """Put a cleaned body into its template."""
+    template = F.lower(F.coalesce(template, F.lit("article")))
+    document_class = F.lit(DEFAULT_CLASS)
+    for name, line in DOCUMENT_CLASSES.items():
+        document_class = F.when(template == name, line).otherwise(document_class)
+    # The Chinese template adds its package after the algorithm packages.
+    uses_algorithm = body.rlike("\\\\begin\\{algorithm(?:ic)?\\}")
+    late_chinese = (template == CHINESE_TEMPLATE) & ~chinese
+    content = F.when(template == "beamer", to_frames(T.strip(body))).otherwise(body)
+    return F.concat_ws(
+        "\n", document_class, *[F.lit(p) for p in BASE_PACKAGES], F.when(chinese, F.lit(CHINESE_PACKAGE)),
+        *[F.when(uses_algorithm, F.lit(p)) for p in ALGORITHM_PACKAGES], F.when(late_chinese, F.lit(CHINESE_PACKAGE)),
+        F.lit(""), F.lit("\\begin{document}"), F.lit(""), content, F.lit(""), F.lit("\\end{document}"))

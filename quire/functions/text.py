@@ -94,3 +94,30 @@ def last_n(array: Column, n: int) -> Column:
 
 def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+def total(numbers: Column) -> Column:
+    """Sum of an array of whole numbers, 0 for an empty one."""
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, b: a + b)
+
+
+def replace_matches(value: Column, pattern: str, render, groups: int = 0, outside=None) -> Column:
+    """Replace each match by ``render(group_0, ..., group_n)`` and the text between matches by ``outside(text)``.
+
+    ``regexp_replace`` cannot compute on groups; the pieces between matches and the matches themselves can.
+    """
+    pieces = F.split(value, pattern)
+    if outside is not None:
+        pieces = F.transform(pieces, outside)
+    found = [F.regexp_extract_all(value, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(groups + 1)]
+    rendered = F.transform(F.arrays_zip(*found), lambda m: render(*[m[f"g{g}"] for g in range(groups + 1)]))
+    return F.array_join(F.zip_with(pieces, rendered, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+def match_lines(value: Column, pattern: str) -> Column:
+    """All matches with the 1-based line each starts on, as an array of (line, match)."""
+    breaks = F.transform(F.split(value, pattern), lambda p: count_char(p, "\n"))
+    matches = F.regexp_extract_all(value, F.lit(pattern), F.lit(0))
+    inside = F.transform(matches, lambda m: count_char(m, "\n"))
+    return F.transform(matches, lambda m, k: F.struct(
+        (total(F.slice(breaks, 1, k + 1)) + total(F.slice(inside, 1, k)) + 1).cast("int").alias("line"), m.alias("match")))

@@ -298,3 +298,19 @@ VIEWS["math_lines"] = View(
     "unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i) u",
     lambda v: scan_lines(v("math_pages")),
 )
+
+select("gappy_pages", "tex_pages", "book", "page_num",
+       "replace(replace(tex, concat(chr(10), chr(92), 'label'), concat(chr(10), chr(10), chr(10), chr(10), chr(92), 'label')), "
+       "concat(chr(10), 'see'), concat(chr(10), '}', chr(10), 'a &', chr(10), 'b &', chr(10), 'c', chr(10), chr(10), chr(10), chr(10), chr(10), 'see')) AS tex")
+
+# Eight pages make one part of a document, so a part stays small whatever the length of the book.
+PART = "CAST(floor(page_num / 8) AS INT)"
+VIEWS["tex_docs"] = View(
+    ("tex_pages",),
+    f"SELECT book, {PART} AS part, string_agg(tex, chr(10) ORDER BY page_num) AS tex FROM tex_pages GROUP BY ALL",
+    lambda v: v("tex_pages").groupBy("book", F.expr(PART).alias("part")).agg(
+        F.expr("listagg(tex, '\\n') WITHIN GROUP (ORDER BY page_num)").alias("tex")),
+)
+select("template_requests", "tex_docs", "book", "part", "tex",
+       "CASE CAST(part % 5 AS INT) WHEN 0 THEN 'article' WHEN 1 THEN 'report' WHEN 2 THEN 'book' WHEN 3 THEN 'beamer' ELSE 'cn-article' END AS template",
+       "part % 2 = 0 AS chinese")

@@ -314,3 +314,37 @@ VIEWS["tex_docs"] = View(
 select("template_requests", "tex_docs", "book", "part", "tex",
        "CASE CAST(part % 5 AS INT) WHEN 0 THEN 'article' WHEN 1 THEN 'report' WHEN 2 THEN 'book' WHEN 3 THEN 'beamer' ELSE 'cn-article' END AS template",
        "part % 2 = 0 AS chinese")
+
+# One row per character, laid out in rows of 80; the last 40 characters of a page are small print at its foot.
+_GLYPH = ("CAST(g_idx % 80 * 6 AS DOUBLE) AS x0, CAST(CASE WHEN n > 80 AND g_idx >= n - 40 THEN 120 + 14 * ceil(n / 80.0) "
+          "ELSE 40 + floor(g_idx / 80) * 14 END AS DOUBLE) AS top, CAST(CASE WHEN n > 80 AND g_idx >= n - 40 THEN 7 ELSE 10 END AS DOUBLE) AS size, "
+          "CAST(140 + 14 * ceil(n / 80.0) AS DOUBLE) AS page_height")
+VIEWS["glyphs"] = View(
+    ("page_text",),
+    f"SELECT book, page_num, g_idx, ch, {_GLYPH} FROM (SELECT book, page_num, length(text) AS n, unnest(string_split(text, '')) AS ch, "
+    "CAST(generate_subscripts(string_split(text, ''), 1) - 1 AS INT) AS g_idx FROM page_text)",
+    lambda v: v("page_text").select("book", "page_num", F.length("text").alias("n"), F.posexplode_outer(F.split("text", "")).alias("g_idx", "ch"))
+    .selectExpr("book", "page_num", "g_idx", "ch", *_GLYPH.split(", ")),
+)
+VIEWS["layout_lines"] = View(
+    ("glyph_lines",),
+    "SELECT book, page_num, 0 AS line_no, head AS text, head_size AS size, head_y AS y0 FROM glyph_lines UNION ALL "
+    "SELECT book, page_num, 1, body, body_size, CAST(300 AS DOUBLE) FROM glyph_lines UNION ALL SELECT book, page_num, 2, body, body_size, CAST(320 AS DOUBLE) FROM glyph_lines",
+    lambda v: v("glyph_lines").selectExpr(
+        "book", "page_num", "inline(array(struct(0 AS line_no, head AS text, head_size AS size, head_y AS y0), "
+        "struct(1 AS line_no, body AS text, body_size AS size, CAST(300 AS DOUBLE) AS y0), "
+        "struct(2 AS line_no, body AS text, body_size AS size, CAST(320 AS DOUBLE) AS y0)))"),
+)
+RESPONSE = "concat('[PAGE ', CAST(page_num + 1 AS STRING), ']', chr(10), '[DUPLICATE_HEADER]x[/DUPLICATE_HEADER]译 ', text)"
+VIEWS["batch_responses"] = View(
+    ("page_text",),
+    f"SELECT book, CAST(floor(page_num / 4) AS INT) AS chunk, string_agg({RESPONSE}, chr(10) ORDER BY page_num) AS content "
+    "FROM page_text WHERE doc_id % 9 <> 0 GROUP BY ALL",
+    lambda v: v("page_text").where("doc_id % 9 <> 0").groupBy("book", F.expr("CAST(floor(page_num / 4) AS INT)").alias("chunk")).agg(
+        F.expr(f"listagg({RESPONSE}, '\\n') WITHIN GROUP (ORDER BY page_num)").alias("content")),
+)
+# Page results of a conversion (some failed), and single pages done again (some for pages that do not exist).
+select("page_results", "tex_pages", "book", "page_num", "tex AS latex", where="doc_id % 10 <> 3")
+select("document_blocks", "tex_pages", "book", "page_num", "tex AS block", where="doc_id % 10 <> 3")
+select("replacement_blocks", "tex_pages", "book", "CASE WHEN doc_id % 20 = 0 THEN page_num + 1000000 ELSE page_num END AS page_num",
+       "concat(tex, chr(10), 'again  ', chr(10)) AS block", where="doc_id % 10 = 0")

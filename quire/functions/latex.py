@@ -154,14 +154,14 @@ LAST_EQUATION_MARK = "(?s).*\\\\(begin|end)\\{(?:equation\\*?|displaymath)\\}"
 
 
 def _aligned_body(body: Column) -> Column:
-    lines = F.filter(F.transform(T.split_lines(body), T.strip), lambda line: line != "")
-
-    def finish(line: Column, i: Column) -> Column:
-        broken = F.when((i < F.size(lines) - 1) & ~line.endswith("\\\\"), F.concat(line, F.lit(" \\\\"))).otherwise(line)
+    def finish(line: Column, last: Column) -> Column:
+        broken = F.when(~last & ~line.endswith("\\\\"), F.concat(line, F.lit(" \\\\"))).otherwise(line)
         needs_mark = ~broken.contains("&") & broken.contains("=") & ~broken.startswith("\\")
         return F.when(needs_mark, F.regexp_replace(broken, "(?s)\\A([^=]*?)\\s*=\\s*", "$1 &= ")).otherwise(broken)
 
-    return F.regexp_replace(T.strip(T.join_lines(F.transform(lines, finish))), "\\\\\\\\\\s*\\z", "")
+    lines = F.filter(F.transform(T.split_lines(body), T.strip), lambda line: line != "")
+    finished = T.let(lines, lambda ls: F.transform(ls, lambda line, i: finish(line, i == F.size(ls) - 1)))
+    return F.regexp_replace(T.strip(T.join_lines(finished)), "\\\\\\\\\\s*\\z", "")
 
 
 def align_to_aligned(value: Column) -> Column:
@@ -177,17 +177,20 @@ def align_to_aligned(value: Column) -> Column:
 
 
 def _wrap_aligned(value: Column) -> Column:
-    pieces = F.split(value, ALIGNED)
-    blocks = F.regexp_extract_all(value, F.lit(ALIGNED), F.lit(0))
-
-    def wrap(block: Column, k: Column) -> Column:
-        before = F.array_join(F.flatten(F.zip_with(F.slice(pieces, 1, k + 1), F.slice(blocks, 1, k), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-        head, tail = T.rstrip(before), T.lstrip(F.get(pieces, k + 1))
+    def wrap(parts: Column, block: Column, k: Column) -> Column:
+        pieces, blocks = F.slice(parts["pieces"], 1, k + 1), F.slice(parts["blocks"], 1, k)
+        before = F.array_join(F.flatten(F.zip_with(pieces, blocks, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+        head, tail = T.rstrip(before), T.lstrip(F.get(parts["pieces"], k + 1))
         shown = (head.endswith("\\[") & tail.startswith("\\]")) | (head.endswith("$$") & tail.startswith("$$"))
         in_equation = F.regexp_extract(before, LAST_EQUATION_MARK, 1) == "begin"
         return F.when(shown | in_equation, block).otherwise(F.concat(F.lit("\n\\[\n"), T.strip(block), F.lit("\n\\]\n")))
 
-    return F.array_join(F.zip_with(pieces, F.transform(blocks, wrap), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    def assemble(parts: Column) -> Column:
+        wrapped = F.transform(parts["blocks"], lambda block, k: wrap(parts, block, k))
+        return F.array_join(F.zip_with(parts["pieces"], wrapped, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    blocks = F.regexp_extract_all(value, F.lit(ALIGNED), F.lit(0))
+    return T.let(F.struct(F.split(value, ALIGNED).alias("pieces"), blocks.alias("blocks")), assemble)
 
 
 # ---- tables ------------------------------------------------------------------------------------------------------
@@ -220,13 +223,16 @@ def repair_row(line: Column, columns: Column) -> Column:
     """Pad a short row, fold surplus cells into the last, and end it with a row break; other lines stay."""
     bare = T.rstrip(F.regexp_replace(T.rstrip(line), "\\\\\\\\\\s*\\z", ""))
     bare = T.rstrip(F.regexp_replace(bare, f"{CELL_MARK}\\s*\\z", ""))
-    cells = F.transform(F.split(bare, CELL_MARK), T.strip)
+    row = T.let(F.transform(F.split(bare, CELL_MARK), T.strip), lambda cells: _fitted(cells, columns))
+    fixed = F.when((columns > 1) & ~line.rlike(SPANNING), row).otherwise(bare)
+    return F.when(is_data_line(line), F.concat(T.rstrip(fixed), F.lit(" \\\\"))).otherwise(line)
+
+
+def _fitted(cells: Column, columns: Column) -> Column:
     padded = F.concat(cells, F.array_repeat(F.lit(FILLER), F.greatest(columns - F.size(cells), F.lit(0)).cast("int")))
     folded = F.concat(F.slice(cells, F.lit(1), F.greatest(columns - 1, F.lit(0)).cast("int")),
                       F.array(F.array_join(F.slice(cells, F.greatest(columns, F.lit(1)).cast("int"), F.size(cells)), " \\& ")))
-    row = F.array_join(F.when(F.size(cells) > columns, folded).otherwise(padded), " & ")
-    fixed = F.when((columns > 1) & ~line.rlike(SPANNING), row).otherwise(bare)
-    return F.when(is_data_line(line), F.concat(T.rstrip(fixed), F.lit(" \\\\"))).otherwise(line)
+    return F.array_join(F.when(F.size(cells) > columns, folded).otherwise(padded), " & ")
 
 
 def repair_tabular_blocks(value: Column) -> Column:
@@ -335,7 +341,7 @@ PAGE_MARKER = "(?md)^\\s*%\\s*=+\\s*第\\s*(\\d+)\\s*页\\s*=+\\s*$"
 def to_frames(body: Column) -> Column:
     """One beamer frame per page block."""
     blocks = F.filter(F.transform(F.split(body, PAGE_MARKER), T.strip), lambda b: b != "")
-    blocks = F.when(F.size(blocks) == 0, F.array(body)).otherwise(blocks)
+    blocks = T.let(blocks, lambda found: F.when(F.size(found) == 0, F.array(body)).otherwise(found))
     frames = F.transform(blocks, lambda b, i: F.concat(
         F.lit("\\begin{frame}[fragile]\n\\frametitle{第 "), (i + 1).cast("string"), F.lit(" 页}\n"), b, F.lit("\n\\end{frame}\n")))
     return F.when(body.contains("\\begin{frame}") | (body == ""), body).otherwise(T.strip(T.join_lines(frames)))

@@ -61,8 +61,10 @@ PAGE_CONTINUATION = "\\A(?:[+*/=,)\\]}]|\\\\frac|\\\\sum|\\\\int|\\\\prod|\\\\sq
 
 def is_pagination(line: Column, page_num: Column, total_pages: Column) -> Column:
     """Is this line page furniture: a page number in some notation, or a running title?"""
-    s = T.strip(line)
-    current = page_num + 1
+    return T.let(T.strip(line), lambda s: _is_pagination(s, page_num + 1, total_pages))
+
+
+def _is_pagination(s: Column, current: Column, total_pages: Column) -> Column:
     number = F.when(s.rlike("\\A[0-9]{1,4}\\z"), s).try_cast("int")
     left, right = F.regexp_extract(s, FRACTION, 1).try_cast("int"), F.regexp_extract(s, FRACTION, 2).try_cast("int")
     lone = (number == current) | ((total_pages > 0) & (number == total_pages))

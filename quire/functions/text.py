@@ -26,6 +26,14 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once.
+
+    A lambda that mentions an outer expression computes it again for every element; bound to a variable it does not.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(value: Column | str) -> Column:
     return F.btrim(col(value), F.lit(WHITESPACE))
 
@@ -118,6 +126,11 @@ def match_lines(value: Column, pattern: str) -> Column:
     """All matches with the 1-based line each starts on, as an array of (line, match)."""
     breaks = F.transform(F.split(value, pattern), lambda p: count_char(p, "\n"))
     matches = F.regexp_extract_all(value, F.lit(pattern), F.lit(0))
-    inside = F.transform(matches, lambda m: count_char(m, "\n"))
-    return F.transform(matches, lambda m, k: F.struct(
-        (total(F.slice(breaks, 1, k + 1)) + total(F.slice(inside, 1, k)) + 1).cast("int").alias("line"), m.alias("match")))
+
+    def number(found: Column) -> Column:
+        inside = F.transform(found["matches"], lambda m: count_char(m, "\n"))
+        return let(F.struct(found["matches"].alias("matches"), found["breaks"].alias("breaks"), inside.alias("inside")), lambda f: F.transform(
+            f["matches"], lambda m, k: F.struct(
+                (total(F.slice(f["breaks"], 1, k + 1)) + total(F.slice(f["inside"], 1, k)) + 1).cast("int").alias("line"), m.alias("match"))))
+
+    return let(F.struct(matches.alias("matches"), breaks.alias("breaks")), number)

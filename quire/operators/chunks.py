@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators.blocks import BLOCK_WIDTH, number_rows, with_running
 from quire.operators.structure import mark_duplicate_headers
+from quire.session import cut_lineage
 
 PAGE = ["book", "page_num"]
 
@@ -35,7 +36,7 @@ def fixed_chunks(pages: DataFrame, size: int = FIXED_PAGES, width: int = BLOCK_W
 def chapter_chunks(pages: DataFrame, boundaries: DataFrame, size: int = CHAPTER_PAGES, width: int = BLOCK_WIDTH) -> DataFrame:
     """Chunks that never cross a chapter start and hold at most ``size`` pages, numbered from 0 in each book."""
     starts = boundaries.select(*PAGE).distinct().withColumn("__start", F.lit(True))
-    placed = display_positions(pages, width).join(starts, PAGE, "left")
+    placed = cut_lineage(display_positions(pages, width).join(starts, PAGE, "left"))
     opens = F.when(F.col("__start") | (F.col("display_idx") == 0), F.col("display_idx"))
     placed = with_running(placed, ["book"], "display_idx", {"__from": (opens, F.max)}, width)
     first = F.when((F.col("display_idx") - F.col("__from")) % size == 0, 1).otherwise(0).cast("long")

@@ -23,10 +23,12 @@ MAX_BROADCAST_BOOKS = 20_000
 
 
 def is_margin_candidate(line: Column) -> Column:
-    stripped = T.strip(line)
-    short = F.length(stripped).between(1, MAX_FURNITURE_CHARS)
-    sentence = (F.length(stripped) > LONG_SENTENCE_CHARS) & stripped.rlike(SENTENCE_END)
-    return short & ~stripped.startswith("[") & ~sentence
+    def test(s: Column) -> Column:
+        short = F.length(s).between(1, MAX_FURNITURE_CHARS)
+        sentence = (F.length(s) > LONG_SENTENCE_CHARS) & s.rlike(SENTENCE_END)
+        return short & ~s.startswith("[") & ~sentence
+
+    return T.let(T.strip(line), test)
 
 
 def margin_key(line: Column) -> Column:

@@ -77,12 +77,14 @@ def compress_page_ranges(pages: Column) -> Column:
         F.transform(F.split(pages, ","), lambda p: F.regexp_extract(p, "^\\s*\\+?([0-9]+)", 1).try_cast("bigint")),
         lambda n: n.isNotNull(),
     )
-    ordered = F.array_sort(numbers)
-    starts = F.filter(ordered, lambda n, i: (i == 0) | (F.get(ordered, i - 1) + 1 != n))
-    ends = F.filter(ordered, lambda n, i: (i == F.size(ordered) - 1) | (F.get(ordered, i + 1) != n + 1))
-    runs = F.zip_with(starts, ends, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat_ws("-", a, b)))
+
+    def runs(ordered: Column) -> Column:
+        starts = F.filter(ordered, lambda n, i: (i == 0) | (F.get(ordered, i - 1) + 1 != n))
+        ends = F.filter(ordered, lambda n, i: (i == F.size(ordered) - 1) | (F.get(ordered, i + 1) != n + 1))
+        return F.zip_with(starts, ends, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat_ws("-", a, b)))
+
     return (
         F.when(pages.isNull() | pages.isin("", "all", "*"), ALL_PAGES)
         .when(pages.contains("-") | (F.size(numbers) == 0), pages)
-        .otherwise(F.array_join(runs, ","))
+        .otherwise(F.array_join(T.let(F.array_sort(numbers), runs), ","))
     )

@@ -9,6 +9,7 @@ from quire.functions import latex as L
 from quire.functions import lines as P
 from quire.functions import text as T
 from quire.operators.blocks import BLOCK_WIDTH, with_running
+from quire.session import cut_lineage
 
 PAGE = ["book", "page_num"]
 
@@ -46,19 +47,22 @@ def running_headers(pages: DataFrame) -> DataFrame:
 
 def mark_duplicate_headers(value: Column) -> Column:
     """Tag the first repeat of a short line that directly follows its twin; drop the later repeats."""
-    lines = T.split_newlines(value)
-    trimmed = F.transform(lines, T.strip)
-    repeats = F.transform(trimmed, lambda t, i: F.when(
-        (i > 0) & (t != "") & (F.length(t) < DUPLICATE_CHARS) & (t == F.get(trimmed, i - 1)), t))
-    pairs = F.arrays_zip(lines.alias("line"), repeats.alias("repeat"))
 
-    def render(p: Column, i: Column) -> Column:
-        first = F.array_position(repeats, p["repeat"]) == i + 1
-        tagged = F.concat(F.lit(DUPLICATE_OPEN), p["repeat"], F.lit(DUPLICATE_CLOSE))
-        return F.when(p["repeat"].isNull(), p["line"]).when(first, tagged)
+    def repeated(trimmed: Column) -> Column:
+        return F.transform(trimmed, lambda t, i: F.when(
+            (i > 0) & (t != "") & (F.length(t) < DUPLICATE_CHARS) & (t == F.get(trimmed, i - 1)), t))
 
-    rendered = F.filter(F.transform(pairs, render), lambda x: x.isNotNull())
-    return F.when(F.exists(repeats, lambda r: r.isNotNull()), T.join_lines(rendered)).otherwise(value)
+    def render(text: Column, repeats: Column) -> Column:
+        def line(raw: Column, i: Column) -> Column:
+            repeat = F.get(repeats, i)
+            tagged = F.concat(F.lit(DUPLICATE_OPEN), repeat, F.lit(DUPLICATE_CLOSE))
+            return F.when(repeat.isNull(), raw).when(F.array_position(repeats, repeat) == i + 1, tagged)
+
+        rendered = F.filter(F.transform(T.split_newlines(text), line), lambda x: x.isNotNull())
+        return F.when(F.exists(repeats, lambda r: r.isNotNull()), T.join_lines(rendered)).otherwise(text)
+
+    trimmed = F.transform(T.split_newlines(value), T.strip)
+    return T.let(T.let(trimmed, repeated), lambda repeats: render(value, repeats))
 
 
 # ---- glyphs ------------------------------------------------------------------------------------------------------
@@ -191,7 +195,7 @@ def chapter_boundaries(lines: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
     state alternates along a run of repeats that grow no larger, and starts over at every other page: parity of
     the distance to the last such page decides, which is a running maximum over bounded blocks.
     """
-    pages = chapter_candidates(lines).select(
+    pages = cut_lineage(chapter_candidates(lines)).select(
         *PAGE, "items", F.size("items").alias("m"), F.get("items", 0)["title"].alias("first"), F.get("items", 0)["font_size"].alias("first_size"),
         F.element_at("items", -1)["title"].alias("last"), F.element_at("items", -1)["font_size"].alias("last_size"))
     before = pages.select("book", (F.col("page_num") + 1).alias("page_num"), F.col("last").alias("p_last"), F.col("last_size").alias("p_size"))
@@ -221,13 +225,14 @@ def stitch_cross_page_formulas(pages: DataFrame, width: int = BLOCK_WIDTH) -> Da
 
     Whether a page with a single content line still has a tail depends on the break before it; along such pages
     the answer alternates, so it follows from the last page whose break does not depend on its predecessor.
-    Only the edge lines of pages move between tasks; page texts join once, on their unique key.
+    Only the edge lines of pages move between tasks; they are written once, since the steps after read them often.
+    Page texts join once, on their unique key.
     """
     lines = T.split_lines("text")
     content = F.filter(T.positions(F.col("__l")), lambda i: _is_content(F.get(F.col("__l"), i)))
-    edges = pages.select(*PAGE, lines.alias("__l")).withColumn("__c", content).select(
+    edges = cut_lineage(pages.select(*PAGE, lines.alias("__l")).withColumn("__c", content).select(
         *PAGE, F.size("__c").alias("n"), T.strip(F.get("__l", F.get("__c", 0))).alias("head"),
-        T.strip(F.get("__l", F.element_at(F.when(F.size("__c") > 0, F.col("__c")), -1))).alias("tail"))
+        T.strip(F.get("__l", F.element_at(F.when(F.size("__c") > 0, F.col("__c")), -1))).alias("tail")))
     heads = edges.select("book", (F.col("page_num") - 1).alias("page_num"), F.col("head").alias("next_head"))
     unfinished = F.col("tail").rlike(P.UNFINISHED_PAGE_END) | P.opens_more(F.col("tail"))
     joins = F.coalesce(unfinished & F.col("next_head").rlike(P.PAGE_CONTINUATION), F.lit(False))
@@ -319,7 +324,18 @@ def break_points(formula: Column) -> Column:
 
 def render_formula(formula: Column) -> Column:
     """A formula as display math; a long one breaks after top-level signs into aligned rows."""
-    points = break_points(formula)
+    long = T.let(break_points(formula), lambda points: T.let(_rows_between(formula, points), lambda rows: F.when(
+        F.size(rows) > 1, _aligned(rows)).otherwise(render_formula_line(formula))))
+    return F.when(formula == "", "").when(F.length(formula) <= FORMULA_WIDTH, render_formula_line(formula)).otherwise(long)
+
+
+def _aligned(rows: Column) -> Column:
+    marked = F.transform(rows, lambda r, i: F.concat(F.when(i == 0, F.lit("& ")).otherwise("&\\quad "), r, F.when(i < F.size(rows) - 1, " \\\\").otherwise("")))
+    return F.concat(F.lit("\\[\n\\begin{aligned}\n"), T.join_lines(marked), F.lit("\n\\end{aligned}\n\\]"))
+
+
+def _rows_between(formula: Column, points: Column) -> Column:
+    """Cut at the last break 30 to 110 characters on, as long as more than a full row is left."""
     start = F.struct(F.lit(0).alias("from"), F.array().cast("array<string>").alias("rows"), F.lit(False).alias("done"))
 
     def step(s: Column, _: Column) -> Column:
@@ -332,11 +348,7 @@ def render_formula(formula: Column) -> Column:
     def finish(s: Column) -> Column:
         return F.array_append(s["rows"], T.strip(F.substring(formula, s["from"] + 1, F.length(formula))))
 
-    rows = F.aggregate(F.concat(F.array(F.lit(0)), points), start, step, finish)
-    marked = F.transform(rows, lambda r, i: F.concat(F.when(i == 0, F.lit("& ")).otherwise("&\\quad "), r, F.when(i < F.size(rows) - 1, " \\\\").otherwise("")))
-    aligned = F.concat(F.lit("\\[\n\\begin{aligned}\n"), T.join_lines(marked), F.lit("\n\\end{aligned}\n\\]"))
-    broken = F.when(F.size(rows) > 1, aligned).otherwise(render_formula_line(formula))
-    return F.when(formula == "", "").when(F.length(formula) <= FORMULA_WIDTH, render_formula_line(formula)).otherwise(broken)
+    return F.aggregate(F.concat(F.array(F.lit(0)), points), start, step, finish)
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
@@ -431,11 +443,13 @@ def tabular_from_context(text: Column) -> Column:
     pattern = f"(?im)^{T.SPACE}*ROW{T.SPACE}+\\d+{T.SPACE}*:{T.SPACE}*(.+)$"
     rows = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda r: F.transform(
         F.split(r, "\\|"), lambda c: L.escape_tex(F.regexp_replace(T.strip(c), "\\A\\z", L.FILLER))))
-    width = F.array_max(F.transform(rows, F.size))
+    return F.when(F.coalesce(F.size(rows), F.lit(0)) <= 0, "").otherwise(T.let(rows, lambda r: T.let(F.array_max(F.transform(r, F.size)), lambda w: _tabular(r, w))))
+
+
+def _tabular(rows: Column, width: Column) -> Column:
     lines = F.transform(rows, lambda r: F.concat(F.array_join(F.concat(r, F.array_repeat(F.lit(L.FILLER), width - F.size(r))), " & "), F.lit(" \\\\\n\\hline")))
     spec = F.concat(F.lit("\\begin{tabular}{|"), F.repeat(F.lit("l|"), width), F.lit("}\n\\hline"))
-    table = T.join_lines(F.concat(F.array(spec), lines, F.array(F.lit("\\end{tabular}"))))
-    return F.when(F.coalesce(F.size(rows), F.lit(0)) <= 0, "").otherwise(table)
+    return T.join_lines(F.concat(F.array(spec), lines, F.array(F.lit("\\end{tabular}"))))
 
 
 def table_rows_from_context(tables: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ def _wrap_aligned(value: Column) -> Column:
 # Table environments, lines that are no data, the filler of short rows.
 TABULAR_BLOCK = "(?is)(\\\\begin\\{tabular\\*?\\}(?:\\[[^\\]]*\\])?\\{([^{}]*)\\})(.*?)(\\\\end\\{tabular\\*?\\})"
 EMPTY_TABULAR = (
-    "(?is)(\\\\begin\\{tabular\\*{0,2}(?:\\[[^\\]]*\\])?\\{[^}]*\\})((?:\\s*(?:&\\s*)+[^\\n]*\\n)*)(\\\\end\\{tabular\\*{0,2}\\})"
+    "(?is)(\\\\begin\\{tabular\\*?\\}(?:\\[[^\\]]*\\])?\\{[^}]*\\})((?:\\s*&[^\\n]*\\n)*)\\s*(\\\\end\\{tabular\\*?\\})"
 )
 RULE_LINE = "\\A\\\\(?:hline|toprule|midrule|bottomrule|cmidrule|cline)"
 SPANNING = "\\\\multicolumn|\\\\multirow"

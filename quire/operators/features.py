@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +62,16 @@ def layout_hint(text: Column, has_tables: Column, largest: Column) -> Column:
     return F.when(has_tables, "table").when(text.rlike(CODE_TEXT) | text.rlike(CODE_MARKS) | wide, "code").otherwise("text")
 
 
-def ocr_routing(pages: DataFrame, regions: DataFrame, tables: DataFrame) -> DataFrame:
-    """Which pages need a machine reading and why, with their layout.  ``tables`` holds (book, page_num) of pages with tables."""
+def ocr_routing(
+    pages: DataFrame, regions: DataFrame, tables: DataFrame, quality_fn: Callable[[Column], Column] = Q.text_quality
+) -> DataFrame:
+    """Which pages need a machine reading and why, with their layout.
+
+    ``tables`` holds (book, page_num) of pages with tables; ``quality_fn`` is any Column function or pandas UDF.
+    """
     marked = tables.select("book", "page_num").distinct().withColumn("has_tables", F.lit(True))
     joined = (
-        pages.withColumn("quality", Q.text_quality("text")).join(region_summary(regions), ["book", "page_num"], "left")
+        pages.withColumn("quality", quality_fn(F.col("text"))).join(region_summary(regions), ["book", "page_num"], "left")
         .join(marked, ["book", "page_num"], "left").withColumn("has_tables", F.coalesce("has_tables", F.lit(False)))
     )
     images, tabled, quality = F.col("largest").isNotNull(), F.col("has_tables"), F.col("quality")

@@ -18,8 +18,8 @@ SENTENCE_END = "[。！？!?]\\s*\\z"
 MIN_RATIO = 0.25
 ROUND_UP = 0.999
 
-# A per-book key list is joined by broadcast up to this many books; beyond it the join shuffles.
-MAX_BROADCAST_BOOKS = 20_000
+# Up to this many repeated keys (of at most MAX_FURNITURE_CHARS each) are broadcast; beyond it the join shuffles.
+MAX_BROADCAST_KEYS = 100_000
 
 
 def is_margin_candidate(line: Column) -> Column:
@@ -76,10 +76,11 @@ def strip_repeated_margins(pages: DataFrame, min_ratio: float = MIN_RATIO) -> Da
 
     Each page casts at most 6 votes, so a book has at most ``6 / min_ratio`` repeated keys whatever its length:
     the per-book list is small and goes to the pages in one join.  Counts are materialised first; the number of
-    books with a list then decides between broadcasting it and a shuffled join.  Pages are cleaned inside the row, with no exchange.
+    repeated keys then decides between broadcasting the lists and a shuffled join.  Pages are cleaned inside the row, with no exchange.
     """
-    keys = repeated_margin_lines(pages, min_ratio).groupBy("book").agg(F.collect_list("margin_key").alias("__keys"))
-    small = keys.limit(MAX_BROADCAST_BOOKS + 1).count() <= MAX_BROADCAST_BOOKS
+    repeated = repeated_margin_lines(pages, min_ratio)
+    small = repeated.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
+    keys = repeated.groupBy("book").agg(F.collect_list("margin_key").alias("__keys"))
     joined = pages.join(F.broadcast(keys) if small else keys, "book", "left")
     staged = joined.withColumn("__lines", T.split_lines("text"))
     filled = F.filter(T.positions(F.col("__lines")), lambda i: ~T.is_blank(F.get(F.col("__lines"), i)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,13 +79,15 @@ def attach_table_context(pages: DataFrame, tables: DataFrame, on: list[str]) ->
     return pages.join(tables, on, "left").withColumn("text", joined).drop("table_text")
 
 
-def merge_extractions(primary: DataFrame, secondary: DataFrame) -> DataFrame:
+def merge_extractions(
+    primary: DataFrame, secondary: DataFrame, quality_fn: Callable[[Column], Column] = Q.text_quality
+) -> DataFrame:
     """Choose or merge two readings of a page: the better one wins, otherwise the second is appended."""
     a = primary.select("book", "page_num", F.col("text").alias("first"))
     b = secondary.select("book", "page_num", F.col("text").alias("second"))
     first, second = T.strip(F.coalesce("first", F.lit(""))), T.strip(F.coalesce("second", F.lit("")))
     staged = a.join(b, ["book", "page_num"], "full").withColumns({"first": first, "second": second})
-    staged = staged.withColumns({"q1": Q.text_quality("first"), "q2": Q.text_quality("second")})
+    staged = staged.withColumns({"q1": quality_fn(F.col("first")), "q2": quality_fn(F.col("second"))})
     one, two = F.col("first"), F.col("second")
     rule = (
         F.when(two == "", "primary").when(one == "", "secondary").when(F.col("q2") >= F.col("q1"), "secondary")

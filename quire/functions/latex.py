@@ -79,7 +79,8 @@ def escape_tex_keep_math(value: Column) -> Column:
     """Escape prose, leaving complete single-line ``\\( ... \\)`` formulas as they are."""
     tokens = F.regexp_extract_all(value, F.lit(f"(?s){INLINE_MATH}|.+?(?={INLINE_MATH}|\\z)"), F.lit(0))
     whole = f"\\A{INLINE_MATH}\\z"
-    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(whole), t).otherwise(escape_tex(t))), "")
+    mixed = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(whole), t).otherwise(escape_tex(t))), "")
+    return F.when(value.contains("\\("), mixed).otherwise(escape_tex(value))
 
 
 def strip_wrapper(value: Column) -> Column:

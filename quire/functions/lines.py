@@ -30,8 +30,8 @@ HEADINGS = [
     "\\A(?:摘要|引言|前言|背景|相关工作|方法|实验|结果|讨论|结论|总结|参考文献|致谢|附录)" + WE,
 ]
 TEXT_HEADINGS = [
-    f"(?i:\\A(?:chapter|section){S}+[0-9]+(?:{S}|[:.\\-])+[^\\t-\\r\\x1C-\\x20\\x85\\p{{Z}}]+)",
-    f"\\A[0-9]+(?:\\.[0-9]+){{0,3}}\\.?{S}+[^\\t-\\r\\x1C-\\x20\\x85\\p{{Z}}]+",
+    f"(?i:\\A(?:chapter|section){S}+[0-9]+(?:{S}|[:.\\-])+{T.NOT_SPACE}+)",
+    f"\\A[0-9]+(?:\\.[0-9]+){{0,3}}\\.?{S}+{T.NOT_SPACE}+",
     f"(?i:\\A(?:摘要|引言|结论|参考文献|bibliography|references){WE})",
 ]
 TEXT_HEADING_CHARS = 90
@@ -41,7 +41,8 @@ FORMULAS = [
     f"\\\\frac{WE}", f"\\\\(?:sum|int|prod){WE}", f"\\\\(?:partial|nabla){WE}",
     "\\\\(?:alpha|beta|gamma|theta|lambda|mu|sigma|omega)", "\\^[_a-zA-Z0-9{(]", "[_a-zA-Z0-9}]\\^",
 ]
-TABLE_LINE = f"[^\\t-\\r\\x1C-\\x20\\x85\\p{{Z}}]{S}{{2,}}[^\\t-\\r\\x1C-\\x20\\x85\\p{{Z}}]{S}{{2,}}[^\\t-\\r\\x1C-\\x20\\x85\\p{{Z}}]"
+# Looking for two spaces first lets most positions fail at once.
+TABLE_LINE = f"(?={S}{{2}})(?<={T.NOT_SPACE}){S}{{2,}}{T.NOT_SPACE}{S}{{2,}}{T.NOT_SPACE}"
 # What makes a line mathematical.
 WHOLE_INLINE = "\\A\\\\\\([^\\r\\n]+?\\\\\\)\\z"
 TEX_SIGNAL = "\\\\[a-zA-Z]+|\\\\\\[|\\\\begin\\{|\\$[^$]+\\$"
@@ -78,8 +79,8 @@ def is_heading(line: Column) -> Column:
 
 
 def is_text_heading(line: Column) -> Column:
-    s = T.strip(line)
-    return (F.length(s) <= TEXT_HEADING_CHARS) & ~s.rlike("[.,;:]\\z") & T.matches_any(s, TEXT_HEADINGS)
+    return T.let(T.strip(line), lambda s: (
+        (F.length(s) <= TEXT_HEADING_CHARS) & ~s.rlike("[.,;:]\\z") & T.matches_any(s, TEXT_HEADINGS)))
 
 
 def has_formula(line: Column) -> Column:
@@ -88,17 +89,20 @@ def has_formula(line: Column) -> Column:
 
 def is_math(line: Column) -> Column:
     """Mathematics or prose?  Commands decide first; a sentence around a short formula stays prose."""
-    s = T.strip(line)
-    compact = F.regexp_replace(s, f"{S}+", " ")
+    return T.let(T.strip(line), _is_math)
+
+
+def _is_math(s: Column) -> Column:
     signs = T.count_matches(s, "[A-Za-z0-9]")
     symbolic = s.rlike(GREEK_OR_SIGN) & s.rlike("[A-Za-z0-9_^=+\\-*/]") & ((signs >= 2) | s.contains("="))
-    equation = (
-        compact.rlike(EQUATION) & (T.count_matches(compact, "[A-Za-z]{2,}") <= MAX_WORD_TERMS)
-        & ~compact.rlike(LONG_TERM) & ~compact.rlike("[;:!?]")
-    )
+
+    def equation(compact: Column) -> Column:
+        few_words = T.count_matches(compact, "[A-Za-z]{2,}") <= MAX_WORD_TERMS
+        return compact.rlike(LONE_VARIABLE) | (compact.rlike(EQUATION) & few_words & ~compact.rlike(LONG_TERM) & ~compact.rlike("[;:!?]"))
+
     return (
         F.when(s == "", False).when(s.rlike(WHOLE_INLINE) | s.rlike(TEX_SIGNAL), True).when(s.rlike(INLINE), False)
-        .when(s.rlike(LONE_SYMBOLS), False).when(symbolic | compact.rlike(LONE_VARIABLE), True).otherwise(equation)
+        .when(s.rlike(LONE_SYMBOLS), False).when(symbolic, True).otherwise(T.let(F.regexp_replace(s, f"{S}+", " "), equation))
     )
 
 

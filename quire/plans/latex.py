@@ -22,8 +22,13 @@ def _at(pattern: str, keep: str = "true") -> str:
 
 
 register("sanitize_tex", lambda v: tex.sanitize_tex(v("gappy_pages")))
-register("align_to_aligned", lambda v: tex.align_to_aligned(v("tex_pages").select(
-    "book", "page_num", F.expr("replace(replace(tex, '{equation}', '{align*}'), 'z = 1', concat('z = 1', chr(10), 'w = 2'))").alias("tex"))))
+# The only complete environment of the pages, with two rows and without marks, and what becomes of it.
+_ALIGN = "replace(replace(tex, '{equation}', '{align*}'), 'x_{1} = y + 1', concat('x_{1} = y + 1', chr(10), 'w = 2'))"
+register(
+    "align_to_aligned", lambda v: tex.align_to_aligned(v("tex_pages").select("book", "page_num", F.expr(_ALIGN).alias("tex"))),
+    _TEX + f""" SELECT book, page_num, replace({_ALIGN}, concat(chr(92), 'begin{{align*}}', chr(10), 'x_{{1}} = y + 1', chr(10), 'w = 2', chr(10), chr(92), 'end{{align*}}'),
+    concat(chr(92), '[', chr(10), chr(92), 'begin{{aligned}}', chr(10), 'x_{{1}} &= y + 1 ', chr(92), chr(92), chr(10), 'w &= 2', chr(10), chr(92), 'end{{aligned}}', chr(10), chr(92), ']')) AS tex FROM tex_pages""",
+)
 _RENDER = f"""CASE WHEN regexp_replace(body, '{S.SPACE}+', '', 'g') = '' THEN '' ELSE concat(chr(92), '[', chr(10), body, chr(10), chr(92), ']') END"""
 register(
     "repair_display_math", lambda v: tex.repair_display_math(v("tex_pages")).select("book", "page_num", "tex"),
@@ -64,7 +69,15 @@ _ENVS = ", a AS (" + _at("%[^\\n]*|\\\\(?:begin|end)\\{[^}]*\\}?", "NOT starts_w
     UNION ALL SELECT book, page_num, 'mismatch', 'error', line, name FROM y WHERE NOT opens AND open_name <> name
     UNION ALL SELECT book, page_num, 'unclosed', 'error', line, name FROM y WHERE opens AND next_opens IS NULL)"""
 register("environment_pairing", lambda v: tex.environment_pairing(v("tex_pages")), _TOKENS + _ENVS + " SELECT * FROM env")
-register("math_delimiter_balance", lambda v: tex.math_delimiter_balance(v("tex_pages")))
+# One step per token: a closer takes the top of the stack away only when it fits.
+_DELIMITERS = with_views("tex_pages").replace("WITH ", "WITH RECURSIVE ", 1) + """, tk AS (SELECT book, page_num, list_filter(regexp_extract_all(tex, '%[^\\n]*|\\\\\\p{L}[^ \\n{}]*|\\\\[()\\[\\]]'),
+    lambda t: length(t) = 2 AND t[2] IN ('(', ')', '[', ']')) AS t FROM tex_pages),
+  st AS (SELECT book, page_num, t, 0 AS i, '' AS open, 0 AS mismatched, 0 AS extra FROM tk UNION ALL
+    SELECT book, page_num, t, i + 1, CASE WHEN c IN ('(', '[') THEN open || c WHEN fits THEN left(open, length(open) - 1) ELSE open END,
+      mismatched + CASE WHEN c IN (')', ']') AND NOT fits AND open <> '' THEN 1 ELSE 0 END, extra + CASE WHEN c IN (')', ']') AND open = '' THEN 1 ELSE 0 END
+    FROM (SELECT *, t[i + 1][2] AS c, open <> '' AND right(open, 1) = (CASE t[i + 1][2] WHEN ')' THEN '(' WHEN ']' THEN '[' END) AS fits FROM st WHERE i < len(t)))
+  SELECT book, page_num, mismatched, extra, length(open) AS left_open FROM st WHERE i = len(t)"""
+register("math_delimiter_balance", lambda v: tex.math_delimiter_balance(v("tex_pages")), _DELIMITERS)
 _GAPPY = with_views("gappy_pages") + ", tex_in AS (SELECT book, page_num, tex FROM gappy_pages)"
 register("common_format_findings", lambda v: tex.common_format_findings(v("gappy_pages")),
          _GAPPY + ", a AS (" + _at("\\n{4,}") + ") SELECT book, page_num, 'info' AS severity, line, length(m) AS feeds FROM a")

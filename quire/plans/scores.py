@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from quire.functions import quality as Q
 from quire.operators import features, linefilters, scoring
 from quire.plans import sql as S
 from quire.plans.registry import register
-from quire.plans.textops import quality_sql
+from quire.plans.textops import quality_sql, vision_sql
 from quire.plans.views import with_views
 
 P, W, NW = S.SPACE, S.WORD, S.NOT_WORD
@@ -125,6 +126,16 @@ register("should_ocr", lambda v: features.ocr_routing(v("second_reading"), v("re
 register("layout_hint", lambda v: features.ocr_routing(v("second_reading"), v("regions"), v("page_tables")).select("book", "page_num", "layout"),
          with_views("second_reading", "regions", "page_tables") + _ROUTING + " SELECT book, page_num, layout FROM r")
 
+# The same routing with another quality function put in.
+register(
+    "quality_fn", lambda v: features.ocr_routing(v("second_reading"), v("regions"), v("page_tables"), Q.vision_quality).drop("layout"),
+    with_views("second_reading", "regions", "page_tables") + vision_sql("second_reading") + f""", img AS (SELECT DISTINCT book, page_num, true AS images FROM regions),
+  j AS (SELECT book, page_num, text, quality AS q, coalesce(images, false) AS images, t.book IS NOT NULL AS tabled FROM vision LEFT JOIN img USING (book, page_num) LEFT JOIN page_tables t USING (book, page_num)),
+  r AS (SELECT *, CASE WHEN {S.strip('text')} = '' THEN 'empty' WHEN tabled AND NOT contains(text, chr(10)) AND q < 0.5 THEN 'flat_table'
+      WHEN q < 0.28 AND (images OR tabled) THEN 'poor_with_regions' WHEN q < 0.18 THEN 'poor' ELSE '' END AS reason FROM j)
+  SELECT book, page_num, reason <> '' AS should_ocr, reason FROM r""",
+)
+
 # ---- LaTeX scores ------------------------------------------------------------------------------------------------
 
 _ENVS = ("equation|equation\\*|eqnarray|eqnarray\\*|align|align\\*|gather|gather\\*|multline|multline\\*|flalign|flalign\\*|math|displaymath")

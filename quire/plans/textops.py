@@ -133,10 +133,10 @@ register(
     ELSE concat(one, chr(10), chr(10), '[OCR补充]', chr(10), two) END AS text FROM c""",
 )
 _COMPACT = f"regexp_replace(text, '{S.SPACE}+', '', 'g')"
-register(
-    "vision_quality",
-    lambda v: v("marked_pages").select("book", "page_num", F.round(Q.vision_quality("text"), 6).alias("quality")),
-    with_views("marked_pages") + f""", c AS (SELECT book, page_num, text, {_COMPACT} AS compact FROM marked_pages),
+
+
+def vision_sql(source: str) -> str:
+    return f""", c AS (SELECT book, page_num, text, {_COMPACT} AS compact FROM {source}),
   m AS (SELECT *, greatest(length(compact), 1) AS size, string_split(compact, '') AS ch,
     length(regexp_replace(compact, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS readable FROM c),
   f AS (SELECT *, len(list_filter(range(1, greatest(len(ch) - 4, 1)), lambda i: ch[i] = ch[i+1] AND ch[i] = ch[i+2] AND ch[i] = ch[i+3]
@@ -146,8 +146,13 @@ register(
       - CASE WHEN regexp_matches(text, '(?i)\\x{{fffd}}|\\(cid:\\s*\\d+\\)|cid:\\s*\\d+') THEN 0.30 ELSE 0 END
       - CASE WHEN repeats THEN 0.20 ELSE 0 END
       - CASE WHEN symbols > 0.45 AND NOT regexp_matches(text, '\\\\[a-zA-Z]+|\\$') THEN 0.20 ELSE 0 END
-      + CASE WHEN regexp_matches(text, '\\\\[a-zA-Z]+|\\$[^$]+\\$') THEN 0.04 ELSE 0 END AS score FROM f)
-  SELECT book, page_num, CASE WHEN {S.strip('text')} = '' THEN 0.0 ELSE greatest(0.0, least(round_even(CAST(score AS DOUBLE), 3), 0.92)) END AS quality FROM s""",
+      + CASE WHEN regexp_matches(text, '\\\\[a-zA-Z]+|\\$[^$]+\\$') THEN 0.04 ELSE 0 END AS score FROM f),
+  vision AS (SELECT book, page_num, text, CASE WHEN {S.strip('text')} = '' THEN 0.0 ELSE greatest(0.0, least(round_even(CAST(score AS DOUBLE), 3), 0.92)) END AS quality FROM s)"""
+
+
+register(
+    "vision_quality", lambda v: v("marked_pages").select("book", "page_num", F.round(Q.vision_quality("text"), 6).alias("quality")),
+    with_views("marked_pages") + vision_sql("marked_pages") + " SELECT book, page_num, quality FROM vision",
 )
 _SIGNS = " + ".join(S.count("text", p) for p in ["[+\\-*/=<>∫∑∏√∂∇]", "\\\\[a-zA-Z]+", "\\^|\\{|\\}|_", "[α-ωΑ-Ω]", "\\d+[a-zA-Z]+\\d*"])
 register(

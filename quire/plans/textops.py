@@ -65,10 +65,54 @@ register(
       THEN trim(array_to_string(list_transform(l, lambda x: {S.rstrip('x')}), chr(10)), chr(10))
       ELSE {S.strip("array_to_string(list_transform(l, lambda x: " + S.strip('x') + "), chr(10))")} END AS text FROM u""",
 )
-register("math_rewrite", lambda v: pagetext.math_rewrite_counts(
-    v("math_pages").unionByName(v("tex_pages").selectExpr("book", "page_num", "tex AS text")), "transpose"))
-register("math_rewrite_extract", lambda v: pagetext.math_rewrite_counts(v("math_pages"), "extract"))
-register("math_rewrite_notation", lambda v: pagetext.math_rewrite_counts(v("math_pages"), "notation"))
+
+
+def _rewrites(source: str, rules: list[tuple[str, str, str]]) -> str:
+    """Apply rules one after the other and count the matches of each per book.  What a lookahead would test, the
+    pattern takes along and the replacement puts back."""
+    steps = [f", r0 AS ({source})"]
+    for k, (name, pattern, replacement) in enumerate(rules):
+        kept = ", ".join(["book", *[f"n_{n}" for n, _, _ in rules[:k]]])
+        steps.append(f"r{k + 1} AS (SELECT {kept}, {S.count('text', pattern)} AS n_{name}, regexp_replace(text, '{pattern}', '{replacement}', 'g') AS text FROM r{k})")
+    sums = ", ".join(f"CAST(sum(n_{n}) AS BIGINT) AS n_{n}" for n, _, _ in rules)
+    return ",\n".join(steps) + f" SELECT book, {sums} FROM r{len(rules)} GROUP BY book"
+
+
+_N = "([A-Za-z](?:_[a-zA-Z0-9]+)?)"
+_T = "^{\\\\mathsf{T}}"
+_END = f"({S.NOT_WORD}|$)"
+_POWER = ("power", f"({S.WORD})\\^(\\d+)(\\d[}}a-zA-Z]|[^}}a-zA-Z0-9]|$)", "\\1^{\\2}\\3")
+_EXTRACT = [
+    ("dot_transpose", f"{_N}\\.(T)", f"\\1{_T}"), ("space_transpose", f"{_N}{S.SPACE}+T([^a-zA-Z{{]|$)", f"\\1{_T}\\2"),
+    ("lower_transpose", f"([A-Z])\\.t{_END}", f"\\1{_T}\\2"), _POWER, ("top", f"({S.WORD}){S.SPACE}*\\\\top{_END}", "\\1^{\\\\top}\\2"),
+    ("tag", "\\\\tag\\{([^}]*)\\}", "\\\\qquad (\\1)"),
+]
+_TRANSPOSE = [
+    ("dot_transpose", f"{_N}\\.(T)", f"\\1{_T}"), ("space_transpose", f"{_N}{S.SPACE}+T([^a-zA-Z.]|$)", f"\\1{_T}\\2"),
+    ("lower_transpose", f"([A-Z])\\.t{_END}", f"\\1{_T}\\2"), ("top", f"({S.WORD}){S.SPACE}*\\\\top{_END}", "\\1^{\\\\top}\\2"),
+    ("tab_top", f"({S.WORD})\\top{_END}", "\\1^{\\\\top}\\2"), ("mathsf", f"({S.WORD}){S.SPACE}*\\\\mathsf\\{{T\\}}", f"\\1{_T}"),
+    ("letter_power", f"({S.WORD})\\^([A-Za-z])([^{{a-zA-Z]|$)", "\\1^{\\2}\\3"), ("hermitian", f"({S.WORD})\\.H{_END}", "\\1^{\\\\dagger}\\2"),
+]
+register(
+    "math_rewrite",
+    lambda v: pagetext.math_rewrite_counts(v("math_pages").unionByName(v("tex_pages").selectExpr("book", "page_num", "tex AS text")), "transpose"),
+    with_views("math_pages", "tex_pages") + _rewrites("SELECT book, text FROM math_pages UNION ALL SELECT book, tex FROM tex_pages", _TRANSPOSE),
+)
+register("math_rewrite_extract", lambda v: pagetext.math_rewrite_counts(v("math_pages"), "extract"),
+         with_views("math_pages") + _rewrites("SELECT book, text FROM math_pages", _EXTRACT))
+# Words and single other characters: a word counts unless a backslash or hyphen is next to it.
+_WORD_COUNTS = ", ".join(
+    [f"count(*) FILTER (w = '{k}' AND p = chr(92)) AS n_cmd_{k}" for k in L.COMMANDS]
+    + [f"count(*) FILTER (w = '{k}' AND coalesce(p, '') NOT IN (chr(92), '-') AND coalesce(n, '') <> '-') AS n_word_{k}" for k in L.BARE_WORDS])
+register(
+    "math_rewrite_notation", lambda v: pagetext.math_rewrite_counts(v("math_pages"), "notation"),
+    with_views("math_pages") + f""", t AS (SELECT book, page_num, regexp_extract_all(text, '{S.WORD}+|{S.NOT_WORD}') AS t FROM math_pages),
+  u AS (SELECT book, lower(w) AS w, lag(w) OVER o AS p, lead(w) OVER o AS n FROM (SELECT book, page_num, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM t)
+    WINDOW o AS (PARTITION BY book, page_num ORDER BY i)),
+  c AS (SELECT book, {_WORD_COUNTS} FROM u GROUP BY book),
+  s AS (SELECT book, CAST(sum({S.count('text', _POWER[1])}) AS BIGINT) AS n_power FROM math_pages GROUP BY book)
+  SELECT * FROM c JOIN s USING (book)""",
+)
 
 _ESCAPES = "CASE c " + " ".join(f"WHEN '{c}' THEN '\\{c}'" for c in "&%$#_{}") + (
     " WHEN '~' THEN '\\textasciitilde{}' WHEN '^' THEN '\\textasciicircum{}' WHEN '\\' THEN '\\textbackslash{}' ELSE c END")

@@ -8,6 +8,7 @@ from quire.functions import latex as L
 from quire.operators import tex
 from quire.plans import sql as S
 from quire.plans.registry import register
+from quire.plans.textops import _TRANSPOSE
 from quire.plans.views import with_views
 
 _TEX = with_views("tex_pages")
@@ -21,7 +22,6 @@ def _at(pattern: str, keep: str = "true") -> str:
             f"regexp_extract_all(tex, '{pattern}') AS ms FROM tex_in)) WHERE {keep}")
 
 
-register("sanitize_tex", lambda v: tex.sanitize_tex(v("gappy_pages")))
 # The only complete environment of the pages, with two rows and without marks, and what becomes of it.
 _ALIGN = "replace(replace(tex, '{equation}', '{align*}'), 'x_{1} = y + 1', concat('x_{1} = y + 1', chr(10), 'w = 2'))"
 register(
@@ -44,6 +44,23 @@ register(
     concat(chr(10), '1 & 2 & 3 & 4 ', chr(92)), concat(chr(10), '1 & 2 & 3 ', chr(92), '& 4 ', chr(92))) AS tex FROM tex_pages""",
 )
 _TOKENS = _TEX + ", tex_in AS (SELECT book, page_num, tex FROM tex_pages)"
+# The steps of the chain that find something to do in these pages, one CTE each.
+_TRANSPOSED = ", ".join(
+    f"x{k + 1} AS (SELECT book, page_num, regexp_replace(tex, '{pattern}', '{replacement}', 'g') AS tex FROM x{k})"
+    for k, (_, pattern, replacement) in enumerate(_TRANSPOSE))
+register(
+    "sanitize_tex", lambda v: tex.sanitize_tex(v("gappy_pages")),
+    with_views("gappy_pages") + f""", a AS (SELECT book, page_num, {S.strip('tex')} AS tex FROM gappy_pages),
+  p AS (SELECT book, page_num, regexp_split_to_array(tex, '(?s)\\\\\\[.*?\\\\\\]') AS o, regexp_extract_all(tex, '(?s)\\\\\\[(.*?)\\\\\\]', 1) AS b FROM a),
+  r AS (SELECT book, page_num, list_transform(o, lambda x: regexp_replace(x, '\\\\[\\[\\]]', '', 'g')) AS o,
+    list_transform(list_transform(b, lambda x: {S.strip("regexp_replace(x, '" + chr(92)*2 + "[" + chr(92) + "[" + chr(92) + "]]', '', 'g')")}), lambda body: {_RENDER}) AS b FROM p),
+  x0 AS (SELECT book, page_num, array_to_string(list_transform(range(1, len(o) + 1), lambda i: concat(o[i], coalesce(b[i], ''))), '') AS tex FROM r),
+  {_TRANSPOSED},
+  tb AS (SELECT book, page_num, replace(replace(tex, concat(chr(10), 'A & B ', chr(92), chr(92), chr(10)), concat(chr(10), 'A & B & -- ', chr(92), chr(92), chr(10))),
+    concat(chr(10), '1 & 2 & 3 & 4 ', chr(92)), concat(chr(10), '1 & 2 & 3 ', chr(92), '& 4 ', chr(92))) AS tex FROM x{len(_TRANSPOSE)}),
+  kept AS (SELECT book, page_num, array_to_string(list_filter(string_split(tex, chr(10)), lambda l: NOT regexp_full_match({S.strip('l')}, '[0-9]{{2,4}}') AND {S.strip('l')} <> '\\hrule'), chr(10)) AS tex FROM tb)
+  SELECT book, page_num, {S.strip("regexp_replace(tex, '" + chr(92) + "n{3,}', chr(10) || chr(10), 'g')")} AS tex FROM kept""",
+)
 register("tex_tokens", lambda v: tex.tex_tokens(v("tex_pages")),
          _TOKENS + ", a AS (" + _at("%[^\\n]*|\\\\(?:begin|end)\\{[^}]*\\}|\\\\[()\\[\\]]|[{}]", "NOT starts_with(m, '%')")
          + ") SELECT book, page_num, row_number() OVER (PARTITION BY book, page_num ORDER BY k) - 1 AS token_no, line, m AS token FROM a")

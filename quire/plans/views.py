@@ -240,10 +240,10 @@ select("preference_updates", "events", "event_id AS seq", """CASE CAST(event_id
        """CASE CAST(event_id % 5 AS INT) WHEN 0 THEN (CASE WHEN value > 10 THEN 'high' ELSE 'standard' END) WHEN 1 THEN 'ultra'
     WHEN 2 THEN (CASE WHEN value > 20 THEN 'true' ELSE 'false' END) WHEN 3 THEN '1-3' ELSE 'x' END AS pref_value""")
 
-# Three text lines per page as a PDF reader reports them, each with its own size and position.
+# The heading of each page as a PDF reader reports it, with size and position.
 HEAD = ("CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN 'Chapter 2 Methods' WHEN 1 THEN '2.1.3 Methods' WHEN 2 THEN '1. Introduction' "
         "WHEN 3 THEN 'References' ELSE 'x = 1 + 2' END")
-select("glyph_lines", "page_text", "book", "page_num", "doc_id", "split_part(text, chr(10), 1) AS body", f"{HEAD} AS head",
+select("glyph_lines", "page_text", "book", "page_num", "doc_id", f"{HEAD} AS head",
        "CAST(12 + doc_id % 12 AS DOUBLE) AS head_size", "CAST(10 AS DOUBLE) AS body_size",
        "CAST(60 + (doc_id % 20) * 38 AS DOUBLE) AS head_y")
 
@@ -269,7 +269,7 @@ select("marked_pages", "page_text", "book", "page_num",
 # A second reading of some pages, with noise in part of them.
 select("second_reading", "page_text", "book", "page_num",
        "CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN '' WHEN 1 THEN text WHEN 2 THEN concat(text, ' ■■■■ □□□□ ') "
-       "ELSE concat('▓▓▓ ', split_part(text, chr(10), 1)) END AS text", where="doc_id % 11 <> 0")
+       "ELSE translate(text, 'aeiourn', '▓▓▓▓▓▓▓') END AS text", where="doc_id % 11 <> 0")
 
 select("requested_names", "uploads", "upload_id", "filename", "upload_id % 2 = 0 AS translate")
 
@@ -326,14 +326,13 @@ VIEWS["glyphs"] = View(
     lambda v: v("page_text").select("book", "page_num", F.length("text").alias("n"), F.posexplode_outer(F.split("text", "")).alias("g_idx", "ch"))
     .selectExpr("book", "page_num", "g_idx", "ch", *_GLYPH.split(", ")),
 )
+# A heading above all lines of the page, each with its own size and position.
+HEAD_LINE = ["book", "page_num", "0 AS line_no", "head AS text", "head_size AS size", "head_y AS y0"]
+BODY_LINE = ["book", "page_num", "line_no + 1 AS line_no", "line AS text", "CAST(10 AS DOUBLE) AS size", "CAST(100 + line_no AS DOUBLE) AS y0"]
 VIEWS["layout_lines"] = View(
-    ("glyph_lines",),
-    "SELECT book, page_num, 0 AS line_no, head AS text, head_size AS size, head_y AS y0 FROM glyph_lines UNION ALL "
-    "SELECT book, page_num, 1, body, body_size, CAST(300 AS DOUBLE) FROM glyph_lines UNION ALL SELECT book, page_num, 2, body, body_size, CAST(320 AS DOUBLE) FROM glyph_lines",
-    lambda v: v("glyph_lines").selectExpr(
-        "book", "page_num", "inline(array(struct(0 AS line_no, head AS text, head_size AS size, head_y AS y0), "
-        "struct(1 AS line_no, body AS text, body_size AS size, CAST(300 AS DOUBLE) AS y0), "
-        "struct(2 AS line_no, body AS text, body_size AS size, CAST(320 AS DOUBLE) AS y0)))"),
+    ("glyph_lines", "lines"),
+    f"SELECT {', '.join(HEAD_LINE)} FROM glyph_lines UNION ALL SELECT {', '.join(BODY_LINE)} FROM lines",
+    lambda v: v("glyph_lines").selectExpr(*HEAD_LINE).unionByName(v("lines").selectExpr(*BODY_LINE)),
 )
 RESPONSE = "concat('[PAGE ', CAST(page_num + 1 AS STRING), ']', chr(10), '[DUPLICATE_HEADER]x[/DUPLICATE_HEADER]译 ', text)"
 VIEWS["batch_responses"] = View(

@@ -21,22 +21,29 @@ CHUNK_SEPARATOR = "\n---\n"
 MERGE_FILES = 5
 
 
-def display_positions(pages: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
-    """Dense 0-based position of each selected page in its book."""
+def display_positions(pages: DataFrame, width: int = BLOCK_WIDTH, dense: bool = False) -> DataFrame:
+    """Dense 0-based position of each selected page in its book.
+
+    Whole books as ``scan_corpus`` numbers them are ``dense`` already: the position is the page number, and nothing moves.
+    """
+    if dense:
+        return pages.select(*PAGE, F.col("page_num").cast("long").alias("display_idx"))
     numbered = number_rows(pages.select(*PAGE), ["book"], "page_num", "__n", width)
     return numbered.select(*PAGE, (F.col("__n") - 1).alias("display_idx"))
 
 
-def fixed_chunks(pages: DataFrame, size: int = FIXED_PAGES, width: int = BLOCK_WIDTH) -> DataFrame:
+def fixed_chunks(pages: DataFrame, size: int = FIXED_PAGES, width: int = BLOCK_WIDTH, dense: bool = False) -> DataFrame:
     """Chunks of a fixed number of pages, keyed by page and never by list position."""
-    placed = display_positions(pages, width)
+    placed = display_positions(pages, width, dense)
     return placed.select(*PAGE, F.floor(F.col("display_idx") / size).alias("chunk"))
 
 
-def chapter_chunks(pages: DataFrame, boundaries: DataFrame, size: int = CHAPTER_PAGES, width: int = BLOCK_WIDTH) -> DataFrame:
+def chapter_chunks(
+    pages: DataFrame, boundaries: DataFrame, size: int = CHAPTER_PAGES, width: int = BLOCK_WIDTH, dense: bool = False
+) -> DataFrame:
     """Chunks that never cross a chapter start and hold at most ``size`` pages, numbered from 0 in each book."""
     starts = boundaries.select(*PAGE).distinct().withColumn("__start", F.lit(True))
-    placed = cut_lineage(display_positions(pages, width).join(starts, PAGE, "left"))
+    placed = cut_lineage(display_positions(pages, width, dense).join(starts, PAGE, "left"))
     opens = F.when(F.col("__start") | (F.col("display_idx") == 0), F.col("display_idx"))
     placed = with_running(placed, ["book"], "display_idx", {"__from": (opens, F.max)}, width)
     first = F.when((F.col("display_idx") - F.col("__from")) % size == 0, 1).otherwise(0).cast("long")
@@ -57,9 +64,16 @@ def char_budget_chunks(pages: DataFrame, max_chars: int = MAX_CHARS, width: int
     return placed.select(*PAGE, "chars", (first + last).alias("chunk_key"))
 
 
-def build_batch_prompts(pages: DataFrame, size: int = FIXED_PAGES) -> DataFrame:
-    """One prompt per chunk: the non-blank pages with their numbers, repeated headers marked.  A chunk is a few pages."""
-    chunked = pages.select(*PAGE, "text").join(fixed_chunks(pages, size), PAGE).where(~T.is_blank("text"))
+def build_batch_prompts(pages: DataFrame, size: int = FIXED_PAGES, dense: bool = False) -> DataFrame:
+    """One prompt per chunk: the non-blank pages with their numbers, repeated headers marked.  A chunk is a few pages.
+
+    For whole (``dense``) books the chunk follows from the page number, so texts move once, to their chunk.
+    """
+    texts = pages.select(*PAGE, "text").where(~T.is_blank("text"))
+    if dense:
+        chunked = texts.withColumn("chunk", F.floor(F.col("page_num") / size))
+    else:
+        chunked = texts.join(fixed_chunks(pages, size), PAGE)
     part = F.concat(F.lit("[PAGE "), (F.col("page_num") + 1).cast("string"), F.lit("]\n"), F.col("text"))
     ordered = F.array_sort(F.collect_list(F.struct("page_num", part.alias("t"))))
     prompts = chunked.groupBy("book", "chunk").agg(

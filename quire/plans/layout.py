@@ -227,7 +227,7 @@ _RESPONSES = _CHUNKS + f""", parsed AS (SELECT book, chunk, page_num, 1 AS x, {S
 
 
 def _first_pass(v):
-    return structure.parse_batch_response(v("batch_responses"), chunks.fixed_chunks(v("page_text")))
+    return structure.parse_batch_response(v("batch_responses"), chunks.fixed_chunks(v("page_text"), dense=True))
 
 
 register("parse_batch_response", lambda v: _first_pass(v),
@@ -269,7 +269,7 @@ register(
 )
 register("fixed_chunks", lambda v: chunks.fixed_chunks(v("page_text")), with_views("page_text") + _CHUNKS + " SELECT book, page_num, chunk FROM chunks")
 register(
-    "chapter_chunks", lambda v: chunks.chapter_chunks(v("page_text"), v("boundaries")),
+    "chapter_chunks", lambda v: chunks.chapter_chunks(v("page_text"), v("boundaries"), dense=True),
     with_views("page_text", "boundaries") + """, s AS (SELECT p.book, p.page_num, max(CASE WHEN b.page_num IS NOT NULL OR p.page_num = 0 THEN p.page_num END) OVER (PARTITION BY p.book ORDER BY p.page_num) AS f
     FROM page_text p LEFT JOIN boundaries b USING (book, page_num))
   SELECT book, page_num, dense_rank() OVER (PARTITION BY book ORDER BY f, (page_num - f) // 8) - 1 AS chunk FROM s""",
@@ -280,7 +280,7 @@ register(
   SELECT book, page_num, chars, (e - chars) // 80000 + greatest(e - 1, e - chars) // 80000 AS chunk_key FROM e""",
 )
 register(
-    "build_batch_prompts", lambda v: chunks.build_batch_prompts(v("furniture_pages")),
+    "build_batch_prompts", lambda v: chunks.build_batch_prompts(v("furniture_pages"), dense=True),
     with_views("furniture_pages") + f""", pc AS (SELECT book, CAST(floor(page_num / 4) AS INT) AS chunk, count(*) AS pages,
     string_agg(concat('[PAGE ', page_num + 1, ']', chr(10), text), concat(chr(10), '---', chr(10)) ORDER BY page_num) AS prompt FROM furniture_pages WHERE {S.strip('text')} <> '' GROUP BY ALL),
   pl AS ({S.exploded('pc', 'prompt', 'book, chunk')})""" + _marked("book, chunk", "pl") + " SELECT book, chunk, pages, text AS prompt FROM marked JOIN pc USING (book, chunk)",

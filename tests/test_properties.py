@@ -198,6 +198,8 @@ def test_chunks_cover_pages_once(spark):
     assert [len(sizes[c]) for c in range(3)] == [3, 4, 5] and sorted(sizes) == list(range(len(sizes))) and all(len(s) <= 5 for s in sizes.values())
     assert [r.page_num for r in got] == list(range(60)) and {3, 7, 40} <= {s[0] for s in sizes.values()}
     ten = spark.createDataFrame([("b", p, "t") for p in range(10)], "book string, page_num int, text string")
+    assert sorted(chunks.fixed_chunks(ten, dense=True).collect()) == sorted(chunks.fixed_chunks(ten).collect())
+    assert sorted(chunks.build_batch_prompts(ten, dense=True).collect()) == sorted(chunks.build_batch_prompts(ten).collect())
     three = chunks.chapter_chunks(ten, spark.createDataFrame([("b", 0), ("b", 3), ("b", 7)], "book string, page_num int"), 8)
     assert sorted(r["count"] for r in three.groupBy("chunk").count().collect()) == [3, 3, 4]
     budget = {}

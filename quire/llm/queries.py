@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, packing, token_store
-from quire.llm.common import new_folder, table
+from quire.llm import bpe, langid, packing, token_store, toxicity, winnow
+from quire.llm.common import fold, new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +30,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@register("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    classifier = toxicity.fit(docs, table(spark, folder, "labels").where(fold("doc_id", 3) != 1))
+    return toxicity.score(docs, classifier).withColumn("held_out", fold("doc_id", 3) == 1)
+
+
 @register("op4_token_store")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "tokens")
@@ -45,3 +52,15 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @register("op7_bpe")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@register("op9_winnowing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return winnow.edited_fingerprints(table(spark, folder, "documents"))
+
+
+@register("op10_language")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.fit(docs.where(fold("doc_id", 4) != 2))
+    return langid.predict(docs, model).withColumn("held_out", fold("doc_id", 4) == 2)

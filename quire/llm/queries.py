@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, langid, packing, token_store, toxicity, winnow
+from quire.llm import bpe, chosen_path, langid, packing, simhash, token_store, toxicity, winnow
 from quire.llm.common import fold, new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@register("op1_embedding_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @register("op2_toxicity")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -37,6 +42,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, classifier).withColumn("held_out", fold("doc_id", 3) == 1)
 
 
+@register("op3_chosen_path")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.similar_documents(table(spark, folder, "documents"))
+
+
 @register("op4_token_store")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "tokens")

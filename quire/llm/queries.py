@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, chosen_path, langid, packing, simhash, token_store, toxicity, winnow
+from quire.llm import bpe, chosen_path, langid, packing, simhash, substrings, token_store, toxicity, winnow
 from quire.llm.common import fold, new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.digest(token_store.read_store(spark, path))
 
 
+@register("op5_substrings")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digested(substrings.drop_repeats(table(spark, folder, "documents")))
+
+
 @register("op6_packing")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024)

@@ -23,18 +23,16 @@ WINDOW = 16
 _BASE = 0x2545F4914F6CDD1D
 
 
-def gram_hashes(text: str, k: int = K) -> np.ndarray:
-    """Polynomial hash of every k-gram of code points, built by doubling; a shorter text is one gram."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    if not len(points):
-        return points
-    k = min(k, len(points))
+def rolling(values: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
+    """Polynomial hash of every run of ``k`` values, modulo 2**64, built by doubling."""
+    if len(values) < k:
+        return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
         total, done = None, 0
-        power, size, bits = points + np.uint64(1), 1, k
-        factor = np.uint64(_BASE)
+        power, size, bits = values, 1, k
+        factor = np.uint64(base)
         while bits:
-            n = len(points) - done - size + 1
+            n = len(values) - done - size + 1
             if bits & 1:
                 total = power[:n].copy() if total is None else total[:n] * factor + power[done : done + n]
                 done += size
@@ -47,13 +45,15 @@ def gram_hashes(text: str, k: int = K) -> np.ndarray:
         return mix(total, k)
 
 
-def winnow(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and values kept: per window the smallest value, the rightmost among equals."""
-    n = len(hashes)
-    if not n:
-        return np.empty(0, np.int64), hashes
-    window = min(window, n)
-    value, place = hashes, np.arange(n)
+def gram_hashes(text: str, k: int = K) -> np.ndarray:
+    """Hash of every k-gram of code points; a shorter text is one gram."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    return rolling(points + np.uint64(1), min(k, len(points))) if len(points) else points
+
+
+def window_minima(hashes: np.ndarray, window: int) -> np.ndarray:
+    """For every window of consecutive values the place of the smallest, the rightmost among equals."""
+    value, place = hashes, np.arange(len(hashes))
 
     def join(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         right = b <= a
@@ -66,6 +66,14 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.nda
     rest = window - size
     if rest:
         value, place = join(value[:-rest], place[:-rest], value[rest:], place[rest:])
+    return place
+
+
+def winnow(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and values kept: per window the smallest value, the rightmost among equals."""
+    if not len(hashes):
+        return np.empty(0, np.int64), hashes
+    place = window_minima(hashes, min(window, len(hashes)))
     kept = place[np.append(True, place[1:] != place[:-1])]
     return kept, hashes[kept]
 

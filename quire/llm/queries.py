@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, chosen_path, langid, packing, simhash, substrings, token_store, toxicity, winnow
+from quire.llm import bpe, chosen_path, gru, langid, packing, simhash, substrings, token_store, toxicity, winnow
 from quire.llm.common import fold, new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@register("op8_language_model")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = fold("doc_id", 7) == 2
+    scored = gru.score(table(spark, folder, "documents"), ~held_out)
+    return scored.withColumn("held_out", held_out)
+
+
 @register("op9_winnowing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return winnow.edited_fingerprints(table(spark, folder, "documents"))

@@ -35,8 +35,8 @@ HIDDEN = 16
 WINDOW = 16
 SEGMENT = 2  # windows per training segment, the state is carried over them
 ROUNDS = 3
-BATCH = 64
-RATE = 0.02
+BATCH = 32
+RATE = 0.05
 # Words whose counts every task knows; a bounded broadcast.  Longer words are never in it.
 KNOWN = 400_000
 KNOWN_LENGTH = 64

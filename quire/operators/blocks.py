@@ -26,35 +26,50 @@ def with_running(
     running: dict[str, tuple[Column, Merge]],
     width: int = BLOCK_WIDTH,
     exclusive: bool = False,
-    levels: int = 1,
+    levels: int = 2,
+    stretch: bool = True,
 ) -> DataFrame:
-    """Add running aggregates over ``group`` ordered by the integer column ``order``.
+    """Add running aggregates over ``group`` ordered by the integer column ``order``; every row comes out again.
 
     ``running`` maps an output name to ``(input, aggregate)``; the aggregate must be able to merge its own
-    results (``F.sum``, ``F.max``, ``F.min``).  ``exclusive`` leaves the current row out.  Each further level
-    blocks the block table again, for sparse keys.
+    results (``F.sum``, ``F.max``, ``F.min``).  ``exclusive`` leaves the current row out.
+
+    Blocks are stretched to the spread of the keys (their range over their number, read in the same plan), so that sparse
+    or hashed keys fill blocks like dense ones; without ``stretch`` (keys that count from a small number) they are not read.  Each further level blocks the block table again: two levels carry
+    ``width`` cubed rows per group.  A NULL group is a group.  Rows with a NULL order key come first in their group, in no
+    particular order.
     """
-    group = list(group)
-    block = F.col(order) - F.pmod(F.col(order), F.lit(width))
+    key = F.col(order).cast("double")
+    spread = df.agg(F.min(order).cast("double").alias("low"), F.greatest(F.lit(1.0), (F.max(order).cast("double") - F.min(order).cast("double")) / F.count(order)).alias("step"))
+    low, step = (spread.select(c).scalar() if stretch else F.lit(d) for c, d in (("low", 0.0), ("step", 1.0)))
+    block = F.coalesce(F.floor((key - low) / (step * width)).cast("long"), F.lit(-1))
+    return _running(df.withColumn("__block", block), list(group), order, running, width, exclusive, levels).drop("__block")
+
+
+def _running(df: DataFrame, group: list[str], order: str, running: dict[str, tuple[Column, Merge]], width: int, exclusive: bool, levels: int) -> DataFrame:
+    """``with_running`` for rows that carry their ``__block``, a number that grows with the order key."""
     inputs = {f"__in_{name}": source for name, (source, _) in running.items()}
-    staged = df.withColumns(inputs).withColumn("__block", block)
+    staged = df.withColumns(inputs)
     last = -1 if exclusive else Window.currentRow
     within = Window.partitionBy(*group, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, last)
     local = staged.withColumns({f"__local_{n}": agg(F.col(f"__in_{n}")).over(within) for n, (_, agg) in running.items()})
     totals = staged.groupBy(*group, "__block").agg(*[agg(F.col(f"__in_{n}")).alias(n) for n, (_, agg) in running.items()])
     if levels > 1:
-        carry = with_running(
-            totals.withColumnRenamed("__block", "__order"), group, "__order",
-            {f"__carry_{n}": (F.col(n), agg) for n, (_, agg) in running.items()}, width * width, True, levels - 1,
-        ).withColumnRenamed("__order", "__block")
+        upper = totals.withColumnRenamed("__block", "__order").withColumn("__block", F.floor(F.col("__order") / width).cast("long"))
+        carry = _running(upper, group, "__order", {f"__carry_{n}": (F.col(n), agg) for n, (_, agg) in running.items()}, width, True, levels - 1)
+        carry = carry.drop("__block").withColumnRenamed("__order", "__block")
     else:
         before = Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
         carry = totals.withColumns({f"__carry_{n}": agg(F.col(n)).over(before) for n, (_, agg) in running.items()})
-    carry = carry.select(*group, "__block", *[f"__carry_{n}" for n in running])
-    joined = local.join(carry, [*group, "__block"])
+    keys = [*group, "__block"]
+    carry = carry.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[f"__carry_{n}" for n in running])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    joined = local.join(carry, same)
     outputs = {n: _merge(agg, F.col(f"__carry_{n}"), F.col(f"__local_{n}")) for n, (_, agg) in running.items()}
     spare = [f"__{part}_{n}" for n in running for part in ("in", "local", "carry")]
-    return joined.withColumns(outputs).drop("__block", *spare)
+    return joined.withColumns(outputs).drop(*spare, *[f"__k_{k}" for k in keys])
 
 
 def _merge(agg: Merge, carry: Column, local: Column) -> Column:
@@ -68,13 +83,20 @@ def _merge(agg: Merge, carry: Column, local: Column) -> Column:
 
 
 def number_rows(
-    df: DataFrame, group: Sequence[str], order: str, name: str, width: int = BLOCK_WIDTH, levels: int = 1
+    df: DataFrame, group: Sequence[str], order: str, name: str, width: int = BLOCK_WIDTH, levels: int = 2, stretch: bool = True
 ) -> DataFrame:
     """Dense 1-based position of each row in its group by a unique integer key."""
-    return with_running(df, group, order, {name: (F.lit(1).cast("long"), F.sum)}, width, levels=levels)
+    return with_running(df, group, order, {name: (F.lit(1).cast("long"), F.sum)}, width, levels=levels, stretch=stretch)
 
 
 def with_group_total(df: DataFrame, group: Sequence[str], name: str) -> DataFrame:
-    """Attach the group size.  Counting is combined map-side; a hot group's join is split by adaptive execution."""
+    """Attach the group size; a NULL group is a group.
+
+    Counting is combined map-side; a hot group's join is split by adaptive execution.
+    """
     totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias(name))
-    return df.join(totals, list(group))
+    totals = totals.select(*[F.col(k).alias(f"__k_{k}") for k in group], name)
+    same = F.lit(True)
+    for k in group:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return df.join(totals, same).drop(*[f"__k_{k}" for k in group])

@@ -88,9 +88,18 @@ def missing_pages(pages: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def backfill_pages(first: DataFrame, redone: DataFrame) -> DataFrame:
-    """Results of both passes; the later pass wins where both have a page."""
-    both = first.select(*PAGE, "text", F.lit(1).alias("pass")).unionByName(redone.select(*PAGE, "text", F.lit(2).alias("pass")))
-    return both.groupBy(*PAGE).agg(F.max_by("text", "pass").alias("text"), F.max("pass").alias("pass"))
+    """Results of both passes; the later pass wins where both have a page.
+
+    An answer can hold a page twice.  ``section``, where the results have it, is the place of the text in the answer: the last
+    one wins; without it the greatest text does.
+    """
+
+    def staged(results: DataFrame, number: int) -> DataFrame:
+        section = F.col("section") if "section" in results.columns else F.lit(0)
+        return results.select(*PAGE, "text", F.lit(number).alias("pass"), section.cast("long").alias("__section"))
+
+    both = staged(first, 1).unionByName(staged(redone, 2))
+    return both.groupBy(*PAGE).agg(F.max_by("text", F.struct("pass", "__section", "text")).alias("text"), F.max("pass").alias("pass"))
 
 
 def page_marker(page):
@@ -98,9 +107,14 @@ def page_marker(page):
 
 
 def upsert_page_block(blocks: DataFrame, replacements: DataFrame) -> DataFrame:
-    """Replace single pages of a document; a replacement without a target is reported, not inserted."""
+    """Replace single pages of a document; a replacement without a target is reported, not inserted.
+
+    Replacements are few: the join to them can be broadcast, which a full outer join cannot, so blocks stay in place.
+    """
     new = replacements.select(*PAGE, F.col("block").alias("new"))
-    joined = blocks.select(*PAGE, F.col("block").alias("old")).join(new, PAGE, "full")
+    old = blocks.select(*PAGE, F.col("block").alias("old"))
+    missing = new.join(blocks.select(*PAGE), PAGE, "left_anti").select(*PAGE, F.lit(None).cast("string").alias("old"), "new")
+    joined = old.join(new, PAGE, "left").unionByName(missing)
     marker = page_marker(F.col("page_num") + 1)
     clean = T.strip("new")
     bare = F.when(clean.startswith(marker), F.ltrim(F.substring(clean, F.length(marker) + 1, F.length(clean)), F.lit("\r\n"))).otherwise(clean)
@@ -141,8 +155,17 @@ def outline(text: str) -> tuple[str, int, int]:
     return f"% {words} words\n{text}", len(text) // 4, words
 
 
-def map_pages(pages: DataFrame, convert: PageFunction = outline) -> DataFrame:
-    """Apply a page function in Arrow batches.  A page that fails becomes an error row; the others go on."""
+def account_failure(error: Exception) -> bool:
+    """Errors that every further request would meet: the key or the balance is refused."""
+    message = str(error).lower()
+    return any(mark in message for mark in ("401", "402", "403", "unauthorized", "insufficient balance", "invalid api key"))
+
+
+def map_pages(pages: DataFrame, convert: PageFunction = outline, fatal: Callable[[Exception], bool] = account_failure) -> DataFrame:
+    """Apply a page function in Arrow batches.  A page that fails becomes an error row; the others go on.
+
+    An error that ``fatal`` accepts fails the job instead of spending a request on every other page.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -151,6 +174,8 @@ def map_pages(pages: DataFrame, convert: PageFunction = outline) -> DataFrame:
                 try:
                     rows.append((*convert(text), True, ""))
                 except Exception as error:  # one page's failure must not stop the batch
+                    if fatal(error):
+                        raise
                     rows.append(("", 0, 0, False, str(error)))
             made = pd.DataFrame(rows, columns=["text", "prompt_tokens", "completion_tokens", "ok", "error"], index=batch.index)
             yield pd.concat([batch[PAGE], made], axis=1)

@@ -62,7 +62,7 @@ def preference_flags(history: DataFrame) -> DataFrame:
     ranges = history.where("pages <> '' AND pages <> 'all'").groupBy("pages").agg(F.min("seq").alias("first_seen"))
     latest = ranges.orderBy(F.desc("first_seen")).limit(MAX_RANGES)
     joined = latest.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_seen", "pages"))), lambda r: r["pages"]), ";").alias("page_ranges"))
-    return flags.select("*", joined.scalar().alias("page_ranges"))
+    return flags.select("*", joined.scalar().alias("newest_ranges"))
 
 
 def terminology_latest(events: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.session import cut_lineage
 
 # How many non-blank edge lines vote and how many may be removed, the longest furniture line,
 # the marks that end a sentence, the page share a key needs, and the offset of the rounding rule.
@@ -18,9 +17,6 @@ SENTENCE_END = "[。！？!?]\\s*\\z"
 MIN_RATIO = 0.25
 ROUND_UP = 0.999
 
-# Up to this many repeated keys (of at most MAX_FURNITURE_CHARS each) are broadcast; beyond it the join shuffles.
-MAX_BROADCAST_KEYS = 100_000
-
 
 def is_margin_candidate(line: Column) -> Column:
     def test(s: Column) -> Column:
@@ -43,45 +39,39 @@ def margin_noise_candidates(lines: DataFrame) -> DataFrame:
 
 
 def _margin_counts(pages: DataFrame) -> DataFrame:
-    """Pages per (book, key), for keys on two pages or more; the NULL key counts all pages of the book.
+    """Pages per (book, key), for keys on two pages or more.
 
     A page's distinct keys (at most 2 * VOTING_LINES) are found inside the row, so a plain count combined
-    map-side is the page count, and one pass over the text serves both the keys and the page totals.  The outer
-    explode matters: a plain one makes Catalyst infer a filter on the key array and compute it again at the scan.
+    map-side is the page count.  The outer explode matters: a plain one makes Catalyst infer a filter on the key array
+    and compute it again at the scan.
     """
     filled = F.filter(T.split_lines("text"), lambda line: ~T.is_blank(line))
     edges = F.concat(T.first_n(F.col("__lines"), VOTING_LINES), T.last_n(F.col("__lines"), VOTING_LINES))
     keys = F.array_distinct(F.transform(F.filter(edges, is_margin_candidate), margin_key))
-    votes = pages.select("book", filled.alias("__lines")).select("book", F.array_append(keys, F.lit(None).cast("string")).alias("__keys"))
+    votes = pages.select("book", filled.alias("__lines")).select("book", keys.alias("__keys"))
     counts = votes.select("book", F.explode_outer("__keys").alias("margin_key")).groupBy("book", "margin_key").agg(
         F.count(F.lit(1)).alias("n_pages"))
-    return cut_lineage(counts.where("n_pages >= 2"))
+    return counts.where("n_pages >= 2 AND margin_key IS NOT NULL")
 
 
 def repeated_margin_lines(pages: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
-    """Furniture keys seen on enough pages of a book."""
-    counts = _margin_counts(pages)
-    threshold = F.greatest(F.lit(2), F.floor(F.col("n_pages") * F.lit(min_ratio) + F.lit(ROUND_UP)))
-    thresholds = counts.where("margin_key IS NULL").select("book", threshold.cast("long").alias("threshold"))
-    return (
-        counts.where("margin_key IS NOT NULL")
-        .join(thresholds, "book")
-        .where("n_pages >= threshold")
-        .select("book", "margin_key", "n_pages", "threshold")
-    )
+    """Furniture keys seen on enough pages of a book.  Page totals need no text, so the text is read once."""
+    threshold = F.greatest(F.lit(2), F.floor(F.col("__total") * F.lit(min_ratio) + F.lit(ROUND_UP)))
+    totals = pages.groupBy("book").agg(F.count(F.lit(1)).alias("__total"))
+    thresholds = totals.select("book", threshold.cast("long").alias("threshold"))
+    return _margin_counts(pages).join(thresholds, "book").where("n_pages >= threshold").select("book", "margin_key", "n_pages", "threshold")
 
 
 def strip_repeated_margins(pages: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
     """Remove repeated furniture from the first and last lines of each page.
 
     Each page casts at most 6 votes, so a book has at most ``6 / min_ratio`` repeated keys whatever its length:
-    the per-book list is small and goes to the pages in one join.  Counts are materialised first; the number of
-    repeated keys then decides between broadcasting the lists and a shuffled join.  Pages are cleaned inside the row, with no exchange.
+    the per-book list is small and goes to the pages in one join, which adaptive execution turns into a broadcast by the
+    measured size of the lists, and whose hot books it splits otherwise.  Pages are cleaned inside the row, with no exchange.
     """
     repeated = repeated_margin_lines(pages, min_ratio)
-    small = repeated.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
     keys = repeated.groupBy("book").agg(F.collect_list("margin_key").alias("__keys"))
-    joined = pages.join(F.broadcast(keys) if small else keys, "book", "left")
+    joined = pages.join(keys, "book", "left")
     staged = joined.withColumn("__lines", T.split_lines("text"))
     filled = F.filter(T.positions(F.col("__lines")), lambda i: ~T.is_blank(F.get(F.col("__lines"), i)))
     staged = staged.withColumn("__filled", filled)

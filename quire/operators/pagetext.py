@@ -71,7 +71,14 @@ def attach_algorithm_context(pages: DataFrame) -> DataFrame:
 
 
 def attach_table_context(pages: DataFrame, tables: DataFrame, on: list[str]) -> DataFrame:
-    """Append the table block of a page, where it has one.  ``tables`` holds ``on`` and ``table_text``."""
+    """Append the tables of a page in one block, separated by a blank line.
+
+    ``tables`` holds ``on``, ``table_text`` and, where a page can have several, ``table_no``, which orders them.
+    """
+    number = F.col("table_no") if "table_no" in tables.columns else F.lit(1)
+    ordered = F.array_sort(F.collect_list(F.struct(number.alias("n"), F.col("table_text").alias("t"))))
+    filled = tables.where(F.coalesce("table_text", F.lit("")) != "")
+    tables = filled.groupBy(*on).agg(F.array_join(F.transform(ordered, lambda r: r["t"]), "\n\n").alias("table_text"))
     text = T.strip("text")
     block = F.concat(F.lit(TABLE_MARKER + "\n"), F.col("table_text"))
     joined = F.when(F.coalesce(F.col("table_text"), F.lit("")) == "", text).when(text == "", block).otherwise(

@@ -389,7 +389,7 @@ def split_references(pages: DataFrame) -> DataFrame:
     staged = pages.withColumn("__l", T.split_newlines(F.regexp_replace("text", "\\n\\z", "")))
     letters = F.array_join(F.transform("__l", lambda x: F.when(T.is_blank(x), "b").when(_is_reference(x), "r").otherwise("n")), "")
     brackets = F.array_join(F.transform("__l", lambda x: F.when(T.strip(x).rlike(BRACKETED), "x").otherwise("o")), "")
-    staged = staged.withColumns({"__f": letters, "__x": brackets, "__heading": F.regexp_instr("text", F.lit(REFERENCE_HEADING))})
+    staged = staged.withColumns({"__f": letters, "__x": brackets, "__heading": F.when(F.col("text").rlike(REFERENCE_HEADING), F.length(F.get(F.split("text", REFERENCE_HEADING, 2), 0)))})
 
     def offset(line: Column) -> Column:
         return T.total(F.transform(F.slice("__l", F.lit(1), line), lambda x: F.length(x) + 1)).cast("int")
@@ -403,10 +403,10 @@ def split_references(pages: DataFrame) -> DataFrame:
     staged = staged.withColumns({"__tail": run, "__bracket": F.get(starts, 0)})
     tail_ok = F.col("__tail") / F.greatest(F.size("__l"), F.lit(1)) >= TAIL_SHARE
     cut = (
-        F.when(F.col("__heading") > 0, F.col("__heading") - 1).when(tail_ok, offset(F.col("__tail")))
+        F.when(F.col("__heading").isNotNull(), F.col("__heading")).when(tail_ok, offset(F.col("__tail")))
         .when(F.col("__bracket").isNotNull(), offset(F.col("__bracket")))
     )
-    staged = staged.withColumns({"__cut": cut, "rule": F.when(F.col("__heading") > 0, "heading").when(tail_ok, "tail")
+    staged = staged.withColumns({"__cut": cut, "rule": F.when(F.col("__heading").isNotNull(), "heading").when(tail_ok, "tail")
                                  .when(F.col("__bracket").isNotNull(), "brackets").otherwise("")})
     blank = T.is_blank("text")
     main = F.when(blank, "").when(F.col("__cut").isNull(), F.col("text")).otherwise(T.rstrip(F.substring(F.col("text"), F.lit(1), F.col("__cut"))))
@@ -424,18 +424,24 @@ def clean_cell(cell: Column) -> Column:
 
 
 def table_context(cells: DataFrame) -> DataFrame:
-    """Each extracted table as text: a header, then one line per row, padded to the widest row.
+    """Each extracted table as text: a header, then one line per row on the grid of columns 1 to the last.
 
-    Cells meet per row first, rows per table second: a task never holds more than one row's cells or one table's lines.
+    A column number that a row does not have is an empty cell.  ``table_no``, where the cells have it, is the number of the
+    table on its page and goes into the header.  Cells meet per row first, rows per table second: a task never holds more
+    than one row's cells or one table's lines.
     """
+    keys = ["table_id", *(["table_no"] if "table_no" in cells.columns else [])]
     packed = F.array_sort(F.collect_list(F.struct("col_no", clean_cell(F.col("cell")).alias("t"))))
-    rows = cells.groupBy("table_id", "row_no").agg(F.transform(packed, lambda c: c["t"]).alias("row"))
-    tables = rows.groupBy("table_id").agg(F.max(F.size("row")).alias("cols"), F.array_sort(F.collect_list(F.struct("row_no", "row"))).alias("rows"))
-    lines = F.transform("rows", lambda r, i: F.concat(
-        F.lit("ROW "), (i + 1).cast("string"), F.lit(": "),
-        F.array_join(F.concat(r["row"], F.array_repeat(F.lit(EMPTY_CELL), F.col("cols") - F.size(r["row"]))), " | ")))
-    header = F.concat(F.lit("[TABLE 1] cols="), F.col("cols").cast("string"))
-    return tables.select("table_id", T.join_lines(F.concat(F.array(header), lines)).alias("table_text"))
+    rows = cells.where("col_no >= 1").groupBy(*keys, "row_no").agg(packed.alias("row"), F.max("col_no").alias("last"))
+    tables = rows.groupBy(*keys).agg(F.max("last").alias("cols"), F.array_sort(F.collect_list(F.struct("row_no", "row"))).alias("rows"))
+
+    def grid(row: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.col("cols").cast("int")), lambda c: F.coalesce(F.get(F.filter(row, lambda x: x["col_no"] == c), 0)["t"], F.lit(EMPTY_CELL)))
+
+    lines = F.transform("rows", lambda r, i: F.concat(F.lit("ROW "), (i + 1).cast("string"), F.lit(": "), F.array_join(grid(r["row"]), " | ")))
+    number = F.col("table_no").cast("string") if len(keys) > 1 else F.lit("1")
+    header = F.concat(F.lit("[TABLE "), number, F.lit("] cols="), F.col("cols").cast("string"))
+    return tables.select(*keys, T.join_lines(F.concat(F.array(header), lines)).alias("table_text"))
 
 
 def tabular_from_context(text: Column) -> Column:

@@ -98,9 +98,10 @@ def throughput_report(history: DataFrame) -> DataFrame:
 def rate_limit_windows(
     usage: DataFrame, limit: int = REQUESTS_PER_MINUTE, seconds: int = RATE_WINDOW_SECONDS
 ) -> DataFrame:
-    """Requests per model in the window that ends at each arrival, and the wait once it is full.
+    """Requests per model in the window that ends at each arrival, how many of them get a slot, and the wait of the others.
 
-    Arrivals are first counted per instant, map-side.  Time is cut into buckets as long as the window; each
+    Of the arrivals of one instant as many are ``admitted`` as slots are left; the others are ``waiting`` until the oldest
+    request leaves the window.  Arrivals are first counted per instant, map-side.  Time is cut into buckets as long as the window; each
     instant also goes to the next bucket, so a window over (model, bucket) sees all it needs and no more.
     """
     at = micros(F.col("ts"))
@@ -110,10 +111,11 @@ def rate_limit_windows(
     halo = instants.withColumn("bucket", F.explode(F.array(own, own + 1)))
     frame = Window.partitionBy("model", "bucket").orderBy("at").rangeBetween(-(span - 1), Window.currentRow)
     seen = halo.withColumns({"in_window": F.sum("n").over(frame), "oldest": F.min("at").over(frame)}).where(F.col("bucket") == own)
-    full = F.col("in_window") - F.col("n") >= limit
-    wait = F.when(full, (F.col("oldest") + span - F.col("at")) / SECOND).otherwise(0.0)
-    return seen.select("model", F.col("at").alias("at_micros"), F.col("n").alias("arrivals"), "in_window", (~full).alias("admitted"),
-                       F.round(wait, 6).alias("wait_seconds"))
+    room = F.greatest(F.lit(0), F.lit(limit) - (F.col("in_window") - F.col("n")))
+    admitted = F.least(F.col("n"), room).cast("long")
+    wait = F.when(admitted < F.col("n"), (F.col("oldest") + span - F.col("at")) / SECOND).otherwise(0.0)
+    return seen.select("model", F.col("at").alias("at_micros"), F.col("n").alias("arrivals"), "in_window", admitted.alias("admitted"),
+                       (F.col("n") - admitted).alias("waiting"), F.round(wait, 6).alias("wait_seconds"))
 
 
 def concurrent_requests(usage: DataFrame, limit: int = MAX_IN_FLIGHT) -> DataFrame:

@@ -196,24 +196,29 @@ register(
     CASE WHEN off IS NULL THEN '' ELSE ltrim(substr(text, off + 1), chr(10)) END AS references FROM cut""",
 )
 _TABLES = f""", cc AS (SELECT table_id, row_no, col_no, coalesce(nullif(regexp_replace({S.strip("replace(cell, chr(10), ' ')")}, '{S.SPACE}+', ' ', 'g'), ''), '<EMPTY>') AS t FROM cells),
-  rr AS (SELECT table_id, row_no, list(t ORDER BY col_no, t) AS row FROM cc GROUP BY ALL),
+  cm AS (SELECT table_id, row_no, col_no, min(t) AS t FROM cc GROUP BY ALL),
+  wide AS (SELECT table_id, max(col_no) AS cols FROM cm GROUP BY table_id),
+  grid AS (SELECT r.table_id, r.row_no, unnest(range(1, cols + 1)) AS col_no FROM (SELECT DISTINCT table_id, row_no FROM cm) r JOIN wide USING (table_id)),
+  rr AS (SELECT table_id, row_no, list(coalesce(t, '<EMPTY>') ORDER BY col_no) AS row FROM grid LEFT JOIN cm USING (table_id, row_no, col_no) GROUP BY ALL),
   tt AS (SELECT table_id, max(len(row)) AS cols, list(row ORDER BY row_no) AS rows FROM rr GROUP BY table_id),
   tables AS (SELECT table_id, concat('[TABLE 1] cols=', cols, chr(10), array_to_string(list_transform(range(1, len(rows) + 1), lambda i:
-    concat('ROW ', i, ': ', array_to_string(list_concat(rows[i], list_transform(range(0, cols - len(rows[i])), lambda j: '<EMPTY>')), ' | '))), chr(10))) AS table_text, rows, cols FROM tt)"""
+    concat('ROW ', i, ': ', array_to_string(rows[i], ' | '))), chr(10))) AS table_text, rows, cols FROM tt)"""
 register("table_context", lambda v: structure.table_context(v("cells")), with_views("cells") + _TABLES + " SELECT table_id, table_text FROM tables")
 register(
     "table_rows_from_context", lambda v: structure.table_rows_from_context(structure.table_context(v("cells"))),
     with_views("cells") + _TABLES + """ SELECT table_id, concat(chr(92), 'begin{tabular}{|', repeat('l|', cols), '}', chr(10), chr(92), 'hline', chr(10),
-    array_to_string(list_transform(rows, lambda r: concat(array_to_string(list_concat(r, list_transform(range(0, cols - len(r)), lambda j: '<EMPTY>')), ' & '), ' ', chr(92), chr(92), chr(10), chr(92), 'hline')), chr(10)),
+    array_to_string(list_transform(rows, lambda r: concat(array_to_string(r, ' & '), ' ', chr(92), chr(92), chr(10), chr(92), 'hline')), chr(10)),
     chr(10), chr(92), 'end{tabular}') AS tabular FROM tables""",
 )
 register(
     "attach_table_context",
     lambda v: pagetext.attach_table_context(v("page_text").select("book", "page_num", "doc_id", "text"),
-                                            structure.table_context(v("cells")).withColumnRenamed("table_id", "doc_id"), ["doc_id"]).select("book", "page_num", "text"),
-    with_views("page_text", "cells") + _TABLES + f""" SELECT book, page_num, CASE WHEN table_text IS NULL THEN {S.strip('text')}
+                                            structure.table_context(v("cells").withColumn("table_no", F.col("table_id") % 2 + 1))
+                                            .withColumn("doc_id", F.floor(F.col("table_id") / 2)).drop("table_id"), ["doc_id"]).select("book", "page_num", "text"),
+    with_views("page_text", "cells") + _TABLES + f""", per_page AS (SELECT table_id // 2 AS page_doc, string_agg(replace(table_text, '[TABLE 1] cols', concat('[TABLE ', 1 + table_id % 2, '] cols')), chr(10) || chr(10) ORDER BY table_id) AS table_text
+    FROM tables GROUP BY ALL) SELECT book, page_num, CASE WHEN table_text IS NULL THEN {S.strip('text')}
     WHEN {S.strip('text')} = '' THEN concat('[STRUCTURED_TABLE_CONTEXT]', chr(10), table_text)
-    ELSE concat({S.strip('text')}, chr(10), chr(10), '[STRUCTURED_TABLE_CONTEXT]', chr(10), table_text) END AS text FROM page_text LEFT JOIN tables ON doc_id = table_id""",
+    ELSE concat({S.strip('text')}, chr(10), chr(10), '[STRUCTURED_TABLE_CONTEXT]', chr(10), table_text) END AS text FROM page_text LEFT JOIN per_page ON doc_id = page_doc""",
 )
 
 # ---- marked text -------------------------------------------------------------------------------------------------

@@ -53,12 +53,13 @@ register(
   FROM history GROUP BY GROUPING SETS ((model, translated), (model), ())""",
 )
 register(
-    "rate_limit_windows", lambda v: usage.rate_limit_windows(v("llm_usage")),
-    with_views("llm_usage") + """, i AS (SELECT model, epoch_us(ts) AS at_micros, count(*) AS arrivals FROM llm_usage GROUP BY ALL),
+    "rate_limit_windows", lambda v: usage.rate_limit_windows(v("bursty_usage")),
+    with_views("bursty_usage") + """, i AS (SELECT model, epoch_us(ts) AS at_micros, count(*) AS arrivals FROM bursty_usage GROUP BY ALL),
   w AS (SELECT *, CAST(sum(arrivals) OVER f AS BIGINT) AS in_window, min(at_micros) OVER f AS oldest FROM i
     WINDOW f AS (PARTITION BY model ORDER BY at_micros RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW))
-  SELECT model, at_micros, arrivals, in_window, in_window - arrivals < 30 AS admitted,
-    CASE WHEN in_window - arrivals >= 30 THEN round((oldest + 60000000 - at_micros) / 1000000.0, 6) ELSE 0 END AS wait_seconds FROM w""",
+  , a AS (SELECT *, CAST(CASE WHEN in_window <= 30 THEN arrivals WHEN in_window - arrivals >= 30 THEN 0 ELSE 30 - in_window + arrivals END AS BIGINT) AS admitted FROM w)
+  SELECT model, at_micros, arrivals, in_window, admitted, arrivals - admitted AS waiting,
+    CASE WHEN arrivals > admitted THEN round((oldest + 60000000 - at_micros) / 1000000.0, 6) ELSE 0 END AS wait_seconds FROM a""",
 )
 register(
     "concurrent_requests", lambda v: usage.concurrent_requests(v("llm_usage")),
@@ -143,7 +144,7 @@ register(
     "preference_flags", lambda v: history.preference_flags(v("history")),
     with_views("history") + """, r AS (SELECT pages, min(seq) AS f FROM history WHERE pages <> 'all' GROUP BY pages ORDER BY f DESC LIMIT 5)
   SELECT bool_or(translated) AS default_translate, arg_max(quality_mode, seq) FILTER (quality_mode IS NOT NULL) AS quality_mode,
-    (SELECT string_agg(pages, ';' ORDER BY f) FROM r) AS page_ranges FROM history""",
+    (SELECT string_agg(pages, ';' ORDER BY f) FROM r) AS newest_ranges FROM history""",
 )
 _TERMS = f""", e AS (SELECT seq, lower({S.strip('source')}) AS source, {S.strip('target')} AS target, deleted FROM term_events),
   l AS (SELECT source, arg_max(target, seq) AS target, arg_max(deleted, seq) AS deleted FROM e WHERE deleted OR target <> '' GROUP BY source),

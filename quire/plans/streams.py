@@ -9,20 +9,14 @@ from quire.operators import chunks
 from quire.plans.layout import _ASSEMBLED
 from quire.plans.operations import _COST, _LATEST, _RANK, _FIELDS, STAMP, _task_rows
 from quire.plans.registry import register
-from quire.plans.views import VIEWS, with_views
+from quire.plans.views import EVENT_STREAM, VIEWS, with_views
 from quire.sources import sinks
 from quire.streaming import progress
 
 
-def _events(v) -> DataFrame:
-    """The event table as a stream of its files."""
-    table = v("events")
-    return progress.read_events(table.sparkSession, table.inputFiles()[0].replace("events.parquet", "events*.parquet"))
-
-
 def _stream(v, name: str) -> DataFrame:
     """A view over events, built on the stream instead of the table."""
-    return VIEWS[name].build(lambda n: _events(v) if n == "events" else v(n))
+    return VIEWS[name].build(lambda n: v(EVENT_STREAM) if n == "events" else v(n))
 
 
 def _stamp(df: DataFrame, *columns: str) -> DataFrame:
@@ -97,14 +91,14 @@ register(
 
 
 def _reread(v) -> DataFrame:
-    history = v("history")
+    history = v("history").withColumn("total_cost", F.when(F.col("seq") % 3 > 0, F.col("total_tokens") / 1000000))
     path = sinks.scratch(history.sparkSession, "history")
     sinks.write_history_json(history, path)
-    return _stamp(sinks.scan_history_json(history.sparkSession, path).drop("total_cost"), "ts")
+    return _stamp(sinks.scan_history_json(history.sparkSession, path), "ts")
 
 
 register(
     "scan_history_json", _reread,
     with_views("history") + """ SELECT seq, filename, model, template, translated, pages, quality_mode, output_file, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts,
-    total_pages, processed_pages, total_tokens, processing_time FROM history""",
+    total_pages, processed_pages, total_tokens, processing_time, CASE WHEN seq % 3 > 0 THEN total_tokens / 1000000.0::DOUBLE END AS total_cost FROM history""",
 )

@@ -168,9 +168,9 @@ register(
 )
 register(
     "merge_extractions",
-    lambda v: pagetext.merge_extractions(v("page_text"), v("second_reading")),
-    with_views("page_text", "second_reading") + f""", j AS (SELECT book, page_num, {S.strip("coalesce(a.text, '')")} AS one,
-    {S.strip("coalesce(b.text, '')")} AS two FROM page_text a FULL JOIN second_reading b USING (book, page_num)),
+    lambda v: pagetext.merge_extractions(v("page_text"), v("partial_reading")),
+    with_views("page_text", "partial_reading") + f""", j AS (SELECT book, page_num, {S.strip("coalesce(a.text, '')")} AS one,
+    {S.strip("coalesce(b.text, '')")} AS two FROM page_text a FULL JOIN partial_reading b USING (book, page_num)),
   q AS (SELECT *, {quality_sql('one')} AS q1, {quality_sql('two')} AS q2 FROM j),
   c AS (SELECT *, CASE WHEN two = '' THEN 'primary' WHEN one = '' OR q2 >= q1 THEN 'secondary' WHEN contains(one, two) THEN 'primary' ELSE 'merged' END AS source FROM q)
   SELECT book, page_num, source, CASE source WHEN 'primary' THEN one WHEN 'secondary' THEN two

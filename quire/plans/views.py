@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.blocks import with_group_total
 from quire.sources.corpus import scan_corpus, scan_lines, table
+from quire.streaming import progress
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -30,6 +31,8 @@ class View:
 
 
 VIEWS: dict[str, View] = {}
+# The event table as a stream of its files.
+EVENT_STREAM = "event_stream"
 
 
 def select(name: str, source: str, *columns: str, where: str | None = None, distinct: bool = False) -> None:
@@ -48,6 +51,8 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Build a view (or read a raw table) as a DataFrame."""
     if name in TABLES:
         return table(spark, folder, name)
+    if name == EVENT_STREAM:
+        return progress.read_events(spark, f"{folder}/events.parquet")
     return VIEWS[name].build(lambda n: view(spark, folder, n))
 
 
@@ -117,6 +122,7 @@ select("math_pages", "page_text", "book", "page_num", """concat_ws(chr(10),
   CASE WHEN page_num % 4 = 0 THEN 'F(x) = x^2 +' END) AS text""")
 
 select("ref_pages", "page_text", "book", "page_num", """concat(text, chr(10),
+  CASE WHEN doc_id % 3 = 0 THEN concat('𝑥𝑦𝑧 and 😀', chr(10)) ELSE '' END,
   CASE CAST(doc_id % 4 AS INT)
     WHEN 0 THEN concat('References', chr(10), '[1] A. Author, 2001.', chr(10), '[2] B. Writer, 2002.')
     WHEN 1 THEN concat('[1] a', chr(10), '[2] b', chr(10), '[3] c', chr(10), '[4] d', chr(10), '[5] e', chr(10), '[6] f')
@@ -142,6 +148,10 @@ select("llm_usage", "events", "event_id AS request_id", "ts", "concat('t', CAST(
        "CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) * 10 AS completion_tokens", "1 + event_id % 12 AS pages",
        "value AS seconds")
 
+# Requests that arrive many at a time: all of one model and day at three instants.
+select("bursty_usage", "llm_usage", "request_id", "model",
+       "CAST(date_trunc('day', ts) AS TIMESTAMP) + (CAST(request_id % 3 AS INT) * INTERVAL '20' SECOND) AS ts")
+
 PRICING = ("SELECT * FROM (VALUES ('m0', CAST(1.0 AS DOUBLE), CAST(2.0 AS DOUBLE), 'CNY'), "
            "('m1', CAST(2.0 AS DOUBLE), CAST(4.0 AS DOUBLE), 'CNY'), "
            "('m2', CAST(-1.0 AS DOUBLE), CAST(2.0 AS DOUBLE), 'CNY')) "
@@ -181,9 +191,10 @@ CELL = ("CASE WHEN l_returnflag = 'N' AND col_no = 2 THEN NULL ELSE concat(l_ret
 VIEWS["cells"] = View(
     ("lineitem",),
     f"SELECT l_orderkey AS table_id, l_linenumber AS row_no, col_no, {CELL} FROM (SELECT l_orderkey, l_linenumber, "
-    "l_returnflag, l_linestatus, unnest(range(1, 2 + l_linenumber % 3)) AS col_no FROM lineitem)",
+    "l_returnflag, l_linestatus, unnest(range(1, 2 + l_linenumber % 3)) AS col_no FROM lineitem) WHERE NOT (l_returnflag = 'R' AND col_no = 2)",
     lambda v: v("lineitem")
     .selectExpr("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "explode(sequence(1, 1 + l_linenumber % 3)) AS col_no")
+    .where("NOT (l_returnflag = 'R' AND col_no = 2)")
     .selectExpr("l_orderkey AS table_id", "l_linenumber AS row_no", "col_no", CELL),
 )
 
@@ -268,6 +279,10 @@ select("marked_pages", "page_text", "book", "page_num",
 
 # A second reading of some pages, with noise in part of them.
 select("second_reading", "page_text", "book", "page_num",
+       "CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN '' WHEN 1 THEN text WHEN 2 THEN concat(text, ' ■■■■ □□□□ ') "
+       "ELSE translate(text, 'aeiourn', '▓▓▓▓▓▓▓') END AS text")
+# Some pages have no second reading at all.
+select("partial_reading", "page_text", "book", "page_num",
        "CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN '' WHEN 1 THEN text WHEN 2 THEN concat(text, ' ■■■■ □□□□ ') "
        "ELSE translate(text, 'aeiourn', '▓▓▓▓▓▓▓') END AS text", where="doc_id % 11 <> 0")
 

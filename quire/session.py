@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +28,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     return spark
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a temporary one in local mode only."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``.
+
+    Where it is unset in local mode, as in tests, a temporary folder stands in; it goes when the process ends.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    known = spark.sparkContext.getCheckpointDir()
-    return known or tempfile.mkdtemp(prefix="quire-ckpt-")
+    name = spark.sparkContext.applicationId
+    if name not in _FOLDERS:
+        _FOLDERS[name] = tempfile.mkdtemp(prefix="quire-shared-")
+        atexit.register(shutil.rmtree, _FOLDERS[name], ignore_errors=True)
+    return _FOLDERS[name]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

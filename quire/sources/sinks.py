@@ -39,7 +39,10 @@ def read_tex_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def write_history_json(history: DataFrame, path: str) -> None:
     """Nested history records, one JSON object per line."""
-    stats = F.struct("total_pages", "processed_pages", "total_tokens", "processing_time")
+    parts = ["total_pages", "processed_pages", "total_tokens", "processing_time"]
+    if "total_cost" in history.columns:
+        parts.append(F.struct(F.col("total_cost").isNotNull().alias("pricing_configured"), "total_cost").alias("cost"))
+    stats = F.struct(*parts)
     history.select("seq", "filename", "model", "template", "translated", "pages", "quality_mode", "output_file",
                    F.col("ts").cast("timestamp").alias("timestamp"), stats.alias("stats")).write.json(path)
 

@@ -23,15 +23,21 @@ COST_WINDOW = "1 hour"
 SESSION_GAP = "30 minutes"
 DEDUPE_WITHIN = "1 hour"
 BATCH_COLUMN = "batch_id"
+# Part files in one micro-batch, and seconds of event time after which a silent task leaves the state.
+FILES_PER_TRIGGER = 16
+PROGRESS_TTL_SECONDS = 30 * 86_400
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, pattern: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Event files as a stream, with event time as a timestamp."""
-    reader = spark.readStream.schema(EVENT_SCHEMA)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+def read_events(spark: SparkSession, path: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """Event files as a stream, with event time as a timestamp.  ``path`` is one file, a folder of part files, or a pattern.
+
+    ``files_per_trigger`` bounds a micro-batch.  Files are taken by age; rows later than the watermark allows are late.
+    """
+    # A file source refuses a plain file but takes a pattern that matches just it, or a folder.
+    pattern = path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
+    reader = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(pattern).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -63,9 +69,38 @@ def last_update(emitted: DataFrame, keys: list[str]) -> DataFrame:
     return folded.select(*keys, "v.*")
 
 
-def task_progress(events: DataFrame) -> DataFrame:
-    """Live state per task; update mode."""
-    return tasks.task_latest_state(events)
+def task_progress(events: DataFrame, ttl_seconds: int = PROGRESS_TTL_SECONDS) -> DataFrame:
+    """Live state per task; update mode.
+
+    The state is one row per task and leaves ``ttl_seconds`` of event time after the task's last event.
+    """
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get if state.exists else None
+        for batch in batches:
+            newest = batch.sort_values(["at", "event_id"]).iloc[-1]
+            created, updates = int(batch["at"].min()), len(batch)
+            if last is not None:
+                created, updates = min(created, last[4]), updates + last[6]
+            if last is None or (int(newest["at"]), int(newest["event_id"])) >= (last[3], last[5]):
+                numbers = [None if pd.isna(newest[c]) else int(newest[c]) for c in ("current_n", "total_n")]
+                last = (newest["status"], *numbers, int(newest["at"]), created, int(newest["event_id"]), updates)
+            else:
+                last = (*last[:4], created, last[5], updates)
+        state.update(last)
+        state.setTimeoutTimestamp(max(last[3] // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"task_id": [key[0]], "status": [last[0]], "current_n": pd.array([last[1]], "Int32"), "total_n": pd.array([last[2]], "Int32"),
+                            "created": [last[4]], "updated": [last[3]], "updates": [last[6]]})
+
+    staged = events.withWatermark("ts", LATENESS).select("task_id", "event_id", "status", F.col("current_n").cast("int"), F.col("total_n").cast("int"), "ts", F.unix_micros("ts").alias("at"))
+    folded = staged.groupBy("task_id").applyInPandasWithState(
+        advance, "task_id string, status string, current_n int, total_n int, created bigint, updated bigint, updates bigint",
+        "status string, current_n int, total_n int, updated bigint, created bigint, event_id bigint, updates bigint", "update", GroupStateTimeout.EventTimeTimeout)
+    return folded.select("task_id", "status", "current_n", "total_n", tasks.percent(F.col("current_n"), F.col("total_n")).alias("percent"),
+                         F.timestamp_micros("created").alias("created_at"), F.timestamp_micros("updated").alias("updated_at"), "updates")
 
 
 def rate_limit(requests: DataFrame, limit: int = usage.REQUESTS_PER_MINUTE) -> DataFrame:

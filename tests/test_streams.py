@@ -1,40 +1,67 @@
 """Streams fed in several micro-batches against their batch twins."""
 
-import tempfile
-
+import pytest
 from pyspark.sql import functions as F
 
+import check
 from quire.functions.udtf import register_functions
 from quire.operators import tasks, tex
+from quire.plans.registry import QUERIES, run
 from quire.plans.views import VIEWS, view
 from quire.streaming import progress
 
 FOLDER = "/root/testdata/sf0.001"
+STREAMS = [n for n in QUERIES if n.startswith("stream_")]
 
 
-def _split_events(spark):
-    folder = tempfile.mkdtemp(prefix="quire-events-")
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    """The events as a folder of four part files, oldest first."""
+    folder = tmp_path_factory.mktemp("events")
     events = view(spark, FOLDER, "events")
     for i in range(4):
-        events.where((F.col("event_id") >= i * 250) & (F.col("event_id") < (i + 1) * 250)).coalesce(1).write.mode("append").parquet(folder)
-    return folder
+        events.where((F.col("event_id") >= i * 250) & (F.col("event_id") < (i + 1) * 250)).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    return str(folder)
 
 
 def _rows(df):
     return sorted(tuple(str(r[c]) for c in sorted(df.columns)) for r in df.collect())
 
 
-def test_streams_equal_batch(spark):
-    folder = _split_events(spark)
+@pytest.mark.parametrize("name", STREAMS)
+def test_part_files_in_micro_batches(spark, parts, monkeypatch, name):
+    """All seven streams read every part file, one per micro-batch, and end like the stream over the single file."""
+    whole = run(name, spark, FOLDER)
+    monkeypatch.setattr(progress.read_events, "__defaults__", (1,))
+    found = run(name, spark, parts)
+    assert sorted(found.columns) == sorted(whole.columns)
+    ours = check.rows_of(found.columns, [tuple(r) for r in found.collect()])
+    theirs = check.rows_of(whole.columns, [tuple(r) for r in whole.collect()])
+    assert ours and ours == theirs
+
+
+def test_streams_equal_batch(spark, parts):
+    path = f"{parts}/events.parquet"
     batch = view(spark, FOLDER, "task_events").withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = VIEWS["task_events"].build(lambda n: progress.read_events(spark, folder, 1))
-    live = progress.last_update(progress.run_to_table(progress.task_progress(stream), "update", "t"), ["task_id"])
-    assert _rows(live) == _rows(tasks.task_latest_state(batch))
-    stream = VIEWS["task_events"].build(lambda n: progress.read_events(spark, folder, 1))
+    stream = VIEWS["task_events"].build(lambda n: progress.read_events(spark, path, 1))
+    emitted = progress.run_to_table(progress.task_progress(stream), "update", "t")
+    assert emitted.select(progress.BATCH_COLUMN).distinct().count() >= 4
+    assert _rows(progress.last_update(emitted, ["task_id"])) == _rows(tasks.task_latest_state(batch))
+    stream = VIEWS["task_events"].build(lambda n: progress.read_events(spark, path, 1))
     phases = progress.run_to_table(progress.phase_monotone(stream), "append", "p").drop(progress.BATCH_COLUMN)
     assert _rows(phases) == _rows(tasks.phase_monotone(batch))
 
 
+def test_silent_tasks_leave_the_state(spark, parts):
+    """A task without events for longer than its time to live starts anew when it returns; the others go on counting."""
+    stream = VIEWS["task_events"].build(lambda n: progress.read_events(spark, f"{parts}/events.parquet", 1))
+    silent = stream.where("NOT (task_id = 't2' AND event_id BETWEEN 250 AND 499)")
+    last = progress.last_update(progress.run_to_table(progress.task_progress(silent, ttl_seconds=3600), "update", "t"), ["task_id"])
+    events = {r.task_id: r["count"] for r in view(spark, FOLDER, "task_events").where("NOT (task_id = 't2' AND event_id BETWEEN 250 AND 499)").groupBy("task_id").count().collect()}
+    found = {r.task_id: r.updates for r in last.collect()}
+    assert found.pop("t2") < events.pop("t2") and found == events
+
+
 def test_table_function(spark):
     register_functions(spark)
     pages = spark.createDataFrame([("b", 0, "\\begin{x} {a} % {hidden\n\\end{x}\\(")], "book string, page_num int, tex string")

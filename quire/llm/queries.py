@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, chosen_path, gru, langid, packing, simhash, substrings, token_store, toxicity, winnow
+from quire.llm import bpe, chosen_path, gru, langid, oracles, packing, simhash, substrings, token_store, toxicity, winnow
 from quire.llm.common import fold, new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +30,7 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@register("op1_embedding_dedup")
+@register("op1_embedding_dedup", oracles.EMBEDDINGS)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -42,7 +42,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, classifier).withColumn("held_out", fold("doc_id", 3) == 1)
 
 
-@register("op3_chosen_path")
+@register("op3_chosen_path", oracles.SIMILAR)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.similar_documents(table(spark, folder, "documents"))
 
@@ -54,7 +54,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.digest(token_store.read_store(spark, path))
 
 
-@register("op5_substrings")
+@register("op5_substrings", oracles.REPEATS)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digested(substrings.drop_repeats(table(spark, folder, "documents")))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import links
-from quire.llm.common import WordHashes, bounds, groups, mix, rows, shingles, stored, words_of
+from quire.llm.common import bounds, groups, mix, rows, shingles, stored, texts_of, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -38,10 +38,17 @@ _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("leader", pa.bool_()),
 _EXACT = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("set", pa.binary())])
 
 
-def shingle_set(text: str, hashes: WordHashes, n: int = SHINGLE) -> np.ndarray:
-    """Distinct hashes of all runs of ``n`` words; a text of fewer words is one shingle; no word, no shingle."""
-    found = hashes.of(words_of(text))
-    return np.unique(shingles(found, min(n, len(found)))) if len(found) else found
+def shingle_sets(column: pa.Array, n: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Per text the distinct hashes of all runs of ``n`` words; a text of fewer words is one shingle; no word, no shingle."""
+    for _, data, ends in texts_of(column):
+        hashes, owner = word_hashes(data, ends)
+        grams = shingles(hashes, n)
+        limits = np.searchsorted(owner, np.arange(len(ends) + 1)).tolist()
+        for a, b in zip(limits[:-1], limits[1:]):
+            if b - a >= n:
+                yield np.unique(grams[a : b - n + 1])
+            else:
+                yield shingles(hashes[a:b], b - a) if b > a else hashes[:0]
 
 
 def factors(seed: int, size: int = SKETCH) -> np.ndarray:
@@ -62,13 +69,11 @@ def _sketches(docs: DataFrame, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashes, by = WordHashes(), factors(seed)
+        by = factors(seed)
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in _SET}
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                values = shingle_set(text, hashes) if name is not None and text else ()
-                if not len(values):
+            for name, values in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))):
+                if name is None or not len(values):
                     continue
                 for column, value in zip(out, (name, xxhash.xxh3_128_hexdigest(values.tobytes()), len(values), sketch(values, by).tobytes())):
                     out[column].append(value)
@@ -288,9 +293,8 @@ def _exact_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), hashes).tobytes() for t in batch.column(1)]
+            sets = [values.tobytes() for values in shingle_sets(batch.column(1))]
             yield rows(_EXACT, doc_id=batch.column(0), digest=[xxhash.xxh3_128_hexdigest(s) for s in sets], set=sets)
 
     return docs.mapInArrow(run, "doc_id long, digest string, set binary")

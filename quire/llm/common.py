@@ -12,11 +12,6 @@ from pyspark.sql import functions as F
 
 from quire.session import shared_folder
 
-# A word: anything but a space and the ASCII controls TAB to CR.
-WORD = r"[^\x20\x09-\x0D]+"
-_ASCII_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -26,16 +21,12 @@ def fold(key: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus, F.lit(-1)).cast("int")
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text.  ``str.split`` would also split at other white space."""
-    words = text.translate(_ASCII_SPACE).split(" ") if not text.isascii() else text.split()
-    if text.isascii():
-        # str.split() also cuts at the separators 0x1C to 0x1F, which are word characters here.
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            words = text.translate(_ASCII_SPACE).split(" ")
-        else:
-            return words
-    return [w for w in words if w]
+def words_of(text: str) -> list[bytes]:
+    """The words of a text in UTF-8: runs of anything but the space and the ASCII controls TAB to CR.
+
+    Those are just the bytes at which ``bytes.split`` cuts; ``str.split`` would also cut at other white space.
+    """
+    return text.encode("utf-8", "surrogatepass").split()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -59,23 +50,61 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered; emptied once ``limit`` words are held so that memory stays bounded."""
+_WORD_BASE = 0x5851F42D4C957F2D
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base modulo 2**64, and of its inverse; made once per Python worker."""
+    if len(_POWERS[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, base in enumerate((_WORD_BASE, pow(_WORD_BASE, -1, 1 << 64))):
+            powers, at, factor = np.ones(size, np.uint64), 1, np.uint64(base)
+            with np.errstate(over="ignore"):
+                while at < size:
+                    powers[at : 2 * at] = powers[:at] * factor
+                    at, factor = 2 * at, factor * factor
+            _POWERS[k] = powers
+    return _POWERS[0], _POWERS[1]
 
-    def __init__(self, limit: int = 400_000, seed: int = 0):
-        super().__init__()
-        import xxhash
 
-        self.limit, self.seed, self.function = limit, seed, xxhash.xxh3_64_intdigest
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word of several texts, and the number of the text it is in.
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = value = self.function(word.encode("utf-8", "surrogatepass"), self.seed)
-        return value
+    ``data`` holds the UTF-8 bytes of the texts one after the other, ``ends`` where each ends.  A word's hash is a polynomial
+    in its bytes, taken as a difference of prefix sums, so no word becomes a Python object.
+    """
+    n = len(data)
+    if not n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    last = np.zeros(n, bool)  # the last byte of a word's text ends the word
+    last[ends[ends > 0] - 1] = True
+    after = ~inside | last
+    starts = np.flatnonzero(inside & np.append(True, after[:-1]))
+    stops = np.flatnonzero(inside & np.append(after[1:] & ~inside[1:], True) | inside & last) + 1
+    powers, inverse = _powers(n)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
+        values = (sums[stops] - sums[starts]) * inverse[starts]
+    return mix(values, 9), np.searchsorted(ends, starts, "right")
 
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+def texts_of(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The texts of a column in slices of about ``limit`` bytes: number of the first text, bytes, ends; null is empty.
+
+    A longer text is a slice of its own.
+    """
+    column = column.fill_null("").cast(pa.large_string()) if column.null_count else column.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
+        yield first, data[offsets[first] : offsets[last]], offsets[first + 1 : last + 1] - offsets[first]
+        first = last
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import rows, stored, words_of
+from quire.llm.common import rows, stored
 
 HEAD = 1024
 CLASS = 32
@@ -43,18 +43,18 @@ KNOWN_LENGTH = 64
 SCORE_WINDOW = 32
 SCORE_ROWS = 768
 # No word holds a space, so this cannot be one.
-END = " "
+END = b" "
 
 
-def tokens_of(text: str | None) -> list[str]:
-    """Words with A to Z lower-cased, without the end token."""
-    return words_of(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")) if text else []
+def tokens_of(text: str | None) -> list[bytes]:
+    """Words in UTF-8 with A to Z lower-cased, without the end token."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes know no other letters or spaces
 
 
-def tail_class(word: str) -> int:
+def tail_class(word: bytes) -> int:
     """Class of a word outside the head, by its last letters."""
-    letters = [c for c in word if c.isalpha()]
-    return zlib.crc32("".join(letters[-3:]).encode("utf-8", "surrogatepass")) % TAIL
+    letters = [c for c in word.decode("utf-8", "replace") if c.isalpha()]
+    return zlib.crc32("".join(letters[-3:]).encode()) % TAIL
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
-        counts: Counter[str] = Counter()
+        counts: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch.column(0):
                 counts.update(tokens_of(text.as_py()))
@@ -75,7 +75,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("tail", pa.int32())])
         for batch in batches:
-            yield rows(schema, word=batch.column(0), n=batch.column(1), tail=[tail_class(w) for w in batch.column(0).to_pylist()])
+            yield rows(schema, word=batch.column(0), n=batch.column(1), tail=[tail_class(w) for w in batch.column(0).cast(pa.binary()).to_pylist()])
 
     total = texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
     return total.mapInArrow(classify, "word string, n long, tail int")
@@ -84,7 +84,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 class Counts:
     """What tasks know of the corpus: ``total`` tokens, ``distinct`` ones, and the frequent words with their counts."""
 
-    def __init__(self, total: int, distinct: int, words: list[str], counts: np.ndarray, tails: np.ndarray, tail_totals: np.ndarray, tail_words: np.ndarray):
+    def __init__(self, total: int, distinct: int, words: list[bytes], counts: np.ndarray, tails: np.ndarray, tail_totals: np.ndarray, tail_words: np.ndarray):
         self.total, self.distinct = total, distinct
         self.index = {w: i for i, w in enumerate(words)}
         self.logs = np.log10(counts + 1.0)
@@ -110,7 +110,7 @@ def gather_counts(table: DataFrame, known: int = KNOWN) -> Counts:
     if frequent is None or not frequent.num_rows:
         words, counts, tails = [], np.zeros(0), np.zeros(0, np.int64)
     else:
-        words, counts, tails = frequent.column("word").to_pylist(), frequent.column("n").to_numpy(), frequent.column("tail").to_numpy()
+        words, counts, tails = frequent.column("word").cast(pa.binary()).to_pylist(), frequent.column("n").to_numpy(), frequent.column("tail").to_numpy()
         order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
         words, counts, tails = [words[i] for i in order], counts[order], tails[order]
     tail_totals, tail_words = np.zeros(TAIL), np.zeros(TAIL)
@@ -274,7 +274,7 @@ def train(vector: np.ndarray, segments: np.ndarray, rate: float = RATE) -> np.nd
     return vector
 
 
-def _ids(counts: Counts, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _ids(counts: Counts, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Place among the frequent words (-1: not one of them) and network id of every word."""
     get = counts.index.get
     place = np.fromiter((get(w, -1) for w in words), np.int64, len(words))

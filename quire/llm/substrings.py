@@ -13,14 +13,16 @@ equal within one batch of a task is settled there, so a common passage sends one
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordHashes, bounds, groups, mix, rows, stored, words_of
+from quire.llm.common import bounds, groups, mix, rows, stored, texts_of, word_hashes, words_of
 from quire.llm.winnow import rolling, window_minima
 
 WINDOW = 13
@@ -37,28 +39,44 @@ _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed"
 def anchors_of(hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all grams, and for every window the place of its anchor."""
     grams = rolling(hashes, anchor)
-    return grams, window_minima(grams, window - anchor + 1)
+    return grams, window_minima(grams, window - anchor + 1) if len(hashes) >= window else np.empty(0, np.int64)
+
+
+def whole_windows(owner: np.ndarray, window: int) -> np.ndarray:
+    """Starts of the windows that lie within one text; ``owner`` is the text of every word."""
+    return np.flatnonzero(owner[: len(owner) - window + 1] == owner[window - 1 :]) if len(owner) >= window else np.empty(0, np.int64)
+
+
+def named(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """One number for a value in a text; the value is a 64-bit hash already."""
+    return values.view(np.uint64) ^ mix(owner.astype(np.uint64), 21)
+
+
+def list_values(column: pa.Array, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the lists of some rows in a row, and the row (from 0) that each belongs to; null is empty."""
+    part = column.slice(first, count)
+    sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return part.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(count), sizes)
 
 
 def _anchor_rows(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
-            found, docs = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = words_of(text.as_py())
-                if len(own) < window:
-                    continue
-                grams, place = anchors_of(words.of(own), window, anchor)
-                values = np.unique(grams[place])
-                found.append(values)
-                docs.append(np.full(len(values), doc, np.int64))
-            if not found:
+            ids, found, docs = batch.column(0).to_numpy(zero_copy_only=False), [], []
+            for first, data, ends in texts_of(batch.column(1)):
+                hashes, owner = word_hashes(data, ends)
+                grams, place = anchors_of(hashes, window, anchor)
+                at = whole_windows(owner, window)
+                place, own = place[at], owner[at]
+                change = np.append(True, (place[1:] != place[:-1]) | (own[1:] != own[:-1]))[: len(place)]
+                found.append(grams[place[change]])
+                docs.append(ids[first + own[change]])
+            if not found or not sum(map(len, found)):
                 continue
             value, doc = np.concatenate(found).view(np.int64), np.concatenate(docs)
             order = np.lexsort((doc, value))
             value, doc = value[order], doc[order]
-            fresh = np.append(True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]))  # a repeated id counts once
+            fresh = np.append(True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]))  # a document counts once
             value, doc = value[fresh], doc[fresh]
             starts = bounds(value)
             count = np.diff(starts)
@@ -85,28 +103,28 @@ def _window_names(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarr
 
 def _window_rows(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
-            firsts, seconds, docs = [], [], []
-            for doc, text, seeds, copy in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
-                if doc is None or copy or not seeds.is_valid or not text.is_valid:
-                    continue
-                own = words_of(text.as_py())
-                if len(own) < window:
-                    continue
-                hashes = words.of(own)
+            usable = pc.and_(pc.and_(pc.is_valid(batch.column(0)), pc.is_valid(batch.column(2))), pc.invert(batch.column(3)))
+            batch = batch.filter(usable)
+            if not batch.num_rows:
+                continue
+            ids, firsts, seconds, docs = batch.column(0).to_numpy(zero_copy_only=False), [], [], []
+            for start, data, ends in texts_of(batch.column(1)):
+                hashes, owner = word_hashes(data, ends)
                 grams, place = anchors_of(hashes, window, anchor)
-                grown = np.isin(grams[place].view(np.int64), np.asarray(seeds.values))
+                at = whole_windows(owner, window)
+                seeds, rows_of = list_values(batch.column(2), start, len(ends))
+                at = at[np.isin(named(grams[place[at]], owner[at]), named(seeds, rows_of))]
                 first, second = _window_names(hashes, window)
-                firsts.append(first[grown])
-                seconds.append(second[grown])
-                docs.append(np.full(int(grown.sum()), doc, np.int64))
-            if not docs:
-                continue
+                firsts.append(first[at])
+                seconds.append(second[at])
+                docs.append(ids[start + owner[at]])
             first, second, doc = (np.concatenate(x) for x in (firsts, seconds, docs))
+            if not len(doc):
+                continue
             order = np.lexsort((doc, second, first))
             first, second, doc = first[order], second[order], doc[order]
-            fresh = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (doc[1:] != doc[:-1]))[: len(doc)]
+            fresh = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (doc[1:] != doc[:-1]))
             first, second, doc = first[fresh], second[fresh], doc[fresh]
             # All but the smallest id of this batch repeat it, whatever other batches hold.
             head = np.zeros(len(doc), bool)
@@ -125,29 +143,40 @@ def _repeat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(_REPEATS, doc=doc[repeat], first=first[repeat])
 
 
-def covered(hashes: np.ndarray, repeats: np.ndarray, window: int) -> np.ndarray:
+def covered(hashes: np.ndarray, owner: np.ndarray, repeats: np.ndarray, repeat_owner: np.ndarray, window: int) -> np.ndarray:
     """Words inside the maximal runs of repeated windows."""
-    hit = np.isin(rolling(hashes, window).view(np.int64), repeats)
+    at = whole_windows(owner, window)
+    at = at[np.isin(named(rolling(hashes, window)[at], owner[at]), named(repeats, repeat_owner))]
     steps = np.zeros(len(hashes) + 1, np.int64)
-    np.add.at(steps, np.flatnonzero(hit), 1)
-    np.add.at(steps, np.flatnonzero(hit) + window, -1)
+    steps[at] += 1
+    steps[at + window] -= 1  # starts are distinct, and so are ends
     return np.cumsum(steps[:-1]) > 0
 
 
 def _kept_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
+            ids, texts, copies, repeats = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3)
+            gone: dict[int, np.ndarray] = {}
+            marked = pc.is_valid(repeats)
+            if pc.any(marked).as_py():
+                numbers = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+                some, lists = texts.filter(marked), repeats.filter(marked)
+                for start, data, ends in texts_of(some):
+                    hashes, owner = word_hashes(data, ends)
+                    hit = covered(hashes, owner, *list_values(lists, start, len(ends)), window)
+                    limits = np.searchsorted(owner, np.arange(len(ends) + 1))
+                    for k in range(len(ends)):
+                        gone[int(numbers[start + k])] = hit[limits[k] : limits[k + 1]]
             out: dict[str, list] = {f.name: [] for f in _KEPT}
-            for doc, text, copy, repeats in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
+            for k, (doc, text, copy) in enumerate(zip(ids, texts, copies)):
                 own = words_of(text.as_py()) if text.is_valid else []
                 kept = own
                 if len(own) >= window and copy:
                     kept = []  # every window starts in the first copy
-                elif len(own) >= window and repeats.is_valid:
-                    gone = covered(words.of(own), np.asarray(repeats.values), window)
-                    kept = [w for w, g in zip(own, gone.tolist()) if not g]
-                for name, value in zip(out, (doc, len(own), len(own) - len(kept), " ".join(kept))):
+                elif k in gone:
+                    kept = list(itertools.compress(own, (~gone[k]).tolist()))
+                for name, value in zip(out, (doc, len(own), len(own) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass"))):
                     out[name].append(value)
             yield rows(_KEPT, **out)
 

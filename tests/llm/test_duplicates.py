@@ -252,3 +252,21 @@ def test_positions(odd):
     text = next(t for d, t, *_ in odd_documents() if d == 36)
     places, values = winnow.fingerprint(text)
     assert [(r.position, r.hash) for r in found] == list(zip(places.tolist(), values.view(np.int64).tolist()))
+
+
+def test_word_hashes():
+    """Equal words hash alike wherever they stand; words end where texts end; other white space is part of a word."""
+    import pyarrow as pa
+
+    from quire.llm.common import texts_of, word_hashes, words_of
+
+    texts = [t for _, t, *_ in odd_documents()] + ["ab", "ab", "", "a\x1cb c d  ab", None, "\x0bab\x0c"]
+    for limit in (1, 50, 1 << 21):
+        names, seen = {}, 0
+        for first, data, ends in texts_of(pa.array(texts).slice(0), limit):
+            hashes, owner = word_hashes(data, ends)
+            own = [(first + k, w) for k in range(len(ends)) for w in words_of(texts[first + k] or "")]
+            assert [first + int(k) for k in owner] == [k for k, _ in own]
+            assert all(names.setdefault(w, h) == h for (_, w), h in zip(own, hashes.tolist()))
+            seen += len(ends)
+        assert seen == len(texts) and len(set(names.values())) == len(names)

@@ -144,7 +144,7 @@ def test_language_held_out(spark):
 
 
 def network(seed=0):
-    counts = gru.Counts(10_000, 2_000, [f"w{i}" for i in range(1500)], np.arange(1500, 0, -1), np.arange(1500) % gru.TAIL, np.full(gru.TAIL, 50.0), np.full(gru.TAIL, 9.0))
+    counts = gru.Counts(10_000, 2_000, [b"w%d" % i for i in range(1500)], np.arange(1500, 0, -1), np.arange(1500) % gru.TAIL, np.full(gru.TAIL, 50.0), np.full(gru.TAIL, 9.0))
     return counts, gru.start_vector(counts, seed)
 
 

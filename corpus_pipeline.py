@@ -22,33 +22,26 @@ TOXIC = toxicity.THRESHOLD
 LANGUAGE_SHARE = 0.5
 
 
-def _keep(docs: DataFrame, verdict: DataFrame, name: str = "verdict") -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` the verdict keeps; one narrow row per id decides, null ids stay.
-
-    Copies of an id in ``docs`` share the verdict: the id stays if any of them does.
-    """
-    gone = verdict.groupBy("doc_id").agg(F.max("kept").alias("any")).where("doc_id IS NOT NULL AND NOT any").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go.  It learns from the given labels of documents that are still here."""
-    classifier = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    verdict = toxicity.score(docs, classifier, TOXIC)
-    return _keep(docs, verdict.select("doc_id", (F.col("predicted") == 0).alias("kept")))
+    """Documents that the classifier calls toxic go, whatever their id.  It learns from the given labels of documents that are here."""
+    docs = docs.select(*COLUMNS)
+    return toxicity.accepted(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), TOXIC)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those where no language has half of the letters, go."""
-    verdict = langid.predict(docs, langid.fit(docs))
-    return _keep(docs, verdict.select("doc_id", ((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SHARE)).alias("kept")))
+    """Documents without a letter, and those where no language has half of the letters, go.  It learns from their ``lang``."""
+    docs = docs.select(*COLUMNS)
+    return langid.accepted(docs, langid.fit(docs), LANGUAGE_SHARE)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest ``doc_id`` stays; rows that repeat an id stay once."""
-    verdict = chosen_path.similar_documents(docs).select("doc_id", "kept")
-    named, nameless = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL").select(*COLUMNS)
-    return _keep(named, verdict).dropDuplicates(["doc_id"]).unionByName(nameless)
+    """Of each group of linked documents the one with the smallest ``doc_id`` stays; of rows that repeat an id one stays.
+
+    Rows without an id stay.  One narrow row per document that goes decides.
+    """
+    docs = docs.select(*COLUMNS)
+    gone = chosen_path.similar_documents(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +49,10 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without a repeat stay as they are.  ``n_chars`` follows the text.  A document that loses all its words goes.
     """
-    kept = stored(substrings.drop_repeats(docs), "kept").where("n_removed > 0").select("doc_id", "kept", "n_words", "n_removed")
-    joined = docs.join(kept, "doc_id", "left").where("n_removed IS NULL OR n_removed < n_words")
-    text = F.when(F.col("n_removed").isNull(), F.col("text")).otherwise(F.col("kept"))
-    return joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+    judged = substrings.drop_repeats(docs, carry=COLUMNS[1:]).where("n_removed = 0 OR n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    return judged.select("doc_id", F.when(changed, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source",
+                         F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import rows
+from quire.llm.common import filter_texts, rows
 
 # Blocks of the Unicode standard, first and last code point.  Letters outside belong to no script.
 SCRIPTS = {
@@ -247,3 +247,14 @@ def label(model: Model, texts: list[str | None], penalty: float = PENALTY) -> di
     spans = np.bincount(owner[change], minlength=len(per_text))
     return {"lang_pred": [model.languages[b] if t else "und" for b, t in zip(best, total)],
             "score": (votes[np.arange(len(best)), best] / np.maximum(total, 1)).tolist(), "spans": spans.tolist()}
+
+
+def accepted(docs: DataFrame, model: Model, share: float, penalty: float = PENALTY) -> DataFrame:
+    """Rows whose text has a letter and at least this share of its letters in one language, with their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(texts: list[str | None]) -> list[bool]:
+        found = label(shared.value, texts, penalty)
+        return [p != "und" and s >= share for p, s in zip(found["lang_pred"], found["score"])]
+
+    return filter_texts(docs, judge)

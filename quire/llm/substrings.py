@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -153,7 +153,7 @@ def covered(hashes: np.ndarray, owner: np.ndarray, repeats: np.ndarray, repeat_o
     return np.cumsum(steps[:-1]) > 0
 
 
-def _kept_rows(window: int):
+def _kept_rows(window: int, carried: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, copies, repeats = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3)
@@ -178,7 +178,9 @@ def _kept_rows(window: int):
                     kept = list(itertools.compress(own, (~gone[k]).tolist()))
                 for name, value in zip(out, (doc, len(own), len(own) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass"))):
                     out[name].append(value)
-            yield rows(_KEPT, **out)
+            made = rows(_KEPT, **out)
+            fields = [pa.field(f"carried_{k}", batch.column(4 + k).type) for k in range(carried)]
+            yield pa.RecordBatch.from_arrays([*made.columns, *batch.columns[4:]], schema=pa.schema([*_KEPT, *fields]))
 
     return run
 
@@ -190,18 +192,19 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(schema, doc_id=batch.column(0), n_words=batch.column(1), n_removed=batch.column(2), kept_sha256=digests)
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, carry: Sequence[str] = ()) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for every row: the words left, joined by single spaces.
 
     Removed is each word covered by a window of ``window`` words whose sequence also starts in a document with a smaller
     ``doc_id``; windows are judged on the input.  Words are runs of anything but spaces and ASCII controls, unchanged; a null
     text has none.  Rows that share a ``doc_id`` never remove from one another; a null ``doc_id`` neither removes nor loses
-    words.  Other columns are ignored; an empty table gives no rows.  The digests of the texts are written
+    words.  Other columns are ignored but for those in ``carry``, which follow the others; an empty table gives no rows.  The digests of the texts are written
     first; all else is one plan, in which the text is shuffled once by ``doc_id`` and that shuffle serves both passes over it.
     """
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    usable = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    extra = [F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
+    usable = texts.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     anchors = usable.mapInArrow(_anchor_rows(window, anchor), "anchor long, doc long, settled boolean")
     # Settled rows only travel to their document; they are dealt apart from their anchor.
     anchors = anchors.repartition(F.when(F.col("settled"), F.xxhash64("anchor", "doc")).otherwise(F.col("anchor"))).sortWithinPartitions("anchor")
@@ -217,8 +220,10 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     windows = grown.mapInArrow(_window_rows(window, anchor), "first long, second long, doc long, settled boolean")
     windows = windows.repartition(F.when(F.col("settled"), F.xxhash64("first", "second", "doc")).otherwise(F.col("first"))).sortWithinPartitions("first", "second")
     repeats = windows.mapInArrow(_repeat_rows, "doc long, first long").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("first").alias("repeats"))
-    judged = dealt.join(repeats, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", copy, "repeats")
-    return judged.mapInArrow(_kept_rows(window), "doc_id long, n_words long, n_removed long, kept string")
+    judged = dealt.join(repeats, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", copy, "repeats", *[f"carried_{k}" for k in range(len(carry))])
+    types = "".join(f", carried_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    kept = judged.mapInArrow(_kept_rows(window, len(carry)), f"doc_id long, n_words long, n_removed long, kept string{types}")
+    return kept.toDF("doc_id", "n_words", "n_removed", "kept", *carry)
 
 
 def digested(kept: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import rows, stored
+from quire.llm.common import filter_texts, rows, stored
 
 # Groups of terms that can stand for each other; a parameter of the operator.
 IDENTITY_TERMS = (
@@ -242,3 +242,9 @@ def score(docs: DataFrame, classifier: Classifier, threshold: float = THRESHOLD)
             yield rows(_OUT, doc_id=batch.column(0), score=found, predicted=[int(s >= threshold) for s in found])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def accepted(docs: DataFrame, classifier: Classifier, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows whose text scores below the threshold, with their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+    return filter_texts(docs, lambda texts: [shared.value.score(t) < threshold for t in texts])

@@ -11,7 +11,7 @@ from quire.functions import lines as P
 from quire.functions import quality as Q
 from quire.functions import text as T
 
-# Page size in points, limits of a difficult page, routing thresholds.
+# Page size in points where the input has none, limits of a difficult page, routing thresholds.
 PAGE_AREA = 612 * 792
 FORMULA_LIMIT, TABLE_LIMIT, IMAGE_LIMIT = 0.30, 0.20, 0.15
 OCR_TABLE_QUALITY, OCR_REGION_QUALITY, OCR_QUALITY = 0.5, 0.28, 0.18
@@ -32,7 +32,10 @@ def region_summary(regions: DataFrame) -> DataFrame:
 
 
 def page_features(pages: DataFrame, regions: DataFrame) -> DataFrame:
-    """Formula, table and image density of each page.  Lines are counted inside the row; only regions shuffle."""
+    """Formula, table and image density of each page.  Lines are counted inside the row; only regions shuffle.
+
+    ``regions`` carries the size of its page in ``page_width`` and ``page_height``; without them a page is US Letter.
+    """
     lines = T.split_newlines("text")
     staged = pages.withColumn("__lines", F.filter(lines, lambda line: ~T.is_blank(line)))
     total = F.greatest(F.lit(1), F.size("__lines"))
@@ -40,7 +43,10 @@ def page_features(pages: DataFrame, regions: DataFrame) -> DataFrame:
         "book", "page_num",
         (F.size(F.filter("__lines", P.has_formula)) / total).alias("f"),
         (F.size(F.filter("__lines", lambda line: line.rlike(P.TABLE_LINE))) / total).alias("t"))
-    images = region_summary(regions).select("book", "page_num", (F.col("image_area") / PAGE_AREA).alias("i"))
+    sized = {"page_width", "page_height"} <= set(regions.columns)
+    page_area = F.max(F.col("page_width") * F.col("page_height")) if sized else F.lit(None).cast("double")
+    width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    images = regions.groupBy("book", "page_num").agg((F.sum(width * height) / F.coalesce(F.nullif(page_area, F.lit(0.0)), F.lit(float(PAGE_AREA)))).alias("i"))
     joined = staged.join(images, ["book", "page_num"], "left").withColumn("i", F.coalesce("i", F.lit(0.0)))
     difficult = (F.col("f") > FORMULA_LIMIT) | (F.col("t") > TABLE_LIMIT) | (F.col("i") > IMAGE_LIMIT)
     return joined.select(

@@ -19,6 +19,7 @@ DUPLICATE_OPEN, DUPLICATE_CLOSE = "[DUPLICATE_HEADER]", "[/DUPLICATE_HEADER]"
 HEADING_RATIO, MAX_RATIO, TOP_RATIO, LARGE_RATIO = 1.25, 3.0, 2.0, 1.6
 HEADING_CHARS = (2, 80)
 PAGE_HEIGHT, MARGIN_SHARE = 792.0, 0.05
+MIN_GLYPHS = 10
 REFERENCE_HEADING = (
     "(?imd)^\\s*(?:\\d*\\.?\\s*)?(?:references|bibliography|works\\s+cited|参考文献|参考资料|文献)\\s*[:：]?\\s*$"
     "|\\\\section\\*?\\{\\s*(?:references|bibliography|works\\s+cited|参考文献|参考资料|文献)\\s*\\}|\\\\begin\\{thebibliography\\}"
@@ -160,9 +161,14 @@ def heading_level(text: Column, size: Column, median: Column) -> Column:
 
 
 def chapter_candidates(lines: DataFrame) -> DataFrame:
-    """Headings of each page in order; directly repeated titles of a page shrink to the largest."""
+    """Headings of each page in order; directly repeated titles of a page shrink to the largest.
+
+    Pages with fewer than ``MIN_GLYPHS`` glyphs have none.  ``page_height``, where the lines have it, sets the margins of a page.
+    """
     packed = F.array_sort(F.collect_list(F.struct("line_no", T.strip("text").alias("text"), "size", "y0")))
-    pages = lines.groupBy(*PAGE).agg(packed.alias("l"))
+    height = F.max("page_height") if "page_height" in lines.columns else F.lit(None).cast("double")
+    pages = lines.groupBy(*PAGE).agg(packed.alias("l"), F.sum(F.length("text")).alias("glyphs"), F.coalesce(height, F.lit(PAGE_HEIGHT)).alias("height"))
+    pages = pages.where(F.col("glyphs") >= MIN_GLYPHS)
     sizes = F.array_sort(F.filter(F.transform("l", lambda x: x["size"]), lambda s: s > 0))
     pages = pages.withColumn("median", F.get(sizes, F.floor(F.size(sizes) / 2).cast("int")))
 
@@ -171,7 +177,7 @@ def chapter_candidates(lines: DataFrame) -> DataFrame:
         return (
             (x["size"] > F.col("median") * HEADING_RATIO) & (x["size"] < F.col("median") * MAX_RATIO) & chars.between(*HEADING_CHARS)
             & x["text"].rlike("\\p{L}") & P.is_heading(x["text"])
-            & x["y0"].between(PAGE_HEIGHT * MARGIN_SHARE, PAGE_HEIGHT * (1 - MARGIN_SHARE))
+            & x["y0"].between(F.col("height") * MARGIN_SHARE, F.col("height") * (1 - MARGIN_SHARE))
         )
 
     none = F.array().cast("array<struct<title: string, font_size: double, level: int>>")

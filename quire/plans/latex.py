@@ -87,22 +87,23 @@ _ENVS = ", a AS (" + _at("%[^\\n]*|\\\\(?:begin|end)\\{[^}]*\\}?", "NOT starts_w
     UNION ALL SELECT book, page_num, 'unclosed', 'error', line, name FROM y WHERE opens AND next_opens IS NULL)"""
 register("environment_pairing", lambda v: tex.environment_pairing(v("tex_pages")), _TOKENS + _ENVS + " SELECT * FROM env")
 # One step per token: a closer takes the top of the stack away only when it fits.
-_DELIMITERS = with_views("tex_pages").replace("WITH ", "WITH RECURSIVE ", 1) + """, tk AS (SELECT book, page_num, list_filter(regexp_extract_all(tex, '%[^\\n]*|\\\\\\p{L}[^ \\n{}]*|\\\\[()\\[\\]]'),
+_STACK = """, tk AS (SELECT book, page_num, list_filter(regexp_extract_all(tex, '%[^\\n]*|\\\\\\p{L}[^ \\n{}]*|\\\\[()\\[\\]]'),
     lambda t: length(t) = 2 AND t[2] IN ('(', ')', '[', ']')) AS t FROM tex_pages),
   st AS (SELECT book, page_num, t, 0 AS i, '' AS open, 0 AS mismatched, 0 AS extra FROM tk UNION ALL
     SELECT book, page_num, t, i + 1, CASE WHEN c IN ('(', '[') THEN open || c WHEN fits THEN left(open, length(open) - 1) ELSE open END,
       mismatched + CASE WHEN c IN (')', ']') AND NOT fits AND open <> '' THEN 1 ELSE 0 END, extra + CASE WHEN c IN (')', ']') AND open = '' THEN 1 ELSE 0 END
-    FROM (SELECT *, t[i + 1][2] AS c, open <> '' AND right(open, 1) = (CASE t[i + 1][2] WHEN ')' THEN '(' WHEN ']' THEN '[' END) AS fits FROM st WHERE i < len(t)))
-  SELECT book, page_num, mismatched, extra, length(open) AS left_open FROM st WHERE i = len(t)"""
+    FROM (SELECT *, t[i + 1][2] AS c, open <> '' AND right(open, 1) = (CASE t[i + 1][2] WHEN ')' THEN '(' WHEN ']' THEN '[' END) AS fits FROM st WHERE i < len(t)))"""
+_DELIMITERS = with_views("tex_pages").replace("WITH ", "WITH RECURSIVE ", 1) + _STACK + " SELECT book, page_num, mismatched, extra, length(open) AS left_open FROM st WHERE i = len(t)"
 register("math_delimiter_balance", lambda v: tex.math_delimiter_balance(v("tex_pages")), _DELIMITERS)
 _GAPPY = with_views("gappy_pages") + ", tex_in AS (SELECT book, page_num, tex FROM gappy_pages)"
 register("common_format_findings", lambda v: tex.common_format_findings(v("gappy_pages")),
          _GAPPY + ", a AS (" + _at("\\n{4,}") + ") SELECT book, page_num, 'info' AS severity, line, length(m) AS feeds FROM a")
 register(
-    "findings_report", lambda v: tex.findings_report(v("gappy_pages")).drop("warnings_count"),
-    _GAPPY + _BRACES + _ENVS + f""", e AS (SELECT book, page_num, count(*) FILTER (severity = 'error') AS errors FROM env GROUP BY ALL),
-  f AS (SELECT book, page_num, missing_open + unclosed + coalesce(errors, 0) AS errors_count FROM braces LEFT JOIN e USING (book, page_num))
-  SELECT book, page_num, errors_count = 0 AS valid, errors_count, {S.count('tex', chr(92) + 'n{4,}')} AS infos FROM f JOIN tex_in USING (book, page_num)""",
+    "findings_report", lambda v: tex.findings_report(v("gappy_pages")),
+    (_GAPPY + _BRACES + _ENVS).replace("WITH ", "WITH RECURSIVE ", 1) + _STACK.replace("tex_pages", "tex_in") + f""", e AS (SELECT book, page_num, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM env GROUP BY ALL),
+  f AS (SELECT book, page_num, missing_open + unclosed + coalesce(errors, 0) AS errors_count, coalesce(warnings, 0) AS warnings FROM braces LEFT JOIN e USING (book, page_num)),
+  mm AS (SELECT book, page_num, mismatched + extra AS bad FROM st WHERE i = len(t))
+  SELECT book, page_num, errors_count = 0 AS valid, errors_count, warnings + bad AS warnings_count, {S.count('tex', chr(92) + 'n{4,}')} AS infos FROM f JOIN tex_in USING (book, page_num) JOIN mm USING (book, page_num)""",
 )
 _NESTED, _ESCAPED = "\\\\\\[\\s*\\\\\\[", "\\\\textbackslash\\{\\}\\s*\\\\?\\]"
 _ISOLATED, _DISPLAY = "\\\\\\[\\s*[√∑∫∏±∓≈≠≤≥=+\\-*/·.,:;()\\[\\]{}|\\s]+\\s*\\\\\\]", "(?s)\\\\\\[.*?\\\\\\]"

@@ -69,15 +69,15 @@ def _level(ratio: str) -> str:
 
 
 register(
-    "heading_levels", lambda v: v("glyph_lines").select("book", "page_num", "head", structure.heading_level(F.col("head"), F.col("head_size"), F.col("body_size")).alias("level")),
-    with_views("glyph_lines") + f", t AS (SELECT *, head AS text FROM glyph_lines) SELECT book, page_num, head, {_level('head_size / body_size')} AS level FROM t",
+    "heading_levels", lambda v: v("layout_lines").select("book", "page_num", "line_no", "text", structure.heading_level(F.col("text"), F.col("size"), F.lit(10.0)).alias("level")),
+    with_views("layout_lines") + f" SELECT book, page_num, line_no, text, {_level('size / 10')} AS level FROM layout_lines",
 )
 register(
     "chapter_boundaries", lambda v: structure.chapter_boundaries(v("layout_lines")),
-    with_views("layout_lines").replace("WITH ", "WITH RECURSIVE ", 1) + f""", med AS (SELECT book, page_num, list_sort(list(size))[count(*) // 2 + 1] AS median FROM layout_lines GROUP BY ALL),
+    with_views("layout_lines").replace("WITH ", "WITH RECURSIVE ", 1) + f""", med AS (SELECT book, page_num, list_sort(list(size))[count(*) // 2 + 1] AS median FROM layout_lines GROUP BY ALL HAVING sum(length(text)) >= 10),
   cand AS (SELECT l.*, {S.strip('text')} AS s, median FROM layout_lines l JOIN med USING (book, page_num)),
   ok AS (SELECT book, page_num, text, size, {_level('size / median')} AS level, row_number() OVER (PARTITION BY book ORDER BY page_num, line_no) AS i FROM cand
-    WHERE size > median * 1.25 AND size < median * 3 AND length(text) BETWEEN 2 AND 80 AND regexp_matches(text, '\\p{{L}}') AND y0 BETWEEN 39.6 AND 752.4
+    WHERE size > median * 1.25 AND size < median * 3 AND length(text) BETWEEN 2 AND 80 AND regexp_matches(text, '\\p{{L}}') AND y0 BETWEEN page_height * 0.05 AND page_height * (1 - 0.05)
       AND regexp_matches(text, '^(Chapter \\d|\\d+(\\.\\d+)* [A-Z]|\\d+\\. [A-Z]|References)')),
   fold AS (SELECT book, i, page_num, text, size, level, true AS fresh FROM ok WHERE i = 1 UNION ALL
     SELECT n.book, n.i, CASE WHEN d AND NOT n.size > f.size THEN f.page_num ELSE n.page_num END, CASE WHEN d AND NOT n.size > f.size THEN f.text ELSE n.text END,

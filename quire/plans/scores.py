@@ -93,7 +93,7 @@ register("formula_lines", lambda v: linefilters.formula_lines(v("math_lines").un
 _FEATURES = f""", d AS (SELECT book, page_num, CAST(greatest(1, count(*) FILTER ({S.strip('line')} <> '')) AS DOUBLE) AS total,
     count(*) FILTER ({S.strip('line')} <> '' AND regexp_matches(line, '{_FORMULA}')) AS f, count(*) FILTER (regexp_matches(line, '{_NS}{P}{{2,}}{_NS}{P}{{2,}}{_NS}')) AS t
     FROM math_lines GROUP BY book, page_num),
-  i AS (SELECT book, page_num, sum((x1 - x0) * (y1 - y0)) / 484704 AS i FROM regions GROUP BY book, page_num),
+  i AS (SELECT book, page_num, sum((x1 - x0) * (y1 - y0)) / max(page_width * page_height) AS i FROM regions GROUP BY book, page_num),
   x AS (SELECT book, page_num, f / total AS f, t / total AS t, coalesce(i, 0) AS i FROM d LEFT JOIN i USING (book, page_num)),
   features AS (SELECT book, page_num, round_even(f, 3) AS formula_density, round_even(t, 3) AS table_density, round_even(i, 3) AS image_density,
     f > 0.30 OR t > 0.20 OR i > 0.15 AS is_difficult FROM x)"""

@@ -46,8 +46,8 @@ register(
 )
 register(
     "compress_page_ranges",
-    lambda v: v("cache_requests").select("doc_id", ranges.compress_page_ranges(F.col("pages")).alias("pages")),
-    with_views("cache_requests") + """, n AS (SELECT doc_id, unnest(list_transform(string_split(pages, ','), lambda p: TRY_CAST(p AS BIGINT))) AS p
+    lambda v: v("page_lists").select("doc_id", ranges.compress_page_ranges(F.col("pages")).alias("pages")),
+    with_views("page_lists") + """, cache_requests AS (SELECT * FROM page_lists), n AS (SELECT doc_id, unnest(list_transform(string_split(pages, ','), lambda p: TRY_CAST(p AS BIGINT))) AS p
     FROM cache_requests), g AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM n),
   r AS (SELECT doc_id, min(p) AS a, CASE WHEN min(p) = max(p) THEN CAST(min(p) AS VARCHAR) ELSE concat(min(p), '-', max(p)) END AS run FROM g GROUP BY doc_id, island),
   s AS (SELECT doc_id, string_agg(run, ',' ORDER BY a) AS pages FROM r GROUP BY doc_id)

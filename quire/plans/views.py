@@ -134,7 +134,10 @@ select("page_requests", "documents", "source AS book", """CASE CAST(length(sourc
        distinct=True)
 
 select("regions", "page_text", "book", "page_num", "doc_id AS region_id", "CAST(0 AS DOUBLE) AS x0", "CAST(0 AS DOUBLE) AS y0",
-       "CAST(100 + doc_id % 400 AS DOUBLE) AS x1", "CAST(50 + doc_id % 300 AS DOUBLE) AS y1", where="doc_id % 3 = 0")
+       "CAST(100 + doc_id % 400 AS DOUBLE) AS x1", "CAST(50 + doc_id % 300 AS DOUBLE) AS y1",
+       # Letter and A4 pages.
+       "CAST(CASE WHEN doc_id % 2 = 0 THEN 612 ELSE 595 END AS DOUBLE) AS page_width", "CAST(CASE WHEN doc_id % 2 = 0 THEN 792 ELSE 842 END AS DOUBLE) AS page_height",
+       where="doc_id % 3 = 0")
 
 select("task_events", "events", "event_id", "ts", "concat('t', CAST(user_id AS STRING)) AS task_id",
        "CASE event_type WHEN 'signup' THEN 'extracting' WHEN 'view' THEN 'translating' WHEN 'click' THEN 'converting' "
@@ -342,13 +345,24 @@ VIEWS["glyphs"] = View(
     .selectExpr("book", "page_num", "g_idx", "ch", *_GLYPH.split(", ")),
 )
 # A heading above all lines of the page, each with its own size and position.
-HEAD_LINE = ["book", "page_num", "0 AS line_no", "head AS text", "head_size AS size", "head_y AS y0"]
-BODY_LINE = ["book", "page_num", "line_no + 1 AS line_no", "line AS text", "CAST(10 AS DOUBLE) AS size", "CAST(100 + line_no AS DOUBLE) AS y0"]
+HEIGHT = "CAST(CASE WHEN page_num % 2 = 0 THEN 792 ELSE 842 END AS DOUBLE) AS page_height"
+HEAD_LINE = ["book", "page_num", "0 AS line_no", "head AS text", "head_size AS size", "head_y AS y0", HEIGHT]
+BODY_LINE = ["book", "page_num", "line_no + 1 AS line_no", "line AS text", "CAST(10 AS DOUBLE) AS size", "CAST(100 + line_no AS DOUBLE) AS y0", HEIGHT]
 VIEWS["layout_lines"] = View(
     ("glyph_lines", "lines"),
     f"SELECT {', '.join(HEAD_LINE)} FROM glyph_lines UNION ALL SELECT {', '.join(BODY_LINE)} FROM lines",
     lambda v: v("glyph_lines").selectExpr(*HEAD_LINE).unionByName(v("lines").selectExpr(*BODY_LINE)),
 )
+# Requested pages of every stretch of 16 pages of a book, as a list; some stretches ask for all.
+VIEWS["page_lists"] = View(
+    ("page_text",),
+    "SELECT min(doc_id) AS doc_id, string_agg(CASE WHEN page_num // 16 % 5 <> 4 AND (page_num * 7 + doc_id) % 5 <> 0 THEN CAST(page_num + 1 AS VARCHAR) END, ',' ORDER BY page_num) AS pages "
+    "FROM page_text GROUP BY book, page_num // 16",
+    lambda v: v("page_text").groupBy("book", F.expr("page_num div 16").alias("part")).agg(
+        F.min("doc_id").alias("doc_id"),
+        F.expr("listagg(CASE WHEN (page_num div 16) % 5 <> 4 AND (page_num * 7 + doc_id) % 5 <> 0 THEN CAST(page_num + 1 AS STRING) END, ',') WITHIN GROUP (ORDER BY page_num)").alias("pages"))
+    .select("doc_id", "pages"),
+)
 RESPONSE = "concat('[PAGE ', CAST(page_num + 1 AS STRING), ']', chr(10), '[DUPLICATE_HEADER]x[/DUPLICATE_HEADER]译 ', text)"
 VIEWS["batch_responses"] = View(
     ("page_text",),

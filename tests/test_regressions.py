@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import blocks, chunks, pagetext, structure, usage
+from quire.operators import blocks, chunks, features, pagetext, structure, usage
 from quire.sources import corpus, sinks
 
 PAGE = "book string, page_num int"
@@ -92,3 +92,16 @@ def test_history_as_one_array(spark, tmp_path):
     (tmp_path / "history.json").write_text('[{"seq": 2, "filename": "a.pdf", "stats": {"total_pages": 3, "cost": {"pricing_configured": true, "total_cost": 0.5}}},\n {"seq": 1, "stats": {"cost": null}}]')
     rows = sinks.scan_history_json(spark, str(tmp_path / "history.json"), multi_line=True).orderBy("seq").collect()
     assert [(r.seq, r.filename, r.total_pages, r.total_cost) for r in rows] == [(1, None, None, None), (2, "a.pdf", 3, 0.5)]
+
+
+def test_page_geometry(spark):
+    """Margins and densities follow the size of the page; a page of a few glyphs has no chapter."""
+    line = lambda page, n, text, size, y, height: ("b", page, n, text, size, y, height)
+    lines = [x for page, height in ((0, 842.0), (1, 792.0)) for x in (line(page, 0, "Chapter 2 Methods", 18.0, 780.0, height), line(page, 1, "body text of the page", 10.0, 300.0, height), line(page, 2, "more of it", 10.0, 320.0, height))]
+    lines += [line(5, 0, "第1章", 18.0, 300.0, 842.0), line(5, 1, "ab", 10.0, 310.0, 842.0), line(5, 2, "c", 10.0, 320.0, 842.0)]
+    df = spark.createDataFrame(lines, f"{PAGE}, line_no int, text string, size double, y0 double, page_height double")
+    assert [r.page_num for r in structure.chapter_boundaries(df).collect()] == [0]
+    pages = spark.createDataFrame([("b", 0, "x"), ("b", 1, "x")], f"{PAGE}, text string")
+    regions = spark.createDataFrame([("b", 0, 1, 0.0, 0.0, 100.0, 100.0, 200.0, 200.0), ("b", 1, 2, 0.0, 0.0, 100.0, 100.0, 400.0, 100.0)],
+                                    f"{PAGE}, region_id bigint, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double")
+    assert [r.image_density for r in features.page_features(pages, regions).orderBy("page_num").collect()] == [0.25, 0.25]

@@ -265,41 +265,69 @@ def _is_content(line: Column) -> Column:
     return (s != "") & ~(s.startswith("[") & s.endswith("]"))
 
 
-def classified_lines(pages: DataFrame) -> DataFrame:
-    """Lines of a page with kind (blank, heading, math, prose) and block number.
+# Separators inside a page that is being cut into blocks: code points that no text may hold.
+BLOCK_MARK, LINE_MARK, HEAD_MARK = "\ufdd0", "\ufdd1", "\ufdd2"
 
-    A formula goes on as long as each line explicitly continues the one before, so a line is mathematics when its
-    run of continuations holds a mathematical line at or before it.  All windows share one partitioning by page.
+
+def _tested_lines(text: Column) -> Column:
+    """Lines of a page with their number, whether they are headings or mathematics, and whether they go on from the one before."""
+    lines = F.filter(F.transform(T.split_lines(text), lambda raw, i: F.struct(i.alias("line_no"), T.strip(raw).alias("line"))),
+                     lambda x: ~(x["line"].startswith("[") & x["line"].endswith("]")))
+
+    def test(found: Column) -> Column:
+        return F.transform(found, lambda x, i: T.let(F.struct(x["line"].alias("line"), F.get(found, i - 1)["line"].alias("before"), x["line_no"].alias("line_no")), lambda y: T.let(
+            F.struct(y.alias("y"), ((y["line"] != "") & P.is_text_heading(y["line"])).alias("heading")), lambda z: F.struct(
+                z["y"]["line_no"].alias("line_no"), z["y"]["line"].alias("line"), z["heading"].alias("heading"), (~z["heading"] & P.is_math(z["y"]["line"])).alias("math"),
+                F.coalesce(~z["heading"] & P.continues(z["y"]["before"], z["y"]["line"]), F.lit(False)).alias("goes_on")))))
+
+    return T.let(lines, test)
+
+
+def _kinds(tested: Column) -> Column:
+    """One letter per line: (b)lank, (h)eading, (p)rose, (m)athematics that goes on, (M)athematics that does not.
+
+    A formula goes on as long as each line explicitly continues the one before, so a line is mathematics when its run of
+    continuations holds a mathematical line at or before it.  Runs are found in a string of one letter per line, upper case
+    where a run starts.
     """
-    lines = pages.select(*PAGE, F.posexplode_outer(T.split_lines("text")).alias("line_no", "raw"))
-    lines = lines.select(*PAGE, "line_no", T.strip("raw").alias("line")).where(~(F.col("line").startswith("[") & F.col("line").endswith("]")))
-    order = Window.partitionBy(*PAGE).orderBy("line_no")
-    heading = (F.col("line") != "") & P.is_text_heading(F.col("line"))
-    tested = lines.withColumns({"heading": heading, "math": F.col("line").isNotNull() & ~heading & P.is_math(F.col("line")), "prev": F.lag("line").over(order)})
-    tested = tested.withColumn("goes_on", ~F.col("heading") & P.continues(F.col("prev"), F.col("line")))
-    breaks = F.col("heading") | ~F.col("goes_on") | F.coalesce(F.lag("heading").over(order), F.lit(True))
-    segmented = tested.withColumn("segment", F.sum(F.when(breaks, 1).otherwise(0)).over(order))
-    in_segment = Window.partitionBy(*PAGE, "segment").orderBy("line_no")
-    kinds = segmented.withColumn("formula", F.max("math").over(in_segment)).withColumn(
-        "kind", F.when(F.col("line") == "", "blank").when(F.col("heading"), "heading").when(F.col("formula"), "math").otherwise("prose"))
-    new_block = (
-        F.coalesce(F.lag("kind").over(order) != F.col("kind"), F.lit(True)) | (F.col("kind") == "heading")
-        | ((F.col("kind") == "math") & ~F.col("goes_on"))
-    )
-    blocks = kinds.withColumn("block_no", F.sum(F.when(new_block, 1).otherwise(0)).over(order))
-    return blocks.select(*PAGE, "line_no", "line", "kind", "block_no")
 
+    def letter(x: Column, i: Column) -> Column:
+        starts = x["heading"] | ~x["goes_on"] | F.coalesce(F.get(tested, i - 1)["heading"], F.lit(True))
+        return F.when(starts, F.when(x["math"], "M").otherwise("N")).otherwise(F.when(x["math"], "m").otherwise("n"))
+
+    runs = F.regexp_extract_all(F.array_join(F.transform(tested, letter), ""), F.lit("[Mm][mn]*|[Nn]"), F.lit(0))
+    formula = F.flatten(F.transform(runs, lambda r: F.array_repeat(r.rlike("\\A[Mm]"), F.length(r))))
+    return F.zip_with(tested, formula, lambda x, f: F.when(x["line"] == "", "b").when(x["heading"], "h").when(f, F.when(x["goes_on"], "m").otherwise("M")).otherwise("p"))
 
-def _joined(column: Column, separator: str) -> Column:
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", column.alias("t"))))
-    return F.array_join(F.transform(ordered, lambda x: x["t"]), separator)
+
+def _blocks(text: Column, show=None) -> Column:
+    """Blocks of a page: kind, first line number, number of lines, and the lines joined by spaces, each as ``show`` gives it.
+
+    A block starts where the kind changes, at every heading, and at mathematics that does not go on.  The page is joined with
+    marks and cut at them, so nothing leaves the row.
+    """
+
+    def cut(both: Column) -> Column:
+        lines, kinds = both["lines"], both["kinds"]
+
+        def marked(x: Column, i: Column) -> Column:
+            kind, before = F.get(kinds, i), F.get(kinds, i - 1)
+            starts = kind.isin("h", "M") | F.coalesce(F.lower(kind) != F.lower(before), F.lit(True))
+            shown = F.when(kind == "p", show(x["line"])).otherwise(x["line"]) if show else x["line"]
+            return F.concat(F.when(starts, F.concat(F.lit(BLOCK_MARK), F.lower(kind), x["line_no"].cast("string"), F.lit(HEAD_MARK))).otherwise(F.lit(LINE_MARK)), shown)
+
+        pieces = F.slice(F.split(F.array_join(F.transform(lines, marked), ""), BLOCK_MARK), 2, 2**30)
+        return F.transform(pieces, lambda piece: T.let(F.split(piece, HEAD_MARK, 2), lambda h: F.struct(
+            F.substring(h[0], 1, 1).alias("kind"), F.substring(h[0], 2, 20).cast("int").alias("first_line"),
+            (T.count_char(h[1], LINE_MARK) + 1).cast("long").alias("lines"), F.replace(h[1], F.lit(LINE_MARK), F.lit(" ")).alias("t"))))
+
+    return T.let(_tested_lines(text), lambda lines: T.let(F.struct(lines.alias("lines"), _kinds(lines).alias("kinds")), cut))
 
 
 def formula_blocks(pages: DataFrame) -> DataFrame:
-    """Formulas of a page, wrapped lines joined."""
-    lines = classified_lines(pages).where("kind = 'math'")
-    return lines.groupBy(*PAGE, "block_no").agg(
-        F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("lines"), _joined(F.col("line"), " ").alias("formula")).drop("block_no")
+    """Formulas of a page, wrapped lines joined.  Pages are cut inside the row, with no exchange."""
+    found = pages.select(*PAGE, F.explode_outer(F.filter(_blocks(F.col("text")), lambda b: b["kind"] == "m")).alias("b")).where("b IS NOT NULL")
+    return found.select(*PAGE, "b.first_line", "b.lines", F.col("b.t").alias("formula"))
 
 
 def render_formula_line(s: Column) -> Column:
@@ -358,24 +386,22 @@ def _rows_between(formula: Column, points: Column) -> Column:
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """Convert page text to LaTeX by rule: headings, formulas, paragraphs, and the table block at the end."""
+    """Convert page text to LaTeX by rule: headings, formulas, paragraphs, and the table block at the end.
+
+    A page is cut and rendered inside its row, with no exchange.
+    """
     marker = "[STRUCTURED_TABLE_CONTEXT]"
     whole = T.strip(F.replace("text", F.lit("[TWO_COLUMN_PAGE]"), F.lit("")))
     cut = F.instr(whole, marker)
     parts = pages.select(*PAGE, F.when(cut > 0, F.substring(whole, F.lit(1), cut - 1)).otherwise(whole).alias("text"),
                          F.when(cut > 0, F.substring(whole, cut + len(marker), F.length(whole))).alias("table"))
-    lines = classified_lines(parts).where("kind <> 'blank'")
-    text = F.when(F.col("kind") == "prose", L.escape_tex_keep_math(F.col("line"))).otherwise(F.col("line"))
-    blocks = lines.groupBy(*PAGE, "block_no", "kind").agg(_joined(text, " ").alias("t"))
-    rendered = blocks.withColumn("t", F.when(F.col("kind") == "heading", F.concat(F.lit("\\section*{"), L.escape_tex(F.col("t")), F.lit("}")))
-                                 .when(F.col("kind") == "math", render_formula(F.col("t"))).otherwise(T.strip("t")))
-    shown = rendered.where(~T.is_blank("t"))
-    ordered = F.array_sort(F.collect_list(F.struct("block_no", "t")))
-    bodies = shown.groupBy(*PAGE).agg(F.transform(ordered, lambda b: b["t"]).alias("b"))
+
+    def render(b: Column) -> Column:
+        return F.when(b["kind"] == "h", F.concat(F.lit("\\section*{"), L.escape_tex(b["t"]), F.lit("}"))).when(b["kind"] == "m", render_formula(b["t"])).otherwise(T.strip(b["t"]))
+
+    shown = F.transform(F.filter(_blocks(F.col("text"), L.escape_tex_keep_math), lambda b: b["kind"] != "b"), render)
     tables = F.filter(F.array(tabular_from_context(F.col("table"))), lambda t: F.coalesce(t, F.lit("")) != "")
-    joined = parts.select(*PAGE, tables.alias("tables")).join(bodies, PAGE, "left")
-    empty = F.array().cast("array<string>")
-    return joined.select(*PAGE, F.array_join(F.concat(F.coalesce("b", empty), F.coalesce("tables", empty)), "\n\n").alias("latex"))
+    return parts.select(*PAGE, F.array_join(F.concat(F.coalesce(F.filter(shown, lambda t: ~T.is_blank(t)), F.array().cast("array<string>")), F.coalesce(tables, F.array().cast("array<string>"))), "\n\n").alias("latex"))
 
 
 # ---- references --------------------------------------------------------------------------------------------------
@@ -473,7 +499,7 @@ def table_rows_from_context(tables: DataFrame) -> DataFrame:
 
 def _sections(text: Column, marker: str) -> Column:
     """(number, block) for each marked section; text before the first marker belongs to none."""
-    blocks = F.slice(F.split(text, marker), 2, 2**31 - 1)
+    blocks = F.slice(F.split(text, marker), 2, 2**30)
     numbers = F.regexp_extract_all(text, F.lit(marker), F.lit(1))
     return F.arrays_zip(numbers.alias("n"), blocks.alias("block"))
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import margins, scoring, tex
+from quire.operators import margins, scoring, structure, tex
 from quire.plans.registry import QUERIES, run
 from quire.plans.views import view
 
@@ -21,6 +21,12 @@ def test_page_operators_do_not_shuffle(spark, operator):
     assert "Exchange" not in plan(operator(pages))
 
 
+@pytest.mark.parametrize("operator", [structure.page_blocks, structure.formula_blocks])
+def test_pages_are_cut_in_their_row(spark, operator):
+    pages = view(spark, FOLDER, "documents").select(F.col("source").alias("book"), F.col("doc_id").cast("int").alias("page_num"), "text")
+    assert "Exchange" not in plan(operator(pages))
+
+
 def test_scan_reads_only_needed_columns(spark):
     text = plan(run("file_fingerprint", spark, FOLDER))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text

@@ -151,22 +151,33 @@ def start_vector(counts: Counts, seed: int = 5) -> np.ndarray:
     return vector
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def advance(net: dict[str, np.ndarray], state: np.ndarray, ids: np.ndarray, trace: bool = True) -> tuple[np.ndarray, list]:
+    """States before each token of a window (time, row, hidden) and after it; ``ids`` are the tokens before each one.
 
-
-def advance(net: dict[str, np.ndarray], state: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list]:
-    """States before each token of a window (time, row, hidden) and after it; ``ids`` are the tokens before each one."""
-    states, kept = np.empty((ids.shape[1] + 1, *state.shape), np.float32), []
+    With ``trace`` also what backpropagation needs of each step.
+    """
+    states, kept = np.empty((ids.shape[1] + 1, *state.shape), state.dtype), []
     states[0] = state
-    for t in range(ids.shape[1]):
-        x = net["x"][ids[:, t]]
-        gates = _sigmoid(x[:, : 2 * HIDDEN] + state @ net["u"])
-        keep, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        new = np.tanh(x[:, 2 * HIDDEN :] + (reset * state) @ net["v"])
-        kept.append((state, keep, reset, new))
-        state = keep * state + (1 - keep) * new
-        states[t + 1] = state
+    inputs, gate_weights, new_weights = net["x"], net["u"], net["v"]
+    with np.errstate(over="ignore"):  # a gate far below zero is zero
+        for t in range(ids.shape[1]):
+            x = inputs[ids[:, t]]
+            gates = state @ gate_weights
+            gates += x[:, : 2 * HIDDEN]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            keep, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
+            new = (reset * state) @ new_weights
+            new += x[:, 2 * HIDDEN :]
+            np.tanh(new, out=new)
+            if trace:
+                kept.append((state, keep, reset, new))
+            after = state - new
+            after *= keep
+            after += new
+            states[t + 1] = state = after
     return states, kept
 
 
@@ -182,7 +193,8 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
 def token_logs(net: dict[str, np.ndarray], states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural logarithm of P(class | state), and of P(word | class, state) for head words, per row of ``states``."""
     wanted = class_of(ids)
-    scores = states @ net["c"] + net["cb"]
+    scores = states @ net["c"]
+    scores += net["cb"]
     top = scores.max(axis=1)
     out = scores[np.arange(len(ids)), wanted] - top
     scores -= top[:, None]
@@ -360,7 +372,8 @@ def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
 def document_logs(net: dict[str, np.ndarray], documents: list[np.ndarray]) -> np.ndarray:
     """Natural log-probability of the classes, and of head words inside them, summed over each document (ids, in order)."""
     out = np.zeros(len(documents))
-    lengths = np.array([len(d) for d in documents])
+    lengths = np.array([len(d) for d in documents], np.int64)
+    tokens, first = np.concatenate([*documents, np.empty(0, np.int64)]).astype(np.int64), np.cumsum(lengths) - lengths
     order = np.argsort(-lengths, kind="stable")
     for a in range(0, len(order), SCORE_ROWS):
         at = order[a : a + SCORE_ROWS]
@@ -370,13 +383,12 @@ def document_logs(net: dict[str, np.ndarray], documents: list[np.ndarray]) -> np
         for t in range(0, int(own[0]) if len(own) else 0, SCORE_WINDOW):
             active = int(np.searchsorted(-own, -t, "left"))
             width = min(SCORE_WINDOW, int(own[0]) - t)
+            inside = t + np.arange(width)[None, :] < own[:active, None]
             ids = np.zeros((active, width), np.int64)
-            for k in range(active):
-                part = documents[at[k]][t : t + width]
-                ids[k, : len(part)] = part
+            ids[inside] = tokens[(first[at[:active], None] + t + np.arange(width)[None, :])[inside]]
             inputs = np.concatenate([last[:active, None], ids[:, :-1]], axis=1)
-            states, _ = advance(net, state[:active], inputs)
-            valid = (np.arange(width)[:, None] < (own[:active] - t)[None, :]).ravel()
+            states, _ = advance(net, state[:active], inputs, trace=False)
+            valid = inside.T.ravel()
             logs = token_logs(net, states[1:].reshape(-1, HIDDEN)[valid], ids.T.ravel()[valid])
             owner = np.tile(at[:active], width)[valid]
             out += np.bincount(owner, weights=logs, minlength=len(out))

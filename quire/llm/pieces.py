@@ -44,7 +44,7 @@ class PieceEncoder:
     forgotten all at once at ``limit`` entries, so memory is bounded.
     """
 
-    def __init__(self, tokenizer, byte_level: bool, limit: int = 500_000):
+    def __init__(self, tokenizer, byte_level: bool, limit: int = 800_000):
         self.tokenizer, self.merges, self.byte_level, self.limit = tokenizer, tokenizer.model, byte_level, limit
         self.known: dict[str, bytes] = {} if byte_level else {"": b""}
         self.parts: dict[str, bytes] = {}

@@ -21,13 +21,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_tex_corpus(blocks: DataFrame, path: str, partitions: int | None = None) -> None:
+def write_tex_corpus(blocks: DataFrame, path: str, partitions: int | None = None, names: DataFrame | None = None) -> None:
     """Write document blocks as text, one folder per book, files in page order.
 
+    ``names`` (``book, output_name``, one row per book, as ``unique_output_names`` gives them with their ``_cn`` and number)
+    renames the folders; a book without a name keeps its own.
+
     Range partitioning by (book, page_num) spreads a long book over several tasks and keeps pages ordered within
     and across its part files.
     """
     keys = ["book", "page_num"]
+    if names is not None:
+        named = blocks.join(names.select("book", "output_name"), "book", "left")
+        blocks = named.withColumn("book", F.coalesce("output_name", "book")).drop("output_name")
     ranged = blocks.repartitionByRange(partitions, *keys) if partitions else blocks.repartitionByRange(*keys)
     ranged.sortWithinPartitions(*keys).select("book", F.col("block").alias("value")).write.partitionBy("book").text(path)
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import blocks, chunks, features, pagetext, structure, usage
+from quire.operators import blocks, chunks, features, naming, pagetext, structure, usage
 from quire.sources import corpus, sinks
 
 PAGE = "book string, page_num int"
@@ -105,3 +105,13 @@ def test_page_geometry(spark):
     regions = spark.createDataFrame([("b", 0, 1, 0.0, 0.0, 100.0, 100.0, 200.0, 200.0), ("b", 1, 2, 0.0, 0.0, 100.0, 100.0, 400.0, 100.0)],
                                     f"{PAGE}, region_id bigint, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double")
     assert [r.image_density for r in features.page_features(pages, regions).orderBy("page_num").collect()] == [0.25, 0.25]
+
+
+def test_sink_uses_output_names(spark, tmp_path):
+    """Two sources of one name, one of them translated: each document has a folder of its own."""
+    sources = spark.createDataFrame([(1, "paper.pdf", True), (2, "paper.docx", True), (3, "paper.pdf", False)], "upload_id bigint, filename string, translate boolean")
+    names = naming.unique_output_names(sources).select(F.concat(F.lit("b"), F.col("upload_id").cast("string")).alias("book"), "output_name")
+    blocks_ = spark.createDataFrame([(f"b{i}", p, f"text {i} {p}") for i in (1, 2, 3, 4) for p in (0, 1)], f"{PAGE}, block string")
+    sinks.write_tex_corpus(blocks_, f"{tmp_path}/out", names=names)
+    found = {r.book for r in sinks.read_tex_corpus(spark, f"{tmp_path}/out").collect()}
+    assert found == {"paper_cn.tex", "paper_cn_2.tex", "paper.tex", "b4"}

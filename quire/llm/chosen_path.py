@@ -126,11 +126,11 @@ def _estimate(own: np.ndarray, other: np.ndarray) -> np.ndarray:
     return out
 
 
-def _leaders(near: float, wide: float):
-    """Brute force of a leaf with few comparisons among look-alikes.
+def _leaves(near: float, least: float):
+    """Brute force of a leaf on the sketches: pairs whose estimate is at least ``least`` join their members.
 
-    A set within ``near`` of a leader is not a leader itself, and is joined to every leader within ``wide``.  Distances obey
-    the triangle inequality: with ``wide >= near + distance of a link`` two linked sets always share a leader's edges.
+    What leaves the leaf is one edge per member, to the smallest member of its local component.  In a leaf of a cut bucket
+    the leaders are reported too: sets that are not within ``near`` of an earlier leader.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,27 +138,28 @@ def _leaders(near: float, wide: float):
             path, salt, node, cut = (part.column(k).to_numpy(zero_copy_only=False) for k in ("path", "salt", "node", "cut"))
             data = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint32).reshape(len(node), -1).astype(np.uint8)
             out_a, out_b, out_leader, out_path = [], [], [], []
+
+            def put(a: np.ndarray, b: np.ndarray, leader: bool, at: int, out_a=out_a, out_b=out_b, out_leader=out_leader, out_path=out_path, path=path) -> None:
+                out_a.append(a)
+                out_b.append(b)
+                out_leader.append(np.full(len(a), leader))
+                out_path.append(np.full(len(a), path[at]))
+
             edges = bounds(path, salt)
             for a, b in zip(edges[:-1], edges[1:]):
                 if b - a == 1 and not cut[a]:
                     continue
                 own, name = data[a:b], node[a:b]
                 alike = _estimate(own, own)
-                is_leader = np.ones(b - a, bool)
-                for k in range(1, b - a):
-                    is_leader[k] = not (alike[k, :k][is_leader[:k]] >= near).any()
-                x, y = np.nonzero((alike >= wide) & is_leader[None, :])
-                keep = x != y
-                out_a.append(name[x[keep]])
-                out_b.append(name[y[keep]])
-                out_leader.append(np.zeros(keep.sum(), bool))
-                out_path.append(np.full(keep.sum(), path[a]))
+                joined = alike >= least
+                np.fill_diagonal(joined, False)
+                x, y, _ = links.local_links(joined, name, np.ones(b - a, np.int64))
+                put(x[x != y], y[x != y], False, a)
                 if cut[a]:
-                    chosen = name[is_leader]
-                    out_a.append(chosen)
-                    out_b.append(chosen)
-                    out_leader.append(np.ones(len(chosen), bool))
-                    out_path.append(np.full(len(chosen), path[a]))
+                    is_leader = np.ones(b - a, bool)
+                    for k in range(1, b - a):
+                        is_leader[k] = not (alike[k, :k][is_leader[:k]] >= near).any()
+                    put(name[is_leader], name[is_leader], True, a)
             if out_a:
                 yield rows(_EDGE, a=np.concatenate(out_a), b=np.concatenate(out_b), leader=np.concatenate(out_leader), path=np.concatenate(out_path))
 
@@ -219,8 +220,9 @@ def _candidates(sets: DataFrame, threshold: float, runs: int, levels: int, leaf:
     dealt = dealt.repartition("path", "salt").sortWithinPartitions("path", "salt")
     # Estimates from SKETCH coordinates err by at most 0.15 in all but one of ten thousand cases.
     distance, slack = 1 - threshold, 0.15
-    edges = stored(dealt.mapInArrow(_leaders(1 - distance, 1 - 2 * distance - slack), "a long, b long, leader boolean, path long"), "edges")
-    # Linked sets of two leaves have leaders within three link distances of each other.
+    edges = stored(dealt.mapInArrow(_leaves(1 - distance, 1 - distance - slack), "a long, b long, leader boolean, path long"), "edges")
+    # A set of a cut bucket is within one link distance of a leader of its leaf, so by the triangle inequality linked sets of
+    # two leaves have leaders within three link distances of each other.
     chosen = edges.where("leader").select("path", F.col("a").alias("node"))
     total = chosen.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("blocks"))
     chosen = chosen.join(total, "path").withColumn("block", F.pmod(F.xxhash64("path", "node"), F.col("blocks")).cast("int"))

@@ -117,9 +117,9 @@ select("tex_pages", "page_text", "book", "page_num", "doc_id", f"{TEX} AS tex")
 select("math_pages", "page_text", "book", "page_num", """concat_ws(chr(10),
   CASE WHEN page_num % 4 = 1 THEN 'y^2 = z^2' END,
   text,
-  CASE WHEN page_num % 3 = 0 THEN concat('G(x) = x^2 +', chr(10), 'y^2 + z^2') END,
+  CASE WHEN page_num % 3 = 0 THEN concat('Q(u) = u^2 +', chr(10), 'y^2 + z^2') END,
   split_part(text, chr(10), 2),
-  CASE WHEN page_num % 4 = 0 THEN 'F(x) = x^2 +' END) AS text""")
+  CASE WHEN page_num % 4 = 0 THEN 'H(t) = t^3 +' END) AS text""")
 
 select("ref_pages", "page_text", "book", "page_num", """concat(text, chr(10),
   CASE WHEN doc_id % 3 = 0 THEN concat('𝑥𝑦𝑧 and 😀', chr(10)) ELSE '' END,
@@ -203,14 +203,14 @@ VIEWS["cells"] = View(
 
 select("tex_logs", "documents", "doc_id AS log_id", """concat_ws(chr(10), 'This is TeX', text,
     CASE WHEN doc_id % 2 = 0 THEN concat('C:/tmp/document.tex:', CAST(1 + doc_id % 90 AS STRING), ': Undefined control', chr(10), ' sequence.') END,
-    CASE WHEN doc_id % 3 = 0 THEN concat('! Missing $ inserted.', chr(10), 'l.8 x') END,
+    CASE WHEN doc_id % 3 = 0 THEN concat('! Extra }, or forgotten $.', chr(10), 'l.8 x') END,
     CASE WHEN doc_id % 5 = 0 THEN 'a.tex:9: Fatal error occurred' END) AS log""")
 
 select("furniture_pages", "sized_pages", "book", "page_num", "total_pages", """concat_ws(chr(10),
     CASE CAST(page_num % 6 AS INT) WHEN 0 THEN concat('Page ', CAST(page_num + 1 AS STRING), ' of 50')
       WHEN 1 THEN concat(CAST(page_num + 1 AS STRING), ' / ', CAST(total_pages AS STRING))
       WHEN 2 THEN concat('第 ', CAST(page_num + 1 AS STRING), ' 页') WHEN 3 THEN 'Chapter 1 Introduction'
-      WHEN 4 THEN '6    1. 不可压缩欧拉方程' END,
+      WHEN 4 THEN '8    2. 线性方程组求解' END,
     CASE WHEN page_num % 7 < 2 THEN concat('Running Title', chr(10), 'Running Title') END,
     text, CAST(page_num + 1 + page_num % 2 AS STRING)) AS text""")
 

@@ -40,8 +40,10 @@ def with_running(
     particular order.
     """
     key = F.col(order).cast("double")
-    spread = df.agg(F.min(order).cast("double").alias("low"), F.greatest(F.lit(1.0), (F.max(order).cast("double") - F.min(order).cast("double")) / F.count(order)).alias("step"))
-    low, step = (spread.select(c).scalar() if stretch else F.lit(d) for c, d in (("low", 0.0), ("step", 1.0)))
+    least, most = F.min(order).cast("double"), F.max(order).cast("double")
+    # One subquery gives both numbers.
+    spread = df.agg(F.struct(least.alias("low"), F.greatest(F.lit(1.0), (most - least) / F.count(order)).alias("step"))).scalar() if stretch else None
+    low, step = (spread["low"], spread["step"]) if stretch else (F.lit(0.0), F.lit(1.0))
     block = F.coalesce(F.floor((key - low) / (step * width)).cast("long"), F.lit(-1))
     return _running(df.withColumn("__block", block), list(group), order, running, width, exclusive, levels).drop("__block")
 

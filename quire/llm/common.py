@@ -91,7 +91,7 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(values, 9), np.searchsorted(ends, starts, "right")
 
 
-def texts_of(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def texts_of(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The texts of a column in slices of about ``limit`` bytes: number of the first text, bytes, ends; null is empty.
 
     A longer text is a slice of its own.

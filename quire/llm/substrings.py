@@ -12,7 +12,6 @@ equal within one batch of a task is settled there, so a common passage sends one
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 from collections.abc import Iterator, Sequence
 
@@ -185,13 +184,6 @@ def _kept_rows(window: int, carried: int):
     return run
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([*list(_KEPT)[:3], pa.field("kept_sha256", pa.string())])
-    for batch in batches:
-        digests = [hashlib.sha256(t.as_py().encode("utf-8", "surrogatepass")).hexdigest() for t in batch.column(3)]
-        yield rows(schema, doc_id=batch.column(0), n_words=batch.column(1), n_removed=batch.column(2), kept_sha256=digests)
-
-
 def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, carry: Sequence[str] = ()) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for every row: the words left, joined by single spaces.
 
@@ -228,4 +220,4 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ca
 
 def digested(kept: DataFrame) -> DataFrame:
     """The rows of ``drop_repeats`` with the sha256 of the text that is left instead of the text."""
-    return kept.mapInArrow(_digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

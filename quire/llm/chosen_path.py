@@ -335,7 +335,9 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, runs: int =
         F.transform(upto(F.col("above")), lambda k: key(own, at, -1 - k)),
         F.transform(upto(F.col("below")), lambda k: key(own - 1, k, -1 - at)),
     )
-    exact = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(banded.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # The members grow with the corpus; without the hint a small corpus would broadcast them and have another plan.
+    members_of_clusters = banded.select(F.col("node").alias("doc_id")).distinct()
+    exact = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members_of_clusters.hint("merge"), "doc_id", "left_semi")
     exact = _exact_sets(exact).dropDuplicates(["doc_id", "digest"])
     dealt = placed.select("node", "digest", "size", "cluster", "own_band", "block", F.explode(met).alias("k")).select("node", "digest", "size", "cluster", "own_band", "block", "k.*")
     dealt = dealt.join(exact.withColumnRenamed("doc_id", "node"), ["node", "digest"]).select("cluster", "band", "i", "j", "own_band", "block", "node", "size", "set")

@@ -57,7 +57,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences of at most 1024 tokens."""
-    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024, remember=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -231,13 +231,22 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, spans long")
 
 
-def label(model: Model, texts: list[str | None], penalty: float = PENALTY) -> dict[str, list]:
-    """Language, its share of the letters and the number of spans of each text."""
+def label(model: Model, texts: list[str | None], penalty: float = PENALTY, limit: int = 10_000_000) -> dict[str, list]:
+    """Language, its share of the letters and the number of spans of each text; about ``limit`` characters at a time."""
+    out: dict[str, list] = {"lang_pred": [], "score": [], "spans": []}
+    for part in portions([t or "" for t in texts], limit):
+        for name, values in _label(model, part, penalty).items():
+            out[name] += values
+    return out
+
+
+def _label(model: Model, texts: list[str], penalty: float) -> dict[str, list]:
     n = len(model.languages)
     if not n:
         return {"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts), "spans": [0] * len(texts)}
-    parts = [word_scores(model, part) for part in portions([t or "" for t in texts])]
-    scores, letters, per_text = (np.concatenate([p[k] for p in parts]) for k in range(3)) if parts else (np.empty((0, n)), np.empty(0), np.empty(0, np.int64))
+    parts = [word_scores(model, part) for part in portions(texts)]
+    scores, letters, per_text = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    del parts
     labels = best_paths(scores, per_text, penalty)
     owner = np.repeat(np.arange(len(per_text)), per_text)
     votes = np.bincount(owner * n + labels, weights=letters, minlength=len(per_text) * n).reshape(-1, n)

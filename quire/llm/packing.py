@@ -25,7 +25,7 @@ _PIECE = pa.schema([("part", pa.int32()), ("rank", pa.int64()), ("doc_id", pa.in
 _PIECES = "part int, rank long, doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, remember: bool = True) -> DataFrame:
     """One row per piece; ``rank`` counts the pieces of one length within the task ``part``.
 
     A document is its ids and the end id.  Longer ones than ``capacity`` are cut so that every piece but the first is
@@ -33,7 +33,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end, part = encoder(tokenizer, True).encode, end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        ids_of, end, part = encoder(tokenizer, True, remember).encode, end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in _PIECE}
@@ -138,15 +138,16 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, in
     return bins.plan
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, remember: bool = True) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens, one row per piece.
 
     Columns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.  Rows that share a ``doc_id`` are packed as
     separate documents.  An empty table gives no rows; other columns are ignored.  The pieces (no text, no ids) are
-    written once to the shared folder, so their ranks stay as they are when a task is run again.
+    written once to the shared folder, so their ranks stay as they are when a task is run again.  ``remember`` keeps the words
+    of a task in the Python worker for its next task.
     """
     spark = docs.sparkSession
-    pieces = stored(cut_pieces(docs, tokenizer, end_id, capacity), "pieces")
+    pieces = stored(cut_pieces(docs, tokenizer, end_id, capacity, remember), "pieces")
     sizes = pieces.groupBy("length", "part").agg(F.max("rank").alias("last"))
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in sizes.groupBy("length").agg(F.sum(F.col("last") + 1)).collect():  # at most ``capacity`` rows

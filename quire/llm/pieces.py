@@ -44,7 +44,7 @@ class PieceEncoder:
     forgotten all at once at ``limit`` entries, so memory is bounded.
     """
 
-    def __init__(self, tokenizer, byte_level: bool, limit: int = 800_000):
+    def __init__(self, tokenizer, byte_level: bool, limit: int = 500_000):
         self.tokenizer, self.merges, self.byte_level, self.limit = tokenizer, tokenizer.model, byte_level, limit
         self.known: dict[str, bytes] = {} if byte_level else {"": b""}
         self.parts: dict[str, bytes] = {}
@@ -117,8 +117,13 @@ class PieceEncoder:
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str, byte_level: bool) -> PieceEncoder:
-    """The encoder of this Python worker; workers are reused, so words learned in one task serve the next."""
+def encoder(path: str, byte_level: bool, remember: bool = True) -> PieceEncoder:
+    """The encoder of this Python worker; workers are reused, so words learned in one task serve the next.
+
+    Without ``remember`` the words go with the task, and leave the worker's memory to whatever runs after it.
+    """
+    if not remember:
+        return PieceEncoder(load(path), byte_level)
     key = (path, byte_level)
     if key not in _ENCODERS:
         _ENCODERS[key] = PieceEncoder(load(path), byte_level)

@@ -9,9 +9,10 @@ fall into ``TAIL`` classes by their last letters, inside which a word has its re
 sums to one over the known words and one unknown word per tail class.  Before training this is the unigram model.
 
 Counts cover every training document: a distributed count of every word, joined to the rare words of every document.
-The network is trained on one segment of every training document (at a place that depends on its text), by truncated
-backpropagation in parallel tasks whose weights are averaged after every round.  Scoring carries the state over the windows
-of a document from its first to its last token.
+The network learns every token of every training document once, by truncated backpropagation in parallel tasks whose
+weights are averaged after every round.  A document is cut into segments over whose windows the state is carried; the
+segments are dealt over the tasks and the rounds.  Scoring carries the state over the windows of a document from its first
+to its last token.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ CLASS = 32
 TAIL = 64
 HIDDEN = 16
 WINDOW = 16
-SEGMENT = 2  # windows per training segment, the state is carried over them
-ROUNDS = 3
-BATCH = 32
+SEGMENT = 64  # windows per training segment at most, the state is carried over them
+ROUNDS = 3  # each learns from its share of the segments
+BATCH = 128
 RATE = 0.05
 # Words whose counts every task knows; a bounded broadcast.  Longer words are never in it.
 KNOWN = 400_000
@@ -216,33 +217,37 @@ def gradients(net: dict[str, np.ndarray], state: np.ndarray, inputs: np.ndarray,
     states, kept = advance(net, state, inputs)
     time, batch = inputs.shape[1], len(inputs)
     flat = states[1:].reshape(-1, HIDDEN)
-    ids, share = targets.T.ravel(), weight.T.ravel() / max(weight.sum(), 1)
+    ids, share = targets.T.ravel(), weight.T.ravel() / weight.dtype.type(max(weight.sum(), 1))
     vector = np.zeros(sum(int(np.prod(s)) for s in SHAPES.values()), np.float32)
     grad = unpack(vector)
     wanted = class_of(ids)
-    logs = log_softmax(flat @ net["c"] + net["cb"])
-    loss = -(logs[np.arange(len(ids)), wanted] * share).sum()
-    error = np.exp(logs)
-    error[np.arange(len(ids)), wanted] -= 1
-    error *= share[:, None]
+    every = np.arange(len(ids))
+    error = flat @ net["c"]
+    error += net["cb"]
+    error -= error.max(axis=1, keepdims=True)
+    logs = error[every, wanted]
+    np.exp(error, out=error)
+    total = error.sum(axis=1)
+    loss = -((logs - np.log(total)) * share).sum()
+    error *= (share / total)[:, None]
+    error[every, wanted] -= share
     grad["c"][...], grad["cb"][...] = flat.T @ error, error.sum(axis=0)
     back = error @ net["c"].T
     head = np.flatnonzero((ids < HEAD) & (share > 0))
-    if len(head):
-        group = wanted[head]
-        weights, biases = net["w"].reshape(-1, CLASS, HIDDEN)[group], net["wb"].reshape(-1, CLASS)[group]
-        inside = log_softmax(np.matmul(weights, flat[head][:, :, None])[:, :, 0] + biases)
-        place = np.arange(len(head)), ids[head] % CLASS
-        loss -= (inside[place] * share[head]).sum()
-        error = np.exp(inside)
-        error[place] -= 1
-        error *= share[head][:, None]
-        back[head] += np.matmul(error[:, None, :], weights)[:, 0]
-        order = np.argsort(group, kind="stable")
-        starts = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
-        outer = error[order][:, :, None] * flat[head][order][:, None, :]
-        grad["w"].reshape(-1, CLASS, HIDDEN)[group[order][starts]] = np.add.reduceat(outer, starts, axis=0)
-        grad["wb"].reshape(-1, CLASS)[group[order][starts]] = np.add.reduceat(error[order], starts, axis=0)
+    order = head[np.argsort(wanted[head], kind="stable")]
+    limits = np.searchsorted(wanted[order], np.arange(HEAD // CLASS + 1)).tolist()
+    for k in range(HEAD // CLASS):
+        at = order[limits[k] : limits[k + 1]]
+        if len(at):
+            own = slice(k * CLASS, (k + 1) * CLASS)
+            inside = log_softmax(flat[at] @ net["w"][own].T + net["wb"][own])
+            place = np.arange(len(at)), ids[at] - k * CLASS
+            loss -= (inside[place] * share[at]).sum()
+            error = np.exp(inside)
+            error[place] -= 1
+            error *= share[at][:, None]
+            back[at] += error @ net["w"][own]
+            grad["w"][own], grad["wb"][own] = error.T @ flat[at], error.sum(axis=0)
     back = back.reshape(time, batch, HIDDEN)
     ahead = np.zeros_like(state)
     d_inputs = np.empty((time, batch, 3 * HIDDEN), np.float32)
@@ -265,18 +270,32 @@ def gradients(net: dict[str, np.ndarray], state: np.ndarray, inputs: np.ndarray,
     return float(loss), vector, states[-1]
 
 
-def train(vector: np.ndarray, segments: np.ndarray, rate: float = RATE) -> np.ndarray:
-    """One pass of Adam over segments (rows of ids, -1 after the end), windows in order with the state carried on."""
+def cut_segments(ids: np.ndarray, length: int = WINDOW * SEGMENT) -> list[np.ndarray]:
+    """All tokens of a document in runs of at most ``length``, each behind the token before it (-1: the document's start)."""
+    whole = np.concatenate([np.full(1, -1, np.int16), ids.astype(np.int16)])
+    return [whole[a : a + length + 1] for a in range(0, len(ids), length)]
+
+
+def train(vector: np.ndarray, segments: list[np.ndarray], rate: float = RATE) -> np.ndarray:
+    """One pass of Adam over segments as ``cut_segments`` gives them, windows in order with the state carried on.
+
+    Segments of like length are learned together, so that few rows of a window lie behind the end of theirs.
+    """
     vector, first, second, step = vector.copy(), np.zeros_like(vector), np.zeros_like(vector), 0
-    for a in range(0, len(segments), BATCH):
-        part = segments[a : a + BATCH]
-        inputs = np.concatenate([np.full((len(part), 1), -1, part.dtype), part[:, :-1]], axis=1)
+    order = np.argsort([-len(s) for s in segments], kind="stable")
+    batches = [order[a : a + BATCH] for a in range(0, len(order), BATCH)]
+    for k in np.random.default_rng(len(batches)).permutation(len(batches)):
+        part = [segments[i] for i in batches[k]]
+        own = np.array([len(s) - 1 for s in part])
+        tokens = np.full((len(part), int(own[0]) + 1), -1, np.int64)
+        for row, s in zip(tokens, part):
+            row[: len(s)] = s
         state = np.zeros((len(part), HIDDEN), np.float32)
-        for t in range(0, part.shape[1], WINDOW):
-            weight = (part[:, t : t + WINDOW] >= 0).astype(np.float32)
-            if not weight.any():
-                break
-            _, grad, state = gradients(unpack(vector), state, inputs[:, t : t + WINDOW], np.maximum(part[:, t : t + WINDOW], 0), weight)
+        for t in range(0, int(own[0]), WINDOW):
+            active = int(np.searchsorted(-own, -t, "left"))
+            inputs, targets = tokens[:active, t : t + WINDOW], tokens[:active, t + 1 : t + 1 + WINDOW]
+            weight = (t + np.arange(targets.shape[1])[None, :] < own[:active, None]).astype(np.float32)
+            _, grad, state = gradients(unpack(vector), state[:active], inputs[:, : targets.shape[1]], np.maximum(targets, 0), weight)
             norm = float(np.sqrt((grad * grad).sum()))
             grad *= min(1.0, 1.0 / max(norm, 1e-9))
             step += 1
@@ -297,47 +316,44 @@ def _ids(counts: Counts, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after ``rounds`` passes over one segment of every document, each averaged over the tasks."""
+    """Weights after one pass over every token of every document in ``rounds`` parts, each averaged over the tasks by tokens."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(counts)
-    length = WINDOW * SEGMENT
-    schema = pa.schema([("ids", pa.binary())])
+    schema = pa.schema([("round", pa.int32()), ("ids", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            out = []
-            for text in batch.column(0):
-                text = text.as_py() or ""
-                words = [*tokens_of(text), END]
-                pieces = -(-len(words) // length)
-                at = zlib.crc32(text.encode("utf-8", "surrogatepass")) % pieces * length
-                segment = np.full(length, -1, np.int16)
-                ids = _ids(known, words[at : at + length])[1]
-                segment[: len(ids)] = ids
-                out.append(segment.tobytes())
-            yield rows(schema, ids=out)
+            for at in range(0, batch.num_rows, 512):
+                parts, out = [], []
+                for text in batch.column(0).slice(at, 512):
+                    text = text.as_py() or ""
+                    first = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+                    for k, segment in enumerate(cut_segments(_ids(known, [*tokens_of(text), END])[1])):
+                        parts.append((first + k) % max(rounds, 1))
+                        out.append(segment.tobytes())
+                yield rows(schema, round=parts, ids=out)
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    segments = stored(texts.select("text").mapInArrow(cut, "ids binary").repartition(tasks), "segments")
+    segments = stored(texts.select("text").mapInArrow(cut, "round int, ids binary").repartition(tasks), "segments")
     vector = start_vector(counts)
     size = 4096
     sums_schema = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("weight", pa.float64()), ("values", pa.binary())])
     sums_type = "chunk int, part int, weight double, values binary"
-    for _ in range(rounds):
+    for part_of in range(rounds):
         now = spark.sparkContext.broadcast(vector)
 
         def learn(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            own, rows_seen = now.value, 0
+            own, tokens_seen = now.value, 0
             for batch in batches:
                 if batch.num_rows:
-                    data = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int16).reshape(-1, length)
-                    own, rows_seen = train(own, data.astype(np.int64)), rows_seen + len(data)
-            if rows_seen:
+                    data = [np.frombuffer(s, np.int16) for s in batch.column(0).to_pylist()]
+                    own, tokens_seen = train(own, data), tokens_seen + sum(len(s) - 1 for s in data)
+            if tokens_seen:
                 part = TaskContext.get().partitionId()
                 cuts = range(0, len(own), size)
-                yield rows(sums_schema, chunk=[*range(len(cuts))], part=[part] * len(cuts), weight=[float(rows_seen)] * len(cuts),
-                           values=[(own[a : a + size].astype(np.float64) * rows_seen).tobytes() for a in cuts])
+                yield rows(sums_schema, chunk=[*range(len(cuts))], part=[part] * len(cuts), weight=[float(tokens_seen)] * len(cuts),
+                           values=[(own[a : a + size].astype(np.float64) * tokens_seen).tobytes() for a in cuts])
 
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
@@ -350,12 +366,12 @@ def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
             if sums:
                 yield rows(sums_schema, chunk=[*sums], part=[h[0] for h in sums.values()], weight=[h[1] for h in sums.values()], values=[h[2].tobytes() for h in sums.values()])
 
-        learned = segments.mapInArrow(learn, sums_type)
+        learned = segments.where(F.col("round") == part_of).select("ids").mapInArrow(learn, sums_type)
         for modulus in (64, 1):
             learned = learned.repartition("chunk", F.col("part") % modulus).mapInArrow(add_up, sums_type)
         totals = [(r.chunk, r.weight, np.frombuffer(bytes(r["values"]), np.float64)) for r in learned.collect()]  # the size of the network
         if not totals:
-            break
+            continue
         new = vector.astype(np.float64)
         seen: dict[int, float] = {}
         for chunk, weight, values in totals:

@@ -204,6 +204,25 @@ def test_language_model_counts(spark, odd, monkeypatch):
     assert all(math.isfinite(r.score) and r.score < 0 for r in found)
 
 
+def test_segments_hold_every_token():
+    ids = np.arange(1, 2501) % 1000
+    for n in (1, 2, 31, 32, 33, 2500):
+        parts = gru.cut_segments(ids[:n], 32)
+        assert np.concatenate([p[1:] for p in parts]).tolist() == ids[:n].tolist()
+        assert [p[0] for p in parts] == [-1, *ids[31 : n - 1 : 32]]
+    assert max(len(p) for p in gru.cut_segments(ids)) > 33  # the state is carried over more than two windows
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_language_model_learns_every_token(spark, rounds):
+    """Every word of a long document, each there once and behind its 1500th token, moves its own input weights."""
+    names = [f"w{i}" for i in range(900)]
+    texts = spark.createDataFrame([(" ".join(["z"] * 1500 + names),), ("z " * 40,), (None,)], "text string")
+    counts = gru.gather_counts(gru.count_words(texts))
+    moved = gru.unpack(gru.fit(texts, counts, rounds))["x"] != gru.unpack(gru.start_vector(counts))["x"]
+    assert all(moved[counts.ids[counts.index[n.encode()]]].any() for n in names)
+
+
 def test_language_model_untaught(spark, odd, empty):
     found = gru.score(odd, F.lit(False), rounds=1).collect()
     assert {(r.n_known, r.train_tokens) for r in found} == {(0, 0)} and len(found) == odd.count()

@@ -19,6 +19,11 @@ def _stream(v, name: str) -> DataFrame:
     return VIEWS[name].build(lambda n: v(EVENT_STREAM) if n == "events" else v(n))
 
 
+def _twice(df: DataFrame) -> DataFrame:
+    """Every row delivered twice, by one source, so both come in one micro-batch."""
+    return df.unionByName(df)
+
+
 def _stamp(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.date_format(c, STAMP) for c in columns}).drop(progress.BATCH_COLUMN)
 
@@ -59,7 +64,7 @@ register(
 )
 register(
     "stream_dedupe_requests",
-    lambda v: progress.run_to_table(progress.dedupe_requests(_stream(v, "task_events").unionByName(_stream(v, "task_events"))).select("event_id", "task_id", "status"), "append", "dedupe")
+    lambda v: progress.run_to_table(progress.dedupe_requests(_twice(_stream(v, "task_events"))).select("event_id", "task_id", "status"), "append", "dedupe")
     .drop(progress.BATCH_COLUMN),
     with_views("task_events") + " SELECT event_id, task_id, status FROM task_events",
 )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -30,14 +31,43 @@ PROGRESS_TTL_SECONDS = 30 * 86_400
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
+def _in_time_order(spark: SparkSession, events: DataFrame, files: int) -> tuple[str, bool]:
+    """A copy of the events in part files by ranges of event time, and whether the ages of the files follow the ranges."""
+    path = scratch(spark, "events")
+    events.repartitionByRange(files, "ts").write.parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = [s for s in store.listStatus(folder) if s.getPath().getName().startswith("part-")]
+    parts.sort(key=lambda s: int(s.getPath().getName().split("-")[1]))
+    oldest = min((s.getModificationTime() for s in parts), default=0)
+    for k, part in enumerate(parts):
+        store.setTimes(part.getPath(), oldest + k, -1)
+    # Object stores may ignore the times that they are given.
+    return path, all(store.getFileStatus(s.getPath()).getModificationTime() == oldest + k for k, s in enumerate(parts))
+
+
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
-    """Event files as a stream, with event time as a timestamp.  ``path`` is one file, a folder of part files, or a pattern.
+    """A stored table of events as a stream, with event time as a timestamp.  ``path`` is one file, a folder of part files, or a pattern.
 
-    ``files_per_trigger`` bounds a micro-batch.  Files are taken by age; rows later than the watermark allows are late.
+    ``files_per_trigger`` bounds a micro-batch.  The part files of a table may each cover all of its time, so that rows of later
+    batches would be late: a table of more files than one batch takes is replayed from a copy in order of event time, and
+    no row is late however many files there are.  Where files cannot be given such an order, the copy is one batch.
     """
+    try:
+        events = spark.read.schema(EVENT_SCHEMA).parquet(path)
+        files = len(events.inputFiles())
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files = 0  # a pattern that nothing matches yet
+    limited = True
+    if files > files_per_trigger:
+        path, limited = _in_time_order(spark, events, files)
     # A file source refuses a plain file but takes a pattern that matches just it, or a folder.
     pattern = path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
-    reader = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.schema(EVENT_SCHEMA)
+    if limited:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(pattern).withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -40,6 +40,36 @@ def test_part_files_in_micro_batches(spark, parts, monkeypatch, name):
     assert ours and ours == theirs
 
 
+@pytest.fixture(scope="module")
+def mixed(spark, tmp_path_factory):
+    """The events as a folder of forty part files that each cover all of the time."""
+    folder = tmp_path_factory.mktemp("mixed")
+    view(spark, FOLDER, "events").repartition(40, "event_id").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_overlapping_part_files(spark, mixed, name):
+    """More files than a micro-batch takes, none older than the others: no row is late, and all ends as over the single file."""
+    whole, found = run(name, spark, FOLDER), run(name, spark, mixed)
+    ours = check.rows_of(found.columns, [tuple(r) for r in found.collect()])
+    theirs = check.rows_of(whole.columns, [tuple(r) for r in whole.collect()])
+    assert ours and ours == theirs
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_overlapping_part_files_equal_batch(spark, mixed, monkeypatch, ordered):
+    """The same against the batch twin, in several micro-batches, and in one where the files cannot be ordered."""
+    if not ordered:
+        written = progress._in_time_order
+        monkeypatch.setattr(progress, "_in_time_order", lambda *a: (written(*a)[0], False))
+    batch = view(spark, FOLDER, "task_events").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = VIEWS["task_events"].build(lambda n: progress.read_events(spark, f"{mixed}/events.parquet"))
+    emitted = progress.run_to_table(progress.task_progress(stream), "update", "t")
+    assert emitted.select(progress.BATCH_COLUMN).distinct().count() == (3 if ordered else 1)
+    assert _rows(progress.last_update(emitted, ["task_id"])) == _rows(tasks.task_latest_state(batch))
+
+
 def test_streams_equal_batch(spark, parts):
     path = f"{parts}/events.parquet"
     batch = view(spark, FOLDER, "task_events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -35,13 +35,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest ``doc_id`` stays; of rows that repeat an id one stays.
+    """Of each group of linked texts the one with the smallest ``doc_id`` stays; of rows that repeat an id and a text one stays.
 
-    Rows without an id stay.  One narrow row per document that goes decides.
+    Different texts under one id are judged apart, and rows without an id stay.  One narrow row per text that goes decides.
     """
     docs = docs.select(*COLUMNS)
-    gone = chosen_path.similar_documents(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
+    keyed = docs.where("doc_id IS NOT NULL").withColumn("key", F.xxhash64("doc_id", "text"))
+    linked = chosen_path.similar_documents(keyed.select(F.col("key").alias("doc_id"), "text")).where("n_links > 0")
+    linked = linked.select(F.col("doc_id").alias("key"), "class_id").distinct().join(keyed.select("key", "doc_id").distinct(), "key")
+    linked = stored(linked, "linked")
+    first = linked.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    gone = linked.join(first, "class_id").where("key != first.key").select("key")
+    return keyed.join(gone, "key", "left_anti").dropDuplicates(["key", "doc_id"]).select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

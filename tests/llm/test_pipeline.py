@@ -66,6 +66,17 @@ def test_text_stages(spark, name):
     assert rows_of(found) == multiset(plain(name, docs))
 
 
+def test_texts_that_share_an_id(spark):
+    """Only near copies and repeats of the same id and text go, not other texts under their ids."""
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    row = lambda d, t: (d, t, "en", "web", len(t))
+    stay = [row(3, text("c")), row(5, text("a")), *[row(7, text(f"{k}x")) for k in range(3)], row(9, text("e")), row(None, text("c"))]
+    go = [row(5, text("c") + " more"), row(7, text("c")), row(9, text("e")), row(9, text("e") + " more"), row(11, text("e"))]
+    df = spark.createDataFrame(stay + go, SCHEMA)
+    found = [(r.doc_id, r.text.removesuffix(" more")) for r in corpus_pipeline.near_duplicate_stage(spark, df, FOLDER).collect()]
+    assert multiset(found) == multiset((r[0], r[1]) for r in stay)
+
+
 def test_filter_stages(spark):
     docs = distinct_documents()
     df = spark.createDataFrame(docs, SCHEMA)

@@ -178,6 +178,8 @@ class TextCodec:
     def _learn(self, piece: str) -> None:
         # A word and the marks after it are separate pre-tokens; case goes before merging.
         plain = piece.lower() if piece.isascii() else piece
+        if self.vocabulary.special_cut and self.vocabulary.special_cut.search(plain):
+            plain = piece  # special strings are looked for before case goes: <|ENDOFTEXT|> is none
         cut = _LETTERS.fullmatch(plain)
         parts = cut.groups() if cut else (plain,)
         found = []

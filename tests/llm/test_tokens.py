@@ -40,6 +40,16 @@ def test_backtracking_equals_library():
         assert decoded.decode() == vocabulary.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", ["<|ENDOFTEXT|>", "a<|EndOfText|>B <|endoftext|> X<|endoftext|>Y", "A<|STARTOFTEXT|>, <|endoftext|><|ENDOFTEXT|>"])
+def test_special_strings_keep_their_case(text):
+    """Strings that would be special only in lower case are ordinary text."""
+    library, vocabulary = load(WORD_FILE), bpe.Vocabulary(WORD_FILE)
+    ids = library.encode(text, add_special_tokens=False).ids
+    found, decoded = bpe.TextCodec(vocabulary).run(text)
+    assert [int(i) for i in found.split()] == ids
+    assert decoded.decode() == library.decode(ids, skip_special_tokens=False)
+
+
 def test_round_trip_rows(odd, empty):
     library = load(WORD_FILE)
     expected = []

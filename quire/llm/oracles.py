@@ -29,3 +29,24 @@ REPEATS = f"""WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents),
   x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM w),
   k AS (SELECT x.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY x.p) AS t FROM x ANTI JOIN hit ON x.doc_id = hit.doc_id AND x.p = hit.p GROUP BY x.doc_id)
   SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id"""
+
+_CRC_TABLE = "crc AS (SELECT list(x ORDER BY i) AS steps FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) AS x FROM range(256) t(i)))"
+
+
+def _crc32(text: str) -> str:
+    """crc32 of the UTF-8 bytes of ``text``, where the column ``steps`` of the table ``crc`` is in reach."""
+    byte = f"list_transform(range(CAST(octet_length(encode({text})) AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {byte}), lambda c, b: xor(c >> 8, steps[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+CONVERSATIONS = f"""WITH {_CRC_TABLE}, t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+  o AS (SELECT conv_id, list({{'g': g, 'w': w}} ORDER BY turn NULLS FIRST, g) AS s FROM (SELECT conv_id, turn, md5(length(r) || ':' || r || x) AS g, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS w FROM t) GROUP BY conv_id),
+  h AS (SELECT conv_id, s, {_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM o, crc),
+  b AS (SELECT h.conv_id, list_concat(coalesce(f.s[1:h], []), h.s[h + 1:]) AS s FROM h LEFT JOIN o f ON f.conv_id = h.conv_id - h.conv_id % 20),
+  p AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM b),
+  k AS (SELECT conv_id, d, array_to_string(list_transform(s[1:d], lambda e: e.g), '') AS k, CASE WHEN d > 0 THEN s[d].w ELSE 0 END AS w, len(s) = d AS ended FROM p),
+  n AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, any_value(w) AS w, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256 FROM k GROUP BY k, d),
+  c AS (SELECT substr(k, 1, len(k) - 32) AS k, count(*) AS c FROM n WHERE d > 0 GROUP BY 1),
+  u AS (SELECT substr(k, 1, 32 * j) AS k, sum(CASE WHEN c IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * w) AS saved FROM (SELECT n.*, c, unnest(range(0, d + 1)) AS j FROM n LEFT JOIN c USING (k)) GROUP BY 1)
+  SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(c, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+  FROM n JOIN u USING (k) LEFT JOIN c USING (k) LEFT JOIN n p ON n.d > 0 AND p.k = substr(n.k, 1, len(n.k) - 32)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, chosen_path, gru, langid, oracles, packing, simhash, substrings, token_store, toxicity, winnow
+from quire.llm import bpe, chosen_path, gru, langid, oracles, packing, prefix_trie, simhash, substrings, token_store, toxicity, winnow
 from quire.llm.common import fold, new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = langid.fit(docs.where(fold("doc_id", 4) != 2))
     return langid.predict(docs, model).withColumn("held_out", fold("doc_id", 4) == 2)
+
+
+@register("op13_prefix_trie", oracles.CONVERSATIONS)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))

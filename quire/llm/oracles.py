@@ -50,3 +50,22 @@ CONVERSATIONS = f"""WITH {_CRC_TABLE}, t AS (SELECT conv_id, turn, coalesce(role
   u AS (SELECT substr(k, 1, 32 * j) AS k, sum(CASE WHEN c IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * w) AS saved FROM (SELECT n.*, c, unnest(range(0, d + 1)) AS j FROM n LEFT JOIN c USING (k)) GROUP BY 1)
   SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(c, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
   FROM n JOIN u USING (k) LEFT JOIN c USING (k) LEFT JOIN n p ON n.d > 0 AND p.k = substr(n.k, 1, len(n.k) - 32)"""
+
+_RUNS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _features(name: str, key: str) -> str:
+    return f"""{name}w AS (SELECT {key} AS id, {_RUNS} AS w FROM {name}),
+  {name}f AS (SELECT id, array_to_string(w[i:i + n - 1], ' ') AS f FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM {name}w, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n))"""
+
+
+RESAMPLED = f"""WITH {_CRC_TABLE}, {_features("documents", "doc_id")}, {_features("benchmark", "item_id")},
+  x AS (SELECT f, {_crc32("f")} % 10000 AS b FROM (SELECT f FROM documentsf UNION SELECT f FROM benchmarkf), crc),
+  s AS (SELECT b, count(*) AS s FROM documentsf JOIN x USING (f) GROUP BY b), t AS (SELECT b, count(*) AS t FROM benchmarkf JOIN x USING (f) GROUP BY b),
+  total AS (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM documentsf) AS s, (SELECT CAST(count(*) AS DOUBLE) FROM benchmarkf) AS t),
+  g AS (SELECT b, CAST(floor(1000 * ln((coalesce(CAST(t.t AS DOUBLE), 0) + 1) * (total.s + 10000) / ((CAST(s.s AS DOUBLE) + 1) * (total.t + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b), total),
+  w AS (SELECT id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM documentsf JOIN x USING (f) JOIN g USING (b) GROUP BY id),
+  d AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, len(v.w) >= 20 AS able, CAST('0x' || substr(sha256('42:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM documents JOIN documentsw v ON v.id = doc_id LEFT JOIN w ON w.id = doc_id),
+  r AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d),
+  k AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS k, count(*) FILTER (able) OVER () AS n FROM r)
+  SELECT doc_id, n_features, weight, score, CASE WHEN able AND k <= 5 * n // 100 THEN k END AS rank FROM k"""

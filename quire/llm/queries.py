@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, chosen_path, gru, langid, oracles, packing, prefix_trie, resampling, simhash, substrings, token_store, toxicity, winnow
+from quire.llm import bpe, chosen_path, discriminant, gru, langid, oracles, packing, prefix_trie, resampling, simhash, substrings, token_store, toxicity, winnow
 from quire.llm.common import fold, new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", fold("doc_id", 4) == 2)
 
 
+@register("op11_quality")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    scored = discriminant.quality(table(spark, folder, "documents"), table(spark, folder, "labels").where(fold("doc_id", 5) != 0))
+    return scored.withColumn("held_out", fold("doc_id", 5) == 0)
+
+
 @register("op12_resampling", oracles.RESAMPLED)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

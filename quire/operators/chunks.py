@@ -28,7 +28,7 @@ def display_positions(pages: DataFrame, width: int = BLOCK_WIDTH, dense: bool =
     """
     if dense:
         return pages.select(*PAGE, F.col("page_num").cast("long").alias("display_idx"))
-    numbered = number_rows(pages.select(*PAGE), ["book"], "page_num", "__n", width, stretch=False)
+    numbered = number_rows(pages.select(*PAGE), ["book"], "page_num", "__n", width, counted=True)
     return numbered.select(*PAGE, (F.col("__n") - 1).alias("display_idx"))
 
 
@@ -45,9 +45,9 @@ def chapter_chunks(
     starts = boundaries.select(*PAGE).distinct().withColumn("__start", F.lit(True))
     placed = cut_lineage(display_positions(pages, width, dense).join(starts, PAGE, "left"))
     opens = F.when(F.col("__start") | (F.col("display_idx") == 0), F.col("display_idx"))
-    placed = with_running(placed, ["book"], "display_idx", {"__from": (opens, F.max)}, width, stretch=False)
+    placed = with_running(placed, ["book"], "display_idx", {"__from": (opens, F.max)}, width, counted=True)
     first = F.when((F.col("display_idx") - F.col("__from")) % size == 0, 1).otherwise(0).cast("long")
-    numbered = with_running(placed, ["book"], "display_idx", {"__n": (first, F.sum)}, width, stretch=False)
+    numbered = with_running(placed, ["book"], "display_idx", {"__n": (first, F.sum)}, width, counted=True)
     return numbered.select(*PAGE, (F.col("__n") - 1).alias("chunk"))
 
 
@@ -58,7 +58,7 @@ def char_budget_chunks(pages: DataFrame, max_chars: int = MAX_CHARS, width: int
     a page across a cut stands alone; keys grow with the page number.
     """
     sized = pages.select(*PAGE, F.length("text").cast("long").alias("chars"))
-    placed = with_running(sized, ["book"], "page_num", {"__end": (F.col("chars"), F.sum)}, width, stretch=False)
+    placed = with_running(sized, ["book"], "page_num", {"__end": (F.col("chars"), F.sum)}, width, counted=True)
     first = F.floor((F.col("__end") - F.col("chars")) / max_chars)
     last = F.floor(F.greatest(F.col("__end") - 1, F.col("__end") - F.col("chars")) / max_chars)
     return placed.select(*PAGE, "chars", (first + last).alias("chunk_key"))

@@ -89,12 +89,12 @@ def unique_output_names(
         taken = taken.unionByName(files.select(*split)).unionByName(
             files.select(F.col("name").alias("base"), F.lit(1).cast("bigint").alias("taken")))
     taken = taken.where("taken IS NOT NULL").distinct().join(bases, "base", "left_semi")
-    gaps = number_rows(taken, ["base"], "taken", "__j", width, stretch=False)
+    gaps = number_rows(taken, ["base"], "taken", "__j", width, counted=True)
     # Sort key 2k for taken numbers whose gap is below k, 2r + 1 for the r-th source: unique, so blocks stay small.
     marks = gaps.groupBy("base", ((F.col("taken") - F.col("__j") + 1) * 2).alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
     wanted = ranked.select("base", (F.col("__rank") * 2 + 1).alias("__at"), F.lit(0).cast("bigint").alias("__n"), F.col(order), "__rank")
     merged = wanted.unionByName(marks, allowMissingColumns=True)
-    summed = with_running(merged, ["base"], "__at", {"__shift": (F.col("__n"), F.sum)}, width, stretch=False).where("__rank IS NOT NULL")
+    summed = with_running(merged, ["base"], "__at", {"__shift": (F.col("__n"), F.sum)}, width, counted=True).where("__rank IS NOT NULL")
     number = F.col("__rank") + F.col("__shift")
     name = F.concat("base", F.when(number > 1, F.concat(F.lit("_"), number.cast("string"))).otherwise(""), F.lit(".tex"))
     return summed.select(order, "base", name.alias("output_name"))

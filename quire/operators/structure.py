@@ -210,7 +210,7 @@ def chapter_boundaries(lines: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
         "grows": F.coalesce(F.col("first_size") > F.col("p_size"), F.lit(False)),
     })
     anchor = (F.col("m") >= 2) | ~F.col("link") | F.col("grows")
-    stated = with_running(linked, ["book"], "page_num", {"anchor": (F.when(anchor, F.col("page_num")), F.max)}, width, stretch=False)
+    stated = with_running(linked, ["book"], "page_num", {"anchor": (F.when(anchor, F.col("page_num")), F.max)}, width, counted=True)
     stated = stated.withColumn("last_stands", (F.col("page_num") - F.col("anchor")) % 2 == 0)
     previous = stated.select("book", (F.col("page_num") + 1).alias("page_num"), F.col("last_stands").alias("p_stands"))
     following = stated.select("book", (F.col("page_num") - 1).alias("page_num"), F.col("link").alias("n_link"), F.col("first_size").alias("n_size"))
@@ -247,7 +247,7 @@ def stitch_cross_page_formulas(pages: DataFrame, width: int = BLOCK_WIDTH) -> Da
     paired = paired.join(there, PAGE, "left")
     settled = (F.col("n") >= 2) | ~F.col("joins") | F.col("has_previous").isNull()
     last = F.when(settled, F.struct(F.col("page_num").alias("p"), F.col("joins").alias("link")))
-    run = with_running(paired, ["book"], "page_num", {"last": (last, F.max)}, width, stretch=False)
+    run = with_running(paired, ["book"], "page_num", {"last": (last, F.max)}, width, counted=True)
     linked = run.select(*PAGE, "next_head", (F.col("last.link") != ((F.col("page_num") - F.col("last.p")) % 2 != 0)).alias("link"))
     given = linked.where("link").select("book", (F.col("page_num") + 1).alias("page_num"), F.lit(True).alias("gave_head"))
     touched = linked.join(given, PAGE, "left").select(*PAGE, "link", F.when(F.col("link"), F.col("next_head")).alias("next_head"), F.coalesce("gave_head", F.lit(False)).alias("gave_head"))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.operators import blocks, chunks, features, naming, pagetext, structure, usage
@@ -28,11 +29,37 @@ def test_running_keeps_every_row(spark, kind, exclusive):
             assert found[g, r[1]] == ((sum(seen), max(seen)) if seen else (None, None))
 
 
-def test_blocks_stay_small_for_sparse_keys(spark):
-    """The carry has one row per block: about as many as the rows fill, however sparse the keys."""
-    df = spark.range(0, 10_000).select(F.lit("a").alias("g"), (F.col("id") * 1_000_003).alias("k"))
-    plan = blocks.number_rows(df, ["g"], "k", "n", width=100)
-    assert plan.agg(F.max("n"), F.countDistinct("n")).first()[:] == (10_000, 10_000)
+KEYS = {
+    "outlier": "CASE WHEN id = 29999 THEN 1L << 60 ELSE id END",
+    "hashed": "xxhash64(id)",
+    "hashed beside dense": "CASE WHEN id % 2 = 0 THEN xxhash64(id) ELSE id END",
+    "bursts": "floor(id / 10000) * 1000000000000000 + id % 10000",
+    "without a key": "CASE WHEN id % 3 > 0 THEN id END",
+}
+
+
+@pytest.mark.parametrize("kind", list(KEYS))
+@pytest.mark.parametrize("sampled", [False, True])
+def test_blocks_hold_equal_counts_whatever_the_keys(spark, monkeypatch, kind, sampled):
+    """One book has two thirds of the rows.  With a small limit on the blocks, cuts come from a sample, as on a large table."""
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 < 2, "a").otherwise(F.concat(F.lit("b"), F.col("id") % 7)).alias("g"), F.expr(KEYS[kind]).alias("k"), "id")
+    width, most = 500, 1000
+    if sampled:
+        monkeypatch.setattr(blocks, "MOST_BLOCKS", 16)
+        width, most = 1, 2 * 30_000 // 16
+    cut = blocks.with_blocks(rows, ["g"], "k", width)
+    sizes = cut.groupBy("__block").agg(F.count(F.lit(1)).alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] < most
+    # Blocks grow with the key inside a group, so the numbers are right too.
+    found = blocks.number_rows(rows, ["g"], "k", "n", width)
+    if kind != "without a key":
+        assert found.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy("k"))).where("n <> want").count() == 0
+    assert found.groupBy("g").agg(F.max("n").alias("most"), F.countDistinct("n").alias("all"), F.count(F.lit(1)).alias("rows")).where("most <> all OR all <> rows").count() == 0
+
+
+def test_running_over_nothing(spark):
+    none = spark.createDataFrame([], "g string, k bigint")
+    assert blocks.number_rows(none, ["g"], "k", "n").collect() == []
 
 
 def test_group_total_keeps_null_groups(spark):

@@ -42,7 +42,7 @@ def with_running(
     levels: int = 2,
     counted: bool = False,
 ) -> DataFrame:
-    """Add running aggregates over ``group`` ordered by the integer column ``order``; every row comes out again.
+    """Add running aggregates over ``group`` ordered by the column ``order``, unique in its group; every row comes out again.
 
     ``running`` maps an output name to ``(input, aggregate)``; the aggregate must be able to merge its own
     results (``F.sum``, ``F.max``, ``F.min``).  ``exclusive`` leaves the current row out.

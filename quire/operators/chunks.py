@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators.blocks import BLOCK_WIDTH, number_rows, with_running
+from quire.operators.filling import greedy_chunks
 from quire.operators.structure import mark_duplicate_headers
 from quire.session import cut_lineage
 
@@ -52,16 +53,11 @@ def chapter_chunks(
 
 
 def char_budget_chunks(pages: DataFrame, max_chars: int = MAX_CHARS, width: int = BLOCK_WIDTH) -> DataFrame:
-    """Chunks of consecutive pages with at most ``max_chars`` characters; a longer page is a chunk of its own.
+    """Pages fill chunks in order: one that would take the chunk over ``max_chars`` characters begins the next.
 
-    Running character counts are cut at multiples of the budget.  Pages wholly inside one interval form a chunk,
-    a page across a cut stands alone; keys grow with the page number.
+    A longer page is a chunk of its own.  Chunks are numbered from 0 in each book.
     """
-    sized = pages.select(*PAGE, F.length("text").cast("long").alias("chars"))
-    placed = with_running(sized, ["book"], "page_num", {"__end": (F.col("chars"), F.sum)}, width, counted=True)
-    first = F.floor((F.col("__end") - F.col("chars")) / max_chars)
-    last = F.floor(F.greatest(F.col("__end") - 1, F.col("__end") - F.col("chars")) / max_chars)
-    return placed.select(*PAGE, "chars", (first + last).alias("chunk_key"))
+    return greedy_chunks(pages.select(*PAGE, F.length("text").alias("chars")), "book", "page_num", "chars", max_chars, width)
 
 
 def build_batch_prompts(pages: DataFrame, size: int = FIXED_PAGES, dense: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.blocks import with_running
+from quire.operators.blocks import BLOCK_WIDTH, number_rows, with_running
 
 # Request limits, and the retry policy (attempts, delays in seconds) per error type.
 REQUESTS_PER_MINUTE = 30
@@ -96,26 +96,24 @@ def throughput_report(history: DataFrame) -> DataFrame:
 
 
 def rate_limit_windows(
-    usage: DataFrame, limit: int = REQUESTS_PER_MINUTE, seconds: int = RATE_WINDOW_SECONDS
+    usage: DataFrame, limit: int = REQUESTS_PER_MINUTE, seconds: int = RATE_WINDOW_SECONDS, width: int = BLOCK_WIDTH
 ) -> DataFrame:
-    """Requests per model in the window that ends at each arrival, how many of them get a slot, and the wait of the others.
+    """When each request of a model may start, if at most ``limit`` start in any window of ``seconds``; first come, first served.
 
-    Of the arrivals of one instant as many are ``admitted`` as slots are left; the others are ``waiting`` until the oldest
-    request leaves the window.  Arrivals are first counted per instant, map-side.  Time is cut into buckets as long as the window; each
-    instant also goes to the next bucket, so a window over (model, bucket) sees all it needs and no more.
+    Only requests that started take up slots, so a request starts at its arrival, or ``seconds`` after the start of the one
+    ``limit`` places before it, whichever is later.  Hence every ``limit``-th request makes a lane of its own, and in a lane the
+    start less its turn times ``seconds`` is a running maximum.  Ties arrive in the order of ``request_id``.  Rows without a
+    time make no request; a null name is a model.
     """
-    at = micros(F.col("ts"))
-    instants = usage.groupBy("model", at.alias("at")).agg(F.count(F.lit(1)).alias("n"))
     span = seconds * SECOND
-    own = F.floor(F.col("at") / span)
-    halo = instants.withColumn("bucket", F.explode(F.array(own, own + 1)))
-    frame = Window.partitionBy("model", "bucket").orderBy("at").rangeBetween(-(span - 1), Window.currentRow)
-    seen = halo.withColumns({"in_window": F.sum("n").over(frame), "oldest": F.min("at").over(frame)}).where(F.col("bucket") == own)
-    room = F.greatest(F.lit(0), F.lit(limit) - (F.col("in_window") - F.col("n")))
-    admitted = F.least(F.col("n"), room).cast("long")
-    wait = F.when(admitted < F.col("n"), (F.col("oldest") + span - F.col("at")) / SECOND).otherwise(0.0)
-    return seen.select("model", F.col("at").alias("at_micros"), F.col("n").alias("arrivals"), "in_window", admitted.alias("admitted"),
-                       (F.col("n") - admitted).alias("waiting"), F.round(wait, 6).alias("wait_seconds"))
+    arrivals = usage.where("ts IS NOT NULL").select("request_id", "model", micros(F.col("ts")).alias("at_micros")).withColumn("__place", F.struct("at_micros", "request_id"))
+    numbered = number_rows(arrivals, ["model"], "__place", "__n", width)
+    lanes = numbered.withColumns({"__lane": F.pmod(F.col("__n") - 1, F.lit(limit)), "__turn": F.floor((F.col("__n") - 1) / limit)})
+    free = F.col("at_micros") - F.col("__turn") * span
+    started = with_running(lanes, ["model", "__lane"], "__turn", {"__since": (free, F.max)}, width, counted=True)
+    start = F.col("__since") + F.col("__turn") * span
+    return started.select("request_id", "model", "at_micros", start.alias("start_micros"), (start == F.col("at_micros")).alias("admitted"),
+                          F.round((start - F.col("at_micros")) / SECOND, 6).alias("wait_seconds"))
 
 
 def concurrent_requests(usage: DataFrame, limit: int = MAX_IN_FLIGHT) -> DataFrame:

@@ -281,8 +281,11 @@ register(
 )
 register(
     "char_budget_chunks", lambda v: chunks.char_budget_chunks(v("page_text")),
-    with_views("page_text") + """, e AS (SELECT book, page_num, length(text) AS chars, CAST(sum(length(text)) OVER (PARTITION BY book ORDER BY page_num) AS BIGINT) AS e FROM page_text)
-  SELECT book, page_num, chars, (e - chars) // 80000 + greatest(e - 1, e - chars) // 80000 AS chunk_key FROM e""",
+    # Chunk by chunk: the next one begins with the first page that no longer fits, or with the next page.
+    with_views("page_text").replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT book, page_num, length(text) AS chars, sum(length(text)) OVER (PARTITION BY book ORDER BY page_num) AS e FROM page_text),
+  s AS (SELECT book, min(page_num) AS p, 0 AS chunk FROM e GROUP BY book
+    UNION ALL SELECT s.book, (SELECT min(n.page_num) FROM e n WHERE n.book = s.book AND n.page_num > s.p AND n.e - f.e + f.chars > 80000), s.chunk + 1 FROM s JOIN e f ON f.book = s.book AND f.page_num = s.p)
+  SELECT book, page_num, CAST(chars AS BIGINT) AS chars, (SELECT CAST(max(chunk) AS BIGINT) FROM s WHERE s.book = e.book AND s.p <= e.page_num) AS chunk FROM e""",
 )
 register(
     "build_batch_prompts", lambda v: chunks.build_batch_prompts(v("furniture_pages"), dense=True),

@@ -54,12 +54,11 @@ register(
 )
 register(
     "rate_limit_windows", lambda v: usage.rate_limit_windows(v("bursty_usage")),
-    with_views("bursty_usage") + """, i AS (SELECT model, epoch_us(ts) AS at_micros, count(*) AS arrivals FROM bursty_usage GROUP BY ALL),
-  w AS (SELECT *, CAST(sum(arrivals) OVER f AS BIGINT) AS in_window, min(at_micros) OVER f AS oldest FROM i
-    WINDOW f AS (PARTITION BY model ORDER BY at_micros RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW))
-  , a AS (SELECT *, CAST(CASE WHEN in_window <= 30 THEN arrivals WHEN in_window - arrivals >= 30 THEN 0 ELSE 30 - in_window + arrivals END AS BIGINT) AS admitted FROM w)
-  SELECT model, at_micros, arrivals, in_window, admitted, arrivals - admitted AS waiting,
-    CASE WHEN arrivals > admitted THEN round((oldest + 60000000 - at_micros) / 1000000.0, 6) ELSE 0 END AS wait_seconds FROM a""",
+    # Request by request: the one 30 places before must have started a minute ago.
+    with_views("bursty_usage").replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT request_id, model, epoch_us(ts) AS at_micros, row_number() OVER (PARTITION BY model ORDER BY ts, request_id) AS k FROM bursty_usage),
+  s AS (SELECT *, at_micros AS start_micros FROM n WHERE k <= 30
+    UNION ALL SELECT n.*, greatest(n.at_micros, s.start_micros + 60000000) FROM s JOIN n ON n.model = s.model AND n.k = s.k + 30)
+  SELECT request_id, model, at_micros, start_micros, start_micros = at_micros AS admitted, round((start_micros - at_micros) / 1000000.0, 6) AS wait_seconds FROM s""",
 )
 register(
     "concurrent_requests", lambda v: usage.concurrent_requests(v("llm_usage")),

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quire.operators import chunks, naming, structure, tasks, tex, usage
+from quire.operators import chunks, filling, naming, structure, tasks, tex, usage
 from quire.operators.blocks import number_rows, with_running
 from quire.sources.corpus import scan_corpus
 
@@ -202,25 +202,65 @@ def test_chunks_cover_pages_once(spark):
     assert sorted(chunks.build_batch_prompts(ten, dense=True).collect()) == sorted(chunks.build_batch_prompts(ten).collect())
     three = chunks.chapter_chunks(ten, spark.createDataFrame([("b", 0), ("b", 3), ("b", 7)], "book string, page_num int"), 8)
     assert sorted(r["count"] for r in three.groupBy("chunk").count().collect()) == [3, 3, 4]
-    budget = {}
-    for r in chunks.char_budget_chunks(pages, 700, width=6).collect():
-        budget.setdefault(r.chunk_key, []).append((r.page_num, r.chars))
-    assert all(sum(c for _, c in v) <= 700 for v in budget.values()) and sum(len(v) for v in budget.values()) == 60
-    flat = [p for k in sorted(budget) for p, _ in sorted(budget[k])]
-    assert flat == list(range(60))
     seven = chunks.fixed_chunks(spark.createDataFrame([("b", p) for p in range(7)], "book string, page_num int")).groupBy("chunk").count()
     assert sorted(r["count"] for r in seven.collect()) == [3, 4]
 
 
+def _filled(sizes, budget):
+    """Chunk numbers of a sequential fill."""
+    out, chunk, held = [], -1, None
+    for size in sizes:
+        if held is None or held + size > budget:
+            chunk, held = chunk + 1, 0
+        held += size
+        out.append(chunk)
+    return out
+
+
+def test_greedy_filling(spark):
+    """Blank, tiny, long and overlong pages; chunks over several blocks and stretches; gaps in the page numbers; a book without a name."""
+    rng, books = random.Random(11), {}
+    for b, (budget_share, pages) in enumerate([(0.3, 90), (0.02, 400), (1.5, 40), (0.1, 1), (0.0, 30), (0.5, 200)]):
+        books[f"b{b}" if b else None] = [(p, int(rng.random() ** 3 * 700 * budget_share * 2) if rng.random() < 0.9 else rng.choice([0, 700, 701])) for p in sorted(rng.sample(range(2 * pages), pages))]
+    books["same"] = [(p, 100) for p in range(300)]
+    rows = [(b, p, n) for b, pages in books.items() for p, n in pages]
+    df = spark.createDataFrame(rows, "book string, page_num int, chars int")
+    for width, stretch in ((4096, 1024), (5, 3), (1, 1), (16, 2)):
+        got = {(r.book, r.page_num): r.chunk for r in filling.greedy_chunks(df, "book", "page_num", "chars", 700, width, stretch).collect()}
+        for book, pages in books.items():
+            assert [got[book, p] for p, _ in pages] == _filled([n for _, n in pages], 700), (book, width)
+    texts = spark.createDataFrame([("b", p, "x" * (p * 37 % 500)) for p in range(60)] + [("c", 0, None), ("c", None, "y")], "book string, page_num int, text string")
+    got = {(r.book, r.page_num): (r.chars, r.chunk) for r in chunks.char_budget_chunks(texts, 700, width=6).collect()}
+    assert [got["b", p] for p in range(60)] == list(zip([p * 37 % 500 for p in range(60)], _filled([p * 37 % 500 for p in range(60)], 700)))
+    assert got["c", 0] == (0, 0) and len(got) == 61
+
+
+def _slots(arrivals, limit, span):
+    """Each request in its turn waits while ``limit`` starts lie in the window."""
+    starts, out = [], []
+    for at in arrivals:
+        now = max(at, starts[-1]) if starts else at
+        while len(window := [s for s in starts[-limit:] if now - s < span]) >= limit:
+            now = window[0] + span
+        starts.append(now)
+        out.append(now)
+    return out
+
+
 def test_rate_windows(spark):
+    """Sparse arrivals, bursts and lasting overload."""
     rng = random.Random(7)
-    ticks = sorted(rng.randint(0, 400_000_000) for _ in range(300))
-    df = spark.createDataFrame([("m", t) for t in ticks], "model string, t bigint").select("model", F.timestamp_micros("t").alias("ts"))
-    for r in usage.rate_limit_windows(df, limit=30).collect():
-        window = [t for t in ticks if r.at_micros - 60_000_000 < t <= r.at_micros]
-        assert r.in_window == len(window) and r.admitted == min(r.arrivals, max(0, 30 - (len(window) - r.arrivals))) and r.admitted + r.waiting == r.arrivals
-        if r.waiting:
-            assert abs(r.wait_seconds - (window[0] + 60_000_000 - r.at_micros) / 1e6) < 1e-5
+    cases = {"sparse": [rng.randint(0, 4_000_000_000) for _ in range(200)], "overload": [rng.randint(0, 400_000_000) for _ in range(900)], "bursts": [rng.choice([0, 30, 60, 61, 300]) * 1_000_000 for _ in range(250)]}
+    rows = [(i, m, t) for i, (m, t) in enumerate((m, t) for m, ts in cases.items() for t in ts)] + [(9999, "none", None)]
+    df = spark.createDataFrame(rows, "request_id bigint, model string, t bigint").select("request_id", "model", F.timestamp_micros("t").alias("ts"))
+    for limit, width in ((30, 4096), (4, 16)):
+        found = usage.rate_limit_windows(df, limit=limit, width=width).collect()
+        assert len(found) == len(rows) - 1
+        for model, arrivals in cases.items():
+            own = sorted((r for r in found if r.model == model), key=lambda r: (r.at_micros, r.request_id))
+            want = _slots(sorted(arrivals), limit, 60_000_000)
+            assert [r.start_micros for r in own] == want
+            assert all(r.admitted == (r.start_micros == r.at_micros) and abs(r.wait_seconds - (r.start_micros - r.at_micros) / 1e6) < 1e-5 for r in own)
 
 
 def test_prune_and_interrupt(spark):

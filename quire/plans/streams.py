@@ -9,14 +9,16 @@ from quire.operators import chunks
 from quire.plans.layout import _ASSEMBLED
 from quire.plans.operations import _COST, _LATEST, _RANK, _FIELDS, STAMP, _task_rows
 from quire.plans.registry import register
-from quire.plans.views import EVENT_STREAM, VIEWS, with_views
+from quire.plans.views import VIEWS, with_views
 from quire.sources import sinks
 from quire.streaming import progress
 
 
-def _stream(v, name: str) -> DataFrame:
-    """A view over events, built on the stream instead of the table."""
-    return VIEWS[name].build(lambda n: v(EVENT_STREAM) if n == "events" else v(n))
+def _run(v, name: str, job, mode: str, rows: int | None = None) -> DataFrame:
+    """What a job emits over a view of the events, replayed as a stream."""
+    replay = progress.Replay(v("events"), rows or progress.ROWS_PER_BATCH)
+    stream = VIEWS[name].build(lambda n: replay.stream if n == "events" else v(n))
+    return progress.run_to_table(job(stream), mode, name, replay)
 
 
 def _twice(df: DataFrame) -> DataFrame:
@@ -30,32 +32,32 @@ def _stamp(df: DataFrame, *columns: str) -> DataFrame:
 
 register(
     "stream_task_progress",
-    lambda v: _task_rows(progress.last_update(progress.run_to_table(progress.task_progress(_stream(v, "task_events")), "update", "progress"), ["task_id"])),
+    lambda v: _task_rows(progress.last_update(_run(v, "task_events", progress.task_progress, "update"), ["task_id"])),
     with_views("task_events") + _LATEST + f" SELECT {_FIELDS} FROM task_rows",
 )
 register(
     "stream_phase_monotone",
-    lambda v: progress.run_to_table(progress.phase_monotone(_stream(v, "task_events")), "append", "phases").drop(progress.BATCH_COLUMN),
+    lambda v: _run(v, "task_events", progress.phase_monotone, "append").drop(progress.BATCH_COLUMN),
     with_views("task_events") + f""", r AS (SELECT *, {_RANK} AS rank FROM task_events),
   m AS (SELECT *, max(rank) OVER (PARTITION BY task_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM r)
   SELECT task_id, event_id, status, rank FROM m WHERE status = 'error' OR rank >= coalesce(reached, 0)""",
 )
 register(
     "stream_rate_limit",
-    lambda v: _stamp(progress.last_update(progress.run_to_table(progress.rate_limit(_stream(v, "llm_usage")), "update", "rates"), ["model", "window_start"]), "window_start"),
+    lambda v: _stamp(progress.last_update(_run(v, "llm_usage", progress.rate_limit, "update"), ["model", "window_start"]), "window_start"),
     with_views("llm_usage") + """, w AS (SELECT model, make_timestamp((epoch_us(ts) // 10000000 - k) * 10000000) AS s FROM llm_usage, (SELECT unnest(range(0, 6)) AS k))
   SELECT model, strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS window_start, count(*) AS requests, count(*) > 30 AS over_limit FROM w GROUP BY ALL""",
 )
 register(
     "stream_usage_cost",
-    lambda v: _stamp(progress.last_update(progress.run_to_table(progress.usage_cost(_stream(v, "llm_usage"), v("pricing")), "update", "costs"), ["task_id", "hour"]), "hour"),
+    lambda v: _stamp(progress.last_update(_run(v, "llm_usage", lambda s: progress.usage_cost(s, v("pricing")), "update"), ["task_id", "hour"]), "hour"),
     with_views("llm_usage", "pricing") + _COST + """ SELECT task_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S.%f') AS hour, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
     CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, round(sum(round_even(a + b, 6)), 6) AS total_cost FROM cost GROUP BY ALL""",
 )
 # A session is emitted once the watermark, one minute behind the last event, has passed its end.
 register(
     "stream_task_sessions",
-    lambda v: _stamp(progress.run_to_table(progress.task_sessions(_stream(v, "task_events")), "append", "sessions"), "started", "closed"),
+    lambda v: _stamp(_run(v, "task_events", progress.task_sessions, "append"), "started", "closed"),
     with_views("task_events") + """, g AS (SELECT task_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY task_id ORDER BY ts) >= INTERVAL 30 MINUTE, true) AS opens FROM task_events),
   s AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY task_id ORDER BY ts) AS n FROM g),
   c AS (SELECT task_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS closed, count(*) AS events FROM s GROUP BY task_id, n)
@@ -64,16 +66,17 @@ register(
 )
 register(
     "stream_dedupe_requests",
-    lambda v: progress.run_to_table(progress.dedupe_requests(_twice(_stream(v, "task_events"))).select("event_id", "task_id", "status"), "append", "dedupe")
+    lambda v: _run(v, "task_events", lambda s: progress.dedupe_requests(_twice(s)).select("event_id", "task_id", "status"), "append")
     .drop(progress.BATCH_COLUMN),
     with_views("task_events") + " SELECT event_id, task_id, status FROM task_events",
 )
 register(
     "stream_task_ttl",
-    lambda v: progress.run_to_table(progress.task_ttl(_stream(v, "task_events")), "append", "ttl").drop(progress.BATCH_COLUMN),
-    with_views("task_events") + """, l AS (SELECT task_id, arg_max(status, event_id) AS status, epoch_us(max(ts)) AS updated_micros FROM task_events GROUP BY task_id)
-  SELECT task_id, status, updated_micros FROM l WHERE status IN ('completed', 'error', 'failed')
-  AND updated_micros // 1000 + 3600000 < (SELECT epoch_us(max(ts)) // 1000 - 60000 FROM task_events)""",
+    lambda v: _run(v, "task_events", progress.task_ttl, "append").drop(progress.BATCH_COLUMN),
+    # The next event of the task, or else the watermark one minute behind the last event of all, comes more than an hour later.
+    with_views("task_events") + """, l AS (SELECT task_id, status, epoch_us(ts) AS updated_micros, epoch_us(lead(ts) OVER (PARTITION BY task_id ORDER BY ts, event_id)) AS later FROM task_events)
+  SELECT task_id, status, updated_micros FROM l WHERE status IN ('completed', 'error', 'failed') AND CASE WHEN later IS NOT NULL THEN later - updated_micros > 3600000000
+  ELSE updated_micros // 1000 + 3600000 < (SELECT epoch_us(max(ts)) // 1000 - 60000 FROM task_events) END""",
 )
 
 # ---- sinks -------------------------------------------------------------------------------------------------------

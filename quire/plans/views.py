@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from quire.operators.blocks import with_group_total
 from quire.sources.corpus import scan_corpus, scan_lines, table
-from quire.streaming import progress
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -31,8 +30,6 @@ class View:
 
 
 VIEWS: dict[str, View] = {}
-# The event table as a stream of its files.
-EVENT_STREAM = "event_stream"
 
 
 def select(name: str, source: str, *columns: str, where: str | None = None, distinct: bool = False) -> None:
@@ -51,8 +48,6 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Build a view (or read a raw table) as a DataFrame."""
     if name in TABLES:
         return table(spark, folder, name)
-    if name == EVENT_STREAM:
-        return progress.read_events(spark, f"{folder}/events.parquet")
     return VIEWS[name].build(lambda n: view(spark, folder, n))
 
 

@@ -1,7 +1,8 @@
 """Structured Streaming jobs over task events and requests.
 
-Every job is a function from a streaming DataFrame to a streaming DataFrame; ``run_to_table`` drives one until
-its input is used up and keeps the result as a table, so nothing passes through the driver.
+Every job is a function from a streaming DataFrame to a streaming DataFrame.  ``run_to_table`` drives one until its
+input is used up and keeps the result as a table, so nothing passes through the driver.  ``Replay`` turns a stored table into a stream
+in order of event time.  Jobs with a state of their own keep it in a persistent state store, one small value per task.
 """
 
 from __future__ import annotations
@@ -9,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quire.operators import tasks, usage
+from quire.operators.blocks import with_blocks
 from quire.sources.sinks import scratch
 
 # Lateness, window and gap lengths.
@@ -24,70 +25,86 @@ COST_WINDOW = "1 hour"
 SESSION_GAP = "30 minutes"
 DEDUPE_WITHIN = "1 hour"
 BATCH_COLUMN = "batch_id"
-# Part files in one micro-batch, and seconds of event time after which a silent task leaves the state.
-FILES_PER_TRIGGER = 16
+# Rows that a replayed micro-batch holds, and seconds of event time after which a silent task leaves the state.
+ROWS_PER_BATCH = 1_000_000
 PROGRESS_TTL_SECONDS = 30 * 86_400
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+PERSISTENT = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
+class Replay:
+    """A stored table of events as a stream, in order of event time, about ``rows`` rows a micro-batch.
 
-def _in_time_order(spark: SparkSession, events: DataFrame, files: int) -> tuple[str, bool]:
-    """A copy of the events in part files by ranges of event time, and whether the ages of the files follow the ranges."""
-    path = scratch(spark, "events")
-    events.repartitionByRange(files, "ts").write.parquet(path)
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts = [s for s in store.listStatus(folder) if s.getPath().getName().startswith("part-")]
-    parts.sort(key=lambda s: int(s.getPath().getName().split("-")[1]))
-    oldest = min((s.getModificationTime() for s in parts), default=0)
-    for k, part in enumerate(parts):
-        store.setTimes(part.getPath(), oldest + k, -1)
-    # Object stores may ignore the times that they are given.
-    return path, all(store.getFileStatus(s.getPath()).getModificationTime() == oldest + k for k, s in enumerate(parts))
-
-
-def read_events(spark: SparkSession, path: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
-    """A stored table of events as a stream, with event time as a timestamp.  ``path`` is one file, a folder of part files, or a pattern.
-
-    ``files_per_trigger`` bounds a micro-batch.  The part files of a table may each cover all of its time, so that rows of later
-    batches would be late: a table of more files than one batch takes is replayed from a copy in order of event time, and
-    no row is late however many files there are.  Where files cannot be given such an order, the copy is one batch.
+    The part files of a table may each cover all of its time, so reading them in any order would make most rows late.  So the
+    table is cut into slices of equal count by (``ts``, ``event_id``), each a folder of its own, and ``advance`` lets one slice
+    after the other arrive in the folder that ``stream`` watches.  Neither the number of files nor their times matter.  A slice
+    arrives as one file, hence in one micro-batch.  Slices that have arrived already are skipped, so a replay that was
+    interrupted goes on where it stood: make it with the ``path`` of the first one.
+    Rows without a time come first.
     """
-    try:
-        events = spark.read.schema(EVENT_SCHEMA).parquet(path)
-        files = len(events.inputFiles())
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        files = 0  # a pattern that nothing matches yet
-    limited = True
-    if files > files_per_trigger:
-        path, limited = _in_time_order(spark, events, files)
-    # A file source refuses a plain file but takes a pattern that matches just it, or a folder.
-    pattern = path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
-    reader = spark.readStream.schema(EVENT_SCHEMA)
-    if limited:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(pattern).withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Process all available input and return what was emitted, with the batch each row came from.
-
-    Each micro-batch writes its own folder, overwriting it when the batch is retried: the result is exactly-once.
+
+    def __init__(self, events: DataFrame, rows: int = ROWS_PER_BATCH, path: str | None = None):
+        self.spark = events.sparkSession
+        self.path = path or scratch(self.spark, "replay")
+        if path is None:
+            place = events.withColumn("__place", F.struct("ts", "event_id"))
+            cut = with_blocks(place, [], "__place", rows).withColumnRenamed("__block", "slice").drop("__place", "__tie")
+            cut.repartition("slice").write.partitionBy("slice").parquet(f"{self.path}/slices")
+            # The watched folder exists from the start.
+            events.limit(0).withColumn("slice", F.lit(-1)).write.parquet(f"{self.path}/arrived/slice=-1")
+        self.schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
+        watched = self.spark.readStream.schema(f"{self.schema}, slice int").parquet(f"{self.path}/arrived")
+        self.stream = watched.drop("slice").withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def _slices(self, folder: str) -> set[int]:
+        """Numbers of the slices in a folder; they are bounded in number."""
+        found = self.spark.read.schema(f"{self.schema}, slice int").parquet(f"{self.path}/{folder}")
+        return {r[0] for r in found.select("slice").distinct().collect()}
+
+    def waiting(self) -> list[int]:
+        """Slices that have not arrived, in order."""
+        return sorted(self._slices("slices") - self._slices("arrived"))
+
+    def advance(self, number: int) -> None:
+        """Let one slice arrive."""
+        slices = self.spark.read.schema(f"{self.schema}, slice int").parquet(f"{self.path}/slices")
+        slices.where(F.col("slice") == number).drop("slice").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/arrived/slice={number}")
+
+
+def run_to_table(stream: DataFrame, mode: str, name: str, replay: Replay | None = None, path: str | None = None, slices: int | None = None) -> DataFrame:
+    """Process all input and return what was emitted, with the batch each row came from.
+
+    With a ``replay`` its slices arrive one after the other (the next ``slices`` of them, if given); without one, what the source holds is processed.
+    Each micro-batch writes its own folder, overwriting it when the batch is retried: the result is exactly-once.  With the
+    ``path`` of an earlier run the job goes on from that run's checkpoint.
     """
     spark = stream.sparkSession
-    path = scratch(spark, name)
+    first = path is None
+    path = path or scratch(spark, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/{BATCH_COLUMN}={batch_id}")
 
     # An input without files runs no batch; the table then exists and is empty.
-    write(spark.createDataFrame([], stream.schema), -1)
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
-    )
-    query.awaitTermination()
+    if first:
+        write(spark.createDataFrame([], stream.schema), -1)
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, PERSISTENT)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write)
+    try:
+        if replay is None:
+            writer.trigger(availableNow=True).start().awaitTermination()
+        else:
+            query = writer.start()
+            try:
+                for number in replay.waiting()[:slices]:
+                    replay.advance(number)
+                    query.processAllAvailable()
+                query.processAllAvailable()
+            finally:
+                query.stop()
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, {BATCH_COLUMN} bigint"
     return spark.read.schema(schema).parquet(f"{path}/rows")
 
@@ -99,36 +116,68 @@ def last_update(emitted: DataFrame, keys: list[str]) -> DataFrame:
     return folded.select(*keys, "v.*")
 
 
-def task_progress(events: DataFrame, ttl_seconds: int = PROGRESS_TTL_SECONDS) -> DataFrame:
-    """Live state per task; update mode.
+class _Timed(StatefulProcessor):
+    """One value per task, and at most one timer; columns ``at`` (microseconds of event time) and ``event_id`` order its events."""
 
-    The state is one row per task and leaves ``ttl_seconds`` of event time after the task's last event.
-    """
+    fields: str
+
+    def __init__(self, ttl_seconds: int):
+        self.ttl = ttl_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("value", self.fields)
+
+    def last(self) -> tuple | None:
+        return tuple(self.value.get()) if self.value.exists() else None
+
+    def expire_after(self, at: int | None, timers) -> None:
+        """Let the task expire ``ttl`` after the event time ``at``, or not at all; a time that has passed is made up for with the next watermark."""
+        for earlier in list(self.handle.listTimers()):
+            self.handle.deleteTimer(earlier)
+        if at is not None:
+            self.handle.registerTimer(max(at // 1000 + self.ttl, timers.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self.value.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _int(value) -> int | None:
+    return None if pd.isna(value) else int(value)
+
+
+class _Progress(_Timed):
+    fields = "status string, current_n int, total_n int, updated bigint, created bigint, event_id bigint, updates bigint"
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get if state.exists else None
-        for batch in batches:
-            newest = batch.sort_values(["at", "event_id"]).iloc[-1]
-            created, updates = int(batch["at"].min()), len(batch)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        last = self.last()
+        for part in rows:
+            newest = part.loc[part.sort_values(["at", "event_id"]).index[-1]]
+            created, updates = int(part["at"].min()), len(part)
             if last is not None:
                 created, updates = min(created, last[4]), updates + last[6]
             if last is None or (int(newest["at"]), int(newest["event_id"])) >= (last[3], last[5]):
-                numbers = [None if pd.isna(newest[c]) else int(newest[c]) for c in ("current_n", "total_n")]
-                last = (newest["status"], *numbers, int(newest["at"]), created, int(newest["event_id"]), updates)
+                last = (newest["status"], _int(newest["current_n"]), _int(newest["total_n"]), int(newest["at"]), created, int(newest["event_id"]), updates)
             else:
                 last = (*last[:4], created, last[5], updates)
-        state.update(last)
-        state.setTimeoutTimestamp(max(last[3] // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        self.value.update(last)
+        self.expire_after(last[3], timerValues)
         yield pd.DataFrame({"task_id": [key[0]], "status": [last[0]], "current_n": pd.array([last[1]], "Int32"), "total_n": pd.array([last[2]], "Int32"),
                             "created": [last[4]], "updated": [last[3]], "updates": [last[6]]})
 
-    staged = events.withWatermark("ts", LATENESS).select("task_id", "event_id", "status", F.col("current_n").cast("int"), F.col("total_n").cast("int"), "ts", F.unix_micros("ts").alias("at"))
-    folded = staged.groupBy("task_id").applyInPandasWithState(
-        advance, "task_id string, status string, current_n int, total_n int, created bigint, updated bigint, updates bigint",
-        "status string, current_n int, total_n int, updated bigint, created bigint, event_id bigint, updates bigint", "update", GroupStateTimeout.EventTimeTimeout)
+
+def task_progress(events: DataFrame, ttl_seconds: int = PROGRESS_TTL_SECONDS) -> DataFrame:
+    """Live state per task; update mode.
+
+    The state is one row per task and leaves ``ttl_seconds`` of event time after the task's last event.  Events without a time are left out.
+    """
+    staged = events.withWatermark("ts", LATENESS).where("ts IS NOT NULL").select("task_id", "event_id", "status", F.col("current_n").cast("int"), F.col("total_n").cast("int"), "ts", F.unix_micros("ts").alias("at"))
+    folded = staged.groupBy("task_id").transformWithStateInPandas(
+        _Progress(ttl_seconds), "task_id string, status string, current_n int, total_n int, created bigint, updated bigint, updates bigint", "Update", "EventTime")
     return folded.select("task_id", "status", "current_n", "total_n", tasks.percent(F.col("current_n"), F.col("total_n")).alias("percent"),
                          F.timestamp_micros("created").alias("created_at"), F.timestamp_micros("updated").alias("updated_at"), "updates")
 
@@ -159,52 +208,110 @@ def dedupe_requests(events: DataFrame) -> DataFrame:
     return events.withWatermark("ts", DEDUPE_WITHIN).dropDuplicatesWithinWatermark(["event_id"])
 
 
+class _Phases(_Timed):
+    """Ranks are few, so what decides over an event is small: for each rank, the first event of this micro-batch that reaches it."""
+
+    fields = "reached int, latest bigint"
+    ROW = ["task_id", "event_id", "status", "rank"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.spilled = handle.getListState("spilled", "event_id bigint, status string, rank int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        reached, latest = self.last() or (0, 0)
+        first: dict[int, int] = {}
+        held, spilled = None, False
+
+        def passed(part: pd.DataFrame) -> pd.DataFrame:
+            ahead = pd.Series(reached, part.index)
+            for rank, event in first.items():
+                ahead = ahead.where((part["event_id"] <= event) | (ahead >= rank), rank)
+            return part[(part["status"] == "error") | (part["rank"] >= ahead)]
+
+        # An event that comes later may be an earlier one, so events wait for the end of the micro-batch.  All but
+        # the last part of them wait in the state store.
+        for part in rows:
+            latest = max(latest, int(part["at"].max()))
+            for rank, event in part.groupby("rank")["event_id"].min().items():
+                first[int(rank)] = min(int(event), first.get(int(rank), int(event)))
+            if held is not None and len(held):
+                self.spilled.appendList([(int(e), s, int(r)) for e, s, r in held[["event_id", "status", "rank"]].itertuples(index=False)])
+                spilled = True
+            held = passed(part)
+        if spilled:
+            kept: list[tuple] = []
+            for row in self.spilled.get():
+                kept.append(tuple(row))
+                if len(kept) == 10_000:
+                    yield passed(pd.DataFrame(kept, columns=self.ROW[1:]).assign(task_id=key[0]))[self.ROW]
+                    kept = []
+            if kept:
+                yield passed(pd.DataFrame(kept, columns=self.ROW[1:]).assign(task_id=key[0]))[self.ROW]
+            self.spilled.clear()
+        if held is not None:
+            yield passed(held).assign(task_id=key[0])[self.ROW]
+        self.value.update((max([reached, *first]), latest))
+        self.expire_after(latest, timerValues)
+
+
 def phase_monotone(events: DataFrame, ttl_seconds: int = tasks.TTL_SECONDS) -> DataFrame:
-    """Events not behind the furthest phase of their task.
+    """Events not behind the furthest phase of their task, in the order of ``event_id`` inside a micro-batch.  Append mode.
 
-    The state is one rank per task; it expires by event time, ``ttl_seconds`` after the task's last event.
+    The state is one rank per task; it expires by event time, ``ttl_seconds`` after the task's last event.  Events without a time are left out.
     """
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        reached, latest = state.get if state.exists else (0, 0)
-        # Rows of one task in one micro-batch, whose size the source's rate limit bounds.
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        before = rows["rank"].cummax().shift(1).fillna(0).clip(lower=reached)
-        passed = rows[(rows["status"] == "error") | (rows["rank"] >= before)]
-        latest = max(latest, int(rows["at"].max()))
-        state.update((max(reached, int(rows["rank"].max())), latest))
-        state.setTimeoutTimestamp(max(latest // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield passed[["task_id", "event_id", "status", "rank"]]
-
-    ranked = events.withWatermark("ts", LATENESS).select(
+    ranked = events.withWatermark("ts", LATENESS).where("ts IS NOT NULL").select(
         "task_id", "event_id", "status", "ts", tasks.rank(F.col("status")).alias("rank"), F.unix_micros("ts").alias("at"))
-    return ranked.groupBy("task_id").applyInPandasWithState(
-        advance, "task_id string, event_id bigint, status string, rank int", "reached int, latest bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return ranked.groupBy("task_id").transformWithStateInPandas(_Phases(ttl_seconds), "task_id string, event_id bigint, status string, rank int", "Append", "EventTime")
+
+
+class _Expiry(_Timed):
+    """Stretches of activity of a task: a stretch ends with an event that nothing follows for ``ttl``.
+
+    Only their last events count, and they come out alike in whatever order the events arrive.
+    """
+
+    fields = "first bigint, at bigint, event_id bigint, status string"
+
+    def __init__(self, ttl_seconds: int, ended: set[str]):
+        super().__init__(ttl_seconds)
+        self.ended, self.gap = ended, ttl_seconds * 1_000_000
+
+    def _joined(self, stretches: list[tuple]) -> list[tuple]:
+        """Stretches ``(first, at, event_id, status)`` in order, those less than a time to live apart made one."""
+        out: list[tuple] = []
+        for first, *last in sorted(stretches):
+            if out and first - out[-1][1] <= self.gap:
+                out[-1] = (out[-1][0], *max(out[-1][1:], tuple(last)))
+            else:
+                out.append((first, *last))
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        stretches = [last] if (last := self.last()) else []
+        for part in rows:
+            part = part.sort_values(["at", "event_id"])
+            opens = part["at"].diff().fillna(self.gap + 1) > self.gap
+            ends = part[opens.shift(-1, fill_value=True)]
+            found = zip(part.loc[opens, "at"].tolist(), ends["at"].tolist(), ends["event_id"].tolist(), ends["status"].tolist())
+            stretches = self._joined([*stretches, *found])
+        over = [s for s in stretches[:-1] if s[3] in self.ended]
+        last = stretches[-1]
+        self.value.update(last)
+        self.expire_after(last[1] if last[3] in self.ended else None, timerValues)
+        yield pd.DataFrame({"task_id": [key[0]] * len(over), "status": [s[3] for s in over], "updated_micros": [s[1] for s in over]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        _, at, _, status = self.last()
+        self.value.clear()
+        yield pd.DataFrame({"task_id": [key[0]], "status": [status], "updated_micros": [at]})
 
 
 def task_ttl(events: DataFrame, ttl_seconds: int = tasks.MEMORY_TTL_SECONDS, terminal: list[str] | None = None) -> DataFrame:
-    """Tasks whose terminal state has aged out, by event time.  Active tasks stay in state."""
-    ended = set(terminal or tasks.MEMORY_TERMINAL)
-
-    def expire(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            status, updated = state.get
-            state.remove()
-            yield pd.DataFrame({"task_id": [key[0]], "status": [status], "updated_micros": [updated]})
-            return
-        last = state.get if state.exists else ("", -1)
-        for batch in batches:
-            newest = batch.sort_values(["at", "event_id"]).iloc[-1]
-            if int(newest["at"]) >= last[1]:
-                last = (str(newest["status"]), int(newest["at"]))
-        state.update(last)
-        if last[0] in ended:
-            # A timeout must lie ahead of the watermark; late tasks expire with the next one.
-            state.setTimeoutTimestamp(max(last[1] // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-
-    staged = events.withWatermark("ts", LATENESS).select("task_id", "event_id", "status", "ts", F.unix_micros("ts").alias("at"))
-    return staged.groupBy("task_id").applyInPandasWithState(
-        expire, "task_id string, status string, updated_micros bigint", "status string, at bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    """Each time that a task stays in a terminal state for longer than ``ttl_seconds`` of event time: its status and last update.
+
+    A task that comes back after that begins anew; active tasks stay in state.  Append mode; events without a time are left out.
+    """
+    staged = events.withWatermark("ts", LATENESS).where("ts IS NOT NULL").select("task_id", "event_id", "status", "ts", F.unix_micros("ts").alias("at"))
+    return staged.groupBy("task_id").transformWithStateInPandas(
+        _Expiry(ttl_seconds, set(terminal or tasks.MEMORY_TERMINAL)), "task_id string, status string, updated_micros bigint", "Append", "EventTime")

@@ -15,83 +15,102 @@ STREAMS = [n for n in QUERIES if n.startswith("stream_")]
 
 
 @pytest.fixture(scope="module")
-def parts(spark, tmp_path_factory):
-    """The events as a folder of four part files, oldest first."""
-    folder = tmp_path_factory.mktemp("events")
-    events = view(spark, FOLDER, "events")
-    for i in range(4):
-        events.where((F.col("event_id") >= i * 250) & (F.col("event_id") < (i + 1) * 250)).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+def mixed(spark, tmp_path_factory):
+    """The events as folders of part files that each cover all of the time."""
+    folder = tmp_path_factory.mktemp("mixed")
+    for files in (1, 16, 17, 200):
+        view(spark, FOLDER, "events").repartition(files, "event_id").write.parquet(f"{folder}/{files}/events.parquet")
     return str(folder)
 
 
+@pytest.fixture(scope="module")
+def once(spark):
+    """Every stream over the single file, in a single slice."""
+    return {name: _checked(run(name, spark, FOLDER)) for name in STREAMS}
+
+
+def _checked(df):
+    return check.rows_of(df.columns, [tuple(r) for r in df.collect()])
+
+
 def _rows(df):
     return sorted(tuple(str(r[c]) for c in sorted(df.columns)) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", STREAMS)
-def test_part_files_in_micro_batches(spark, parts, monkeypatch, name):
-    """All seven streams read every part file, one per micro-batch, and end like the stream over the single file."""
-    whole = run(name, spark, FOLDER)
-    monkeypatch.setattr(progress.read_events, "__defaults__", (1,))
-    found = run(name, spark, parts)
-    assert sorted(found.columns) == sorted(whole.columns)
-    ours = check.rows_of(found.columns, [tuple(r) for r in found.collect()])
-    theirs = check.rows_of(whole.columns, [tuple(r) for r in whole.collect()])
-    assert ours and ours == theirs
+def _events(spark):
+    return view(spark, FOLDER, "task_events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@pytest.fixture(scope="module")
-def mixed(spark, tmp_path_factory):
-    """The events as a folder of forty part files that each cover all of the time."""
-    folder = tmp_path_factory.mktemp("mixed")
-    view(spark, FOLDER, "events").repartition(40, "event_id").write.parquet(f"{folder}/events.parquet")
-    return str(folder)
+def _stream(replay):
+    return VIEWS["task_events"].build(lambda n: replay.stream)
 
 
 @pytest.mark.parametrize("name", STREAMS)
-def test_overlapping_part_files(spark, mixed, name):
-    """More files than a micro-batch takes, none older than the others: no row is late, and all ends as over the single file."""
-    whole, found = run(name, spark, FOLDER), run(name, spark, mixed)
-    ours = check.rows_of(found.columns, [tuple(r) for r in found.collect()])
-    theirs = check.rows_of(whole.columns, [tuple(r) for r in whole.collect()])
-    assert ours and ours == theirs
-
-
-@pytest.mark.parametrize("ordered", [True, False])
-def test_overlapping_part_files_equal_batch(spark, mixed, monkeypatch, ordered):
-    """The same against the batch twin, in several micro-batches, and in one where the files cannot be ordered."""
-    if not ordered:
-        written = progress._in_time_order
-        monkeypatch.setattr(progress, "_in_time_order", lambda *a: (written(*a)[0], False))
-    batch = view(spark, FOLDER, "task_events").withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = VIEWS["task_events"].build(lambda n: progress.read_events(spark, f"{mixed}/events.parquet"))
-    emitted = progress.run_to_table(progress.task_progress(stream), "update", "t")
-    assert emitted.select(progress.BATCH_COLUMN).distinct().count() == (3 if ordered else 1)
-    assert _rows(progress.last_update(emitted, ["task_id"])) == _rows(tasks.task_latest_state(batch))
-
-
-def test_streams_equal_batch(spark, parts):
-    path = f"{parts}/events.parquet"
-    batch = view(spark, FOLDER, "task_events").withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = VIEWS["task_events"].build(lambda n: progress.read_events(spark, path, 1))
-    emitted = progress.run_to_table(progress.task_progress(stream), "update", "t")
-    assert emitted.select(progress.BATCH_COLUMN).distinct().count() >= 4
-    assert _rows(progress.last_update(emitted, ["task_id"])) == _rows(tasks.task_latest_state(batch))
-    stream = VIEWS["task_events"].build(lambda n: progress.read_events(spark, path, 1))
-    phases = progress.run_to_table(progress.phase_monotone(stream), "append", "p").drop(progress.BATCH_COLUMN)
-    assert _rows(phases) == _rows(tasks.phase_monotone(batch))
-
-
-def test_silent_tasks_leave_the_state(spark, parts):
+def test_slices_in_micro_batches(spark, mixed, once, monkeypatch, name):
+    """Part files in no order of time, replayed in four slices: no row is late, and all ends as in one slice."""
+    monkeypatch.setattr(progress, "ROWS_PER_BATCH", 250)
+    assert once[name] and _checked(run(name, spark, f"{mixed}/17")) == once[name]
+
+
+@pytest.mark.parametrize("files", [1, 16, 200])
+def test_any_number_of_files(spark, mixed, once, files):
+    assert _checked(run("stream_phase_monotone", spark, f"{mixed}/{files}")) == once["stream_phase_monotone"]
+
+
+def test_streams_equal_batch(spark):
+    """Four slices; rows of a task come in several parts, so that those of one micro-batch wait in the state store."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        replay = progress.Replay(view(spark, FOLDER, "events"), 250)
+        assert len(replay.waiting()) >= 3
+        emitted = progress.run_to_table(progress.task_progress(_stream(replay)), "update", "t", replay)
+        assert replay.waiting() == [] and emitted.select(progress.BATCH_COLUMN).distinct().count() >= 4
+        assert _rows(progress.last_update(emitted, ["task_id"])) == _rows(tasks.task_latest_state(_events(spark)))
+        replay = progress.Replay(view(spark, FOLDER, "events").repartition(5, "event_id"), 500)
+        phases = progress.run_to_table(progress.phase_monotone(_stream(replay)), "append", "p", replay).drop(progress.BATCH_COLUMN)
+        assert _rows(phases) == _rows(tasks.phase_monotone(_events(spark)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("job, mode", [(progress.phase_monotone, "append"), (progress.task_progress, "update"), (progress.task_ttl, "append")])
+def test_restart_from_the_checkpoint(spark, tmp_path, job, mode):
+    """Stopped after two slices, a job goes on with the state that it had."""
+    whole = progress.Replay(view(spark, FOLDER, "events"), 200)
+    want = progress.run_to_table(job(_stream(whole)), mode, "w", whole)
+    half = progress.Replay(view(spark, FOLDER, "events"), 200)
+    stream = job(_stream(half))
+    path = f"{tmp_path}/job"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows/{progress.BATCH_COLUMN}=-1")
+    before = progress.run_to_table(stream, mode, "h", half, path, slices=2).count()
+    again = progress.Replay(view(spark, FOLDER, "events"), 200, half.path)
+    assert len(again.waiting()) == len(progress.Replay(view(spark, FOLDER, "events"), 200).waiting()) - 2
+    found = progress.run_to_table(job(_stream(again)), mode, "h", again, path)
+    assert found.count() > before
+    last = (lambda df: progress.last_update(df, ["task_id"])) if mode == "update" else lambda df: df.drop(progress.BATCH_COLUMN)
+    assert _rows(last(found)) == _rows(last(want))
+
+
+def test_silent_tasks_leave_the_state(spark):
     """A task without events for longer than its time to live starts anew when it returns; the others go on counting."""
-    stream = VIEWS["task_events"].build(lambda n: progress.read_events(spark, f"{parts}/events.parquet", 1))
-    silent = stream.where("NOT (task_id = 't2' AND event_id BETWEEN 250 AND 499)")
-    last = progress.last_update(progress.run_to_table(progress.task_progress(silent, ttl_seconds=3600), "update", "t"), ["task_id"])
+    replay = progress.Replay(view(spark, FOLDER, "events"), 250)
+    silent = _stream(replay).where("NOT (task_id = 't2' AND event_id BETWEEN 250 AND 499)")
+    last = progress.last_update(progress.run_to_table(progress.task_progress(silent, ttl_seconds=5 * 86_400), "update", "t", replay), ["task_id"])
     events = {r.task_id: r["count"] for r in view(spark, FOLDER, "task_events").where("NOT (task_id = 't2' AND event_id BETWEEN 250 AND 499)").groupBy("task_id").count().collect()}
     found = {r.task_id: r.updates for r in last.collect()}
     assert found.pop("t2") < events.pop("t2") and found == events
 
 
+def test_events_without_a_time_and_no_events(spark):
+    events = view(spark, FOLDER, "events").limit(40).withColumn("ts", F.when(F.col("event_id") % 4 > 0, F.col("ts")))
+    replay = progress.Replay(events, 10)
+    found = progress.last_update(progress.run_to_table(progress.task_progress(_stream(replay)), "update", "t", replay), ["task_id"])
+    timed = VIEWS["task_events"].build(lambda n: events).where("ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert _rows(found) == _rows(tasks.task_latest_state(timed))
+    nothing = progress.Replay(events.limit(0))
+    assert progress.run_to_table(progress.phase_monotone(_stream(nothing)), "append", "n", nothing).count() == 0
+
+
 def test_table_function(spark):
     register_functions(spark)
     pages = spark.createDataFrame([("b", 0, "\\begin{x} {a} % {hidden\n\\end{x}\\(")], "book string, page_num int, tex string")

@@ -92,10 +92,13 @@ def test_restart_from_the_checkpoint(spark, tmp_path, job, mode):
 
 
 def test_silent_tasks_leave_the_state(spark):
-    """A task without events for longer than its time to live starts anew when it returns; the others go on counting."""
-    replay = progress.Replay(view(spark, FOLDER, "events"), 250)
+    """A task without events for longer than its time to live starts anew when it returns; the others go on counting.
+
+    No other task is silent for as long, and the time to live is longer than a slice.
+    """
+    replay = progress.Replay(view(spark, FOLDER, "events"), 100)
     silent = _stream(replay).where("NOT (task_id = 't2' AND event_id BETWEEN 250 AND 499)")
-    last = progress.last_update(progress.run_to_table(progress.task_progress(silent, ttl_seconds=5 * 86_400), "update", "t", replay), ["task_id"])
+    last = progress.last_update(progress.run_to_table(progress.task_progress(silent, ttl_seconds=302_400), "update", "t", replay), ["task_id"])
     events = {r.task_id: r["count"] for r in view(spark, FOLDER, "task_events").where("NOT (task_id = 't2' AND event_id BETWEEN 250 AND 499)").groupBy("task_id").count().collect()}
     found = {r.task_id: r.updates for r in last.collect()}
     assert found.pop("t2") < events.pop("t2") and found == events

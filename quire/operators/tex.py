@@ -30,6 +30,7 @@ COUNT_CHECKS = [
     ("unbalanced_display_math", "\\\\\\[", "\\\\\\]"),
     ("unbalanced_inline_math", "\\\\\\(", "\\\\\\)"),
 ]
+CONVERSION_FAILED = "conversion_failed"
 PROSE_CHECK = ("prose_in_display_math", "warning", "(?s)\\\\\\[(.*?)\\\\\\]")
 COMMENT = "%[^\\n]*"
 ENVIRONMENT_TOKEN = "%[^\\n]*|\\\\(?:begin|end)\\{[^}]*\\}?"
@@ -172,8 +173,8 @@ def findings_report(pages: DataFrame) -> DataFrame:
     return staged.select("book", "page_num", (errors == 0).alias("valid"), errors.alias("errors_count"), warnings.alias("warnings_count"), "infos")
 
 
-def page_diagnostics(pages: DataFrame) -> DataFrame:
-    """Delimiter and formula problems of each page, one row per finding."""
+def _findings() -> Column:
+    """Findings of the page in ``tex``; a page without LaTeX is one that failed to convert, and has that one finding."""
     tex = F.col("tex")
 
     def entry(code: str, severity: str, line: Column) -> Column:
@@ -192,17 +193,32 @@ def page_diagnostics(pages: DataFrame) -> DataFrame:
         return (F.length(m["match"]) - 4 >= L.CJK_LENGTH) & (T.count_matches(m["match"], "[\\u4e00-\\u9fff]") >= L.CJK_CHARS)
 
     found.append(entries(code, severity, F.filter(T.match_lines(tex, pattern), is_prose)))
-    exploded = pages.select("book", "page_num", F.explode_outer(F.concat(*found)).alias("d")).where("d IS NOT NULL")
+    return F.when(tex.isNull(), F.array(entry(CONVERSION_FAILED, "error", F.lit(1)))).otherwise(F.concat(*found))
+
+
+def page_diagnostics(pages: DataFrame) -> DataFrame:
+    """Delimiter and formula problems of each page, one row per finding; pages without LaTeX (null ``tex``) failed to convert."""
+    exploded = pages.select("book", "page_num", F.explode_outer(_findings()).alias("d")).where("d IS NOT NULL")
     return exploded.select("book", "page_num", "d.*")
 
 
+def page_status(pages: DataFrame) -> DataFrame:
+    """One row per page: whether it converted (``error``: it did not), and how many errors and warnings it has.
+
+    Whole pages of a selection come from a left join of it with the results, as failed pages have none.
+    """
+    counted = pages.select("book", "page_num", F.col("tex").isNull().alias("failed"), _findings().alias("found"))
+    of = lambda severity: F.size(F.filter("found", lambda d: d["severity"] == severity))
+    counted = counted.select("book", "page_num", "failed", of("error").alias("errors_count"), of("warning").alias("warnings_count"))
+    status = F.when(F.col("failed"), "error").when(F.col("warnings_count") > 0, "warning").otherwise("success")
+    return counted.select("book", "page_num", status.alias("status"), (F.col("errors_count") == 0).alias("valid"), "errors_count", "warnings_count")
+
+
 def page_diagnostic_counts(pages: DataFrame) -> DataFrame:
-    """Pages per book that are fine, have warnings only, or have errors."""
-    per_page = page_diagnostics(pages).groupBy("book", "page_num").agg(F.count_if(F.col("severity") == "error").alias("errors"))
-    marked = pages.select("book", "page_num").join(per_page, ["book", "page_num"], "left")
-    return marked.groupBy("book").agg(
-        F.count_if(F.col("errors").isNull()).alias("ok_pages"), F.count_if(F.col("errors") == 0).alias("warning_pages"),
-        F.count_if(F.col("errors") > 0).alias("failed_pages"))
+    """Pages per book that are fine, have warnings only, or have errors, failed ones included."""
+    errors, warnings = F.col("errors_count") > 0, F.col("warnings_count") > 0
+    return page_status(pages).groupBy("book").agg(
+        F.count_if(~errors & ~warnings).alias("ok_pages"), F.count_if(~errors & warnings).alias("warning_pages"), F.count_if(errors).alias("failed_pages"))
 
 
 def autofix_tex(pages: DataFrame, tex: str = "tex") -> DataFrame:

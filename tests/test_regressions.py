@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quire.operators import blocks, chunks, features, naming, pagetext, structure, usage
+from quire.operators import blocks, chunks, features, naming, pagetext, structure, tex, usage
 from quire.sources import corpus, sinks
 
 PAGE = "book string, page_num int"
@@ -142,3 +142,13 @@ def test_sink_uses_output_names(spark, tmp_path):
     sinks.write_tex_corpus(blocks_, f"{tmp_path}/out", names=names)
     found = {r.book for r in sinks.read_tex_corpus(spark, f"{tmp_path}/out").collect()}
     assert found == {"paper_cn.tex", "paper_cn_2.tex", "paper.tex", "b4"}
+
+
+def test_failed_pages_are_findings(spark):
+    """A page without LaTeX failed; a page with errors alone still converted."""
+    pages = spark.createDataFrame([("b", 0, None), ("b", 1, "fine"), ("b", 2, "\\[ x"), ("b", 3, "\\[ = \\]"), (None, 4, None)], f"{PAGE}, tex string")
+    assert [(r.page_num, r.code, r.severity, r.line) for r in tex.page_diagnostics(pages).orderBy("page_num").collect()] == [
+        (0, "conversion_failed", "error", 1), (2, "unbalanced_display_math", "error", 1), (3, "isolated_math_fragment", "warning", 1), (4, "conversion_failed", "error", 1)]
+    assert [(r.status, r.valid, r.errors_count, r.warnings_count) for r in tex.page_status(pages).orderBy("page_num").collect()] == [
+        ("error", False, 1, 0), ("success", True, 0, 0), ("success", False, 1, 0), ("warning", True, 0, 1), ("error", False, 1, 0)]
+    assert {tuple(r) for r in tex.page_diagnostic_counts(pages).collect()} == {("b", 1, 1, 2), (None, 0, 0, 1)}

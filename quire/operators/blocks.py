@@ -49,15 +49,17 @@ def with_running(
 
     Blocks hold about ``width`` rows, whatever the keys.  ``counted`` says that keys count from a small number, so that nothing
     is read to find the cuts; then each further level blocks the block table again, and two levels carry ``width`` cubed rows per group.
-    A NULL group is a group.  Rows with a NULL order key come first in their group, in an order of their hashes.
+    A NULL group is a group.  Rows with a NULL order key come first in their group, in an order of the hashes of their numbers;
+    those that differ in texts alone share a block.
     """
     return _running(with_blocks(df, group, order, width, counted), list(group), order, running, width, exclusive, levels if counted else 1).drop("__block", "__tie")
 
 
 def with_blocks(df: DataFrame, group: Sequence[str], order: str, width: int = BLOCK_WIDTH, counted: bool = False) -> DataFrame:
     """Number the block of every row as ``__block``, which grows with ``order`` inside a group; ``__tie`` orders rows without a key."""
-    # Many rows without a key are cut as well: their hash stands in for it.
-    tied = df.withColumn("__tie", F.when(F.col(order).isNull(), F.xxhash64(*df.columns)).otherwise(F.lit(0)))
+    # Many rows without a key are cut as well: a hash of their numbers stands in for it.  Texts are left out, as they would be read for it.
+    numbers = [F.lit(0), *[F.col(c) for c, kind in df.dtypes if kind in ("int", "bigint", "double", "timestamp", "timestamp_ntz", "date")]]
+    tied = df.withColumn("__tie", F.when(F.col(order).isNull(), F.xxhash64(*numbers)).otherwise(F.lit(0)))
     if counted:
         return tied.withColumn("__block", F.coalesce(F.floor(F.col(order).cast("double") / width).cast("long"), F.lit(-1)))
     place = F.struct(*[F.col(g) for g in group], F.col(order), F.col("__tie"))

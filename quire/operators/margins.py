@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.blocks import BLOCK_WIDTH
 
 # How many non-blank edge lines vote and how many may be removed, the longest furniture line,
 # the marks that end a sentence, the page share a key needs, and the offset of the rounding rule.
@@ -56,22 +57,40 @@ def _margin_counts(pages: DataFrame) -> DataFrame:
 
 def repeated_margin_lines(pages: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
     """Furniture keys seen on enough pages of a book.  Page totals need no text, so the text is read once."""
-    threshold = F.greatest(F.lit(2), F.floor(F.col("__total") * F.lit(min_ratio) + F.lit(ROUND_UP)))
-    totals = pages.groupBy("book").agg(F.count(F.lit(1)).alias("__total"))
+    totals = pages.groupBy("book").agg(F.count(F.lit(1)).alias("total_pages"))
+    return repeated_keys(pages, totals, min_ratio)
+
+
+def repeated_keys(pages: DataFrame, totals: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
+    """``repeated_margin_lines`` with the page totals of the books (``book, total_pages``) at hand."""
+    threshold = F.greatest(F.lit(2), F.floor(F.col("total_pages") * F.lit(min_ratio) + F.lit(ROUND_UP)))
     thresholds = totals.select("book", threshold.cast("long").alias("threshold"))
     return _margin_counts(pages).join(thresholds, "book").where("n_pages >= threshold").select("book", "margin_key", "n_pages", "threshold")
 
 
-def strip_repeated_margins(pages: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
+def margin_lists(repeated: DataFrame) -> DataFrame:
+    """The repeated keys of each book as one list, ``__keys``.
+
+    Each page casts at most 6 votes, so a book has at most ``6 / min_ratio`` repeated keys whatever its length.
+    """
+    return repeated.groupBy("book").agg(F.collect_list("margin_key").alias("__keys"))
+
+
+def strip_repeated_margins(pages: DataFrame, min_ratio: float = MIN_RATIO, width: int = BLOCK_WIDTH) -> DataFrame:
     """Remove repeated furniture from the first and last lines of each page.
 
-    Each page casts at most 6 votes, so a book has at most ``6 / min_ratio`` repeated keys whatever its length:
-    the per-book list is small and goes to the pages in one join, which adaptive execution turns into a broadcast by the
-    measured size of the lists, and whose hot books it splits otherwise.  Pages are cleaned inside the row, with no exchange.
+    The list of a book goes to each of its blocks of ``width`` pages, one row per block, and meets the pages there: where the
+    lists of all books are too large to broadcast, the text is dealt out by (book, block), so that a book of a third of all
+    pages is many tasks.  Pages are cleaned inside the row.
     """
-    repeated = repeated_margin_lines(pages, min_ratio)
-    keys = repeated.groupBy("book").agg(F.collect_list("margin_key").alias("__keys"))
-    joined = pages.join(keys, "book", "left")
+    blocked = pages.withColumn("__block", F.coalesce(F.floor(F.col("page_num") / width), F.lit(-1)))
+    lists = margin_lists(repeated_margin_lines(pages, min_ratio))
+    per_block = blocked.select("book", "__block").distinct().join(lists, "book")
+    return drop_margins(blocked.join(per_block, ["book", "__block"], "left")).drop("__block")
+
+
+def drop_margins(joined: DataFrame) -> DataFrame:
+    """Clean pages that carry the repeated keys of their book as ``__keys``; where that is NULL the text stays as it is."""
     staged = joined.withColumn("__lines", T.split_lines("text"))
     filled = F.filter(T.positions(F.col("__lines")), lambda i: ~T.is_blank(F.get(F.col("__lines"), i)))
     staged = staged.withColumn("__filled", filled)

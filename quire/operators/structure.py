@@ -91,12 +91,17 @@ def remove_bottom_small_text(pages: DataFrame, glyphs: DataFrame) -> DataFrame:
     notes = texts.select(*PAGE, _squeezed(F.col("t")).alias("t")).where(F.length("t") >= MIN_FOOTER_CHARS)
     per_page = notes.groupBy(*PAGE).agg(F.collect_set("t").alias("__notes"))
     joined = pages.join(per_page, PAGE, "left")
+    return joined.withColumn("text", without_notes(F.col("text"), F.col("__notes"))).drop("__notes")
+
+
+def without_notes(text: Column, notes: Column) -> Column:
+    """Drop the lines that hold one of the squeezed ``notes``; a page without notes stays as it is."""
 
     def keep(line: Column) -> Column:
-        return ~F.exists("__notes", lambda n: _squeezed(line).contains(n))
+        return T.let(_squeezed(line), lambda s: ~F.exists(notes, lambda n: F.coalesce(s.contains(n), F.lit(False))))
 
-    cleaned = T.strip(T.join_lines(F.filter(T.split_lines("text"), keep)))
-    return joined.withColumn("text", F.when(F.col("__notes").isNull(), F.col("text")).otherwise(cleaned)).drop("__notes")
+    cleaned = T.strip(T.join_lines(F.filter(T.split_lines(text), keep)))
+    return F.when(F.coalesce(F.size(notes), F.lit(0)) <= 0, text).otherwise(cleaned)
 
 
 def _squeezed(value: Column) -> Column:
@@ -460,22 +465,33 @@ def table_context(cells: DataFrame) -> DataFrame:
 
     A column number that a row does not have is an empty cell.  ``table_no``, where the cells have it, is the number of the
     table on its page and goes into the header.  Cells meet per row first, rows per table second: a task never holds more
-    than one row's cells or one table's lines.
+    than one row's cells or one table's lines.  Empty cells are filled in by the gaps between column numbers, so a row costs what it shows.
     """
     keys = ["table_id", *(["table_no"] if "table_no" in cells.columns else [])]
     packed = F.array_sort(F.collect_list(F.struct("col_no", clean_cell(F.col("cell")).alias("t"))))
     rows = cells.where("col_no >= 1").groupBy(*keys, "row_no").agg(packed.alias("row"), F.max("col_no").alias("last"))
-    tables = rows.groupBy(*keys).agg(F.max("last").alias("cols"), F.array_sort(F.collect_list(F.struct("row_no", "row"))).alias("rows"))
-
-    def grid(row: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.col("cols").cast("int")), lambda c: F.coalesce(F.get(F.filter(row, lambda x: x["col_no"] == c), 0)["t"], F.lit(EMPTY_CELL)))
-
-    lines = F.transform("rows", lambda r, i: F.concat(F.lit("ROW "), (i + 1).cast("string"), F.lit(": "), F.array_join(grid(r["row"]), " | ")))
+    rows = rows.select(*keys, "row_no", "last", T.let(F.col("row"), _filled_row).alias("line"))
+    tables = rows.groupBy(*keys).agg(F.max("last").alias("cols"), F.array_sort(F.collect_list(F.struct("row_no", "line", "last"))).alias("rows"))
+    missing = F.lit(f" | {EMPTY_CELL}")
+    lines = F.transform("rows", lambda r, i: F.concat(
+        F.lit("ROW "), (i + 1).cast("string"), F.lit(": "), r["line"], F.repeat(missing, (F.col("cols") - r["last"]).cast("int"))))
     number = F.col("table_no").cast("string") if len(keys) > 1 else F.lit("1")
     header = F.concat(F.lit("[TABLE "), number, F.lit("] cols="), F.col("cols").cast("string"))
     return tables.select(*keys, T.join_lines(F.concat(F.array(header), lines)).alias("table_text"))
 
 
+def _filled_row(row: Column) -> Column:
+    """The cells of a row, sorted by column, as text up to its last cell: each cell brings the empty ones before it."""
+
+    def with_gap(cell: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(row, i - 1)["col_no"]).otherwise(F.lit(0))
+        gap = (cell["col_no"] - before - 1).cast("int")
+        # Of two cells at one place the first counts.
+        return F.when(gap < 0, F.array().cast("array<string>")).otherwise(F.concat(F.array_repeat(F.lit(EMPTY_CELL), gap), F.array(cell["t"])))
+
+    return F.array_join(F.flatten(F.transform(row, with_gap)), " | ")
+
+
 def tabular_from_context(text: Column) -> Column:
     """A LaTeX table from ROW lines; '' where there are none."""
     pattern = f"(?im)^{T.SPACE}*ROW{T.SPACE}+\\d+{T.SPACE}*:{T.SPACE}*(.+)$"
@@ -527,24 +543,48 @@ MAX_LOG_ERRORS = 10
 
 def compile_log_errors(logs: DataFrame, limit: int = MAX_LOG_ERRORS) -> DataFrame:
     """The first errors of each TeX log, wrapped messages joined, each with its source line where the log tells it."""
-    lines = logs.select("log_id", F.posexplode_outer(T.split_lines("log")).alias("line_no", "line"))
-    order = Window.partitionBy("log_id").orderBy("line_no")
-    bound = T.is_blank("line") | T.strip("line").rlike("\\.tex:\\d+:|\\A! |\\Al\\.")
-    cut = lines.withColumns({"bound": bound, "segment": F.sum(F.when(bound, 1).otherwise(0)).over(order)})
-    wraps = F.col("bound") | F.first("line").over(Window.partitionBy("log_id", "segment").orderBy("line_no")).rlike("\\.tex:\\d+:")
-    parts = F.array_sort(F.collect_list(F.struct("line_no", F.when(F.col("bound"), F.col("line")).otherwise(T.strip("line")).alias("t"))))
-    joined = cut.where("segment > 0").withColumn("wraps", wraps).where("wraps").groupBy("log_id", "segment").agg(
-        F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("raw"))
-    clean = T.strip(F.replace("raw", F.lit("\r"), F.lit("")))
-    message = T.strip(F.regexp_extract(clean, MESSAGE, 2))
-    events = joined.withColumns({
-        "kind": F.when(clean.rlike(MESSAGE), F.when(message.contains("Fatal error"), "skip").otherwise("file"))
-        .when(T.strip("raw").rlike("\\Al\\.\\d+"), "line").when(F.col("raw").startswith("! "), "bang").otherwise("skip"),
-        "number": F.coalesce(F.regexp_extract(clean, MESSAGE, 1).try_cast("int"), F.regexp_extract(T.strip("raw"), "\\Al\\.(\\d+)", 1).try_cast("int")),
-        "message": F.when(clean.rlike(MESSAGE), message).otherwise(T.strip(F.expr("substring(raw, 3)"))),
-    }).where("kind <> 'skip'")
-    sequence = Window.partitionBy("log_id").orderBy("segment")
-    known = F.last(F.when(F.col("kind").isin("file", "line"), F.col("number")), ignorenulls=True).over(sequence.rowsBetween(Window.unboundedPreceding, 0))
-    later = F.when(F.lead("kind").over(sequence) == "line", F.lead("number").over(sequence))
-    errors = events.withColumn("line", F.when(F.col("kind") == "file", F.col("number")).otherwise(F.coalesce(known, later))).where("kind <> 'line'")
-    return errors.withColumn("error_no", F.row_number().over(sequence)).where(F.col("error_no") <= limit).select("log_id", "error_no", "line", "message")
+    found = T.let(T.let(T.split_lines("log"), _log_events), lambda events: _first_errors(events, limit))
+    errors = logs.select("log_id", F.posexplode_outer(found).alias("at", "error")).where("error IS NOT NULL")
+    return errors.select("log_id", (F.col("at") + 1).alias("error_no"), "error.line", "error.message")
+
+
+def _log_events(lines: Column) -> Column:
+    """What a log tells, in order, as (kind, number, message): an error with its file, a bare error, or a source line."""
+
+    def starts(line: Column) -> Column:
+        return T.is_blank(line) | T.strip(line).rlike("\\.tex:\\d+:|\\A! |\\Al\\.")
+
+    def message(bounds: Column, start: Column, k: Column) -> Column:
+        first = F.get(lines, start)
+        wrapped = F.slice(lines, start + 2, F.coalesce(F.get(bounds, k + 1), F.size(lines)) - start - 1)
+        return F.when(first.rlike("\\.tex:\\d+:"), F.concat(first, F.array_join(F.transform(wrapped, T.strip), ""))).otherwise(first)
+
+    def event(raw: Column) -> Column:
+        clean = T.strip(F.replace(raw, F.lit("\r"), F.lit("")))
+        text = T.strip(F.regexp_extract(clean, MESSAGE, 2))
+        kind = (
+            F.when(clean.rlike(MESSAGE), F.when(text.contains("Fatal error"), "skip").otherwise("file"))
+            .when(T.strip(raw).rlike("\\Al\\.\\d+"), "line").when(raw.startswith("! "), "bang").otherwise("skip"))
+        number = F.coalesce(F.regexp_extract(clean, MESSAGE, 1).try_cast("int"), F.regexp_extract(T.strip(raw), "\\Al\\.(\\d+)", 1).try_cast("int"))
+        shown = F.when(clean.rlike(MESSAGE), text).otherwise(T.strip(F.substring(raw, 3, 2**31 - 1)))
+        return F.struct(kind.alias("kind"), number.alias("number"), shown.alias("message"))
+
+    bounds = F.filter(T.positions(lines), lambda i: starts(F.get(lines, i)))
+    raws = T.let(bounds, lambda found: F.transform(found, lambda start, k: message(found, start, k)))
+    return F.filter(F.transform(raws, event), lambda e: e["kind"] != "skip")
+
+
+def _first_errors(events: Column, limit: int) -> Column:
+    """The first errors with their lines: a bare error takes the last line named before it, else one that follows at once."""
+    paired = F.transform(events, lambda e, i: F.struct(e.alias("e"), F.get(events, i + 1).alias("next")))
+    start = F.struct(F.lit(None).cast("int").alias("known"), F.array().cast("array<struct<line:int,message:string>>").alias("out"))
+
+    def step(state: Column, pair: Column) -> Column:
+        e, after = pair["e"], pair["next"]
+        known = F.coalesce(F.when(e["kind"].isin("file", "line"), e["number"]), state["known"])
+        line = F.when(e["kind"] == "file", e["number"]).otherwise(F.coalesce(known, F.when(after["kind"] == "line", after["number"])))
+        counts = (e["kind"] != "line") & (F.size(state["out"]) < limit)
+        error = F.array(F.struct(line.alias("line"), e["message"].alias("message")))
+        return F.struct(known.alias("known"), F.when(counts, F.concat(state["out"], error)).otherwise(state["out"]).alias("out"))
+
+    return F.aggregate(paired, start, step, lambda s: s["out"])

@@ -1,3 +1,3 @@
 """Queries over the given tables: derived views, the registry, and one module per area."""
 
-from quire.plans import corpus, latex, layout, operations, scores, streams, textops  # noqa: F401
+from quire.plans import corpus, extraction, latex, layout, operations, scores, streams, textops  # noqa: F401

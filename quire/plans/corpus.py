@@ -43,6 +43,24 @@ _REPEATED = f""", filled AS (
     FROM keyed k JOIN totals USING (book) WHERE candidate AND (head <= 3 OR tail <= 3) GROUP BY k.book, margin_key
     HAVING count(DISTINCT page_num) >= greatest(2, CAST(floor(any_value(total_pages) * {MIN_RATIO} + 0.999) AS BIGINT)))"""
 
+
+def repeated_sql() -> str:
+    """Repeated margin keys of the tables ``lines`` and ``page_text``."""
+    return _REPEATED
+
+
+def stripped_sql(columns: str) -> str:
+    """Pages without their repeated margins, after ``repeated_sql``."""
+    return f""",
+  dropped AS (SELECT k.book, k.page_num, k.line_no FROM keyed k JOIN repeated r USING (book, margin_key)
+    WHERE candidate AND (head <= 4 OR tail <= 4)),
+  kept AS (SELECT l.book, l.page_num, string_agg(l.line, chr(10) ORDER BY l.line_no) AS joined
+    FROM lines l ANTI JOIN dropped d ON l.book = d.book AND l.page_num = d.page_num AND l.line_no = d.line_no
+    GROUP BY l.book, l.page_num)
+  SELECT {columns}, CASE WHEN p.book IN (SELECT book FROM repeated) THEN {S.strip("coalesce(joined, '')")} ELSE p.text END AS text
+  FROM page_text p LEFT JOIN kept USING (book, page_num)"""
+
+
 register(
     "repeated_margin_lines",
     lambda v: margins.repeated_margin_lines(v("page_text"), MIN_RATIO),
@@ -51,12 +69,5 @@ register(
 register(
     "strip_repeated_margins",
     lambda v: margins.strip_repeated_margins(v("page_text"), MIN_RATIO).select("book", "page_num", "text"),
-    with_views("lines") + _REPEATED + f""",
-  dropped AS (SELECT k.book, k.page_num, k.line_no FROM keyed k JOIN repeated r USING (book, margin_key)
-    WHERE candidate AND (head <= 4 OR tail <= 4)),
-  kept AS (SELECT l.book, l.page_num, string_agg(l.line, chr(10) ORDER BY l.line_no) AS joined
-    FROM lines l ANTI JOIN dropped d ON l.book = d.book AND l.page_num = d.page_num AND l.line_no = d.line_no
-    GROUP BY l.book, l.page_num)
-  SELECT p.book, p.page_num, CASE WHEN p.book IN (SELECT book FROM repeated) THEN {S.strip("coalesce(joined, '')")} ELSE p.text END AS text
-  FROM page_text p LEFT JOIN kept USING (book, page_num)""",
+    with_views("lines") + _REPEATED + stripped_sql("p.book, p.page_num"),
 )

@@ -28,6 +28,13 @@ _FURNITURE = f""", l AS (SELECT book, page_num, total_pages, line_no, line, {S.s
     row_number() OVER (PARTITION BY book, page_num ORDER BY line_no) AS head, row_number() OVER (PARTITION BY book, page_num ORDER BY line_no DESC) AS tail
     FROM furniture_lines JOIN furniture_pages USING (book, page_num)),
   f AS (SELECT *, {_PAGINATION} AS furniture FROM l)"""
+
+
+def furniture_sql() -> str:
+    """Lines of ``furniture_lines`` with their places from both ends and whether they are furniture, as ``f``."""
+    return _FURNITURE
+
+
 register("pagination_lines", lambda v: linefilters.pagination_lines(v("furniture_pages")),
          with_views("furniture_lines") + _FURNITURE + " SELECT book, page_num, line_no, line FROM f WHERE furniture")
 register(

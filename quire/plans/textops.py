@@ -82,7 +82,7 @@ _N = "([A-Za-z](?:_[a-zA-Z0-9]+)?)"
 _T = "^{\\\\mathsf{T}}"
 _END = f"({S.NOT_WORD}|$)"
 _POWER = ("power", f"({S.WORD})\\^(\\d+)(\\d[}}a-zA-Z]|[^}}a-zA-Z0-9]|$)", "\\1^{\\2}\\3")
-_EXTRACT = [
+EXTRACT = [
     ("dot_transpose", f"{_N}\\.(T)", f"\\1{_T}"), ("space_transpose", f"{_N}{S.SPACE}+T([^a-zA-Z{{]|$)", f"\\1{_T}\\2"),
     ("lower_transpose", f"([A-Z])\\.t{_END}", f"\\1{_T}\\2"), _POWER, ("top", f"({S.WORD}){S.SPACE}*\\\\top{_END}", "\\1^{\\\\top}\\2"),
     ("tag", "\\\\tag\\{([^}]*)\\}", "\\\\qquad (\\1)"),
@@ -99,7 +99,7 @@ register(
     with_views("math_pages", "tex_pages") + _rewrites("SELECT book, text FROM math_pages UNION ALL SELECT book, tex FROM tex_pages", _TRANSPOSE),
 )
 register("math_rewrite_extract", lambda v: pagetext.math_rewrite_counts(v("math_pages"), "extract"),
-         with_views("math_pages") + _rewrites("SELECT book, text FROM math_pages", _EXTRACT))
+         with_views("math_pages") + _rewrites("SELECT book, text FROM math_pages", EXTRACT))
 # Words and single other characters: a word counts unless a backslash or hyphen is next to it.
 _WORD_COUNTS = ", ".join(
     [f"count(*) FILTER (w = '{k}' AND p = chr(92)) AS n_cmd_{k}" for k in L.COMMANDS]

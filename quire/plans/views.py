@@ -261,6 +261,20 @@ select("raw_pages", "page_text", "book", "page_num",
        "concat('  (cid:3) ', replace(text, ', ', concat(' cid:12 , ', chr(13), chr(10), '  ')), chr(13), 'tail (CID:7)  ', chr(10)) AS text",
        "CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'table' WHEN 1 THEN 'code' ELSE 'text' END AS hint")
 
+# Documents as an extraction meets them: a running title, page numbers, residue, small print, some unreadable layers and empty
+# pages, beside what a machine read, the tables of the page and another text layer.
+select("extraction_inputs", "documents", "source", "doc_id",
+       """CASE WHEN doc_id % 23 = 0 THEN CAST(NULL AS STRING) WHEN doc_id % 17 = 0 THEN '   ' ELSE concat('Running Title', chr(13), chr(10),
+    CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN concat('Page ', CAST(doc_id % 90 AS STRING), ' of 90') WHEN 1 THEN 'Chapter 1 Introduction' WHEN 2 THEN '第 3 页' ELSE '  (cid:3) ' END, chr(10),
+    CASE WHEN doc_id % 7 = 0 THEN translate(text, 'abcdefghijklmnopqrstu', '▓▓▓▓▓▓▓▓▓▓▓▓▓▓▓▓▓▓▓▓▓') WHEN doc_id % 19 = 0 THEN '■□' ELSE replace(text, ', ', concat(' cid:12 W.T x^2 ', chr(13), chr(10), '  A T (')) END,
+    chr(10), 'Set in Small  Print ', CAST(doc_id % 3 AS STRING), chr(10), chr(92), 'tag{', CAST(doc_id % 9 AS STRING), '} w^2', chr(13), CAST(1 + doc_id % 40 AS STRING)) END AS text""",
+       "CASE WHEN doc_id % 4 = 1 THEN array('smallprint1', 'nowhere') ELSE CAST(NULL AS ARRAY<STRING>) END AS notes",
+       "CASE WHEN doc_id % 14 = 7 THEN '■▓' WHEN doc_id % 3 = 0 THEN concat('  ', text, ' (cid:1)', chr(13)) WHEN doc_id % 3 = 1 THEN '' ELSE CAST(NULL AS STRING) END AS reading",
+       "CASE WHEN doc_id % 6 = 0 THEN concat('[TABLE 1] cols=2', chr(10), 'ROW 1: a | ', CAST(doc_id AS STRING)) END AS table_text",
+       "doc_id % 2 = 0 AS has_images", "CASE WHEN doc_id % 46 = 0 THEN concat('Page 7', chr(10), ' spare ', text) END AS backup")
+_extraction = VIEWS["extraction_inputs"]
+VIEWS["extraction_inputs"] = View(_extraction.needs, _extraction.sql.replace("array('smallprint1', 'nowhere')", "['smallprint1', 'nowhere']").replace("ARRAY<STRING>", "VARCHAR[]"), _extraction.build)
+
 select("algorithm_pages", "page_text", "book", "page_num",
        "concat(CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN concat('Algorithm 1 Search', chr(10), 'Input: x', chr(10)) "
        "WHEN 1 THEN concat('算法 2', chr(10), '输出 y', chr(10)) WHEN 2 THEN concat('Algorithm 3', chr(10)) ELSE '' END, text) AS text")

@@ -1,9 +1,11 @@
 """Shapes of the physical plans that matter at scale."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import margins, scoring, structure, tex
+from quire.operators import extraction, margins, scoring, structure, tex
 from quire.plans.registry import QUERIES, run
 from quire.plans.views import view
 
@@ -27,6 +29,40 @@ def test_pages_are_cut_in_their_row(spark, operator):
     assert "Exchange" not in plan(operator(pages))
 
 
+def test_log_errors_are_found_in_the_row(spark):
+    logs = view(spark, FOLDER, "documents").selectExpr("doc_id AS log_id", "text AS log")
+    assert "Exchange" not in plan(structure.compile_log_errors(logs))
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Plans as they are for large tables: nothing is broadcast, and equal exchanges are shared when the plan is made."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield spark
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def text_exchanges(df):
+    """The keys of the exchanges that move the text."""
+    lines = plan(df).split("\n")
+    return [line[line.index("Exchange"):] for line, below in zip(lines, lines[1:]) if "Exchange hashpartitioning" in line and "Reused" not in line and re.search(r"\btext#", below)]
+
+
+def test_extraction_moves_the_text_once(shuffled):
+    pages = view(shuffled, FOLDER, "extraction_inputs")
+    assert len(text_exchanges(extraction.extract_pages(pages))) == 1
+
+
+def test_margins_never_deal_the_text_by_book(shuffled):
+    pages = view(shuffled, FOLDER, "documents").select(F.col("source").alias("book"), F.col("doc_id").cast("int").alias("page_num"), "text")
+    moved = text_exchanges(margins.strip_repeated_margins(pages))
+    assert moved and all("__block" in keys for keys in moved)
+
+
 def test_scan_reads_only_needed_columns(spark):
     text = plan(run("file_fingerprint", spark, FOLDER))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quire.operators import blocks, chunks, features, naming, pagetext, structure, tex, usage
+from quire.operators import blocks, chunks, extraction, features, linefilters, margins, naming, pagetext, structure, tex, usage
 from quire.sources import corpus, sinks
 
 PAGE = "book string, page_num int"
@@ -152,3 +152,69 @@ def test_failed_pages_are_findings(spark):
     assert [(r.status, r.valid, r.errors_count, r.warnings_count) for r in tex.page_status(pages).orderBy("page_num").collect()] == [
         ("error", False, 1, 0), ("success", True, 0, 0), ("success", False, 1, 0), ("warning", True, 0, 1), ("error", False, 1, 0)]
     assert {tuple(r) for r in tex.page_diagnostic_counts(pages).collect()} == {("b", 1, 1, 2), (None, 0, 0, 1)}
+
+
+def test_extraction_equals_its_steps(spark):
+    """The chain against the operators of its steps, one after the other, on pages with mixed edges, notes and tables; blocks of three pages."""
+    draw = random.Random(5)
+    words = ["Running Title", "Page 3 of 9", "12", "W.T x^2", "a (cid:4) b", "smallprint here", "正文 内容", "", "  \t", "■■■", "Chapter 2 Some Title"]
+    rows = []
+    for k in range(120):
+        text = "".join(draw.choice(words) + draw.choice(["\n", "\r\n", "\r"]) for _ in range(draw.randint(0, 14)))
+        rows.append((draw.choice(["a", "a", "a", "b", "c"]), k * k, text, ["smallprinthere"] if k % 3 == 0 else None, "ROW 1: x | y" if k % 5 == 0 else None))
+    docs = spark.createDataFrame(rows, "source string, doc_id bigint, text string, notes array<string>, table_text string")
+    whole = {r.doc_id: r for r in extraction.extract_pages(docs, 0.3, width=3).collect()}
+
+    pages = corpus.scan_corpus(docs.withColumn("lang", F.lit("en"))).join(docs.select("doc_id", "notes", "table_text"), "doc_id")
+    pages = blocks.with_group_total(pages, ["book"], "total_pages")
+    pages = pagetext.normalize_page_text(pages)
+    pages = pages.withColumn("text", structure.without_notes(F.col("text"), F.col("notes")))
+    tables = docs.where("table_text IS NOT NULL").select("doc_id", F.col("table_text").alias("table_text"))
+    pages = pagetext.attach_table_context(pages.drop("table_text"), tables, ["doc_id"])
+    pages = pagetext.normalize_page_text(linefilters.cleanup_pagination(pages))
+    pages = pagetext.math_rewrite(pages, "extract")
+    steps = {r.doc_id: r for r in margins.strip_repeated_margins(pages, 0.3).collect()}
+    assert len(whole) == len(rows)
+    assert {k: (r.book, r.page_num, r.text) for k, r in whole.items()} == {k: (r.book, r.page_num, r.text) for k, r in steps.items()}
+    assert any("Running Title" in r[2] for r in rows) and not all("Running Title" in r.text for r in whole.values() if r.book == "a")
+
+
+def test_extraction_of_odd_rows(spark):
+    """NULLs, a reading that replaces or joins a poor layer, a backup, columns that clash; a table without the optional columns."""
+    kind = "source string, doc_id bigint, text string, notes array<string>, reading string, table_text string, has_images boolean, backup string, book string"
+    good = "a machine read these words"
+    rows = [
+        ("s", 1, None, None, None, None, None, " spare\nPage 2 ", "x"), ("s", 2, "", None, good + " alone", None, False, "b", "x"),
+        ("s", 3, "■■■■■■■■■■■■", None, good, None, False, None, "x"), ("s", 4, "■■■■■■■■■■■■", None, "■", None, False, None, "x"),
+        ("s", 5, "plain text of a page", ["notthere", None], good, None, True, None, "x"), (None, 6, "no book", None, None, "ROW 1: a", False, None, "x"),
+        ("s", None, "no number", None, None, None, False, None, "x"),
+    ]
+    found = {r.doc_id: (r.book, r.page_num, r.origin, r.text) for r in extraction.extract_pages(spark.createDataFrame(rows, kind)).collect()}
+    assert found == {
+        1: ("s", 1, "text-layer", "spare"), 2: ("s", 2, "ocr", good + " alone"), 3: ("s", 3, "ocr", good), 4: ("s", 4, "ocr", "■"),
+        5: ("s", 5, "text-layer", "plain text of a page"), 6: (None, 0, "text-layer", "no book\n\n[STRUCTURED_TABLE_CONTEXT]\nROW 1: a"),
+        None: ("s", 0, "text-layer", "no number"),
+    }
+    bare = spark.createDataFrame([("s", 1, "x\r\ny")], "source string, doc_id bigint, text string")
+    assert [r.text for r in extraction.extract_pages(bare).collect()] == ["x\ny"]
+    assert extraction.extract_pages(bare.where("false")).collect() == []
+
+
+def test_log_events_in_a_row(spark):
+    """A bare error takes the line before it, else one that follows at once; wrapped messages join; odd logs give nothing."""
+    logs = [
+        ("a", "! First\nl.5 x\n! Second\nfoo\nd.tex:9: Undefined con\ntrol\n\n! Third"), ("b", None), ("c", ""), ("d", "x\ny"),
+        ("e", "\n".join(f"d.tex:{k}: message {k}" for k in range(30))), ("f", "d.tex:99999999999: too large\n! after"),
+    ]
+    found = [tuple(r) for r in structure.compile_log_errors(spark.createDataFrame(logs, "log_id string, log string")).orderBy("log_id", "error_no").collect()]
+    assert [r for r in found if r[0] == "a"] == [("a", 1, 5, "First"), ("a", 2, 5, "Second"), ("a", 3, 9, "Undefined control"), ("a", 4, 9, "Third")]
+    assert [r for r in found if r[0] == "e"] == [("e", k + 1, k, f"message {k}") for k in range(10)]
+    assert [r for r in found if r[0] == "f"] == [("f", 1, None, "too large"), ("f", 2, None, "after")]
+    assert {r[0] for r in found} == {"a", "e", "f"}
+
+
+def test_grid_of_wide_and_repeated_columns(spark):
+    cells = [(1, 1, 1, "a"), (1, 1, 4, "d"), (1, 2, 2, "b"), (1, 2, 2, "a"), (1, 3, 5, None)]
+    text = structure.table_context(spark.createDataFrame(cells, "table_id int, row_no int, col_no int, cell string")).first().table_text
+    e = "<EMPTY>"
+    assert text.split("\n") == ["[TABLE 1] cols=5", f"ROW 1: a | {e} | {e} | d | {e}", f"ROW 2: {e} | a | {e} | {e} | {e}", f"ROW 3: {e} | {e} | {e} | {e} | {e}"]

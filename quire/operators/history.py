@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.blocks import BLOCK_WIDTH, with_blocks
+from quire.session import cut_lineage
 
 # Records kept, ranges remembered, uses that make a preference, accepted settings, prompt header.
 MAX_RECORDS = 20
@@ -54,15 +56,58 @@ def preferred_choice(history: DataFrame) -> DataFrame:
     return best.select("kind", "best.*").where(F.col("uses") >= MIN_USES)
 
 
-def preference_flags(history: DataFrame) -> DataFrame:
-    """Translation default, last quality mode, and the page ranges seen first most recently."""
+def preference_flags(history: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
+    """Translation default, last quality mode, and the list of page ranges, oldest first."""
     flags = history.agg(
         F.coalesce(F.bool_or("translated"), F.lit(False)).alias("default_translate"),
         F.coalesce(F.max_by("quality_mode", F.when(F.coalesce("quality_mode", F.lit("")) != "", F.col("seq"))), F.lit("standard")).alias("quality_mode"))
-    ranges = history.where("pages <> '' AND pages <> 'all'").groupBy("pages").agg(F.min("seq").alias("first_seen"))
-    latest = ranges.orderBy(F.desc("first_seen")).limit(MAX_RANGES)
-    joined = latest.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_seen", "pages"))), lambda r: r["pages"]), ";").alias("page_ranges"))
-    return flags.select("*", joined.scalar().alias("newest_ranges"))
+    return flags.withColumn("page_ranges", F.lit(";".join(common_page_ranges(history, width=width))))
+
+
+def common_page_ranges(history: DataFrame, keep: int = MAX_RANGES, width: int = BLOCK_WIDTH) -> list[str]:
+    """The list that a settings file holds after the whole history, oldest first: a range not on it is appended, and the
+    oldest one is pushed out when there are more than ``keep``.  A range that was pushed out comes back when it is used again.
+
+    What a stretch of the history does to the list depends on the list before it.  The history is cut into blocks, each
+    replayed in one task from a guess, the empty list at first; then every block whose guess was wrong is replayed from the end of the block
+    before it, until all agree.  A block forgets its start after ``keep`` new ranges, so a second round mostly settles all;
+    a block whose ranges are all on the list leaves it as it is, and needs no replay.  Each round settles one block at least.
+    The driver holds a list of ``keep`` ranges per block and round, of at most ``MOST_BLOCKS`` blocks or so.
+    Empty ranges and ``all`` do not count; records without a ``seq`` come first.
+    """
+    used = history.where("pages <> '' AND pages <> 'all'").select("seq", "pages")
+    in_order = F.array_sort(F.collect_list(F.struct("seq", "__tie", "pages")))
+    replays = with_blocks(used, [], "seq", width).groupBy("__block").agg(F.transform(in_order, lambda r: r["pages"]).alias("pages"))
+    stretches = cut_lineage(replays.select("__block", F.filter("pages", lambda p, i: (i == 0) | (F.get("pages", i - 1) != p)).alias("pages")))
+    few = F.array_distinct("pages")
+    first = stretches.select("__block", F.when(F.size(few) <= keep, few).alias("few"), _replayed(F.array().cast("array<string>"), keep).alias("end"))
+    known = {r["__block"]: r for r in first.collect()}
+    order = sorted(known)
+    ends = {(b, ()): tuple(known[b]["end"]) for b in order}
+    guess = {b: ends[b, ()] for b in order}
+    while True:
+        state, missing = (), []
+        for b in order:
+            if known[b]["few"] is not None and set(known[b]["few"]) <= set(state):
+                continue
+            if (b, state) not in ends:
+                missing.append((b, list(state)))
+            state = ends.get((b, state), guess[b])
+        if not missing:
+            return list(state)
+        starts = history.sparkSession.createDataFrame(missing, "__block bigint, start array<string>")
+        for r in stretches.join(F.broadcast(starts), "__block").select("__block", "start", _replayed(F.col("start"), keep).alias("end")).collect():
+            guess[r["__block"]] = ends[r["__block"], tuple(r["start"])] = tuple(r["end"])
+
+
+def _replayed(start: Column, keep: int) -> Column:
+    """The list after the ranges of a stretch."""
+
+    def use(state: Column, p: Column) -> Column:
+        room = F.slice(state, F.greatest(F.size(state) - keep + 2, F.lit(1)), keep - 1)
+        return F.when(F.array_contains(state, p), state).otherwise(F.array_append(room, p))
+
+    return F.aggregate("pages", start, use)
 
 
 def terminology_latest(events: DataFrame) -> DataFrame:

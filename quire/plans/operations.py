@@ -141,9 +141,9 @@ register(
 )
 register(
     "preference_flags", lambda v: history.preference_flags(v("history")),
-    with_views("history") + """, r AS (SELECT pages, min(seq) AS f FROM history WHERE pages <> 'all' GROUP BY pages ORDER BY f DESC LIMIT 5)
+    with_views("history") + """, r AS (SELECT list([pages] ORDER BY seq) AS used FROM history WHERE pages <> 'all')
   SELECT bool_or(translated) AS default_translate, arg_max(quality_mode, seq) FILTER (quality_mode IS NOT NULL) AS quality_mode,
-    (SELECT string_agg(pages, ';' ORDER BY f) FROM r) AS newest_ranges FROM history""",
+    (SELECT array_to_string(list_reduce(used, lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE (a || x)[-5:] END), ';') FROM r) AS page_ranges FROM history""",
 )
 _TERMS = f""", e AS (SELECT seq, lower({S.strip('source')}) AS source, {S.strip('target')} AS target, deleted FROM term_events),
   l AS (SELECT source, arg_max(target, seq) AS target, arg_max(deleted, seq) AS deleted FROM e WHERE deleted OR target <> '' GROUP BY source),

@@ -87,8 +87,9 @@ def test_margin_keys_are_bounded(spark):
     assert keys <= 2 * margins.VOTING_LINES / margins.MIN_RATIO
 
 
-# Queries that need results of their own input while they are built: streams and sinks run, a few write what several steps read.
-EAGER = {"write_tex_corpus", "scan_history_json", "chapter_boundaries", "chapter_chunks", "route_pages", "split_difficult", "stitch_cross_page_formulas"}
+# Queries that need results of their own input while they are built: streams and sinks run, a few write what several steps read,
+# and the list of page ranges is replayed in rounds.
+EAGER = {"preference_flags", "write_tex_corpus", "scan_history_json", "chapter_boundaries", "chapter_chunks", "route_pages", "split_difficult", "stitch_cross_page_formulas"}
 
 
 def test_building_runs_no_jobs(spark):

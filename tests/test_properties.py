@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quire.operators import chunks, filling, naming, structure, tasks, tex, usage
+from quire.operators import chunks, filling, history, naming, structure, tasks, tex, usage
 from quire.operators.blocks import number_rows, with_running
 from quire.sources.corpus import scan_corpus
 
@@ -273,3 +273,32 @@ def test_prune_and_interrupt(spark):
     assert left == {r[0] for r in alive} - drop
     stopped = {r.task_id: r.status for r in tasks.task_interrupted(df).collect()}
     assert stopped["t0"] == "failed" and stopped["t1"] == "completed"
+
+
+def _remembered(ranges, keep):
+    kept = []
+    for p in ranges:
+        if p and p != "all" and p not in kept:
+            kept = [*kept, p][-keep:]
+    return kept
+
+
+def test_page_ranges_equal_a_plain_replay(spark):
+    """Blocks of a few records: random ranges, cycles on and beyond the list, few ranges with rare new ones, gaps, nothing at all."""
+    rng = random.Random(11)
+    cases = {
+        "random": [rng.choice(["all", "", None, *(f"{k}-{k + 1}" for k in range(8))]) for _ in range(150)],
+        "on the list": [str(k % 5) for k in range(60)],
+        "beyond it": [str(k % 6) for k in range(60)],
+        "hits with rare news": [str(rng.randrange(5)) if rng.random() < 0.95 else str(rng.randrange(5, 9)) for _ in range(150)],
+        "none": ["all", None, ""],
+    }
+    for name, ranges in cases.items():
+        seqs = sorted(rng.sample(range(1 << 40), len(ranges)))
+        rows = list(zip(seqs, ranges, strict=True))
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "seq bigint, pages string")
+        for keep, width in ((5, 16), (2, 4096)):
+            assert history.common_page_ranges(df, keep, width) == _remembered(ranges, keep), (name, keep)
+    flags = history.preference_flags(spark.createDataFrame([(1, "1-2", True, None), (2, "3", None, "high")], "seq bigint, pages string, translated boolean, quality_mode string")).first()
+    assert tuple(flags) == (True, "high", "1-2;3")

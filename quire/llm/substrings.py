@@ -196,30 +196,31 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ca
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The text itself is carried as it is there already.
     extra = [F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry) if c != "text"]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
-    usable = texts.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    # New names: Spark drops a name for itself in one pass alone, and then shuffles the text twice.
+    texts = docs.select(F.col("doc_id").cast("long").alias("number"), F.col("text").alias("body"), *extra)
+    usable = texts.where("number IS NOT NULL AND body IS NOT NULL").select("number", "body")
     anchors = usable.mapInArrow(_anchor_rows(window, anchor), "anchor long, doc long, settled boolean")
     # Settled rows only travel to their document; they are dealt apart from their anchor.
     anchors = anchors.repartition(F.when(F.col("settled"), F.xxhash64("anchor", "doc")).otherwise(F.col("anchor"))).sortWithinPartitions("anchor")
-    seeds = anchors.mapInArrow(_seed_rows, "doc long, anchor long").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("anchor").alias("seeds"))
+    seeds = anchors.mapInArrow(_seed_rows, "doc long, anchor long").groupBy(F.col("doc").alias("number")).agg(F.collect_set("anchor").alias("seeds"))
     # Later copies of a whole text: all their windows start in the first copy, so they need no windows of their own.
-    named = stored(usable.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")), "digests")
-    firsts = named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = named.join(firsts.select("digest", "first"), "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("digest").alias("copies"))
+    named = stored(usable.select("number", F.md5(F.col("body").cast("binary")).alias("digest")), "digests")
+    firsts = named.groupBy("digest").agg(F.min("number").alias("first"), F.max("number").alias("last")).where("first < last")
+    copies = named.join(firsts.select("digest", "first"), "digest").where("number > first").groupBy("number").agg(F.collect_set("digest").alias("copies"))
     # Left joins on both passes, which both take all columns: the two shuffles of the text are the same and Spark makes one.
     # Rows without an id stay where they are read, as they would all meet in one task.
-    dealt = texts.where("doc_id IS NOT NULL").repartition(count, "doc_id")
-    alone = texts.where("doc_id IS NULL")
+    dealt = texts.where("number IS NOT NULL").repartition(count, "number")
+    alone = texts.where("number IS NULL")
     carried = [f"carried_{k}" for k, c in enumerate(carry) if c != "text"]
-    again = [F.col("text" if c == "text" else f"carried_{k}").alias(f"carried_{k}") for k, c in enumerate(carry)]
-    copy = F.coalesce(F.array_contains("copies", F.md5(F.col("text").cast("binary"))), F.lit(False)).alias("copy")
-    grown = dealt.join(seeds, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "seeds", copy, *carried)
+    again = [F.col("body" if c == "text" else f"carried_{k}").alias(f"carried_{k}") for k, c in enumerate(carry)]
+    copy = F.coalesce(F.array_contains("copies", F.md5(F.col("body").cast("binary"))), F.lit(False)).alias("copy")
+    grown = dealt.join(seeds, "number", "left").join(copies, "number", "left").select("number", "body", "seeds", copy, *carried)
     windows = grown.mapInArrow(_window_rows(window, anchor), "first long, second long, doc long, settled boolean")
     windows = windows.repartition(F.when(F.col("settled"), F.xxhash64("first", "second", "doc")).otherwise(F.col("first"))).sortWithinPartitions("first", "second")
-    repeats = windows.mapInArrow(_repeat_rows, "doc long, first long").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("first").alias("repeats"))
-    judged = dealt.join(repeats, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", copy, "repeats", *carried)
+    repeats = windows.mapInArrow(_repeat_rows, "doc long, first long").groupBy(F.col("doc").alias("number")).agg(F.collect_set("first").alias("repeats"))
+    judged = dealt.join(repeats, "number", "left").join(copies, "number", "left").select("number", "body", copy, "repeats", *carried)
     judged = judged.unionByName(alone.withColumns({"copy": F.lit(False), "repeats": F.lit(None).cast("array<long>")}))
-    judged = judged.select("doc_id", "text", "copy", "repeats", *again)
+    judged = judged.select("number", "body", "copy", "repeats", *again)
     types = "".join(f", carried_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
     kept = judged.mapInArrow(_kept_rows(window, len(carry)), f"doc_id long, n_words long, n_removed long, kept string{types}")
     return kept.toDF("doc_id", "n_words", "n_removed", "kept", *carry)

@@ -270,3 +270,14 @@ def test_word_hashes():
             assert all(names.setdefault(w, h) == h for (_, w), h in zip(own, hashes.tolist()))
             seen += len(ends)
         assert seen == len(texts) and len(set(names.values())) == len(names)
+
+
+@pytest.mark.parametrize("carry", [(), ("text", "lang")])
+@pytest.mark.parametrize("kind", ["long", "int"])
+def test_both_passes_over_the_text_share_its_shuffle(spark, carry, kind):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("doc_id", F.col("doc_id").cast(kind))
+    plan = substrings.digested(substrings.drop_repeats(docs, carry=carry))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sum("REPARTITION_BY_NUM" in line and "ReusedExchange" not in line for line in plan.split("\n")) == 1

@@ -2,7 +2,7 @@
 
 Every job is a function from a streaming DataFrame to a streaming DataFrame.  ``run_to_table`` drives one until its
 input is used up and keeps the result as a table, so nothing passes through the driver.  ``Replay`` turns a stored table into a stream
-in order of event time.  Jobs with a state of their own keep it in a persistent state store, one small value per task.
+in order of event time.  Jobs with a state of their own keep it in a persistent state store, a few fields per task.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,6 +28,10 @@ BATCH_COLUMN = "batch_id"
 # Rows that a replayed micro-batch holds, and seconds of event time after which a silent task leaves the state.
 ROWS_PER_BATCH = 1_000_000
 PROGRESS_TTL_SECONDS = 30 * 86_400
+# Parts into which tasks are dealt, each one key of the state; events of a part that wait in memory for the end of a micro-batch.
+BUCKETS = 2048
+HELD_ROWS = 100_000
+_FIRST = -(1 << 63)
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 PERSISTENT = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -116,30 +120,48 @@ def last_update(emitted: DataFrame, keys: list[str]) -> DataFrame:
     return folded.select(*keys, "v.*")
 
 
-class _Timed(StatefulProcessor):
-    """One value per task, and at most one timer; columns ``at`` (microseconds of event time) and ``event_id`` order its events."""
+class _Tasks(StatefulProcessor):
+    """The tasks of one bucket, ``BUCKETS`` in all: one value holds a column per field, in which each task has its place.
 
-    fields: str
+    A key of its own for every task would cost several calls of the state store per task and micro-batch; a bucket costs a few for all its tasks.
+    Tasks leave ``ttl_seconds`` of event time after their last event (the field ``updated``, microseconds).  A bucket has one timer, no later than
+    the first of its tasks is due; when it fires, all that are due leave, and the next is set.
+    """
+
+    fields: dict[str, str]
 
     def __init__(self, ttl_seconds: int):
         self.ttl = ttl_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("value", self.fields)
-
-    def last(self) -> tuple | None:
-        return tuple(self.value.get()) if self.value.exists() else None
-
-    def expire_after(self, at: int | None, timers) -> None:
-        """Let the task expire ``ttl`` after the event time ``at``, or not at all; a time that has passed is made up for with the next watermark."""
-        for earlier in list(self.handle.listTimers()):
-            self.handle.deleteTimer(earlier)
-        if at is not None:
-            self.handle.registerTimer(max(at // 1000 + self.ttl, timers.getCurrentWatermarkInMs() + 1))
+        columns = ", ".join(f"{name} array<{kind}>" for name, kind in self.fields.items())
+        self.value = handle.getValueState("tasks", f"task_id array<string>, {columns}, timer bigint")
+
+    def load(self) -> tuple[dict[str | None, tuple], int | None]:
+        """The fields of each task, and the time of the timer."""
+        if not self.value.exists():
+            return {}, None
+        ids, *columns, timer = self.value.get()
+        return dict(zip(ids, zip(*columns))), timer
+
+    def store(self, tasks: dict[str | None, tuple], timer: int | None, timers) -> None:
+        if not tasks:
+            self.value.clear()
+            return
+        columns = [list(column) for column in zip(*tasks.values())]
+        due = max(min(columns[[*self.fields].index("updated")]) // 1000 + self.ttl, timers.getCurrentWatermarkInMs() + 1)
+        if timer is None or due < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        self.value.update((list(tasks), *columns, timer))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        self.value.clear()
+        tasks, _ = self.load()
+        at, passed = [*self.fields].index("updated"), timerValues.getCurrentWatermarkInMs()
+        self.store({task: last for task, last in tasks.items() if last[at] // 1000 + self.ttl >= passed}, None, timerValues)
         return iter(())
 
     def close(self) -> None:
@@ -150,24 +172,33 @@ def _int(value) -> int | None:
     return None if pd.isna(value) else int(value)
 
 
-class _Progress(_Timed):
-    fields = "status string, current_n int, total_n int, updated bigint, created bigint, event_id bigint, updates bigint"
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("task_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+class _Progress(_Tasks):
+    fields = {"status": "string", "current_n": "int", "total_n": "int", "updated": "bigint", "created": "bigint", "event_id": "bigint", "updates": "bigint"}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        last = self.last()
+        tasks, timer = self.load()
+        touched: dict[str | None, None] = {}
         for part in rows:
-            newest = part.loc[part.sort_values(["at", "event_id"]).index[-1]]
-            created, updates = int(part["at"].min()), len(part)
-            if last is not None:
-                created, updates = min(created, last[4]), updates + last[6]
-            if last is None or (int(newest["at"]), int(newest["event_id"])) >= (last[3], last[5]):
-                last = (newest["status"], _int(newest["current_n"]), _int(newest["total_n"]), int(newest["at"]), created, int(newest["event_id"]), updates)
-            else:
-                last = (*last[:4], created, last[5], updates)
-        self.value.update(last)
-        self.expire_after(last[3], timerValues)
-        yield pd.DataFrame({"task_id": [key[0]], "status": [last[0]], "current_n": pd.array([last[1]], "Int32"), "total_n": pd.array([last[2]], "Int32"),
-                            "created": [last[4]], "updated": [last[3]], "updates": [last[6]]})
+            columns = (part[c].tolist() for c in ("task_id", "event_id", "status", "current_n", "total_n", "at"))
+            for task, event, status, current, total, at in zip(*columns):
+                # An event without a number comes first among those of its time.
+                event = _FIRST if (event := _int(event)) is None else event
+                last = tasks.get(task)
+                created, updates = (at, 1) if last is None else (min(at, last[4]), last[6] + 1)
+                if last is None or (at, event) >= (last[3], last[5]):
+                    tasks[task] = (status, _int(current), _int(total), at, created, event, updates)
+                else:
+                    tasks[task] = (*last[:4], created, last[5], updates)
+                touched[task] = None
+        self.store(tasks, timer, timerValues)
+        found = [(task, *tasks[task]) for task in touched]
+        status, current, total, updated, created, _, updates = ([row[i] for row in found] for i in range(1, 8))
+        yield pd.DataFrame({"task_id": list(touched), "status": status, "current_n": pd.array(current, "Int32"), "total_n": pd.array(total, "Int32"),
+                            "created": created, "updated": updated, "updates": updates})
 
 
 def task_progress(events: DataFrame, ttl_seconds: int = PROGRESS_TTL_SECONDS) -> DataFrame:
@@ -175,8 +206,9 @@ def task_progress(events: DataFrame, ttl_seconds: int = PROGRESS_TTL_SECONDS) ->
 
     The state is one row per task and leaves ``ttl_seconds`` of event time after the task's last event.  Events without a time are left out.
     """
-    staged = events.withWatermark("ts", LATENESS).where("ts IS NOT NULL").select("task_id", "event_id", "status", F.col("current_n").cast("int"), F.col("total_n").cast("int"), "ts", F.unix_micros("ts").alias("at"))
-    folded = staged.groupBy("task_id").transformWithStateInPandas(
+    staged = events.withWatermark("ts", LATENESS).where("ts IS NOT NULL").select(
+        _bucket(), "task_id", "event_id", "status", F.col("current_n").cast("int"), F.col("total_n").cast("int"), "ts", F.unix_micros("ts").alias("at"))
+    folded = staged.groupBy("bucket").transformWithStateInPandas(
         _Progress(ttl_seconds), "task_id string, status string, current_n int, total_n int, created bigint, updated bigint, updates bigint", "Update", "EventTime")
     return folded.select("task_id", "status", "current_n", "total_n", tasks.percent(F.col("current_n"), F.col("total_n")).alias("percent"),
                          F.timestamp_micros("created").alias("created_at"), F.timestamp_micros("updated").alias("updated_at"), "updates")
@@ -208,110 +240,89 @@ def dedupe_requests(events: DataFrame) -> DataFrame:
     return events.withWatermark("ts", DEDUPE_WITHIN).dropDuplicatesWithinWatermark(["event_id"])
 
 
-class _Phases(_Timed):
-    """Ranks are few, so what decides over an event is small: for each rank, the first event of this micro-batch that reaches it."""
+class _Phases(_Tasks):
+    """Ranks are few, so what decides over an event is small: for each task and rank, the first event of this micro-batch that reaches it."""
 
-    fields = "reached int, latest bigint"
+    fields = {"reached": "int", "updated": "bigint"}
     ROW = ["task_id", "event_id", "status", "rank"]
 
+    def __init__(self, ttl_seconds: int, held_rows: int):
+        super().__init__(ttl_seconds)
+        self.held_rows = held_rows
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.spilled = handle.getListState("spilled", "event_id bigint, status string, rank int")
+        self.spilled = handle.getListState("spilled", "task_id string, event_id bigint, status string, rank int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        reached, latest = self.last() or (0, 0)
-        first: dict[int, int] = {}
-        held, spilled = None, False
-
-        def passed(part: pd.DataFrame) -> pd.DataFrame:
-            ahead = pd.Series(reached, part.index)
-            for rank, event in first.items():
-                ahead = ahead.where((part["event_id"] <= event) | (ahead >= rank), rank)
-            return part[(part["status"] == "error") | (part["rank"] >= ahead)]
-
-        # An event that comes later may be an earlier one, so events wait for the end of the micro-batch.  All but
-        # the last part of them wait in the state store.
+        tasks, timer = self.load()
+        first: dict[str | None, dict[int, int]] = {}
+        held: list[tuple] = []
+        spilled = False
+
+        def passed(events: list[tuple]) -> list[tuple]:
+            return [e for e in events if e[2] == "error" or e[3] >= reached.get(e[0], 0) and not any(
+                rank > e[3] and (e[1] is None or event < e[1]) for rank, event in first[e[0]].items())]
+
+        def frame(events: list[tuple]) -> pd.DataFrame:
+            columns = dict(zip(self.ROW, map(list, zip(*events))))
+            return pd.DataFrame(columns | {"event_id": pd.array(columns["event_id"], "Int64")})
+
+        # An event that comes later may be an earlier one, so events wait for the end of the micro-batch.  Beyond
+        # ``held_rows`` they wait in the state store.
+        reached = {task: last[0] for task, last in tasks.items()}
         for part in rows:
-            latest = max(latest, int(part["at"].max()))
-            for rank, event in part.groupby("rank")["event_id"].min().items():
-                first[int(rank)] = min(int(event), first.get(int(rank), int(event)))
-            if held is not None and len(held):
-                self.spilled.appendList([(int(e), s, int(r)) for e, s, r in held[["event_id", "status", "rank"]].itertuples(index=False)])
-                spilled = True
-            held = passed(part)
+            for task, event, status, rank, at in zip(*(part[c].tolist() for c in (*self.ROW, "at"))):
+                event = _int(event)
+                highest, latest = tasks.get(task, (0, at))
+                tasks[task] = (max(highest, rank), max(latest, at))
+                ranks = first.setdefault(task, {})
+                if event is not None and event < ranks.get(rank, event + 1):
+                    ranks[rank] = event
+                held.append((task, event, status, rank))
+            if len(held) > self.held_rows:
+                held = passed(held)
+            if len(held) > self.held_rows:
+                self.spilled.appendList(held)
+                held, spilled = [], True
         if spilled:
             kept: list[tuple] = []
             for row in self.spilled.get():
                 kept.append(tuple(row))
                 if len(kept) == 10_000:
-                    yield passed(pd.DataFrame(kept, columns=self.ROW[1:]).assign(task_id=key[0]))[self.ROW]
+                    if kept := passed(kept):
+                        yield frame(kept)
                     kept = []
-            if kept:
-                yield passed(pd.DataFrame(kept, columns=self.ROW[1:]).assign(task_id=key[0]))[self.ROW]
+            held = [*kept, *held]
             self.spilled.clear()
-        if held is not None:
-            yield passed(held).assign(task_id=key[0])[self.ROW]
-        self.value.update((max([reached, *first]), latest))
-        self.expire_after(latest, timerValues)
+        if held := passed(held):
+            yield frame(held)
+        self.store(tasks, timer, timerValues)
 
 
-def phase_monotone(events: DataFrame, ttl_seconds: int = tasks.TTL_SECONDS) -> DataFrame:
+def phase_monotone(events: DataFrame, ttl_seconds: int = tasks.TTL_SECONDS, held_rows: int = HELD_ROWS) -> DataFrame:
     """Events not behind the furthest phase of their task, in the order of ``event_id`` inside a micro-batch.  Append mode.
 
     The state is one rank per task; it expires by event time, ``ttl_seconds`` after the task's last event.  Events without a time are left out.
+    More than ``held_rows`` events of a bucket of tasks in one micro-batch wait in the state store.
     """
     ranked = events.withWatermark("ts", LATENESS).where("ts IS NOT NULL").select(
-        "task_id", "event_id", "status", "ts", tasks.rank(F.col("status")).alias("rank"), F.unix_micros("ts").alias("at"))
-    return ranked.groupBy("task_id").transformWithStateInPandas(_Phases(ttl_seconds), "task_id string, event_id bigint, status string, rank int", "Append", "EventTime")
-
-
-class _Expiry(_Timed):
-    """Stretches of activity of a task: a stretch ends with an event that nothing follows for ``ttl``.
-
-    Only their last events count, and they come out alike in whatever order the events arrive.
-    """
-
-    fields = "first bigint, at bigint, event_id bigint, status string"
-
-    def __init__(self, ttl_seconds: int, ended: set[str]):
-        super().__init__(ttl_seconds)
-        self.ended, self.gap = ended, ttl_seconds * 1_000_000
-
-    def _joined(self, stretches: list[tuple]) -> list[tuple]:
-        """Stretches ``(first, at, event_id, status)`` in order, those less than a time to live apart made one."""
-        out: list[tuple] = []
-        for first, *last in sorted(stretches):
-            if out and first - out[-1][1] <= self.gap:
-                out[-1] = (out[-1][0], *max(out[-1][1:], tuple(last)))
-            else:
-                out.append((first, *last))
-        return out
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        stretches = [last] if (last := self.last()) else []
-        for part in rows:
-            part = part.sort_values(["at", "event_id"])
-            opens = part["at"].diff().fillna(self.gap + 1) > self.gap
-            ends = part[opens.shift(-1, fill_value=True)]
-            found = zip(part.loc[opens, "at"].tolist(), ends["at"].tolist(), ends["event_id"].tolist(), ends["status"].tolist())
-            stretches = self._joined([*stretches, *found])
-        over = [s for s in stretches[:-1] if s[3] in self.ended]
-        last = stretches[-1]
-        self.value.update(last)
-        self.expire_after(last[1] if last[3] in self.ended else None, timerValues)
-        yield pd.DataFrame({"task_id": [key[0]] * len(over), "status": [s[3] for s in over], "updated_micros": [s[1] for s in over]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        _, at, _, status = self.last()
-        self.value.clear()
-        yield pd.DataFrame({"task_id": [key[0]], "status": [status], "updated_micros": [at]})
+        _bucket(), "task_id", "event_id", "status", "ts", tasks.rank(F.col("status")).alias("rank"), F.unix_micros("ts").alias("at"))
+    return ranked.groupBy("bucket").transformWithStateInPandas(
+        _Phases(ttl_seconds, held_rows), "task_id string, event_id bigint, status string, rank int", "Append", "EventTime")
 
 
 def task_ttl(events: DataFrame, ttl_seconds: int = tasks.MEMORY_TTL_SECONDS, terminal: list[str] | None = None) -> DataFrame:
     """Each time that a task stays in a terminal state for longer than ``ttl_seconds`` of event time: its status and last update.
 
-    A task that comes back after that begins anew; active tasks stay in state.  Append mode; events without a time are left out.
+    A stretch of activity of a task is a session that ends with an event which nothing follows for ``ttl_seconds``; only its last event
+    (by ``ts`` and ``event_id``) counts.  A task that comes back after that begins anew.  Append mode; events without a time are left out.
     """
-    staged = events.withWatermark("ts", LATENESS).where("ts IS NOT NULL").select("task_id", "event_id", "status", "ts", F.unix_micros("ts").alias("at"))
-    return staged.groupBy("task_id").transformWithStateInPandas(
-        _Expiry(ttl_seconds, set(terminal or tasks.MEMORY_TERMINAL)), "task_id string, status string, updated_micros bigint", "Append", "EventTime")
+    staged = events.withWatermark("ts", LATENESS).where("ts IS NOT NULL").select("task_id", "event_id", "status", "ts")
+    # A stretch is over once the watermark is past its last event by more than the time to live.  Spark joins sessions that touch,
+    # so an event a single microsecond later than the time to live still belongs to the stretch.
+    gap = f"{ttl_seconds} seconds 1 microsecond"
+    stretches = staged.groupBy("task_id", F.session_window("ts", gap)).agg(
+        F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.unix_micros(F.max("ts")).alias("updated_micros"))
+    ended = F.col("status").isin(terminal or tasks.MEMORY_TERMINAL)
+    return stretches.where(ended).select("task_id", "status", "updated_micros")

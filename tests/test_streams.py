@@ -114,6 +114,38 @@ def test_events_without_a_time_and_no_events(spark):
     assert progress.run_to_table(progress.phase_monotone(_stream(nothing)), "append", "n", nothing).count() == 0
 
 
+def test_expiry_is_a_session_without_python_state(spark, capsys):
+    """A stretch ends more than the time to live after its last event: an event at that very moment still belongs to it."""
+    rows = [("a", 1, "click", "0:00:00"), ("a", 2, "purchase", "0:10:00"), ("a", 3, "purchase", "1:10:00"), ("a", 4, "error", "2:10:00.000002"),
+            ("b", 5, "purchase", "0:05:00"), ("b", 6, "view", "0:05:00"), ("c", 7, "view", "9:00:00")]
+    schema = "task_id string, event_id bigint, event_type string, at string"
+    events = spark.createDataFrame(rows, schema).selectExpr(
+        "event_id", "CAST(concat('2024-01-01 ', at) AS TIMESTAMP) AS ts", "ascii(task_id) AS user_id", "event_type", "1.0D AS value", "'{}' AS props")
+    replay = progress.Replay(events, 3)
+    job = progress.task_ttl(_stream(replay))
+    job.explain()
+    plan = capsys.readouterr().out
+    assert "session_window" in plan and "TransformWithState" not in plan
+    found = progress.run_to_table(job, "append", "x", replay).drop(progress.BATCH_COLUMN)
+    start = 1704067200000000
+    assert _rows(found) == [("completed", "t97", str(start + 4_200_000_000)), ("error", "t97", str(start + 7_800_000_002))]
+
+
+def test_tasks_share_buckets_of_state(spark, monkeypatch):
+    """Two keys of state for all tasks; events that wait for the end of a micro-batch go through the state store."""
+    monkeypatch.setattr(progress, "BUCKETS", 2)
+    replay = progress.Replay(view(spark, FOLDER, "events"), 250)
+    emitted = progress.run_to_table(progress.task_progress(_stream(replay)), "update", "t", replay)
+    assert _rows(progress.last_update(emitted, ["task_id"])) == _rows(tasks.task_latest_state(_events(spark)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        replay = progress.Replay(view(spark, FOLDER, "events").repartition(5, "event_id"), 500)
+        phases = progress.run_to_table(progress.phase_monotone(_stream(replay), held_rows=4), "append", "p", replay).drop(progress.BATCH_COLUMN)
+        assert _rows(phases) == _rows(tasks.phase_monotone(_events(spark)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_table_function(spark):
     register_functions(spark)
     pages = spark.createDataFrame([("b", 0, "\\begin{x} {a} % {hidden\n\\end{x}\\(")], "book string, page_num int, tex string")

@@ -16,27 +16,27 @@ BACKSLASH = "\\textbackslash{}"
 INLINE_MATH = "\\\\\\([^\\r\\n]*?\\\\\\)"
 
 # The three rewrite sets, applied in order.  A rule is (needle, pattern, replacement); text without
-# the needle (compared in lower case) cannot match, which spares the regex on most pages.
+# the needle (compared in lower case where the pattern ignores case) cannot match, which spares the regex on most pages.
 _TRANSPOSED = "$1^{\\\\mathsf{T}}"
 _NAME = "([A-Za-z](?:_[a-zA-Z0-9]+)?)"
 _W = f"({T.WORD})"
 EXTRACT_RULES = {
-    "dot_transpose": (".t", f"{_NAME}\\.(T)", _TRANSPOSED),
-    "space_transpose": ("t", f"{_NAME}{T.SPACE}+(T)(?![a-zA-Z{{])", _TRANSPOSED),
+    "dot_transpose": (".T", f"{_NAME}\\.(T)", _TRANSPOSED),
+    "space_transpose": ("T", f"{_NAME}{T.SPACE}+(T)(?![a-zA-Z{{])", _TRANSPOSED),
     "lower_transpose": (".t", f"([A-Z])\\.t{T.WORD_END}", _TRANSPOSED),
     "power": ("^", f"{_W}\\^(\\d+)(?![}}a-zA-Z])", "$1^{$2}"),
     "top": ("\\top", f"{_W}{T.SPACE}*\\\\top{T.WORD_END}", "$1^{\\\\top}"),
     "tag": ("\\tag{", "\\\\tag\\{([^}]*)\\}", "\\\\qquad ($1)"),
 }
 TRANSPOSE_RULES = {
-    "dot_transpose": (".t", f"{_NAME}\\.(T)", _TRANSPOSED),
-    "space_transpose": ("t", f"{_NAME}{T.SPACE}+(T)(?![a-zA-Z.])", _TRANSPOSED),
+    "dot_transpose": (".T", f"{_NAME}\\.(T)", _TRANSPOSED),
+    "space_transpose": ("T", f"{_NAME}{T.SPACE}+(T)(?![a-zA-Z.])", _TRANSPOSED),
     "lower_transpose": (".t", f"([A-Z])\\.t{T.WORD_END}", _TRANSPOSED),
     "top": ("\\top", f"{_W}{T.SPACE}*\\\\top{T.WORD_END}", "$1^{\\\\top}"),
     "tab_top": ("\top", f"{_W}\top{T.WORD_END}", "$1^{\\\\top}"),
-    "mathsf": ("\\mathsf{t}", f"{_W}{T.SPACE}*\\\\mathsf\\{{T\\}}", _TRANSPOSED),
+    "mathsf": ("\\mathsf{T}", f"{_W}{T.SPACE}*\\\\mathsf\\{{T\\}}", _TRANSPOSED),
     "letter_power": ("^", f"{_W}\\^([A-Za-z])(?![{{a-zA-Z])", "$1^{$2}"),
-    "hermitian": (".h", f"{_W}\\.H{T.WORD_END}", "$1^{\\\\dagger}"),
+    "hermitian": (".H", f"{_W}\\.H{T.WORD_END}", "$1^{\\\\dagger}"),
 }
 # Commands to normalise, then bare words to turn into commands.
 COMMANDS = {"le": "leq", "ge": "geq", "ne": "neq"}

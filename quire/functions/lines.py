@@ -67,7 +67,8 @@ def is_pagination(line: Column, page_num: Column, total_pages: Column) -> Column
 
 def _is_pagination(s: Column, current: Column, total_pages: Column) -> Column:
     number = F.when(s.rlike("\\A[0-9]{1,4}\\z"), s).try_cast("int")
-    left, right = F.regexp_extract(s, FRACTION, 1).try_cast("int"), F.regexp_extract(s, FRACTION, 2).try_cast("int")
+    # A cast that fails builds an exception inside, so only what may be a fraction is cast.
+    left, right = (F.when(s.contains("/"), F.regexp_extract(s, FRACTION, group)).try_cast("int") for group in (1, 2))
     lone = (number == current) | ((total_pages > 0) & (number == total_pages))
     fraction = (left == current) & ((total_pages <= 0) | (right == total_pages))
     numbered = F.coalesce(lone, F.lit(False)) | F.coalesce(fraction, F.lit(False))

@@ -41,7 +41,9 @@ def normalize_page_text(pages: DataFrame, hint: str | None = None) -> DataFrame:
 def math_rewrite(pages: DataFrame, rules: str = "transpose", text: str = "text") -> DataFrame:
     """Apply one rule set in order; ``n_<rule>`` counts the changes of each rule."""
     for name, (needle, pattern, replacement) in L.RULE_SETS[rules].items():
-        possible = F.lower(F.col(text)).contains(needle)
+        # Lower case costs more than most rules; only patterns that ignore case need it.
+        searched = F.lower(F.col(text)) if pattern.startswith("(?i)") else F.col(text)
+        possible = searched.contains(needle)
         pages = pages.withColumns({
             f"n_{name}": F.when(possible, T.count_matches(text, pattern)).otherwise(0),
             text: F.when(possible, F.regexp_replace(text, pattern, replacement)).otherwise(F.col(text)),

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import extraction, margins, scoring, structure, tex
+from quire.operators import extraction, margins, pagetext, scoring, structure, tex
 from quire.plans.registry import QUERIES, run
 from quire.plans.views import view
 
@@ -103,3 +103,13 @@ def test_building_runs_no_jobs(spark):
         started[name] = len(tracker.getJobIdsForGroup(f"build-{name}"))
     spark.sparkContext.setJobGroup("after", "after")
     assert {n: k for n, k in started.items() if k > 8} == {}
+
+
+def test_extraction_looks_for_needles_as_they_are(spark):
+    """Rules that heed case need no lower-case copy of the text, and lines without a slash no cast of an empty match."""
+    pages = view(spark, FOLDER, "extraction_inputs")
+    text = plan(extraction.extract_pages(pages))
+    assert "contains(lower(" not in text and "try_cast" not in re.sub(r"CASE WHEN .*? END", "", text)
+    rows = spark.createDataFrame([("x.T y T z .t a.t A.t X^2 \\tag{1} \\TAG{2} v T",)], "text string")
+    found = pagetext.math_rewrite(rows, "extract").first()
+    assert [found[f"n_{rule}"] for rule in ("dot_transpose", "space_transpose", "lower_transpose", "power", "tag")] == [1, 2, 1, 1, 1]

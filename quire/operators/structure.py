@@ -9,6 +9,7 @@ from quire.functions import latex as L
 from quire.functions import lines as P
 from quire.functions import text as T
 from quire.operators.blocks import BLOCK_WIDTH, with_running
+from quire.operators.glyphs import height_rows
 from quire.session import cut_lineage
 
 PAGE = ["book", "page_num"]
@@ -121,14 +122,10 @@ def upper_median(counts: DataFrame, keys: list[str], value: str, n: str) -> Data
 def glyphs_to_lines(glyphs: DataFrame) -> DataFrame:
     """Cluster the glyphs of a page into lines by a running mean of their height.
 
-    Glyphs of equal height always stay together, so they are joined first; the sequential step then walks over
+    Glyphs of equal height always stay together, so they are joined first, before anything moves; the sequential step then walks over
     the few distinct heights of a page.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("x0", "g_idx", "ch")))
-    sized = F.when(F.col("size") > 0, F.col("size"))
-    rows = glyphs.groupBy(*PAGE, "top").agg(
-        F.array_join(F.transform(ordered, lambda g: g["ch"]), "").alias("text"), F.sum(sized).alias("sizes"), F.count(sized).alias("sized"),
-        F.count(F.lit(1)).alias("n"), F.min("x0").alias("x0"))
+    rows = height_rows(glyphs)
     heights = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("top", "text", "sizes", "sized", "n", "x0"))).alias("rows"))
     start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("ids"))
 

@@ -3,9 +3,10 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import chunks, filling, history, naming, structure, tasks, tex, usage
+from quire.operators import chunks, filling, glyphs, history, naming, structure, tasks, tex, usage
 from quire.operators.blocks import number_rows, with_running
 from quire.sources.corpus import scan_corpus
 
@@ -302,3 +303,35 @@ def test_page_ranges_equal_a_plain_replay(spark):
             assert history.common_page_ranges(df, keep, width) == _remembered(ranges, keep), (name, keep)
     flags = history.preference_flags(spark.createDataFrame([(1, "1-2", True, None), (2, "3", None, "high")], "seq bigint, pages string, translated boolean, quality_mode string")).first()
     assert tuple(flags) == (True, "high", "1-2;3")
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_glyphs_of_a_height_in_several_batches(spark, shuffled):
+    """Nulls, NaN, copies and glyphs of any length, in batches of seven, against the plain rule; glyphs do not move one by one."""
+    rng = random.Random(5)
+    rows = [(b, p, rng.choice([None, 0, 1, 2, 3]) if rng.random() < 0.4 else i, rng.choice(["a", "b", "é", "😀", "ab", "", None]),
+             rng.choice([None, 1.0, 2.0, float("nan"), 3.0]), rng.choice([10.0, 11.0, 14.0, 40.0]), rng.choice([None, 0.0, 7.0, 10.0]))
+            for b in ("x", "y", None) for p in (0, 1, None) for i in range(25)]
+    rows = [*rows, *rows[:40], *[("z", 0, i, "abcdefghij"[i % 10], float(i % 50), float(i // 50 * 14), 10.0) for i in range(200)]]
+    if shuffled:
+        rng.shuffle(rows)
+    schema = "book string, page_num int, g_idx int, ch string, x0 double, top double, size double"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7" if shuffled else "64")
+    try:
+        found = {(r.book, r.page_num, r.top): (r.text, r.sizes, r.sized, r.n, str(r.x0)) for r in glyphs.height_rows(spark.createDataFrame(rows, schema).coalesce(2)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups: dict = {}
+    for b, p, g, ch, x0, top, size in rows:
+        groups.setdefault((b, p, top), []).append((x0, g, ch, size))
+
+    def place(value):
+        return (0, 0) if value is None else (2, 0) if value != value else (1, value)
+
+    want = {}
+    for key, items in groups.items():
+        items.sort(key=lambda t: (place(t[0]), place(t[1]), place(t[2])))
+        sizes = [t[3] for t in items if t[3] and t[3] > 0]
+        known = [t[0] for t in items if t[0] is not None]
+        want[key] = ("".join(t[2] or "" for t in items), sum(sizes) if sizes else None, len(sizes), len(items), str(known[0] if known else None))
+    assert found == want

@@ -33,21 +33,22 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, reme
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end, part = encoder(tokenizer, True, remember).encode, end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        codec, part = encoder(tokenizer, True, remember), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            out: dict[str, list] = {f.name: [] for f in _PIECE}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = memoryview(ids_of(text.as_py()) + end)
-                total, start, piece = len(data) // 4, 0, 0
-                size = total % capacity or capacity
-                while start < total:
-                    values = (part, int(seen[size]), doc, piece, start, size, zlib.crc32(data[4 * start : 4 * (start + size)]))
-                    for name, value in zip(out, values):
-                        out[name].append(value)
-                    seen[size] += 1
-                    start, piece, size = start + size, piece + 1, capacity
-            yield rows(_PIECE, **out)
+            for first, ids, lengths in codec.batches(batch.column(1), end_id):
+                out: dict[str, list] = {f.name: [] for f in _PIECE}
+                data, at = memoryview(ids.tobytes()), 0
+                for doc, total in zip(batch.column(0).slice(first, len(lengths)).to_pylist(), lengths.tolist()):
+                    start, piece, size = 0, 0, total % capacity or capacity
+                    while start < total:
+                        values = (part, int(seen[size]), doc, piece, start, size, zlib.crc32(data[4 * (at + start) : 4 * (at + start + size)]))
+                        for name, value in zip(out, values):
+                            out[name].append(value)
+                        seen[size] += 1
+                        start, piece, size = start + size, piece + 1, capacity
+                    at += total
+                yield rows(_PIECE, **out)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PIECES)
 

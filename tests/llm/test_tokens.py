@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm_plain import FOLDER, multiset, odd_documents
 
@@ -173,3 +174,21 @@ def test_registered_queries(spark):
     n = spark.read.parquet(f"{FOLDER}/documents.parquet").count()
     for name in ("op4_token_store", "op7_bpe"):
         assert QUERIES[name](spark, FOLDER).count() == n
+
+
+@pytest.mark.parametrize("path, byte_level", [(WORD_FILE, False), (BYTE_FILE, True)])
+def test_columns_of_pieces_equal_whole_texts(path, byte_level):
+    """Slices, forgetting and texts that go whole change no id; each different word meets the library once."""
+    library, texts = load(path), [None, "", *strings(6), "a\nb c.\nDe", "x***", "ͅab", "ab\ncd***\nE,", None]
+    for limit, remembered in ((1 << 24, 1 << 20), (300, 150), (1, 1)):
+        codec, found = PieceEncoder(load(path), byte_level, remembered=remembered), []
+        for first, ids, lengths in codec.batches(pa.array(texts), 7, limit):
+            assert first == len(found) and len(ids) == lengths.sum()
+            found += [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])]
+        assert found == [[*library.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+    codec, calls = PieceEncoder(load(path), byte_level), []
+    whole = codec.whole
+    codec.whole = lambda text: calls.append(text) or whole(text)
+    for _ in codec.batches(pa.array([f"ab{k * 'x'}***\nCd{k * 'y'}, ef" for k in range(50)])):
+        pass
+    assert len(calls) <= 3, calls  # the marks and the line feed, not the words around them

@@ -126,11 +126,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, byte_level: bool = F
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end, part = encoder(tokenizer, byte_level).encode, np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        codec, part = encoder(tokenizer, byte_level), TaskContext.get().partitionId()
         keys, lengths, payload, held, shard = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(payload), "<u4")
+            ids = np.concatenate(payload)
             if len(ids) and int(ids.max()) >= 1 << (8 * width):
                 raise ValueError("a token id does not fit the width")
             names, sizes = np.array(keys, np.int64), np.array(lengths, np.int64)
@@ -141,16 +141,17 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, byte_level: bool = F
                         width=[width], keys=[names.astype("<i8").tobytes()], lengths=[sizes.astype("<u4").tobytes()], index=[index.to_bytes()], payload=[ids.astype(f"<u{width}").tobytes()])
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = ids_of(text.as_py()) + end
-                # A shard never ends between rows of one key, so that a key range names one shard.
-                if held >= shard_tokens and keys[-1] != key:
-                    yield close()
-                    keys, lengths, payload, held, shard = [], [], [], 0, shard + 1
-                keys.append(key)
-                lengths.append(len(data) // 4)
-                payload.append(data)
-                held += len(data) // 4
+            for first, ids, sizes in codec.batches(batch.column(1), end_id):
+                at = 0
+                for key, size in zip(batch.column(0).slice(first, len(sizes)).to_pylist(), sizes.tolist()):
+                    # A shard never ends between rows of one key, so that a key range names one shard.
+                    if held >= shard_tokens and keys[-1] != key:
+                        yield close()
+                        keys, lengths, payload, held, shard = [], [], [], 0, shard + 1
+                    keys.append(key)
+                    lengths.append(size)
+                    payload.append(ids[at : at + size])
+                    held, at = held + size, at + size
         if keys:
             yield close()
 

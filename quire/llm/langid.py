@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import filter_texts, rows
+from quire.llm.common import few, filter_texts, rows
 
 # Blocks of the Unicode standard, first and last code point.  Letters outside belong to no script.
 SCRIPTS = {
@@ -116,7 +116,7 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in few(batches, 1024):
             by_lang: dict[str, list[str]] = {}
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
                 by_lang.setdefault(lang, []).append(text.as_py())
@@ -225,13 +225,13 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches, 1024):
             yield rows(_OUT, doc_id=batch.column(0), **label(shared.value, batch.column(1).to_pylist(), penalty))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, spans long")
 
 
-def label(model: Model, texts: list[str | None], penalty: float = PENALTY, limit: int = 10_000_000) -> dict[str, list]:
+def label(model: Model, texts: list[str | None], penalty: float = PENALTY, limit: int = 3_000_000) -> dict[str, list]:
     """Language, its share of the letters and the number of spans of each text; about ``limit`` characters at a time."""
     out: dict[str, list] = {"lang_pred": [], "score": [], "spans": []}
     for part in portions([t or "" for t in texts], limit):

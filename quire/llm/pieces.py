@@ -24,8 +24,8 @@ _SPECIAL = "<|"
 # Letters and the marks after them, without the apostrophe, which may start a pre-token of its own.
 _LETTERS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 # Texts are cut into pieces in slices of about so many bytes, and gathered so many pieces at a time.
-_SLICE = 1 << 24
-_GATHERED = 1 << 18
+_SLICE = 1 << 23
+_GATHERED = 1 << 17
 # Below this code point letters, case and composition are the same in every Unicode version.
 _STABLE = "\u0250"
 
@@ -63,7 +63,7 @@ class PieceEncoder:
     memory is bounded.  Known pieces lie in arrays: their names, and their ids one after the other.
     """
 
-    def __init__(self, tokenizer, byte_level: bool, limit: int = 500_000, remembered: int = 1_500_000):
+    def __init__(self, tokenizer, byte_level: bool, limit: int = 300_000, remembered: int = 1_000_000):
         self.tokenizer, self.merges, self.byte_level, self.limit, self.remembered = tokenizer, tokenizer.model, byte_level, limit, remembered
         self.known, self.ids = pa.array([], pa.large_string()), np.empty(0, "<u4")
         self.starts, self.widths = np.empty(0, np.int64), np.empty(0, np.int64)

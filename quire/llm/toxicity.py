@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import filter_texts, rows, stored
+from quire.llm.common import few, filter_texts, rows, stored
 
 # Groups of terms that can stand for each other; a parameter of the operator.
 IDENTITY_TERMS = (
@@ -35,6 +35,8 @@ FEATURES = 4096
 MIN_TEXTS = 4
 BUCKET_BITS = 22
 THRESHOLD = 0.7
+# Texts whose features are Python objects at a time.
+FEW_TEXTS = 64
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -115,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, term
 
         mask = (1 << BUCKET_BITS) - 1
         code = lambda f: xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) & mask
-        for batch in batches:
+        for batch in few(batches, FEW_TEXTS):
             out: dict[str, list] = {f.name: [] for f in _SAMPLE}
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = text_features(text)
@@ -156,7 +158,7 @@ def _collect(sample: DataFrame, place: dict[int, int]) -> tuple:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = known.value
-        for batch in batches:
+        for batch in few(batches, FEW_TEXTS):
             out: dict[str, list] = {f.name: [] for f in schema}
             for toxic, f, c, sf, sc in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 own = [(places[a], b) for a, b in zip(f, c) if a in places]

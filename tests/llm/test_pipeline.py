@@ -10,6 +10,7 @@ from test_tokens import check_packing
 
 import corpus_pipeline
 from quire.llm import langid, toxicity
+from quire.llm.common import filter_texts
 from quire.llm.pieces import load
 
 
@@ -124,3 +125,16 @@ def test_run(spark):
     assert used <= -(-sum(map(len, ids)) // 1024) * 1.05 + 1
     assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert docs.agg(F.countDistinct("doc_id")).first()[0] == docs.count()
+
+
+def test_filters_hold_few_texts_at_a_time(spark):
+    """A batch of Arrow has up to 10,000 rows; a judge never sees them all as strings at once, and no row is lost."""
+
+    def judge(texts):
+        if len(texts) > 1024:
+            raise ValueError(f"{len(texts)} texts at a time")
+        return [t is None or not t.endswith("7") for t in texts]
+
+    docs = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") % 5 > 0, F.concat(F.lit("text "), "id")).alias("text"))
+    kept = filter_texts(docs, judge).collect()
+    assert sorted(r.id for r in kept) == [k for k in range(3000) if k % 5 == 0 or k % 10 != 7]

@@ -17,12 +17,14 @@ to its last token.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +49,24 @@ SCORE_ROWS = 768
 END = b" "
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words in UTF-8 with A to Z lower-cased, without the end token."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes know no other letters or spaces
+def words_by_text(column: pa.Array, limit: int = 1 << 24) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """The words of the texts of a column, A to Z lower-cased, without the end tokens, in slices of about ``limit`` bytes of text.
+
+    Of each slice the number of its first text, how many words each text has, and the words; null has none.  Arrow's ASCII
+    white space is just the space and TAB to CR.
+    """
+    column = column.fill_null("")
+    sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + limit, "right")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(column.slice(first, last - first)))
+        lengths, words = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().cast(pa.string())
+        real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # spaces around a text leave empty words
+        if not real.all():
+            lengths, words = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[real], minlength=len(lengths)), words.filter(pa.array(real))
+        yield first, lengths, words
+        first = last
 
 
 def tail_class(word: bytes) -> int:
@@ -63,15 +80,11 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
-        counts: Counter[bytes] = Counter()
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(tokens_of(text.as_py()))
-            counts[END] += batch.num_rows
-            if len(counts) > 500_000:
-                yield rows(schema, word=[*counts], n=[*counts.values()])
-                counts.clear()
-        yield rows(schema, word=[*counts], n=[*counts.values()])
+            for _, _, words in words_by_text(batch.column(0)):
+                found = words.value_counts()
+                yield rows(schema, word=found.field(0), n=found.field(1))
+            yield rows(schema, word=[END.decode()], n=[batch.num_rows])
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("tail", pa.int32())])
@@ -87,7 +100,7 @@ class Counts:
 
     def __init__(self, total: int, distinct: int, words: list[bytes], counts: np.ndarray, tails: np.ndarray, tail_totals: np.ndarray, tail_words: np.ndarray):
         self.total, self.distinct = total, distinct
-        self.index = {w: i for i, w in enumerate(words)}
+        self.words = pa.array(words, pa.binary()).cast(pa.string())
         self.logs = np.log10(counts + 1.0)
         # The id that the network sees: a head word's place, or HEAD + tail class.
         ids = np.arange(len(words), dtype=np.int32)
@@ -95,6 +108,11 @@ class Counts:
         self.head = counts[:HEAD].astype(np.float64)
         self.tail_totals, self.tail_words = tail_totals, tail_words
 
+    @cached_property
+    def index(self) -> dict[bytes, int]:
+        """Place of each frequent word; tasks look up whole columns in ``words`` instead."""
+        return {w: i for i, w in enumerate(self.words.cast(pa.binary()).to_pylist())}
+
 
 def gather_counts(table: DataFrame, known: int = KNOWN) -> Counts:
     """Totals, and the most frequent words as whole steps of an eighth of a power of two in count, at most ``known``."""
@@ -125,12 +143,13 @@ def gather_counts(table: DataFrame, known: int = KNOWN) -> Counts:
 # The arrays of the network, in the order in which they are laid out in one vector.
 CLASSES = HEAD // CLASS + TAIL
 SHAPES = {"x": (HEAD + TAIL + 1, 3 * HIDDEN), "u": (HIDDEN, 2 * HIDDEN), "v": (HIDDEN, HIDDEN), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "w": (HEAD, HIDDEN), "wb": (HEAD,)}
+SIZE = sum(math.prod(s) for s in SHAPES.values())
 
 
 def unpack(vector: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for name, shape in SHAPES.items():
-        size = int(np.prod(shape))
+        size = math.prod(shape)
         out[name] = vector[at : at + size].reshape(shape)
         at += size
     return out
@@ -139,7 +158,7 @@ def unpack(vector: np.ndarray) -> dict[str, np.ndarray]:
 def start_vector(counts: Counts, seed: int = 5) -> np.ndarray:
     """Small random weights, and biases that make the untrained network the unigram model."""
     random = np.random.default_rng(seed)
-    vector = np.zeros(sum(int(np.prod(s)) for s in SHAPES.values()), np.float32)
+    vector = np.zeros(SIZE, np.float32)
     net = unpack(vector)
     for name, scale in (("x", 0.5), ("u", 0.3), ("v", 0.3), ("c", 0.1), ("w", 0.1)):
         net[name][...] = random.standard_normal(SHAPES[name]) * scale
@@ -152,121 +171,149 @@ def start_vector(counts: Counts, seed: int = 5) -> np.ndarray:
     return vector
 
 
-def advance(net: dict[str, np.ndarray], state: np.ndarray, ids: np.ndarray, trace: bool = True) -> tuple[np.ndarray, list]:
+def advance(net: dict[str, np.ndarray], state: np.ndarray, ids: np.ndarray, trace: bool = True) -> tuple[np.ndarray, tuple]:
     """States before each token of a window (time, row, hidden) and after it; ``ids`` are the tokens before each one.
 
-    With ``trace`` also what backpropagation needs of each step.
+    With ``trace`` also what backpropagation needs: gates and new values of all steps.  In memory the rows of a window lie
+    last, (time, hidden, row), so that each operation of a step runs over one piece of memory.
     """
-    states, kept = np.empty((ids.shape[1] + 1, *state.shape), state.dtype), []
-    states[0] = state
-    inputs, gate_weights, new_weights = net["x"], net["u"], net["v"]
+    batch, time = ids.shape
+    states = np.empty((time + 1, HIDDEN, batch), state.dtype)
+    states[0] = state.T
+    inputs = np.ascontiguousarray(net["x"][ids.T].transpose(0, 2, 1))
+    gate_weights, new_weights = -net["u"].T, np.ascontiguousarray(net["v"].T)
+    np.negative(inputs[:, : 2 * HIDDEN], out=inputs[:, : 2 * HIDDEN])
+    # The steps write over the inputs: gates (what to keep, what to reset) and new values.
     with np.errstate(over="ignore"):  # a gate far below zero is zero
-        for t in range(ids.shape[1]):
-            x = inputs[ids[:, t]]
-            gates = state @ gate_weights
-            gates += x[:, : 2 * HIDDEN]
-            np.negative(gates, out=gates)
+        for t in range(time):
+            now, after, gates, new = states[t], states[t + 1], inputs[t, : 2 * HIDDEN], inputs[t, 2 * HIDDEN :]
+            gates += gate_weights @ now
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            keep, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            new = (reset * state) @ new_weights
-            new += x[:, 2 * HIDDEN :]
+            new += new_weights @ (gates[HIDDEN:] * now)
             np.tanh(new, out=new)
-            if trace:
-                kept.append((state, keep, reset, new))
-            after = state - new
-            after *= keep
+            np.subtract(now, new, out=after)
+            after *= gates[:HIDDEN]
             after += new
-            states[t + 1] = state = after
-    return states, kept
+    kept = (inputs[:, :HIDDEN], inputs[:, HIDDEN : 2 * HIDDEN], inputs[:, 2 * HIDDEN :]) if trace else ()
+    return states.transpose(0, 2, 1), kept
 
 
 def class_of(ids: np.ndarray) -> np.ndarray:
     return np.where(ids < HEAD, ids // CLASS, ids - HEAD + HEAD // CLASS)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
-
-
-def token_logs(net: dict[str, np.ndarray], states: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Natural logarithm of P(class | state), and of P(word | class, state) for head words, per row of ``states``."""
-    wanted = class_of(ids)
-    scores = states @ net["c"]
-    scores += net["cb"]
-    top = scores.max(axis=1)
-    out = scores[np.arange(len(ids)), wanted] - top
-    scores -= top[:, None]
-    np.exp(scores, out=scores)
-    out -= np.log(scores.sum(axis=1))
-    head = np.flatnonzero(ids < HEAD)
-    order = head[np.argsort(wanted[head], kind="stable")]
-    groups = np.searchsorted(wanted[order], np.arange(HEAD // CLASS + 1))
-    for k in range(HEAD // CLASS):
-        at = order[groups[k] : groups[k + 1]]
-        if len(at):
-            inside = log_softmax(states[at] @ net["w"][k * CLASS : (k + 1) * CLASS].T + net["wb"][k * CLASS : (k + 1) * CLASS])
-            out[at] += inside[np.arange(len(at)), ids[at] - k * CLASS]
+def by_class(states: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """Tokens in order of their class, head classes first: their places, classes, where each head class begins, and their states.
+
+    States become columns above a row of ones, which the biases are weights of.
+    """
+    wanted = class_of(ids).astype(np.uint8)
+    order = np.argsort(wanted, kind="stable")
+    wanted = wanted[order]
+    flat = np.empty((HIDDEN + 1, len(ids)), states.dtype)
+    flat[:HIDDEN], flat[HIDDEN] = states[order].T, 1
+    return order, wanted, np.searchsorted(wanted, np.arange(HEAD // CLASS + 1)).tolist(), flat
+
+
+def head_weights(net: dict[str, np.ndarray]) -> np.ndarray:
+    """Weights and biases of the words of each head class."""
+    return np.concatenate([net["w"], net["wb"][:, None]], axis=1).reshape(HEAD // CLASS, CLASS, HIDDEN + 1)
+
+
+def head_scores(weights: np.ndarray, flat: np.ndarray, limits: list[int]) -> np.ndarray:
+    """Scores of the words of each head token's class, a column each; the largest is zero."""
+    scores = np.empty((CLASS, limits[-1]), flat.dtype)
+    for k, (a, b) in enumerate(zip(limits, limits[1:])):
+        if a < b:
+            np.matmul(weights[k], flat[:, a:b], out=scores[:, a:b])
+    scores -= scores.max(axis=0)
+    return scores
+
+
+def token_logs(net: dict[str, np.ndarray], states: np.ndarray, ids: np.ndarray, size: int = 2048) -> np.ndarray:
+    """Natural logarithm of P(class | state), and of P(word | class, state) for head words, per row of ``states``.
+
+    Taken ``size`` tokens at a time, whose scores stay in the cache.
+    """
+    weights, words = np.concatenate([net["c"], net["cb"][None, :]]).T, head_weights(net)
+    out = np.empty(len(ids), states.dtype)
+    for at in range(0, len(ids), size):
+        own = ids[at : at + size]
+        order, wanted, limits, flat = by_class(states[at : at + size], own)
+        scores = weights @ flat
+        scores -= scores.max(axis=0)
+        logs = scores[wanted, np.arange(len(own))]
+        logs -= np.log(np.exp(scores, out=scores).sum(axis=0))
+        head = order[: limits[-1]]
+        scores = head_scores(words, flat, limits)
+        logs[: len(head)] += scores[own[head] % CLASS, np.arange(len(head))]
+        logs[: len(head)] -= np.log(np.exp(scores, out=scores).sum(axis=0))
+        out[at + order] = logs
     return out
 
 
 def gradients(net: dict[str, np.ndarray], state: np.ndarray, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Mean loss, gradient and last state of one window; the gradient stops at the window's first state."""
-    states, kept = advance(net, state, inputs)
+    states, (keep, reset, new) = advance(net, state, inputs)
     time, batch = inputs.shape[1], len(inputs)
-    flat = states[1:].reshape(-1, HIDDEN)
     ids, share = targets.T.ravel(), weight.T.ravel() / weight.dtype.type(max(weight.sum(), 1))
-    vector = np.zeros(sum(int(np.prod(s)) for s in SHAPES.values()), np.float32)
+    vector = np.zeros(SIZE, np.float32)
     grad = unpack(vector)
-    wanted = class_of(ids)
-    every = np.arange(len(ids))
-    error = flat @ net["c"]
-    error += net["cb"]
-    error -= error.max(axis=1, keepdims=True)
-    logs = error[every, wanted]
-    np.exp(error, out=error)
-    total = error.sum(axis=1)
+    order, wanted, limits, flat = by_class(states[1:].reshape(-1, HIDDEN), ids)
+    share, place = share[order], (wanted, np.arange(len(ids)))
+    error = np.concatenate([net["c"], net["cb"][None, :]]).T @ flat
+    error -= error.max(axis=0)
+    logs = error[place]
+    total = np.exp(error, out=error).sum(axis=0)
     loss = -((logs - np.log(total)) * share).sum()
-    error *= (share / total)[:, None]
-    error[every, wanted] -= share
-    grad["c"][...], grad["cb"][...] = flat.T @ error, error.sum(axis=0)
-    back = error @ net["c"].T
-    head = np.flatnonzero((ids < HEAD) & (share > 0))
-    order = head[np.argsort(wanted[head], kind="stable")]
-    limits = np.searchsorted(wanted[order], np.arange(HEAD // CLASS + 1)).tolist()
-    for k in range(HEAD // CLASS):
-        at = order[limits[k] : limits[k + 1]]
-        if len(at):
-            own = slice(k * CLASS, (k + 1) * CLASS)
-            inside = log_softmax(flat[at] @ net["w"][own].T + net["wb"][own])
-            place = np.arange(len(at)), ids[at] - k * CLASS
-            loss -= (inside[place] * share[at]).sum()
-            error = np.exp(inside)
-            error[place] -= 1
-            error *= share[at][:, None]
-            back[at] += error @ net["w"][own]
-            grad["w"][own], grad["wb"][own] = error.T @ flat[at], error.sum(axis=0)
-    back = back.reshape(time, batch, HIDDEN)
-    ahead = np.zeros_like(state)
-    d_inputs = np.empty((time, batch, 3 * HIDDEN), np.float32)
+    error *= share / total
+    error[place] -= share
+    both = flat @ error.T
+    grad["c"][...], grad["cb"][...] = both[:HIDDEN], both[HIDDEN]
+    back = net["c"] @ error
+    head = order[: limits[-1]]
+    share, place, weights = share[: len(head)], (ids[head] % CLASS, np.arange(len(head))), head_weights(net)
+    error = head_scores(weights, flat, limits)
+    logs = error[place]
+    total = np.exp(error, out=error).sum(axis=0)
+    loss -= ((logs - np.log(total)) * share).sum()
+    error *= share / total
+    error[place] -= share
+    both, words = np.zeros_like(weights), weights[:, :, :HIDDEN].transpose(0, 2, 1)
+    for k, (a, b) in enumerate(zip(limits, limits[1:])):
+        if a < b:
+            back[:, a:b] += words[k] @ error[:, a:b]
+            np.matmul(error[:, a:b], flat[:, a:b].T, out=both[k])
+    both = both.reshape(HEAD, HIDDEN + 1)
+    grad["w"][...], grad["wb"][...] = both[:, :HIDDEN], both[:, HIDDEN]
+    rows_back = np.empty((len(ids), HIDDEN), back.dtype)
+    rows_back[order] = back.T
+    back = np.ascontiguousarray(rows_back.reshape(time, batch, HIDDEN).transpose(0, 2, 1))
+    before = states[:-1].transpose(0, 2, 1)
+    # How the new value, what to keep and what to reset follow from a state, for all steps at once.
+    by_new, by_keep, by_reset = (1 - keep) * (1 - new * new), (before - new) * keep * (1 - keep), before * reset * (1 - reset)
+    d_inputs = np.empty((time, 3 * HIDDEN, batch), np.float32)
+    ahead = np.zeros_like(back[0])
     for t in range(time - 1, -1, -1):
-        before, keep, reset, new = kept[t]
-        d = back[t] + ahead
-        d_new = d * (1 - keep) * (1 - new * new)
-        d_keep = d * (before - new) * keep * (1 - keep)
-        through = d_new @ net["v"].T
-        d_reset = through * before * reset * (1 - reset)
-        d_gates = np.concatenate([d_keep, d_reset], axis=1)
-        grad["v"] += (reset * before).T @ d_new
-        grad["u"] += before.T @ d_gates
-        ahead = d * keep + through * reset + d_gates @ net["u"].T
-        d_inputs[t, :, : 2 * HIDDEN], d_inputs[t, :, 2 * HIDDEN :] = d_gates, d_new
-    used = inputs.T.ravel()
+        d, d_gates, d_new = back[t], d_inputs[t, : 2 * HIDDEN], d_inputs[t, 2 * HIDDEN :]
+        d += ahead
+        np.multiply(d, by_new[t], out=d_new)
+        np.multiply(d, by_keep[t], out=d_gates[:HIDDEN])
+        through = net["v"] @ d_new
+        np.multiply(through, by_reset[t], out=d_gates[HIDDEN:])
+        ahead = net["u"] @ d_gates
+        d *= keep[t]
+        ahead += d
+        through *= reset[t]
+        ahead += through
+    grad["v"][...] = ((reset * before) @ d_inputs[:, 2 * HIDDEN :].transpose(0, 2, 1)).sum(axis=0)
+    grad["u"][...] = (before @ d_inputs[:, : 2 * HIDDEN].transpose(0, 2, 1)).sum(axis=0)
+    used = inputs.T.ravel().astype(np.int16)  # NumPy sorts short integers by radix
     order = np.argsort(used, kind="stable")
     starts = np.flatnonzero(np.append(True, used[order][1:] != used[order][:-1]))
-    grad["x"][used[order][starts]] = np.add.reduceat(d_inputs.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
+    grad["x"][used[order][starts]] = np.add.reduceat(d_inputs.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
     return float(loss), vector, states[-1]
 
 
@@ -296,23 +343,38 @@ def train(vector: np.ndarray, segments: list[np.ndarray], rate: float = RATE) ->
             inputs, targets = tokens[:active, t : t + WINDOW], tokens[:active, t + 1 : t + 1 + WINDOW]
             weight = (t + np.arange(targets.shape[1])[None, :] < own[:active, None]).astype(np.float32)
             _, grad, state = gradients(unpack(vector), state[:active], inputs[:, : targets.shape[1]], np.maximum(targets, 0), weight)
-            norm = float(np.sqrt((grad * grad).sum()))
-            grad *= min(1.0, 1.0 / max(norm, 1e-9))
             step += 1
-            first += 0.1 * (grad - first)
-            second += 0.01 * (grad * grad - second)
-            vector -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+            grad *= min(1.0, 1.0 / max(math.sqrt(grad @ grad), 1e-9))
+            # The sums lack the factors 0.1 and 0.01 of Adam's means, which the last lines make up for.
+            first *= 0.9
+            first += grad
+            second *= 0.99
+            grad *= grad
+            second += grad
+            np.sqrt(second, out=grad)
+            pace = rate * 0.1 / (1 - 0.9**step)
+            grad *= math.sqrt(0.01 / (1 - 0.99**step)) / pace
+            grad += 1e-8 / pace
+            vector -= np.divide(first, grad, out=grad)
     return vector
 
 
-def _ids(counts: Counts, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Place among the frequent words (-1: not one of them) and network id of every word."""
-    get = counts.index.get
-    place = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+def token_ids(counts: Counts, lengths: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Place among the frequent words (-1: not one of them) and network id of every token of texts that have so many words each.
+
+    An end token follows each text.  Third come the tokens that are not frequent words.
+    """
+    words = pa.concat_arrays([words, pa.array([END.decode()])])
+    place = pc.index_in(words, value_set=counts.words).fill_null(-1).to_numpy().astype(np.int64)
     ids = counts.ids[place] if len(counts.ids) else np.zeros(len(words), np.int32)
-    for k in np.flatnonzero(place < 0).tolist():
-        ids[k] = HEAD + tail_class(words[k])
-    return place, ids
+    rare = np.flatnonzero(place < 0)
+    if len(rare):
+        some = words.take(pa.array(rare)).dictionary_encode()
+        tails = np.array([tail_class(w) for w in some.dictionary.cast(pa.binary()).to_pylist()], np.int32)
+        ids[rare] = HEAD + tails[some.indices.to_numpy()]
+    source = np.insert(np.arange(len(words) - 1), np.cumsum(lengths), len(words) - 1)
+    place, ids = place[source], ids[source]
+    return place, ids, words.take(pa.array(source[place < 0]))
 
 
 def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
@@ -324,12 +386,12 @@ def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                parts, out = [], []
-                for text in batch.column(0).slice(at, 512):
-                    text = text.as_py() or ""
-                    first = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-                    for k, segment in enumerate(cut_segments(_ids(known, [*tokens_of(text), END])[1])):
+            for at, lengths, words in words_by_text(batch.column(0), 1 << 22):
+                ids, parts, out = token_ids(known, lengths, words)[1], [], []
+                ends = np.cumsum(lengths + 1).tolist()
+                for text, a, b in zip(batch.column(0).slice(at, len(ends)), [0, *ends], ends):
+                    first = zlib.crc32(text.as_buffer() or b"")
+                    for k, segment in enumerate(cut_segments(ids[a:b])):
                         parts.append((first + k) % max(rounds, 1))
                         out.append(segment.tobytes())
                 yield rows(schema, round=parts, ids=out)
@@ -425,22 +487,20 @@ def _scored(texts: DataFrame, counts: Counts, vector: np.ndarray) -> DataFrame:
         net, base, seen = unpack(weights), TaskContext.get().partitionId() << 40, 0
         spread = np.log10(known.tail_totals + known.tail_words + 1)
         for batch in batches:
-            documents, out = [], {f.name: [] for f in _SCORED}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = [*tokens_of(text.as_py()), END]
-                place, ids = _ids(known, words)
-                found = place >= 0
-                logs = float(known.logs[place[found]].sum()) if found.any() else 0.0
+            for first, lengths, words in words_by_text(batch.column(1)):
+                place, ids, rare = token_ids(known, lengths, words)
+                n, found, tail = len(lengths), place >= 0, ids >= HEAD
+                owner = np.repeat(np.arange(n), lengths + 1)
+                logs = np.zeros(len(ids))
+                logs[found] = known.logs[place[found]]
                 # Tail words: log10 of (count + 1) / (tokens + words of the class + 1); the counts of rare ones come later.
-                tail = ids >= HEAD
-                score = float(known.logs[place[tail & found]].sum()) - float(spread[ids[tail] - HEAD].sum())
-                values = (base + seen, doc, len(words), int(found.sum()), logs, score, [words[k] for k in np.flatnonzero(~found).tolist()])
-                for name, value in zip(out, values):
-                    out[name].append(value)
-                documents.append(ids)
-                seen += 1
-            out["score"] = np.array(out["score"]) + document_logs(net, documents) / np.log(10)
-            yield rows(_SCORED, **out)
+                score = np.bincount(owner[tail], weights=logs[tail] - spread[ids[tail] - HEAD], minlength=n)
+                ends = np.cumsum(lengths + 1)
+                score += document_logs(net, np.split(ids, ends[:-1])) / np.log(10)
+                limits = np.append(0, np.cumsum(~found))[np.append(0, ends)].astype(np.int32)
+                yield rows(_SCORED, row=base + seen + np.arange(n), doc_id=batch.column(0).slice(first, n), n_tokens=lengths + 1, known=np.bincount(owner[found], minlength=n),
+                           logs=np.bincount(owner, weights=logs, minlength=n), score=score, rare=pa.ListArray.from_arrays(pa.array(limits), rare))
+                seen += n
 
     return texts.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, logs double, score double, rare array<string>")
 

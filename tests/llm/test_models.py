@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_plain import FOLDER, SCHEMA, multiset, odd_documents, words
 from pyspark.sql import functions as F
@@ -194,6 +195,39 @@ def plain_base(rows, learned):
     return [(d, len(own), sum(counts[w] > 0 for w in own), total, sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in own)) for (d, *_), own in zip(rows, tokens)]
 
 
+@pytest.mark.parametrize("limit", [1, 200, 1 << 24])
+def test_language_model_tokens(limit):
+    """Columns of words, places and network ids are those of one text and one word after the other, in slices of any size."""
+    low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    texts = [t for _, t, *_ in odd_documents()] + [" led", "trailed\n", "NUL \0 a\x1fb \x85 \u2003 İ"]
+    plain = [[w.encode() for w in words((t or "").translate(low))] for t in texts]
+    known = [b"ban", b"x", gru.END, b"led", b"kora"]
+    for frequent in (known, [w for w in known if w != gru.END], []):
+        counts = gru.Counts(100, 50, frequent, np.arange(len(frequent), 0, -1), np.arange(len(frequent)), np.zeros(gru.TAIL), np.zeros(gru.TAIL))
+        at = 0
+        for first, lengths, found in gru.words_by_text(pa.array(texts), limit):
+            own = plain[first : first + len(lengths)]
+            assert first == at and lengths.tolist() == [len(t) for t in own]
+            assert found.cast(pa.binary()).to_pylist() == [w for t in own for w in t]
+            tokens = [w for t in own for w in [*t, gru.END]]
+            place, ids, rare = gru.token_ids(counts, lengths, found)
+            assert place.tolist() == [frequent.index(w) if w in frequent else -1 for w in tokens]
+            assert ids.tolist() == [frequent.index(w) if w in frequent else gru.HEAD + gru.tail_class(w) for w in tokens]
+            assert rare.cast(pa.binary()).to_pylist() == [w for w in tokens if w not in frequent]
+            at += len(lengths)
+        assert at == len(texts)
+
+
+def test_class_order_changes_nothing():
+    """Logs of tokens in any order and in several slices are those of each token alone."""
+    _, vector = network()
+    net, random_ = gru.unpack(vector), np.random.default_rng(4)
+    ids, states = random_.integers(0, gru.HEAD + gru.TAIL, 300), np.tanh(random_.normal(size=(300, gru.HIDDEN))).astype(np.float32)
+    alone = [gru.token_logs(net, states[i : i + 1], ids[i : i + 1])[0] for i in range(300)]
+    for size in (7, 64, 2048):
+        assert np.allclose(gru.token_logs(net, states, ids, size), alone, rtol=1e-5, atol=1e-5)
+
+
 def test_language_model_counts(spark, odd, monkeypatch):
     # Few words are known to all tasks, so that most counts come by the join.
     monkeypatch.setattr(gru, "KNOWN", 40)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import links
-from quire.llm.common import bounds, groups, mix, rows, shingles, stored, texts_of, word_hashes
+from quire.llm.common import bounds, few, groups, lean, mix, rows, shingles, stored, texts_of, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -32,6 +32,7 @@ LEVELS = 3
 LEAF = 512
 BLOCK = 256
 
+FEW_TEXTS = 1024
 _SET = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("shingles", pa.int64()), ("sketch", pa.binary())])
 _PATH = pa.schema([("path", pa.int64()), ("node", pa.int64())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("leader", pa.bool_()), ("path", pa.int64())])
@@ -66,6 +67,7 @@ def sketch(values: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, seed: int) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -100,6 +102,7 @@ def _children(paths: np.ndarray, sketches: np.ndarray, threshold: float) -> tupl
 def _split(sets: DataFrame, threshold: float, runs: int | None, seed: int) -> DataFrame:
     """Rows of (path, node) one level down; ``runs`` starts that many trees from the roots."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -133,6 +136,7 @@ def _leaves(near: float, least: float):
     the leaders are reported too: sets that are not within ``near`` of an earlier leader.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, ["path", "salt"]):
             path, salt, node, cut = (part.column(k).to_numpy(zero_copy_only=False) for k in ("path", "salt", "node", "cut"))
@@ -169,6 +173,7 @@ def _leaves(near: float, least: float):
 def _block_edges(least: float):
     """Edges between the leaders of a cut bucket, for groups of (path, i, j)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, ["path", "i", "j"]):
             path, i, j, block, node = (part.column(k).to_numpy() for k in ("path", "i", "j", "block", "node"))
@@ -259,6 +264,7 @@ def _overlap(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _verify(threshold: float):
     """Exact Jaccard similarities inside groups of (cluster, band, i, j)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, ["cluster", "band", "i", "j"]):
             cluster, band, i, j, own_band, block, node, size = (part.column(k).to_numpy() for k in ("cluster", "band", "i", "j", "own_band", "block", "node", "size"))
@@ -292,10 +298,11 @@ def _verify(threshold: float):
 
 
 def _exact_sets(docs: DataFrame) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in few(batches, FEW_TEXTS):
             sets = [values.tobytes() for values in shingle_sets(batch.column(1))]
             yield rows(_EXACT, doc_id=batch.column(0), digest=[xxhash.xxh3_128_hexdigest(s) for s in sets], set=sets)
 

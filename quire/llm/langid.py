@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import few, filter_texts, rows
+from quire.llm.common import few, filter_texts, lean, rows
 
 # Blocks of the Unicode standard, first and last code point.  Letters outside belong to no script.
 SCRIPTS = {
@@ -92,6 +92,7 @@ class Model:
 _SUMS = pa.schema([("lang", pa.string()), ("chunk", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
 
 
+@lean
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum vectors by language and chunk over whatever rows a task has; a task holds one vector per key, not the rows."""
     sums: dict[tuple, np.ndarray] = {}
@@ -114,6 +115,7 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS) -> Model:
     """
     letters_chunk = -1  # the chunk number under which the letters per script travel
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in few(batches, 1024):
@@ -149,7 +151,7 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS) -> Model:
     return Model(languages, counts, scripts)
 
 
-def portions(texts: list[str], limit: int = 1_000_000) -> Iterator[list[str]]:
+def portions(texts: list[str], limit: int = 250_000) -> Iterator[list[str]]:
     """The texts in order, in lists of about ``limit`` characters; a longer text stands alone."""
     part, size = [], 0
     for text in texts:
@@ -224,6 +226,7 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFram
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches, 1024):
             yield rows(_OUT, doc_id=batch.column(0), **label(shared.value, batch.column(1).to_pylist(), penalty))

@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import rows, stored
-from quire.llm.pieces import encoder
+from quire.llm.common import lean, rows, stored
+from quire.llm.pieces import SLICE, encoder
 
 _PIECE = pa.schema([("part", pa.int32()), ("rank", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()),
                     ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
@@ -32,11 +32,12 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, reme
     full.  Null and empty texts hold the end id alone; a null ``doc_id`` stays null and is packed like any other.
     """
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, part = encoder(tokenizer, True, remember), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for first, ids, lengths in codec.batches(batch.column(1), end_id):
+            for first, ids, lengths in codec.batches(batch.column(1), end_id, SLICE if remember else SLICE // 4):
                 out: dict[str, list] = {f.name: [] for f in _PIECE}
                 data, at = memoryview(ids.tobytes()), 0
                 for doc, total in zip(batch.column(0).slice(first, len(lengths)).to_pylist(), lengths.tolist()):
@@ -165,6 +166,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024,
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                         ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
         for batch in batches:

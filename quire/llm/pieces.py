@@ -24,7 +24,7 @@ _SPECIAL = "<|"
 # Letters and the marks after them, without the apostrophe, which may start a pre-token of its own.
 _LETTERS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 # Texts are cut into pieces in slices of about so many bytes, and gathered so many pieces at a time.
-_SLICE = 1 << 23
+SLICE = 1 << 23
 _GATHERED = 1 << 17
 # Below this code point letters, case and composition are the same in every Unicode version.
 _STABLE = "\u0250"
@@ -188,7 +188,7 @@ class PieceEncoder:
             yield ids[_runs(begins[order], each)], lengths
             first = last
 
-    def batches(self, column: pa.Array, end: int | None = None, limit: int = _SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def batches(self, column: pa.Array, end: int | None = None, limit: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Number of the first text, ids of the texts one after the other (each with ``end``, if given), and their numbers of ids.
 
         A slice has about ``limit`` bytes; a longer text is a slice of its own.  Null is empty.
@@ -214,10 +214,10 @@ _ENCODERS: dict[tuple, PieceEncoder] = {}
 def encoder(path: str, byte_level: bool, remember: bool = True) -> PieceEncoder:
     """The encoder of this Python worker; workers are reused, so words learned in one task serve the next.
 
-    Without ``remember`` the words go with the task, and leave the worker's memory to whatever runs after it.
+    Without ``remember`` the words go with the task, which holds fewer parts, and leave the worker's memory to whatever runs after it.
     """
     if not remember:
-        return PieceEncoder(load(path), byte_level)
+        return PieceEncoder(load(path), byte_level, limit=100_000)
     key = (path, byte_level)
     if key not in _ENCODERS:
         _ENCODERS[key] = PieceEncoder(load(path), byte_level)

@@ -21,11 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounds, groups, mix, rows, stored, texts_of, word_hashes, words_of
+from quire.llm.common import bounds, few, groups, lean, mix, rows, stored, texts_of, word_hashes, words_of
 from quire.llm.winnow import rolling, window_minima
 
 WINDOW = 13
 ANCHOR = 5
+FEW_TEXTS = 1024
 _SECOND_BASE = 0x9FB21C651E98DF25
 
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("settled", pa.bool_())])
@@ -59,6 +60,7 @@ def list_values(column: pa.Array, first: int, count: int) -> tuple[np.ndarray, n
 
 
 def _anchor_rows(window: int, anchor: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found, docs = batch.column(0).to_numpy(zero_copy_only=False), [], []
@@ -87,6 +89,7 @@ def _anchor_rows(window: int, anchor: int):
     return run
 
 
+@lean
 def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in groups(batches, ["anchor"]):
         value, doc, settled = (part.column(k).to_numpy() for k in range(3))
@@ -101,6 +104,7 @@ def _window_names(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _window_rows(window: int, anchor: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             usable = pc.and_(pc.and_(pc.is_valid(batch.column(0)), pc.is_valid(batch.column(2))), pc.invert(batch.column(3)))
@@ -133,6 +137,7 @@ def _window_rows(window: int, anchor: int):
     return run
 
 
+@lean
 def _repeat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in groups(batches, ["first", "second"]):
         first, second, doc, settled = (part.column(k).to_numpy() for k in range(4))
@@ -152,9 +157,12 @@ def covered(hashes: np.ndarray, owner: np.ndarray, repeats: np.ndarray, repeat_o
     return np.cumsum(steps[:-1]) > 0
 
 
-def _kept_rows(window: int, carried: int):
+def _kept_rows(window: int, carried: Sequence[int]):
+    """``carried`` are the places of the columns that follow; few texts at a time are Python objects and leave as one batch."""
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches, FEW_TEXTS):
             ids, texts, copies, repeats = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3)
             gone: dict[int, np.ndarray] = {}
             marked = pc.is_valid(repeats)
@@ -178,8 +186,8 @@ def _kept_rows(window: int, carried: int):
                 for name, value in zip(out, (doc, len(own), len(own) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass"))):
                     out[name].append(value)
             made = rows(_KEPT, **out)
-            fields = [pa.field(f"carried_{k}", batch.column(4 + k).type) for k in range(carried)]
-            yield pa.RecordBatch.from_arrays([*made.columns, *batch.columns[4:]], schema=pa.schema([*_KEPT, *fields]))
+            fields = [pa.field(f"carried_{k}", batch.column(at).type) for k, at in enumerate(carried)]
+            yield pa.RecordBatch.from_arrays([*made.columns, *[batch.column(at) for at in carried]], schema=pa.schema([*_KEPT, *fields]))
 
     return run
 
@@ -212,7 +220,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ca
     dealt = texts.where("number IS NOT NULL").repartition(count, "number")
     alone = texts.where("number IS NULL")
     carried = [f"carried_{k}" for k, c in enumerate(carry) if c != "text"]
-    again = [F.col("body" if c == "text" else f"carried_{k}").alias(f"carried_{k}") for k, c in enumerate(carry)]
+    places = [1 if c == "text" else 4 + carried.index(f"carried_{k}") for k, c in enumerate(carry)]
     copy = F.coalesce(F.array_contains("copies", F.md5(F.col("body").cast("binary"))), F.lit(False)).alias("copy")
     grown = dealt.join(seeds, "number", "left").join(copies, "number", "left").select("number", "body", "seeds", copy, *carried)
     windows = grown.mapInArrow(_window_rows(window, anchor), "first long, second long, doc long, settled boolean")
@@ -220,9 +228,9 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ca
     repeats = windows.mapInArrow(_repeat_rows, "doc long, first long").groupBy(F.col("doc").alias("number")).agg(F.collect_set("first").alias("repeats"))
     judged = dealt.join(repeats, "number", "left").join(copies, "number", "left").select("number", "body", copy, "repeats", *carried)
     judged = judged.unionByName(alone.withColumns({"copy": F.lit(False), "repeats": F.lit(None).cast("array<long>")}))
-    judged = judged.select("number", "body", "copy", "repeats", *again)
+    judged = judged.select("number", "body", "copy", "repeats", *carried)
     types = "".join(f", carried_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
-    kept = judged.mapInArrow(_kept_rows(window, len(carry)), f"doc_id long, n_words long, n_removed long, kept string{types}")
+    kept = judged.mapInArrow(_kept_rows(window, places), f"doc_id long, n_words long, n_removed long, kept string{types}")
     return kept.toDF("doc_id", "n_words", "n_removed", "kept", *carry)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import few, filter_texts, rows, stored
+from quire.llm.common import few, filter_texts, lean, rows, stored
 
 # Groups of terms that can stand for each other; a parameter of the operator.
 IDENTITY_TERMS = (
@@ -112,6 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, term
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
+    @lean
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -156,6 +157,7 @@ def _collect(sample: DataFrame, place: dict[int, int]) -> tuple:
     known = sample.sparkSession.sparkContext.broadcast(place)
     schema = pa.schema([("toxic", pa.int32()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("swap_at", pa.list_(pa.int32())), ("swap_n", pa.list_(pa.int32()))])
 
+    @lean
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = known.value
         for batch in few(batches, FEW_TEXTS):
@@ -237,6 +239,7 @@ def score(docs: DataFrame, classifier: Classifier, threshold: float = THRESHOLD)
     """``doc_id, score, predicted`` for every row; null and empty texts get the score of a text without words."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)  # bounded by the number of features
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = shared.value.score
         for batch in batches:

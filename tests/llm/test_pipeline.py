@@ -138,3 +138,20 @@ def test_filters_hold_few_texts_at_a_time(spark):
     docs = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") % 5 > 0, F.concat(F.lit("text "), "id")).alias("text"))
     kept = filter_texts(docs, judge).collect()
     assert sorted(r.id for r in kept) == [k for k in range(3000) if k % 5 == 0 or k % 10 != 7]
+
+
+def test_tasks_leave_little_behind(monkeypatch):
+    """Few texts leave the last pass of the substrings stage at a time, each text comes once, and a task's end gives memory back."""
+    import pyarrow as pa
+
+    from quire.llm import common, substrings
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(True))
+    n = 2500
+    columns = {"number": pa.array(range(n)), "body": pa.array([f" text  {k}" for k in range(n)]), "copy": pa.array([False] * n),
+               "repeats": pa.array([None] * n, pa.list_(pa.int64())), "carried_1": pa.array(["en"] * n)}
+    out = list(substrings._kept_rows(13, [1, 4])(iter([pa.RecordBatch.from_pydict(columns)])))
+    assert max(b.num_rows for b in out) <= 1024 and given == [True]
+    assert pa.Table.from_batches(out).to_pydict() == {"doc_id": [*range(n)], "n_words": [2] * n, "n_removed": [0] * n, "kept": [f"text {k}" for k in range(n)],
+                                                      "carried_0": [f" text  {k}" for k in range(n)], "carried_1": ["en"] * n}

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import rows, stored
+from quire.llm.common import few, lean, rows, stored
 
 HEAD = 1024
 CLASS = 32
@@ -75,6 +75,19 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32("".join(letters[-3:]).encode()) % TAIL
 
 
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """``tail_class`` of every word of a column; a regular expression finds the letters of ASCII words."""
+    out = np.empty(len(words), np.int32)
+    plain = pc.string_is_ascii(words)
+    other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+    out[other] = [tail_class(w) for w in words.take(pa.array(other)).cast(pa.binary()).to_pylist()]
+    if len(other) < len(words):
+        ends = pc.utf8_slice_codeunits(pc.replace_substring_regex(words.filter(plain), "[^A-Za-z]+", ""), -3).dictionary_encode()
+        classes = np.array([tail_class(w) for w in ends.dictionary.cast(pa.binary()).to_pylist()], np.int32)
+        out[plain.to_numpy(zero_copy_only=False)] = classes[ends.indices.to_numpy()]
+    return out
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """``word, n, tail`` over all rows; the end token counts once per row."""
 
@@ -89,7 +102,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("tail", pa.int32())])
         for batch in batches:
-            yield rows(schema, word=batch.column(0), n=batch.column(1), tail=[tail_class(w) for w in batch.column(0).cast(pa.binary()).to_pylist()])
+            yield rows(schema, word=batch.column(0), n=batch.column(1), tail=tail_classes(batch.column(0)))
 
     total = texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
     return total.mapInArrow(classify, "word string, n long, tail int")
@@ -204,17 +217,20 @@ def class_of(ids: np.ndarray) -> np.ndarray:
     return np.where(ids < HEAD, ids // CLASS, ids - HEAD + HEAD // CLASS)
 
 
-def by_class(states: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
-    """Tokens in order of their class, head classes first: their places, classes, where each head class begins, and their states.
-
-    States become columns above a row of ones, which the biases are weights of.
-    """
+def by_class(flat: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """Tokens in order of their class, head classes first: their places, classes, where each head class begins, and their columns of ``flat``."""
     wanted = class_of(ids).astype(np.uint8)
     order = np.argsort(wanted, kind="stable")
     wanted = wanted[order]
-    flat = np.empty((HIDDEN + 1, len(ids)), states.dtype)
-    flat[:HIDDEN], flat[HIDDEN] = states[order].T, 1
-    return order, wanted, np.searchsorted(wanted, np.arange(HEAD // CLASS + 1)).tolist(), flat
+    return order, wanted, np.searchsorted(wanted, np.arange(HEAD // CLASS + 1)).tolist(), flat.take(order, axis=1)
+
+
+def columns(states: np.ndarray) -> np.ndarray:
+    """States (time, row, hidden) that lie as ``advance`` leaves them, as columns above a row of ones, which the biases are weights of."""
+    time, batch, _ = states.shape
+    flat = np.empty((HIDDEN + 1, time, batch), states.dtype)
+    flat[:HIDDEN], flat[HIDDEN] = states.transpose(2, 0, 1), 1
+    return flat.reshape(HIDDEN + 1, time * batch)
 
 
 def head_weights(net: dict[str, np.ndarray]) -> np.ndarray:
@@ -232,22 +248,27 @@ def head_scores(weights: np.ndarray, flat: np.ndarray, limits: list[int]) -> np.
     return scores
 
 
-def token_logs(net: dict[str, np.ndarray], states: np.ndarray, ids: np.ndarray, size: int = 2048) -> np.ndarray:
-    """Natural logarithm of P(class | state), and of P(word | class, state) for head words, per row of ``states``.
+def token_logs(net: dict[str, np.ndarray], states: np.ndarray, ids: np.ndarray, size: int = 4096) -> np.ndarray:
+    """Natural logarithm of P(class | state), and of P(word | class, state) for head words, per row of ``states``."""
+    return column_logs(net, columns(states[None]), ids, size)
+
+
+def column_logs(net: dict[str, np.ndarray], flat: np.ndarray, ids: np.ndarray, size: int = 4096) -> np.ndarray:
+    """``token_logs`` of states that are columns, as ``columns`` gives them.
 
     Taken ``size`` tokens at a time, whose scores stay in the cache.
     """
     weights, words = np.concatenate([net["c"], net["cb"][None, :]]).T, head_weights(net)
-    out = np.empty(len(ids), states.dtype)
+    out = np.empty(len(ids), flat.dtype)
     for at in range(0, len(ids), size):
         own = ids[at : at + size]
-        order, wanted, limits, flat = by_class(states[at : at + size], own)
-        scores = weights @ flat
+        order, wanted, limits, part = by_class(flat[:, at : at + size], own)
+        scores = weights @ part
         scores -= scores.max(axis=0)
         logs = scores[wanted, np.arange(len(own))]
         logs -= np.log(np.exp(scores, out=scores).sum(axis=0))
         head = order[: limits[-1]]
-        scores = head_scores(words, flat, limits)
+        scores = head_scores(words, part, limits)
         logs[: len(head)] += scores[own[head] % CLASS, np.arange(len(head))]
         logs[: len(head)] -= np.log(np.exp(scores, out=scores).sum(axis=0))
         out[at + order] = logs
@@ -261,7 +282,7 @@ def gradients(net: dict[str, np.ndarray], state: np.ndarray, inputs: np.ndarray,
     ids, share = targets.T.ravel(), weight.T.ravel() / weight.dtype.type(max(weight.sum(), 1))
     vector = np.zeros(SIZE, np.float32)
     grad = unpack(vector)
-    order, wanted, limits, flat = by_class(states[1:].reshape(-1, HIDDEN), ids)
+    order, wanted, limits, flat = by_class(columns(states[1:]), ids)
     share, place = share[order], (wanted, np.arange(len(ids)))
     error = np.concatenate([net["c"], net["cb"][None, :]]).T @ flat
     error -= error.max(axis=0)
@@ -270,9 +291,12 @@ def gradients(net: dict[str, np.ndarray], state: np.ndarray, inputs: np.ndarray,
     loss = -((logs - np.log(total)) * share).sum()
     error *= share / total
     error[place] -= share
-    both = flat @ error.T
-    grad["c"][...], grad["cb"][...] = both[:HIDDEN], both[HIDDEN]
-    back = net["c"] @ error
+    both = error @ flat.T
+    grad["c"][...], grad["cb"][...] = both[:, :HIDDEN].T, both[:, HIDDEN]
+    back = np.empty((HIDDEN, len(ids)), error.dtype)
+    size = len(ids) if len(ids) % 512 else 512  # BLAS is faster at pieces that stay in the cache; odd ones would be rounded otherwise
+    for at in range(0, len(ids), size):
+        np.matmul(net["c"], error[:, at : at + size], out=back[:, at : at + size])
     head = order[: limits[-1]]
     share, place, weights = share[: len(head)], (ids[head] % CLASS, np.arange(len(head))), head_weights(net)
     error = head_scores(weights, flat, limits)
@@ -281,11 +305,13 @@ def gradients(net: dict[str, np.ndarray], state: np.ndarray, inputs: np.ndarray,
     loss -= ((logs - np.log(total)) * share).sum()
     error *= share / total
     error[place] -= share
-    both, words = np.zeros_like(weights), weights[:, :, :HIDDEN].transpose(0, 2, 1)
+    both, words, through = np.zeros_like(weights), weights[:, :, :HIDDEN].transpose(0, 2, 1), np.empty((HIDDEN, len(head)), error.dtype)
     for k, (a, b) in enumerate(zip(limits, limits[1:])):
         if a < b:
-            back[:, a:b] += words[k] @ error[:, a:b]
-            np.matmul(error[:, a:b], flat[:, a:b].T, out=both[k])
+            own = error[:, a:b]
+            through[:, a:b] = words[k] @ own
+            np.matmul(own, flat[:, a:b].T, out=both[k])
+    back[:, : len(head)] += through
     both = both.reshape(HEAD, HIDDEN + 1)
     grad["w"][...], grad["wb"][...] = both[:, :HIDDEN], both[:, HIDDEN]
     rows_back = np.empty((len(ids), HIDDEN), back.dtype)
@@ -293,7 +319,8 @@ def gradients(net: dict[str, np.ndarray], state: np.ndarray, inputs: np.ndarray,
     back = np.ascontiguousarray(rows_back.reshape(time, batch, HIDDEN).transpose(0, 2, 1))
     before = states[:-1].transpose(0, 2, 1)
     # How the new value, what to keep and what to reset follow from a state, for all steps at once.
-    by_new, by_keep, by_reset = (1 - keep) * (1 - new * new), (before - new) * keep * (1 - keep), before * reset * (1 - reset)
+    renew, reset_state = 1 - keep, before * reset
+    by_new, by_keep, by_reset = renew * (1 - new * new), (before - new) * keep * renew, reset_state * (1 - reset)
     d_inputs = np.empty((time, 3 * HIDDEN, batch), np.float32)
     ahead = np.zeros_like(back[0])
     for t in range(time - 1, -1, -1):
@@ -308,12 +335,13 @@ def gradients(net: dict[str, np.ndarray], state: np.ndarray, inputs: np.ndarray,
         ahead += d
         through *= reset[t]
         ahead += through
-    grad["v"][...] = ((reset * before) @ d_inputs[:, 2 * HIDDEN :].transpose(0, 2, 1)).sum(axis=0)
+    grad["v"][...] = (reset_state @ d_inputs[:, 2 * HIDDEN :].transpose(0, 2, 1)).sum(axis=0)
     grad["u"][...] = (before @ d_inputs[:, : 2 * HIDDEN].transpose(0, 2, 1)).sum(axis=0)
     used = inputs.T.ravel().astype(np.int16)  # NumPy sorts short integers by radix
     order = np.argsort(used, kind="stable")
-    starts = np.flatnonzero(np.append(True, used[order][1:] != used[order][:-1]))
-    grad["x"][used[order][starts]] = np.add.reduceat(d_inputs.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
+    used = used[order]
+    starts = np.flatnonzero(np.append(True, used[1:] != used[:-1]))
+    grad["x"][used[starts]] = np.add.reduceat(d_inputs.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN).take(order, axis=0), starts, axis=0)
     return float(loss), vector, states[-1]
 
 
@@ -370,34 +398,77 @@ def token_ids(counts: Counts, lengths: np.ndarray, words: pa.Array) -> tuple[np.
     rare = np.flatnonzero(place < 0)
     if len(rare):
         some = words.take(pa.array(rare)).dictionary_encode()
-        tails = np.array([tail_class(w) for w in some.dictionary.cast(pa.binary()).to_pylist()], np.int32)
-        ids[rare] = HEAD + tails[some.indices.to_numpy()]
+        ids[rare] = HEAD + tail_classes(some.dictionary)[some.indices.to_numpy()]
     source = np.insert(np.arange(len(words) - 1), np.cumsum(lengths), len(words) - 1)
     place, ids = place[source], ids[source]
     return place, ids, words.take(pa.array(source[place < 0]))
 
 
+_ENCODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("learned", pa.bool_()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()),
+                      ("score", pa.float64()), ("ids", pa.binary()), ("rare", pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())])))])
+
+
+def encode(texts: DataFrame, counts: Counts) -> DataFrame:
+    """Per row of ``doc_id, text, learned`` its network ids (int16), all that needs neither the network nor a rare word's count, and its rare words.
+
+    ``first`` is the crc32 of the text, ``known`` and ``logs`` are of its frequent words, ``score`` is the share of the words
+    inside the tail classes; ``rare`` has each rare word once, with how often it is there.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, base, seen = shared.value, TaskContext.get().partitionId() << 40, 0
+        spread = np.log10(known.tail_totals + known.tail_words + 1)
+        for batch in batches:
+            for first, lengths, words in words_by_text(batch.column(1), 1 << 23):
+                place, ids, rare = token_ids(known, lengths, words)
+                n, found, tail = len(lengths), place >= 0, ids >= HEAD
+                owner = np.repeat(np.arange(n), lengths + 1)
+                logs = np.zeros(len(ids))
+                logs[found] = known.logs[place[found]]
+                # Tail words: log10 of (count + 1) / (tokens + words of the class + 1); the counts of rare ones come later.
+                score = np.bincount(owner[tail], weights=logs[tail] - spread[ids[tail] - HEAD], minlength=n)
+                ends = np.append(0, np.cumsum(lengths + 1)).astype(np.int32)
+                some = rare.dictionary_encode()
+                pairs, times = np.unique(owner[~found] * max(len(some.dictionary), 1) + some.indices.to_numpy(), return_counts=True)
+                holder, which = np.divmod(pairs, max(len(some.dictionary), 1))
+                entries = pa.StructArray.from_arrays([some.dictionary.take(pa.array(which)), pa.array(times, pa.int64())], names=["word", "k"])
+                limits = np.searchsorted(holder, np.arange(n + 1)).astype(np.int32)
+                yield rows(
+                    _ENCODED, row=base + seen + np.arange(n), doc_id=batch.column(0).slice(first, n), learned=batch.column(2).slice(first, n),
+                    first=[zlib.crc32(text.as_buffer() or b"") for text in batch.column(1).slice(first, n)], n_tokens=lengths + 1, known=np.bincount(owner[found], minlength=n),
+                    logs=np.bincount(owner, weights=logs, minlength=n), score=score,
+                    ids=pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends * 2), pa.py_buffer(ids.astype(np.int16))]),
+                    rare=pa.ListArray.from_arrays(pa.array(limits), entries),
+                )
+                seen += n
+
+    return texts.mapInArrow(run, "row long, doc_id long, learned boolean, first long, n_tokens long, known long, logs double, score double, ids binary, rare array<struct<word: string, k: long>>")
+
+
 def fit(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after one pass over every token of every document in ``rounds`` parts, each averaged over the tasks by tokens."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(counts)
+    """Weights after one pass over every token of every text in ``rounds`` parts, each averaged over the tasks by tokens."""
+    return fit_encoded(encode(texts.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("learned")), counts), counts, rounds)
+
+
+def fit_encoded(encoded: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
+    """``fit`` on what ``encode`` gives."""
+    spark = encoded.sparkSession
     schema = pa.schema([("round", pa.int32()), ("ids", pa.binary())])
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            for at, lengths, words in words_by_text(batch.column(0), 1 << 22):
-                ids, parts, out = token_ids(known, lengths, words)[1], [], []
-                ends = np.cumsum(lengths + 1).tolist()
-                for text, a, b in zip(batch.column(0).slice(at, len(ends)), [0, *ends], ends):
-                    first = zlib.crc32(text.as_buffer() or b"")
-                    for k, segment in enumerate(cut_segments(ids[a:b])):
-                        parts.append((first + k) % max(rounds, 1))
-                        out.append(segment.tobytes())
-                yield rows(schema, round=parts, ids=out)
+        for batch in few(batches, 2048):
+            parts, out = [], []
+            for first, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for k, segment in enumerate(cut_segments(np.frombuffer(ids.as_buffer(), np.int16))):
+                    parts.append((first + k) % max(rounds, 1))
+                    out.append(segment.tobytes())
+            yield rows(schema, round=parts, ids=out)
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    segments = stored(texts.select("text").mapInArrow(cut, "round int, ids binary").repartition(tasks), "segments")
+    segments = stored(encoded.select("first", "ids").mapInArrow(cut, "round int, ids binary").repartition(tasks), "segments")
     vector = start_vector(counts)
     size = 4096
     sums_schema = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("weight", pa.float64()), ("values", pa.binary())])
@@ -466,43 +537,33 @@ def document_logs(net: dict[str, np.ndarray], documents: list[np.ndarray]) -> np
             ids[inside] = tokens[(first[at[:active], None] + t + np.arange(width)[None, :])[inside]]
             inputs = np.concatenate([last[:active, None], ids[:, :-1]], axis=1)
             states, _ = advance(net, state[:active], inputs, trace=False)
-            valid = inside.T.ravel()
-            logs = token_logs(net, states[1:].reshape(-1, HIDDEN)[valid], ids.T.ravel()[valid])
-            owner = np.tile(at[:active], width)[valid]
+            flat, own_ids, owner = columns(states[1:]), ids.T.ravel(), np.tile(at[:active], width)
+            if not inside.all():
+                valid = np.flatnonzero(inside.T.ravel())
+                flat, own_ids, owner = flat.take(valid, axis=1), own_ids[valid], owner[valid]
+            logs = column_logs(net, flat, own_ids)
             out += np.bincount(owner, weights=logs, minlength=len(out))
             state, last = states[-1], ids[:, -1]
     return out
 
 
-_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()),
-                     ("rare", pa.list_(pa.string()))])
+_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
 
 
-def _scored(texts: DataFrame, counts: Counts, vector: np.ndarray) -> DataFrame:
-    """Per row what needs no rare word's count, and the rare words, one entry per occurrence."""
-    shared = texts.sparkSession.sparkContext.broadcast((counts, vector))
+def _scored(encoded: DataFrame, vector: np.ndarray) -> DataFrame:
+    """Rows of ``encode`` with the network's share of the score added; only the counts of rare words are missing."""
+    shared = encoded.sparkSession.sparkContext.broadcast(vector)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weights = shared.value
-        net, base, seen = unpack(weights), TaskContext.get().partitionId() << 40, 0
-        spread = np.log10(known.tail_totals + known.tail_words + 1)
-        for batch in batches:
-            for first, lengths, words in words_by_text(batch.column(1)):
-                place, ids, rare = token_ids(known, lengths, words)
-                n, found, tail = len(lengths), place >= 0, ids >= HEAD
-                owner = np.repeat(np.arange(n), lengths + 1)
-                logs = np.zeros(len(ids))
-                logs[found] = known.logs[place[found]]
-                # Tail words: log10 of (count + 1) / (tokens + words of the class + 1); the counts of rare ones come later.
-                score = np.bincount(owner[tail], weights=logs[tail] - spread[ids[tail] - HEAD], minlength=n)
-                ends = np.cumsum(lengths + 1)
-                score += document_logs(net, np.split(ids, ends[:-1])) / np.log(10)
-                limits = np.append(0, np.cumsum(~found))[np.append(0, ends)].astype(np.int32)
-                yield rows(_SCORED, row=base + seen + np.arange(n), doc_id=batch.column(0).slice(first, n), n_tokens=lengths + 1, known=np.bincount(owner[found], minlength=n),
-                           logs=np.bincount(owner, weights=logs, minlength=n), score=score, rare=pa.ListArray.from_arrays(pa.array(limits), rare))
-                seen += n
+        net = unpack(shared.value)
+        for batch in few(batches, 8192):
+            logs = document_logs(net, [np.frombuffer(ids.as_buffer(), np.int16) for ids in batch.column(6)])
+            score = batch.column(5).to_numpy() + logs / np.log(10)
+            yield rows(_SCORED, **{f.name: batch.column(k) for k, f in enumerate(_SCORED) if f.name != "score"}, score=score)
 
-    return texts.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, logs double, score double, rare array<string>")
+    columns = [f.name for f in _SCORED]
+    return encoded.select(*columns, "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, known long, logs double, score double")
 
 
 def score(docs: DataFrame, training: Column, rounds: int = ROUNDS) -> DataFrame:
@@ -512,16 +573,16 @@ def score(docs: DataFrame, training: Column, rounds: int = ROUNDS) -> DataFrame:
     model with one added to every count and one unknown word.  Null and empty texts are the end token alone.  Null and
     repeated ids pass through; other columns are ignored.  Without training rows every word is unknown.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    learned = texts.where(training)
-    words = stored(count_words(learned), "words")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("learned"))
+    words = stored(count_words(texts.where("learned")), "words")
     counts = gather_counts(words)
-    vector = fit(learned, counts, rounds)
-    scored = stored(_scored(texts, counts, vector), "scored")
+    encoded = stored(encode(texts, counts), "encoded")
+    vector = fit_encoded(encoded.where("learned"), counts, rounds)
+    scored = stored(_scored(encoded, vector), "scored")
     # Rare words meet their counts by a join; unknown ones add log10(1) = 0.
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("k"))
+    rare = encoded.select("row", F.inline("rare"))
     found = rare.join(words.select("word", "n"), "word").groupBy("row").agg(F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more"), F.sum("k").alias("met"))
-    out = scored.drop("rare").join(found, "row", "left")
+    out = scored.join(found, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(counts.total).cast("long").alias("train_tokens"),
                       (F.col("logs") + more - F.col("n_tokens") * F.log10(F.lit(float(counts.total + counts.distinct + 1)))).alias("base_score"), (F.col("score") + more).alias("score"))

@@ -195,6 +195,41 @@ def plain_base(rows, learned):
     return [(d, len(own), sum(counts[w] > 0 for w in own), total, sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in own)) for (d, *_), own in zip(rows, tokens)]
 
 
+def test_tail_classes():
+    """Classes of a column are those of one word after the other, whatever their letters."""
+    found = ["", "a", "AB", "ab1c.", "--", "12", "a-b_c9d", "über", "naïve!", "слово", "東京", "x\u0301y", "\0z", " ", "tail" * 30]
+    for column in (found, [w for w in found if w.isascii()], [w for w in found if not w.isascii()], []):
+        assert gru.tail_classes(pa.array(column, pa.string())).tolist() == [gru.tail_class(w.encode()) for w in column]
+
+
+def test_language_model_splits_texts_twice(spark, odd, monkeypatch):
+    """Texts are cut into words once to count them and once more for training and scores together."""
+    split, plain, training = spark.sparkContext.accumulator(0), gru.words_by_text, fold("doc_id", 7) != 2
+
+    def counted(column, *limit):
+        split.add(len(column))
+        yield from plain(column, *limit)
+
+    monkeypatch.setattr(gru, "words_by_text", counted)
+    assert len(gru.score(odd, training).collect()) == odd.count()
+    assert split.value == odd.count() + odd.where(training).count()
+
+
+def test_language_model_encodes(spark, odd):
+    """Ids of whole texts, and each rare word of a text once with how often it is there."""
+    counts = gru.gather_counts(gru.count_words(odd), 40)
+    found = gru.encode(odd.select("doc_id", "text", F.lit(True).alias("learned")), counts).collect()
+    assert len({r.row for r in found}) == len(found) == odd.count()
+    low, expected = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)}), []
+    for d, t, *_ in odd_documents():
+        own = [*(w.encode() for w in words((t or "").translate(low))), gru.END]
+        rare = collections.Counter(w.decode() for w in own if w not in counts.index)
+        ids = [int(counts.ids[counts.index[w]]) if w in counts.index else gru.HEAD + gru.tail_class(w) for w in own]
+        expected.append((d, zlib.crc32((t or "").encode()), len(own), len(own) - sum(rare.values()), tuple(ids), tuple(sorted(rare.items()))))
+    assert sum(map(len, (e[-1] for e in expected))) > 10
+    assert multiset((r.doc_id, r.first, r.n_tokens, r.known, tuple(np.frombuffer(bytes(r.ids), np.int16).tolist()), tuple(sorted((x.word, x.k) for x in r.rare))) for r in found) == multiset(expected)
+
+
 @pytest.mark.parametrize("limit", [1, 200, 1 << 24])
 def test_language_model_tokens(limit):
     """Columns of words, places and network ids are those of one text and one word after the other, in slices of any size."""

@@ -9,6 +9,7 @@ from quire.functions import latex as L
 from quire.functions import lines as P
 from quire.functions import text as T
 from quire.operators.blocks import BLOCK_WIDTH, with_running
+from quire.operators.glyphs import page_lines
 from quire.session import cut_lineage
 
 PAGE = ["book", "page_num"]
@@ -121,32 +122,11 @@ def upper_median(counts: DataFrame, keys: list[str], value: str, n: str) -> Data
 def glyphs_to_lines(glyphs: DataFrame) -> DataFrame:
     """Cluster the glyphs of a page into lines by a running mean of their height.
 
-    Glyphs of equal height always stay together, so they are joined first; the sequential step then walks over
+    Glyphs of equal height always stay together, so they are joined first, before anything moves; the sequential step then walks over
     the few distinct heights of a page.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("x0", "g_idx", "ch")))
-    sized = F.when(F.col("size") > 0, F.col("size"))
-    rows = glyphs.groupBy(*PAGE, "top").agg(
-        F.array_join(F.transform(ordered, lambda g: g["ch"]), "").alias("text"), F.sum(sized).alias("sizes"), F.count(sized).alias("sized"),
-        F.count(F.lit(1)).alias("n"), F.min("x0").alias("x0"))
-    heights = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("top", "text", "sizes", "sized", "n", "x0"))).alias("rows"))
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("ids"))
-
-    def step(s: Column, r: Column) -> Column:
-        joins = s["y"].isNotNull() & (F.abs(r["top"] - s["y"]) <= LINE_TOLERANCE)
-        # n glyphs of one height halve the distance to it n times; a new line starts exactly there.
-        y = F.when(joins, r["top"] + (s["y"] - r["top"]) / F.pow(F.lit(2.0), r["n"])).otherwise(r["top"])
-        line = F.when(joins, s["line"]).otherwise(s["line"] + 1)
-        return F.struct(y.alias("y"), line.alias("line"), F.array_append(s["ids"], line).alias("ids"))
-
-    ids = F.aggregate("rows", start, step, lambda s: s["ids"])
-    flat = heights.select(*PAGE, F.explode(F.zip_with("rows", ids, lambda r, i: F.struct(i.alias("line_no"), r.alias("r"))))
-                          .alias("z")).select(*PAGE, "z.line_no", "z.r.*")
-    parts = F.array_sort(F.collect_list(F.struct("top", "text")))
-    lines = flat.groupBy(*PAGE, "line_no").agg(
-        F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"), F.sum("sizes").alias("__s"), F.sum("sized").alias("__n"),
-        F.min("top").alias("y0"), F.min("x0").alias("x0"))
-    size = F.when(F.col("__n") > 0, F.col("__s") / F.col("__n")).otherwise(0.0)
+    lines = page_lines(glyphs, LINE_TOLERANCE)
+    size = F.when(F.col("sized") > 0, F.col("sizes") / F.col("sized")).otherwise(0.0)
     return lines.select(*PAGE, "line_no", T.strip("text").alias("text"), F.round(size, 6).alias("size"), "y0", "x0")
 
 

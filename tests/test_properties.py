@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import chunks, filling, history, naming, structure, tasks, tex, usage
@@ -302,3 +303,62 @@ def test_page_ranges_equal_a_plain_replay(spark):
             assert history.common_page_ranges(df, keep, width) == _remembered(ranges, keep), (name, keep)
     flags = history.preference_flags(spark.createDataFrame([(1, "1-2", True, None), (2, "3", None, "high")], "seq bigint, pages string, translated boolean, quality_mode string")).first()
     assert tuple(flags) == (True, "high", "1-2;3")
+
+
+def _plain_lines(rows):
+    """Glyph by glyph: heights of a page in order, each joining the line before while it is near its running mean."""
+
+    def place(value):
+        return (0, 0) if value is None else (2, 0) if value != value else (1, value)
+
+    pages: dict = {}
+    for b, p, g, ch, x0, top, size in rows:
+        pages.setdefault((b, p), {}).setdefault("nan" if top != top else None if top is None else top + 0.0, []).append((x0, g, ch, size))
+    out = []
+    for (b, p), heights in pages.items():
+        lines, mean = [], None
+        for top in sorted(heights, key=lambda t: place(float("nan") if t == "nan" else t)):
+            glyphs = sorted(heights[top], key=lambda t: (place(t[0]), place(t[1]), (t[2] is not None, t[2] or "")))
+            known = isinstance(top, float)
+            near = known and mean is not None and abs(top - mean) <= structure.LINE_TOLERANCE
+            if not near:
+                lines.append((top, []))
+                mean = top if known else None
+            for _ in glyphs if near else ():
+                mean = top + (mean - top) / 2
+            lines[-1][1].extend(glyphs)
+        for n, (y0, glyphs) in enumerate(lines):
+            sizes = [t[3] for t in glyphs if t[3] is not None and (t[3] > 0 or t[3] != t[3])]
+            x0s = sorted((t[0] for t in glyphs if t[0] is not None), key=place)
+            out.append((b, p, n, "".join(t[2] or "" for t in glyphs).strip(), str(round(sum(sizes) / len(sizes), 6) if sizes else 0.0), str(y0), str(x0s[0] if x0s else None)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("batch", [7, 64, 10_000])
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_lines_of_glyphs_in_several_batches(spark, batch, shuffled):
+    """Nulls, NaN, copies, far numbers and glyphs of any length, in batches of any size, against the plain rule."""
+    rng = random.Random(5)
+    nan = float("nan")
+    rows = [(b, p, rng.choice([None, 0, 1, 2, 3, 1 << 40]) if rng.random() < 0.4 else i, rng.choice(["a", "b", "é", "😀", "ab", "", None]),
+             rng.choice([None, 1.0, 2.0, nan, 3.0]), rng.choice([10.0, 11.0, 14.0, 40.0, 40.5, None, nan, 0.0, -0.0]), rng.choice([None, 0.0, 7.0, 10.0]))
+            for b in ("x", "y", None) for p in (0, 1, None) for i in range(40)]
+    rows = [*rows, *rows[:40], *[("z", 0, i, "abcdefghij"[i % 10], float(i % 50), float(i // 50 * 14), 10.0) for i in range(300)],
+            *[("z", 1, i, "klmno"[i % 5], float(i % 20), float(i // 20 * 2), nan if i == 30 else 9.0) for i in range(200)]]
+    if shuffled:
+        rng.shuffle(rows)
+    schema = "book string, page_num int, g_idx bigint, ch string, x0 double, top double, size double"
+    glyphs = spark.createDataFrame(rows, schema).coalesce(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        found = sorted(((r.book, r.page_num, r.line_no, r.text, str(r.size), str(r.y0), str(r.x0)) for r in structure.glyphs_to_lines(glyphs).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == _plain_lines(rows)
+
+
+def test_glyphs_do_not_move_one_by_one(spark):
+    """One exchange, of rows that hold the text of a height; no aggregate collects glyphs."""
+    glyphs = spark.createDataFrame([("b", 0, 0, "a", 0.0, 1.0, 9.0)], "book string, page_num int, g_idx int, ch string, x0 double, top double, size double")
+    text = structure.glyphs_to_lines(glyphs)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "collect_list" not in text and text.index("Exchange") < text.rindex("MapInArrow")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.operators import tasks, usage
 from quire.operators.blocks import with_blocks
@@ -27,9 +28,10 @@ DEDUPE_WITHIN = "1 hour"
 BATCH_COLUMN = "batch_id"
 # Rows that a replayed micro-batch holds, and seconds of event time after which a silent task leaves the state.
 ROWS_PER_BATCH = 1_000_000
+ROW_GROUP_BYTES = 4 << 20
 PROGRESS_TTL_SECONDS = 30 * 86_400
 # Parts into which tasks are dealt, each one key of the state; events of a part that wait in memory for the end of a micro-batch.
-BUCKETS = 2048
+BUCKETS = 512
 HELD_ROWS = 100_000
 _FIRST = -(1 << 63)
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -42,7 +44,7 @@ class Replay:
     The part files of a table may each cover all of its time, so reading them in any order would make most rows late.  So the
     table is cut into slices of equal count by (``ts``, ``event_id``), each a folder of its own, and ``advance`` lets one slice
     after the other arrive in the folder that ``stream`` watches.  Neither the number of files nor their times matter.  A slice
-    arrives as one file, hence in one micro-batch.  Slices that have arrived already are skipped, so a replay that was
+    is one file and is moved there, hence it comes in one micro-batch.  Slices that have arrived already are skipped, so a replay that was
     interrupted goes on where it stood: make it with the ``path`` of the first one.
     Rows without a time come first.
     """
@@ -53,7 +55,8 @@ class Replay:
         if path is None:
             place = events.withColumn("__place", F.struct("ts", "event_id"))
             cut = with_blocks(place, [], "__place", rows).withColumnRenamed("__block", "slice").drop("__place", "__tie")
-            cut.repartition("slice").write.partitionBy("slice").parquet(f"{self.path}/slices")
+            # Several row groups, so that several tasks read the file of a slice.
+            cut.repartition("slice").write.option("parquet.block.size", ROW_GROUP_BYTES).partitionBy("slice").parquet(f"{self.path}/slices")
             # The watched folder exists from the start.
             events.limit(0).withColumn("slice", F.lit(-1)).write.parquet(f"{self.path}/arrived/slice=-1")
         self.schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
@@ -70,9 +73,12 @@ class Replay:
         return sorted(self._slices("slices") - self._slices("arrived"))
 
     def advance(self, number: int) -> None:
-        """Let one slice arrive."""
-        slices = self.spark.read.schema(f"{self.schema}, slice int").parquet(f"{self.path}/slices")
-        slices.where(F.col("slice") == number).drop("slice").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/arrived/slice={number}")
+        """Let one slice arrive: its folder, written by one task, changes its place."""
+        paths = self.spark._jvm.org.apache.hadoop.fs.Path
+        here, there = (paths(f"{self.path}/{folder}/slice={number}") for folder in ("slices", "arrived"))
+        files = here.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.rename(here, there):
+            raise OSError(f"slice {number} of {self.path} cannot arrive")
 
 
 def run_to_table(stream: DataFrame, mode: str, name: str, replay: Replay | None = None, path: str | None = None, slices: int | None = None) -> DataFrame:
@@ -176,29 +182,49 @@ def _bucket() -> Column:
     return F.pmod(F.xxhash64("task_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
-class _Progress(_Tasks):
-    fields = {"status": "string", "current_n": "int", "total_n": "int", "updated": "bigint", "created": "bigint", "event_id": "bigint", "updates": "bigint"}
+_PROGRESS = ("task_id array<string>, status array<string>, current_n array<bigint>, total_n array<bigint>, updated array<bigint>, created array<bigint>, "
+             "event_id array<bigint>, updates array<bigint>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        tasks, timer = self.load()
+
+def _keep_progress(ttl: int):
+    """Folds the events of a bucket into its tasks: a column per field in the state, in which each task has its place.  Numbers are never null, but ``_FIRST``.
+
+    State and rows come in one Arrow batch, so a bucket costs no calls of the state store.  Tasks leave ``ttl`` milliseconds of event time after
+    their last event (the field ``updated``, microseconds): a bucket has one timeout, when the first of its tasks is due.
+    """
+
+    def fold(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tasks: dict[str | None, tuple] = {}
+        if state.exists:
+            ids, *columns = state.get
+            tasks = dict(zip(ids, zip(*columns)))
         touched: dict[str | None, None] = {}
-        for part in rows:
-            columns = (part[c].tolist() for c in ("task_id", "event_id", "status", "current_n", "total_n", "at"))
-            for task, event, status, current, total, at in zip(*columns):
-                # An event without a number comes first among those of its time.
-                event = _FIRST if (event := _int(event)) is None else event
-                last = tasks.get(task)
-                created, updates = (at, 1) if last is None else (min(at, last[4]), last[6] + 1)
-                if last is None or (at, event) >= (last[3], last[5]):
-                    tasks[task] = (status, _int(current), _int(total), at, created, event, updates)
-                else:
-                    tasks[task] = (*last[:4], created, last[5], updates)
-                touched[task] = None
-        self.store(tasks, timer, timerValues)
-        found = [(task, *tasks[task]) for task in touched]
-        status, current, total, updated, created, _, updates = ([row[i] for row in found] for i in range(1, 8))
-        yield pd.DataFrame({"task_id": list(touched), "status": status, "current_n": pd.array(current, "Int32"), "total_n": pd.array(total, "Int32"),
-                            "created": created, "updated": updated, "updates": updates})
+        watermark = state.getCurrentWatermarkMs()
+        if state.hasTimedOut:
+            tasks = {task: last for task, last in tasks.items() if last[3] // 1000 + ttl >= watermark}
+        else:
+            for part in parts:
+                columns = (part[c].tolist() for c in ("task_id", "event_id", "status", "current_n", "total_n", "at"))
+                for task, event, status, current, total, at in zip(*columns):
+                    last = tasks.get(task)
+                    if last is None:
+                        tasks[task] = (status, current, total, at, at, event, 1)
+                    elif (at, event) >= (last[3], last[5]):
+                        tasks[task] = (status, current, total, at, min(at, last[4]), event, last[6] + 1)
+                    else:
+                        tasks[task] = (*last[:4], min(at, last[4]), last[5], last[6] + 1)
+                    touched[task] = None
+        if not tasks:
+            state.remove()
+            return
+        columns = [list(column) for column in zip(*tasks.values())]
+        state.update((list(tasks), *columns))
+        state.setTimeoutTimestamp(max(min(columns[3]) // 1000 + ttl, watermark, 1))
+        if touched:
+            status, current, total, updated, created, _, updates = zip(*[tasks[task] for task in touched])
+            yield pd.DataFrame({"task_id": list(touched), "status": status, "current_n": current, "total_n": total, "created": created, "updated": updated, "updates": updates})
+
+    return fold
 
 
 def task_progress(events: DataFrame, ttl_seconds: int = PROGRESS_TTL_SECONDS) -> DataFrame:
@@ -206,11 +232,16 @@ def task_progress(events: DataFrame, ttl_seconds: int = PROGRESS_TTL_SECONDS) ->
 
     The state is one row per task and leaves ``ttl_seconds`` of event time after the task's last event.  Events without a time are left out.
     """
+    # An event without a number comes first among those of its time.  A column without nulls stays one of integers in pandas.
+    number = {c: F.coalesce(F.col(c).cast(kind).cast("bigint"), F.lit(_FIRST)) for c, kind in (("event_id", "bigint"), ("current_n", "int"), ("total_n", "int"))}
     staged = events.withWatermark("ts", LATENESS).where("ts IS NOT NULL").select(
-        _bucket(), "task_id", "event_id", "status", F.col("current_n").cast("int"), F.col("total_n").cast("int"), "ts", F.unix_micros("ts").alias("at"))
-    folded = staged.groupBy("bucket").transformWithStateInPandas(
-        _Progress(ttl_seconds), "task_id string, status string, current_n int, total_n int, created bigint, updated bigint, updates bigint", "Update", "EventTime")
-    return folded.select("task_id", "status", "current_n", "total_n", tasks.percent(F.col("current_n"), F.col("total_n")).alias("percent"),
+        _bucket(), "task_id", number["event_id"].alias("event_id"), "status", number["current_n"].alias("current_n"), number["total_n"].alias("total_n"), "ts",
+        F.unix_micros("ts").alias("at"))
+    folded = staged.groupBy("bucket").applyInPandasWithState(
+        _keep_progress(ttl_seconds * 1000), "task_id string, status string, current_n bigint, total_n bigint, created bigint, updated bigint, updates bigint",
+        _PROGRESS, "update", GroupStateTimeout.EventTimeTimeout)
+    counts = {c: F.when(F.col(c) != _FIRST, F.col(c)).cast("int") for c in ("current_n", "total_n")}
+    return folded.withColumns(counts).select("task_id", "status", "current_n", "total_n", tasks.percent(F.col("current_n"), F.col("total_n")).alias("percent"),
                          F.timestamp_micros("created").alias("created_at"), F.timestamp_micros("updated").alias("updated_at"), "updates")
 
 

@@ -1,5 +1,7 @@
 """Streams fed in several micro-batches against their batch twins."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +148,24 @@ def test_tasks_share_buckets_of_state(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_slices_move_and_state_comes_with_its_rows(spark, capsys):
+    """A slice is not written twice; numbers beyond those of a double keep their order beside an event without one."""
+    big = 1 << 53
+    rows = [(big + 1, "purchase"), (big, "view"), (None, "click")]
+    schema = "event_id bigint, event_type string"
+    events = spark.createDataFrame(rows, schema).coalesce(1).selectExpr(
+        "event_id", "TIMESTAMP '2024-01-01 00:00:01' AS ts", "7L AS user_id", "event_type", "1.0D AS value", """'{"k": 5}' AS props""")
+    replay = progress.Replay(events, 10)
+    files = [f.name for f in Path(replay.path, "slices").rglob("part-*.parquet")]
+    job = progress.task_progress(_stream(replay))
+    job.explain()
+    plan = capsys.readouterr().out
+    assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan
+    found = progress.last_update(progress.run_to_table(job, "update", "m", replay), ["task_id"])
+    assert files and files == [f.name for f in Path(replay.path, "arrived").rglob("part-*.parquet") if f.parent.name != "slice=-1"]
+    assert _rows(found) == _rows(tasks.task_latest_state(VIEWS["task_events"].build(lambda n: events)))
+
+
 def test_table_function(spark):
     register_functions(spark)
     pages = spark.createDataFrame([("b", 0, "\\begin{x} {a} % {hidden\n\\end{x}\\(")], "book string, page_num int, tex string")
